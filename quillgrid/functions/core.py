@@ -46,3 +46,27 @@ def int_div(a: Column, b: Column | int) -> Column:
 def compact_texts(*items: Column) -> Column:
     """The items that are present, in order, as an array."""
     return F.array_compact(F.array(*items))
+
+
+def run_counts(items: Column) -> Column:
+    """``array<struct<value, n>>``: each distinct item with how often it occurs, sorted.
+
+    Sorting and measuring runs stays near linear for rows with very many items.
+    """
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            F.transform(s, lambda x, i: F.struct(x.alias("value"), i.alias("i"))),
+            lambda e: (e["i"] == 0) | (F.get(s, e["i"] - 1) != e["value"]),
+        )
+        return let(
+            starts,
+            lambda st: F.transform(
+                st,
+                lambda e, j: F.struct(
+                    e["value"].alias("value"),
+                    (F.coalesce(F.get(st, j + 1)["i"], F.size(s)) - e["i"]).alias("n"),
+                ),
+            ),
+        )
+
+    return let(F.array_sort(items), runs)

@@ -56,30 +56,22 @@ def field_type(value: Column) -> Column:
     return let(kind(value), lambda k: F.when(k.isin("object", "array"), "string").otherwise(k))
 
 
-def record_array(value: Column) -> Column:
-    """An array whose items are all objects or null, else NULL.
-
-    Null items come back as empty records: they count as rows but have no keys.
-    """
-    empty = F.create_map().cast(OBJECT)
-    records = lambda items: F.transform(items, as_object)
-
-    def check(s: Column) -> Column:
-        proper = F.forall(
-            F.arrays_zip(s["items"], s["rows"]),
-            lambda z: z["rows"].isNotNull() | F.is_variant_null(z["items"]),
-        )
-        return F.when(proper, F.transform(s["rows"], lambda r: F.coalesce(r, empty)))
-
+def record_items(value: Column) -> Column:
+    """The items of an array that holds only objects and nulls, else NULL."""
     return let(
         as_array(value),
         lambda items: F.when(
-            items.isNotNull(),
-            let(F.struct(items.alias("items"), records(items).alias("rows")), check),
+            F.forall(items, lambda i: as_object(i).isNotNull() | F.is_variant_null(i)), items
         ),
     )
 
 
+def record_array(value: Column) -> Column:
+    """``record_items`` as maps. A null item counts as a record without keys."""
+    empty = F.create_map().cast(OBJECT)
+    return F.transform(record_items(value), lambda i: F.coalesce(as_object(i), empty))
+
+
 def skeleton(value: Column) -> Column:
     """Compact JSON with every text replaced by ``S`` and every empty text by ``E``.
 
@@ -144,36 +136,28 @@ def flatten(value: Column) -> Column:
 
 
 def flat_map(value: Column) -> Column:
-    """``map<string,string>`` of dotted path to text; of equal paths the last is kept."""
-    return let(
-        flatten(value),
-        lambda leaves: F.map_from_entries(
-            F.transform(
-                F.filter(
-                    F.transform(leaves, lambda e, i: F.struct(e.alias("e"), i.alias("i"))),
-                    lambda s: ~F.exists(
-                        F.slice(leaves, s["i"] + 2, F.size(leaves)),
-                        lambda later: later["path"] == s["e"]["path"],
-                    ),
-                ),
-                lambda s: F.struct(s["e"]["path"], leaf_text(s["e"]["val"])),
-            )
-        ),
+    """``map<string,string>`` of dotted path to text; of equal paths the last is kept.
+
+    A value that is no object gives no entries.
+    """
+    entries = F.map_from_entries(
+        F.transform(flatten(value), lambda leaf: F.struct(leaf["path"], leaf_text(leaf["val"])))
+    )
+    return F.when(as_object(value).isNotNull(), entries).otherwise(
+        F.create_map().cast("map<string,string>")
     )
 
 
 def largest_array(value: Column) -> Column:
-    """``struct<n, path, rows>`` of the largest array of objects outside other arrays.
+    """``struct<n, path, items>`` of the largest array of objects outside other arrays.
 
     Items that are not objects are skipped. Of equally large arrays the smallest path wins.
     """
     def candidate(leaf: Column) -> Column:
-        rows = F.filter(F.transform(as_array(leaf["val"]), lambda i: as_object(i)), lambda r: r.isNotNull())
+        objects = F.filter(as_array(leaf["val"]), lambda i: as_object(i).isNotNull())
         return let(
-            rows,
-            lambda r: F.struct(
-                F.coalesce(F.size(r), F.lit(0)).alias("n"), leaf["path"].alias("path"), r.alias("rows"),
-            ),
+            objects,
+            lambda r: F.struct(F.size(r).alias("n"), leaf["path"].alias("path"), r.alias("items")),
         )
 
     def better(best: Column, c: Column) -> Column:
@@ -181,8 +165,7 @@ def largest_array(value: Column) -> Column:
         return F.when(wins, c).otherwise(best)
 
     none = F.struct(
-        F.lit(0).alias("n"), F.lit("").alias("path"),
-        F.lit(None).cast(f"array<{OBJECT}>").alias("rows"),
+        F.lit(0).alias("n"), F.lit("").alias("path"), F.array().cast(ARRAY).alias("items"),
     )
     arrays = F.filter(flatten(value), lambda leaf: as_array(leaf["val"]).isNotNull())
     return F.aggregate(F.transform(arrays, candidate), none, better)

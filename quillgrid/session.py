@@ -26,8 +26,9 @@ def build_session(master: str = "local[8]", app: str = "quillgrid", **conf: str)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings results depend on: the last of duplicate JSON keys wins."""
+    """Runtime settings results depend on: the last of duplicate keys wins, in JSON and in maps."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     return spark
 
 

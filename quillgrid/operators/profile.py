@@ -104,7 +104,7 @@ def _json_fields(rows: Column) -> Column:
             return _field(
                 name, collapse_types(F.array_distinct(F.transform(vals, jsontext.field_type))),
                 empty > 0, F.lit(False), empty, F.size(rows) - F.size(vals),
-                F.transform(F.slice(shown, 1, 3), F.to_json),
+                F.transform(F.slice(shown, 1, 3), lambda v: F.to_json(v)),
             )
 
         return let(values, of)

@@ -238,13 +238,13 @@ def entities(df: DataFrame, doc: str, text: str, patterns: dict[str, str] | None
 
     Counting happens inside the document's row; nothing is shuffled.
     """
-    found = [
-        F.transform(
-            F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)),
-            lambda v, k=kind: F.struct(F.lit(k).alias("kind"), v.alias("value")),
+    def tagged(kind: str, pattern: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)),
+            lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")),
         )
-        for kind, p in (patterns or ENTITY_PATTERNS).items()
-    ]
+
+    found = [tagged(kind, pattern) for kind, pattern in (patterns or ENTITY_PATTERNS).items()]
     listed = df.select(F.col(doc).alias("doc_id"), F.concat(*found).alias("_e")).where(F.size("_e") > 0)
     return listed.select("doc_id", F.explode(run_counts(F.col("_e"))).alias("e")).select(
         "doc_id", "e.value.kind", "e.value.value", "e.n"

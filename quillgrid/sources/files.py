@@ -31,17 +31,24 @@ def documents_from_files(spark: SparkSession, path: str, limit: int = K.MAX_DOCU
     )
 
 
-def csv_file(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None) -> DataFrame:
-    """A delimited file with a header; the schema is given or all columns stay text."""
-    reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option(
-        "multiLine", True
-    ).option("quote", '"').option("escape", '"').option("sep", sep)
+def csv_file(
+    spark: SparkSession, path: str, sep: str = ",", schema: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """A delimited file with a header; the schema is given or all columns stay text.
+
+    Quoted line ends need ``multi_line``. Where fields hold none, turning it off lets Spark split
+    large files.
+    """
+    reader = (
+        spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
+        .option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("sep", sep)
+    )
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file of JSON records, one per line or as one array."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def json_file(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Files of JSON records, one per line; with ``multi_line`` one value or array per file."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def csv_rows(df: DataFrame, doc: str, text: str, strict: bool = False) -> DataFrame:

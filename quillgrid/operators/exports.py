@@ -1,9 +1,11 @@
 """Structured JSON to tables: records, headers, and file formats."""
 
-from __future__ import annotations
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.functions import jsontext
 from quillgrid.functions.core import let
@@ -113,9 +115,19 @@ def header_array(cells: Column) -> Column:
 
 
 def pretty_json(text: Column) -> Column:
-    """Indented JSON; text that is not JSON passes through unchanged."""
-    value = jsontext.strict(text)
-    return F.coalesce(F.to_json(value, {"pretty": "true"}), text)
+    """Indented JSON; text that is not JSON passes through unchanged.
+
+    Spark writes VARIANT values compactly only, so indenting is the one step done in Python, on
+    Arrow batches. The function is local so that it travels to the executors by value.
+    """
+    def indent(texts: pd.Series) -> pd.Series:
+        def one(t):
+            return None if t is None else json.dumps(json.loads(t), indent=2, sort_keys=True, ensure_ascii=False)
+
+        return texts.map(one)
+
+    indented = F.pandas_udf(indent, T.StringType())(F.to_json(jsontext.strict(text)))
+    return F.coalesce(indented, text)
 
 
 def export_name(filename: Column, kind: str) -> Column:

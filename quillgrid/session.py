@@ -16,6 +16,7 @@ def build_session(master: str = "local[8]", app: str = "quillgrid", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     settings.update(conf)

@@ -1 +1,152 @@
-"""Queries."""
+"""Queries over chunks: statistics, frequencies, ranking, the stored index."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillgrid import constants as K
+from quillgrid.operators import search
+from quillgrid.plans import derived as D
+from quillgrid.plans.registry import query
+from quillgrid.plans.text_plans import chunks_sql
+from quillgrid.session import run_dir
+from quillgrid.sources import chunk_index
+
+QUERIES = (("three terms", "the then with"), ("repeats", "there there of"), ("rare", "Entre VERDAD x9"))
+
+_INDEXES: dict[tuple[str, str], chunk_index.ChunkIndex] = {}
+
+
+def index(spark, sf) -> chunk_index.ChunkIndex:
+    """The stored chunk index of the documents, written once per application and data set.
+
+    It lives in the shared folder, so losing an executor loses nothing of it.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        path = run_dir(spark, "chunks")
+        _INDEXES[key] = chunk_index.build_index(
+            D.documents(spark, sf).select("doc_id", "source", "text"), "doc_id", "source", "text", path
+        )
+    return _INDEXES[key]
+
+
+def _chunks(spark, sf):
+    """Chunks straight from the documents, for queries that need them once."""
+    return search.with_tokens(search.chunk(D.documents(spark, sf), "doc_id", "source", "text"))
+
+
+CHUNKS = chunks_sql("documents")
+TOKENS = f"""{CHUNKS}, tokened AS (SELECT *, regexp_extract_all(lower(content), '{K.TOKEN}') AS ts FROM chunks),
+postings AS (SELECT collection_id, doc_id, position, term, count(*) AS tf FROM (SELECT collection_id, doc_id, position, unnest(ts) AS term FROM tokened) GROUP BY ALL),
+corpus AS (SELECT collection_id, count(*) AS n_chunks, avg(len(ts)) AS avg_dl FROM tokened GROUP BY collection_id)"""
+
+
+@query("bm25_stats", f"WITH {TOKENS} SELECT collection_id, n_chunks, round(avg_dl, 6) AS avg_dl FROM corpus")
+def bm25_stats(spark, sf):
+    stats = search.corpus_stats(_chunks(spark, sf))
+    return stats.select("collection_id", "n_chunks", F.round("avg_dl", 6).alias("avg_dl"))
+
+
+@query("bm25_df", f"WITH {TOKENS} SELECT collection_id, term, count(*) AS df FROM postings GROUP BY ALL")
+def bm25_df(spark, sf):
+    return search.document_frequency(search.term_counts(_chunks(spark, sf)))
+
+
+@query("bm25_tf", f"WITH {TOKENS} SELECT collection_id, doc_id, position, term, tf FROM postings")
+def bm25_tf(spark, sf):
+    return search.term_counts(_chunks(spark, sf)).drop("dl")
+
+
+_ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{name}', '{t}', {n})" for name, q in search.query_terms(QUERIES).items() for t, n in q.items()
+) + ") AS v(query_id, term, qtf))"
+_SCORED = f"""{TOKENS}, {_ASKED}, dfs AS (SELECT collection_id, term, count(*) AS df FROM postings GROUP BY ALL),
+scored AS (
+  SELECT a.query_id, p.collection_id, p.doc_id, p.position,
+    sum(a.qtf * ln((n_chunks - df + 0.5) / (df + 0.5) + 1) * (tf * {K.BM25_K1 + 1}) / (tf + {K.BM25_K1} * (1 - {K.BM25_B} + {K.BM25_B} * len(t.ts) / avg_dl))) AS score
+  FROM asked a JOIN postings p USING (term) JOIN dfs USING (collection_id, term) JOIN corpus USING (collection_id)
+    JOIN tokened t ON t.collection_id = p.collection_id AND t.doc_id = p.doc_id AND t.position = p.position
+  GROUP BY ALL),
+ranked AS (
+  SELECT s.*, content, row_number() OVER (PARTITION BY query_id, s.collection_id ORDER BY round(score, 9) DESC, s.doc_id, s.position) AS rank
+  FROM scored s JOIN chunks c ON c.collection_id = s.collection_id AND c.doc_id = s.doc_id AND c.position = s.position WHERE score > 0)"""
+
+
+def _hits(spark, sf):
+    stored = index(spark, sf)
+    return search.bm25(stored.chunks(spark), QUERIES, K.SEARCH_DEPTH, stats=stored.stats(spark))
+
+
+@query(
+    "bm25_topk",
+    f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
+FROM ranked WHERE rank <= {K.SEARCH_DEPTH}""",
+)
+def bm25_topk(spark, sf):
+    return _hits(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "hit_names",
+    f"""WITH {_SCORED} SELECT query_id, r.collection_id, rank, CASE WHEN r.doc_id % 5 = 0 THEN 'doc#' || r.doc_id ELSE lang || '-' || r.doc_id || '.txt' END AS doc_name
+FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {K.SEARCH_DEPTH}""",
+)
+def hit_names(spark, sf):
+    return search.with_names(_hits(spark, sf), _names(spark, sf)).select(
+        "query_id", "collection_id", "rank", "doc_name"
+    )
+
+
+def _names(spark, sf):
+    """File names of the documents; every fifth has none."""
+    name = F.when(F.col("doc_id") % 5 == 0, "").otherwise(
+        F.concat("lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    )
+    return D.table(spark, sf, "documents").select("doc_id", name.alias("name"))
+
+
+@query(
+    "hit_format",
+    f"""WITH {_SCORED} SELECT query_id, r.collection_id, format('--- [{{}}] {{}} (relevance: {{:.2f}}) ---', rank,
+  CASE WHEN r.doc_id % 5 = 0 THEN 'doc#' || r.doc_id ELSE lang || '-' || r.doc_id || '.txt' END, round(score, 6)) AS line
+FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {K.SEARCH_DEPTH}""",
+)
+def hit_format(spark, sf):
+    named = search.with_names(_hits(spark, sf), _names(spark, sf))
+    return named.select(
+        "query_id", "collection_id",
+        search.format_hit(F.col("rank"), F.col("doc_name"), F.round("score", 6)).alias("line"),
+    )
+
+
+@query(
+    "chunk_scan",
+    f"WITH {CHUNKS} SELECT doc_id, position, content FROM chunks WHERE collection_id = 'src3'",
+)
+def chunk_scan(spark, sf):
+    return index(spark, sf).collection(spark, "src3").select("doc_id", "position", "content")
+
+
+_CHANGED = "doc_id % 7 = 3"
+_NEW_TEXT = "'Replaced text of document ' || CAST(doc_id AS STRING) || '. ' || lang || ' again.'"
+
+
+@query(
+    "index_replace",
+    f"""WITH {CHUNKS} SELECT collection_id, doc_id, position, content FROM chunks WHERE NOT {_CHANGED}
+UNION ALL SELECT source, doc_id, 0, {_NEW_TEXT} FROM documents WHERE {_CHANGED}""",
+)
+def index_replace(spark, sf):
+    """Every seventh document changes; all its chunks are replaced."""
+    old = index(spark, sf).chunks(spark)
+    changed = D.documents(spark, sf).where(_CHANGED).select("doc_id", "source", F.expr(_NEW_TEXT).alias("text"))
+    new = search.with_tokens(search.chunk(changed, "doc_id", "source", "text"))
+    return chunk_index.replace_documents(old, new).select("collection_id", "doc_id", "position", "content")
+
+
+@query("clear_collection", f"WITH {CHUNKS} SELECT collection_id, doc_id, position FROM chunks WHERE collection_id <> 'src1'")
+def clear_collection(spark, sf):
+    return chunk_index.remove_collection(index(spark, sf).chunks(spark), "src1").select(
+        "collection_id", "doc_id", "position"
+    )

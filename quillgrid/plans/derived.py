@@ -145,4 +145,4 @@ LOG_LINES_SQL = f"""log_lines AS (
 
 KV_TEXT = """'Name: ' || c_name || chr(10) || 'Segment: ' || c_mktsegment || chr(10) || 'Nation Key: ' || CAST(c_nationkey AS STRING) || chr(10) || 'free text here' || chr(10) || '---' || chr(10) || 'Customer: ' || CAST(c_custkey AS STRING) || chr(10) || 'Status: open'"""
 MARKDOWN_TEXT = """'# ' || role || chr(10) || chr(10) || text || chr(10) || chr(10) || '## turn ' || CAST(turn AS STRING)"""
-MARKDOWN_TABLE = """'Order ' || CAST(o_orderkey AS STRING) || chr(10) || '| key | status | note |' || chr(10) || '| --- | :-: | --- |' || chr(10) || '| ' || CAST(o_orderkey AS STRING) || ' | ' || o_orderstatus || ' | a\\|b |' || chr(10) || '| ' || CAST(o_custkey AS STRING) || ' | ' || o_orderpriority || ' |  |'"""
+MARKDOWN_TABLE = """'Order ' || CAST(o_orderkey AS STRING) || chr(10) || '| key | status | note |' || chr(10) || '| --- | :-: | --- |' || chr(10) || '| ' || CAST(o_orderkey AS STRING) || ' | ' || o_orderstatus || ' | a\\\\|b |' || chr(10) || '| ' || CAST(o_custkey AS STRING) || ' | ' || o_orderpriority || ' |  |'"""

@@ -1 +1,81 @@
-"""Queries."""
+"""Streaming queries: each runs to the end of what is available and returns what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgrid.operators.search import CHUNK_KEY
+from quillgrid.plans import derived as D
+from quillgrid.plans.registry import query
+from quillgrid.plans.text_plans import chunks_sql
+from quillgrid.session import run_dir, spread
+from quillgrid.sources.files import table
+from quillgrid.streaming import ingest, milestones, reindex
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A shared table as a stream of its files."""
+    files = spark.readStream.schema(table(spark, sf, name).schema)
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query(
+    "stream_ingest",
+    f"""WITH {D.CSV_CELLS_SQL},
+kinds AS (SELECT doc_id, position, CASE WHEN lower(value) IN {D.MISSING_SQL} THEN NULL ELSE {D.classify_sql('value')} END AS kind, value FROM csv_cells)
+SELECT doc_id, 'csv' AS doc_type, max(n) AS row_count, 6 AS field_count, (SELECT count(*) FROM csv_cells c WHERE c.doc_id = r.doc_id AND value = '') AS empty_values
+FROM csv_records r GROUP BY doc_id""",
+)
+def stream_ingest(spark, sf):
+    """Delimited documents are analysed as they arrive."""
+    root = run_dir(spark, "ingest")
+    D.csv_docs(spark, sf).select("doc_id", F.col("text").alias("raw_content")).write.parquet(f"{root}/in")
+    docs = spark.readStream.schema("doc_id bigint, raw_content string").parquet(f"{root}/in")
+    (
+        ingest.analyse(docs).writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.parquet(f"{root}/out").select(
+        "doc_id", "doc_type", "row_count", "field_count", F.col("clean.empty_values").alias("empty_values")
+    )
+
+
+@query("stream_reindex", f"WITH {chunks_sql('documents')} SELECT collection_id, doc_id, position, content FROM chunks")
+def stream_reindex(spark, sf):
+    """Changed documents are chunked again for every collection they belong to."""
+    root = run_dir(spark, "reindex")
+    members = table(spark, sf, "documents").select(F.col("source").alias("collection_id"), "doc_id")
+    changes = _stream(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("raw_content"), F.lit("").alias("structured_json"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("changed_at"),
+    )
+    version = lambda batch: f"{root}/v{batch}"
+    last = {"batch": -1}
+
+    def previous(batch):
+        return spark.read.parquet(version(batch - 1)) if batch > 0 else None
+
+    write = reindex.reindex_writer(lambda: members, previous, version)
+
+    def step(batch_df, batch):
+        write(spread(batch_df, "doc_id"), batch)
+        last["batch"] = batch
+
+    reindex.reindex(changes, step, f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(version(last["batch"])).select(*CHUNK_KEY, "content")
+
+
+_ACTIONS = {"view": "first_upload", "signup": "structured", "purchase": "schema_master", "click": "queried"}
+_KEY = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{m}'" for a, m in _ACTIONS.items()) + " END"
+
+
+@query(
+    "stream_milestones",
+    f"SELECT DISTINCT user_id AS session, {_KEY} AS milestone FROM events WHERE event_type <> 'error'",
+)
+def stream_milestones(spark, sf):
+    root = run_dir(spark, "milestones")
+    stream = milestones.first_events(_stream(spark, sf, "events"), "user_id", "event_type", "ts", "1 hour", _ACTIONS)
+    milestones.run(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("session", "milestone").distinct()

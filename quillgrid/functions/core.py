@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.constants import WHITE_SPACE
@@ -70,3 +70,13 @@ def run_counts(items: Column) -> Column:
         )
 
     return let(F.array_sort(items), runs)
+
+
+def unfold(df: DataFrame, keep: list, items: Column, *names: str) -> DataFrame:
+    """One row per item of an array or map: the kept columns, then position and item under ``names``.
+
+    The outer form is used on purpose. For the inner form the optimizer adds a filter on the array's
+    size and pushes it to the scan with every step that computes the array written out again, so
+    the work would be done twice or more. Rows without items drop out by their missing position.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(*names)).where(F.col(names[0]).isNotNull())

@@ -32,32 +32,38 @@ def number(value: Column, symbols: str = CURRENCY_SYMBOLS) -> Column:
 
 def number_form(value: Column) -> Column:
     """Shape of a number text, such as ``$XX,XXX`` or ``text ('eighty thousand')``."""
-    v = trim_ws(value)
-    return F.when(is_missing(v), F.lit(None).cast("string")).when(
-        number(v).isNotNull(), F.regexp_replace(v, r"\d", "X")
-    ).otherwise(F.concat(F.lit("text ('"), v, F.lit("')")))
+    return let(
+        trim_ws(value),
+        lambda v: F.when(is_missing(v), F.lit(None).cast("string"))
+        .when(number(v).isNotNull(), F.regexp_replace(v, r"\d", "X"))
+        .otherwise(F.concat(F.lit("text ('"), v, F.lit("')"))),
+    )
 
 
 def date_form(value: Column) -> Column:
     """Tag of the date form, or NULL. The form decides the parser, never trial and error."""
-    v = F.replace(trim_ws(value), F.lit(","), F.lit(""))
-    tag = F.lit(None).cast("string")
-    for name, pattern, _ in reversed(DATE_FORMS):
-        tag = F.when(v.rlike(pattern), name).otherwise(tag)
-    return tag
+    def tag(v: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern, _ in reversed(DATE_FORMS):
+            out = F.when(v.rlike(pattern), name).otherwise(out)
+        return out
+
+    return let(F.replace(trim_ws(value), F.lit(","), F.lit("")), tag)
 
 
 def date(value: Column) -> Column:
     """ISO date of any accepted form; month-year means the first of the month."""
-    v = F.replace(trim_ws(value), F.lit(","), F.lit(""))
-    parsed = F.lit(None).cast("date")
-    for name, pattern, form in reversed(DATE_FORMS):
-        made = F.try_to_timestamp(v, F.lit(form)).cast("date")
-        if name == "Month D YYYY":
-            short = F.try_to_timestamp(v, F.lit("MMM d yyyy")).cast("date")
-            made = F.coalesce(made, short)
-        parsed = F.when(v.rlike(pattern), made).otherwise(parsed)
-    return parsed
+    def parse(v: Column) -> Column:
+        parsed = F.lit(None).cast("date")
+        for name, pattern, form in reversed(DATE_FORMS):
+            made = F.try_to_timestamp(v, F.lit(form)).cast("date")
+            if name == "Month D YYYY":
+                short = F.try_to_timestamp(v, F.lit("MMM d yyyy")).cast("date")
+                made = F.coalesce(made, short)
+            parsed = F.when(v.rlike(pattern), made).otherwise(parsed)
+        return parsed
+
+    return let(F.replace(trim_ws(value), F.lit(","), F.lit("")), parse)
 
 
 def date_issue(value: Column) -> Column:

@@ -98,10 +98,9 @@ def classify_value(value: Column) -> Column:
 
 def collapse_types(types: Column) -> Column:
     """One type stays, none is null, several are mixed."""
-    return (
-        F.when(F.size(types) == 0, "null")
-        .when(F.size(types) == 1, F.get(types, F.lit(0)))
-        .otherwise("mixed")
+    return let(
+        types,
+        lambda t: F.when(F.size(t) == 0, "null").when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise("mixed"),
     )
 
 

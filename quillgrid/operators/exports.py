@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.functions import jsontext
-from quillgrid.functions.core import let
+from quillgrid.functions.core import let, unfold
 from quillgrid.functions.text import file_stem
 
 FORMATS = {"json": ".json", "csv": ".csv", "tsv": ".tsv", "markdown": ".md"}
@@ -43,15 +43,14 @@ def record_maps(value: Column) -> Column:
 
 def rows(df: DataFrame, doc: str, structured: str) -> DataFrame:
     """``doc_id, row, cells``: one row per exported record of each document."""
-    return df.select(
-        F.col(doc).alias("doc_id"),
-        F.posexplode(record_maps(jsontext.strict(F.col(structured)))).alias("row", "cells"),
-    )
+    maps = record_maps(jsontext.strict(F.col(structured)))
+    return unfold(df, [F.col(doc).alias("doc_id")], maps, "row", "cells")
 
 
 def headers(exported: DataFrame) -> DataFrame:
     """Distinct column names over all records, sorted."""
-    return exported.select(F.explode(F.map_keys("cells")).alias("header")).distinct().orderBy("header")
+    keys = unfold(exported, [], F.map_keys("cells"), "_i", "header")
+    return keys.select("header").distinct().orderBy("header")
 
 
 def to_columns(exported: DataFrame, names: list[str] | None = None, max_columns: int = 10_000) -> DataFrame:

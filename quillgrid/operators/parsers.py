@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import jsontext, normalise
-from quillgrid.functions.core import compact_texts, let, lines_of, run_counts, trim_ws
+from quillgrid.functions.core import compact_texts, let, lines_of, run_counts, trim_ws, unfold
 
 # Patterns of log lines.
 LOG_HEAD = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)\]?\s+([A-Z]+)\s+(.*)$"
@@ -73,10 +73,8 @@ def parse_log(lines: DataFrame, line: str) -> DataFrame:
 
 def log_lines(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Lines of log documents: ``doc_id, line_no, line``; blank lines dropped."""
-    return (
-        df.select(F.col(doc).alias("doc_id"), F.posexplode(lines_of(F.col(text))).alias("line_no", "line"))
-        .where(trim_ws(F.col("line")) != "")
-    )
+    lines = unfold(df, [F.col(doc).alias("doc_id")], lines_of(F.col(text)), "line_no", "line")
+    return lines.where(trim_ws(F.col("line")) != "")
 
 
 def log_summary(entries: DataFrame, group: str, payment_path: str = "%/payments%") -> DataFrame:
@@ -132,8 +130,8 @@ KEY_VALUE_PAIR = r"^([A-Za-z][A-Za-z0-9 _#-]*?):[ \t]*(.*)$"
 def kv_blocks(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Blocks of ``Key: value`` documents: ``doc_id, block, pairs, body``; blocks end at ``---``."""
     blocks = F.transform(F.split(F.col(text), r"(?:^|\n)---+[ \t]*(?:\n|$)", -1), trim_ws)
-    exploded = df.select(
-        F.col(doc).alias("doc_id"), F.posexplode(F.filter(blocks, lambda b: b != "")).alias("block", "_b")
+    exploded = unfold(
+        df, [F.col(doc).alias("doc_id")], F.filter(blocks, lambda b: b != ""), "block", "_b"
     )
     is_pair = lambda l: l.rlike(KEY_VALUE_PAIR)
     lines = F.transform(lines_of(F.col("_b")), trim_ws)
@@ -245,10 +243,8 @@ def entities(df: DataFrame, doc: str, text: str, patterns: dict[str, str] | None
         )
 
     found = [tagged(kind, pattern) for kind, pattern in (patterns or ENTITY_PATTERNS).items()]
-    listed = df.select(F.col(doc).alias("doc_id"), F.concat(*found).alias("_e")).where(F.size("_e") > 0)
-    return listed.select("doc_id", F.explode(run_counts(F.col("_e"))).alias("e")).select(
-        "doc_id", "e.value.kind", "e.value.value", "e.n"
-    )
+    counted = unfold(df, [F.col(doc).alias("doc_id")], run_counts(F.concat(*found)), "_i", "e")
+    return counted.select("doc_id", "e.value.kind", "e.value.value", "e.n")
 
 
 def entity_counts(found: DataFrame) -> DataFrame:
@@ -271,7 +267,7 @@ def xml_records(df: DataFrame, doc: str, text: str, path: str, fields: list[str]
         for f in fields
     }
     zipped = F.arrays_zip(*[c.alias(f"c{i}") for i, c in enumerate(lists.values())])
-    rows = df.select(F.col(doc).alias("doc_id"), F.posexplode(zipped).alias("record", "r"))
+    rows = unfold(df, [F.col(doc).alias("doc_id")], zipped, "record", "r")
     return rows.select(
         "doc_id", "record", *[F.col("r")[f"c{i}"].alias(f.lstrip("@")) for i, f in enumerate(lists)]
     )
@@ -279,9 +275,8 @@ def xml_records(df: DataFrame, doc: str, text: str, path: str, fields: list[str]
 
 def flat_json(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Nested JSON as ``doc_id, field, value`` rows, fields sorted within the document."""
-    flat = df.select(F.col(doc).alias("doc_id"), jsontext.flat_map(jsontext.strict(F.col(text))).alias("m"))
-    entries = F.array_sort(F.map_entries("m"))
-    return flat.select("doc_id", F.explode(entries).alias("e")).select(
+    entries = F.array_sort(F.map_entries(jsontext.flat_map(jsontext.strict(F.col(text)))))
+    return unfold(df, [F.col(doc).alias("doc_id")], entries, "_i", "e").select(
         "doc_id", F.col("e.key").alias("field"), F.col("e.value").alias("value")
     )
 
@@ -298,11 +293,9 @@ def markdown_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
         )
 
     rows = F.filter(lines_of(F.col(text)), lambda l: is_row(l) & ~is_rule(l))
-    parsed = df.select(F.col(doc).alias("doc_id"), F.transform(rows, cells).alias("_r")).where(F.size("_r") > 1)
-    body = F.slice("_r", 2, F.size("_r") - 1)
-    return parsed.select(
-        "doc_id", F.get("_r", F.lit(0)).alias("headers"), F.posexplode(body).alias("row", "cells")
-    )
+    parsed = df.select(F.col(doc).alias("doc_id"), F.transform(rows, cells).alias("_r"))
+    body = F.when(F.size("_r") > 1, F.slice("_r", 2, F.size("_r") - 1))
+    return unfold(parsed, ["doc_id", F.get("_r", F.lit(0)).alias("headers")], body, "row", "cells")
 
 
 FENCE = r"```(\w*)\n([\s\S]*?)```"
@@ -314,9 +307,9 @@ def fenced_blocks(df: DataFrame, doc: str, text: str) -> DataFrame:
     bodies = F.regexp_extract_all(F.col(text), F.lit(FENCE), F.lit(2))
     zipped = F.arrays_zip(langs.alias("lang"), bodies.alias("body"))
     return (
-        df.where(F.contains(F.col(text), F.lit("```")))
-        .select(F.col(doc).alias("doc_id"), F.posexplode(zipped).alias("block", "b"))
-        .select(
+        unfold(
+            df.where(F.contains(F.col(text), F.lit("```"))), [F.col(doc).alias("doc_id")], zipped, "block", "b"
+        ).select(
             "doc_id", "block", "b.lang", "b.body",
             ((F.col("b.lang") == "chart") & jsontext.is_valid(trim_ws(F.col("b.body")))).alias("is_chart"),
         )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions import csvtext, jsontext
-from quillgrid.functions.core import compact_texts, let, percent
+from quillgrid.functions.core import compact_texts, let, percent, unfold
 from quillgrid.functions.text import classify_value, collapse_types, currency_cells, doc_type, is_missing
 
 FIELD = (
@@ -182,9 +182,7 @@ def with_profile(df: DataFrame, text: str, strict: bool = False) -> DataFrame:
 
 def profile_fields(profiled: DataFrame, key: str) -> DataFrame:
     """One row per (document, field) of a profiled DataFrame."""
-    return profiled.select(key, F.posexplode("fields").alias("position", "f")).select(
-        key, "position", "f.*"
-    )
+    return unfold(profiled, [key], F.col("fields"), "position", "f").select(key, "position", "f.*")
 
 
 def schema_struct() -> Column:
@@ -341,9 +339,8 @@ def outliers(df: DataFrame, key: str, columns: list[str], factor: float = 1.5) -
                 ),
             )
         )
-    return df.select(
-        F.col(key).alias("row_key"), F.explode(F.array_compact(F.array(*flagged))).alias("o")
-    ).select("row_key", "o.*")
+    found = F.array_compact(F.array(*flagged))
+    return unfold(df, [F.col(key).alias("row_key")], found, "_i", "o").select("row_key", "o.*")
 
 
 def quartile_fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> dict[str, tuple]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid import constants as K
-from quillgrid.functions.core import lines_of, run_counts, trim_ws
+from quillgrid.functions.core import lines_of, run_counts, trim_ws, unfold
 from quillgrid.functions.text import chunk_pieces, pack_pieces, tokenize
 
 CHUNK_KEY = ("collection_id", "doc_id", "position")
@@ -21,9 +21,8 @@ def chunk(df: DataFrame, doc: str, collection: str, text: str, size: int = K.CHU
         F.col(collection).alias("collection_id"), F.col(doc).alias("doc_id"),
         chunk_pieces(F.col(text), size).alias("_pieces"),
     )
-    return pieces.select(
-        "collection_id", "doc_id",
-        F.posexplode(pack_pieces(F.col("_pieces"), size)).alias("position", "content"),
+    return unfold(
+        pieces, ["collection_id", "doc_id"], pack_pieces(F.col("_pieces"), size), "position", "content"
     )
 
 
@@ -44,7 +43,7 @@ def term_counts(chunks: DataFrame) -> DataFrame:
 
     Counting happens inside the row by sorting a chunk's own tokens, so no shuffle is needed.
     """
-    return chunks.select(*CHUNK_KEY, "dl", F.explode(run_counts(F.col("tokens"))).alias("p")).select(
+    return unfold(chunks, [*CHUNK_KEY, "dl"], run_counts(F.col("tokens")), "_i", "p").select(
         *CHUNK_KEY, "dl", F.col("p.value").alias("term"), F.col("p.n").alias("tf")
     )
 
@@ -77,11 +76,10 @@ def matches(chunks: DataFrame, terms: Iterable[str]) -> DataFrame:
         raise ValueError("no query terms")
     literal = F.array(*[F.lit(t) for t in wanted])
     kept = F.filter(F.col("tokens"), lambda t: F.array_contains(literal, t))
-    found = chunks.withColumn("_kept", kept).where(F.size("_kept") > 0)
-    hits = F.transform(
-        run_counts(F.col("_kept")), lambda r: F.struct(r["value"].alias("term"), r["n"].alias("tf"))
-    )
-    return found.withColumn("hits", hits).drop("_kept", "tokens")
+    hits = F.transform(run_counts(kept), lambda r: F.struct(r["value"].alias("term"), r["n"].alias("tf")))
+    # The overlap test is cheap and reaches the scan; frequencies are counted for what is left.
+    found = chunks.where(F.arrays_overlap(F.col("tokens"), literal))
+    return found.withColumn("hits", hits).drop("tokens")
 
 
 def bm25(
@@ -113,7 +111,7 @@ def bm25(
     )
     found = matches(chunks, terms)
     frequency = (
-        found.select("collection_id", F.explode("hits.term").alias("term"))
+        unfold(found, ["collection_id"], F.col("hits.term"), "_i", "term")
         .groupBy("collection_id", "term")
         .agg(F.count(F.lit(1)).alias("df"))
         # At most one entry per query term: the group is bounded by the query.
@@ -147,14 +145,9 @@ def bm25(
         gains = F.transform(F.col("hits"), lambda h: gain(h, w["qtf"]))
         return F.aggregate(gains, F.lit(0.0), lambda a, g: a + g)
 
+    scores = F.transform(weights, lambda w: F.struct(w["query_id"], score(w).alias("score")))
     scored = (
-        found.join(known, "collection_id")
-        .select(
-            *CHUNK_KEY, "content",
-            F.explode(
-                F.transform(weights, lambda w: F.struct(w["query_id"], score(w).alias("score")))
-            ).alias("s"),
-        )
+        unfold(found.join(known, "collection_id"), [*CHUNK_KEY, "content"], scores, "_i", "s")
         .select("s.query_id", *CHUNK_KEY, "s.score", "content")
         .where(F.col("score") > 0)
     )
@@ -205,8 +198,7 @@ def grep(
     if structured is not None:
         present = present | F.contains(F.lower(F.col(structured)), wanted)
     return (
-        df.where(present)
-        .select(F.col(doc).alias("doc_id"), F.posexplode(F.slice(found, 1, cap)).alias("hit", "h"))
+        unfold(df.where(present), [F.col(doc).alias("doc_id")], F.slice(found, 1, cap), "hit", "h")
         .select(
             "doc_id", (F.col("hit") + 1).alias("hit"), "h.source", "h.line", trim_ws(F.col("h.text")).alias("text")
         )

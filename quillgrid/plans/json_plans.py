@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions import jsontext
+from quillgrid.functions.core import unfold
 from quillgrid.operators import exports, parsers, quality
 from quillgrid.operators.profile import profile_fields, schema_struct, with_profile
 from quillgrid.plans import derived as D
@@ -53,7 +54,7 @@ def json_shape(spark, sf):
 FROM nodes WHERE parent_type = 'OBJECT' AND parent = (SELECT 0)""",
 )
 def json_types(spark, sf):
-    members = _valid(spark, sf).select("doc_id", F.explode(jsontext.as_object(F.col("v"))).alias("key", "value"))
+    members = unfold(_parsed(spark, sf), ["doc_id"], jsontext.as_object(F.col("v")), "_i", "key", "value")
     return members.select("doc_id", "key", jsontext.field_type(F.col("value")).alias("kind"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgrid.functions import normalise
-from quillgrid.functions.core import trim_ws
+from quillgrid.functions.core import trim_ws, unfold
 from quillgrid.operators import parsers
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
@@ -322,10 +322,9 @@ def normalise_number(spark, sf):
 )
 def normalise_date(spark, sf):
     """Every ship date written in all forms and read back."""
-    texts = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        F.explode(F.array(*[F.date_format("l_shipdate", f) for f in _DAY_FORMS[:6]])).alias("text"),
-    )
+    lines = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    written = F.array(*[F.date_format("l_shipdate", f) for f in _DAY_FORMS[:6]])
+    texts = unfold(lines, ["l_orderkey", "l_linenumber", "l_partkey"], written, "_i", "text")
     return texts.select(
         "l_orderkey", "l_linenumber", "l_partkey", normalise.date_form(F.col("text")).alias("form"),
         normalise.date(F.col("text")).cast("string").alias("iso"),

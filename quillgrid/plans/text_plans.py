@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions import normalise, text
-from quillgrid.functions.core import head_lines, trim_ws
+from quillgrid.functions.core import head_lines, trim_ws, unfold
 from quillgrid.operators import search
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
@@ -116,8 +116,9 @@ _VALUES = (
 SELECT o_orderkey, value, {D.classify_sql('value')} AS kind FROM v""",
 )
 def classify_value(spark, sf):
-    values = D.orders(spark, sf).select("o_orderkey", F.explode(F.array(*[F.expr(v) for v in _VALUES])).alias("value"))
-    return values.withColumn("kind", text.classify_value(F.col("value")))
+    values = F.array(*[F.expr(v) for v in _VALUES])
+    listed = unfold(D.orders(spark, sf), ["o_orderkey"], values, "_i", "value").drop("_i")
+    return listed.withColumn("kind", text.classify_value(F.col("value")))
 
 
 @query(
@@ -140,9 +141,8 @@ SELECT doc_id, unnest(places) AS position, unnest(list_transform(ss, lambda x: t
 FROM (SELECT doc_id, ss, range(len(ss)) AS places FROM s)""",
 )
 def split_sentences(spark, sf):
-    return D.documents(spark, sf).select(
-        "doc_id", F.posexplode(text.split_sentences(trim_ws(F.col("text")))).alias("position", "sentence")
-    )
+    sentences = text.split_sentences(trim_ws(F.col("text")))
+    return unfold(D.documents(spark, sf), ["doc_id"], sentences, "position", "sentence")
 
 
 def chunks_sql(docs: str) -> str:

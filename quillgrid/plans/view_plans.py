@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions import jsontext
+from quillgrid.functions.core import unfold
 from quillgrid.operators import views
 from quillgrid.operators.profile import with_profile
 from quillgrid.plans import derived as D
@@ -107,7 +108,7 @@ def view_tabs(spark, sf):
         )
     )
     out = views.with_views(with_profile(docs, "text"), "text", "structured", "schema_json", "n")
-    return out.select("key", F.explode("views").alias("view", "v")).select(
+    return unfold(out, ["key"], F.col("views"), "_i", "view", "v").select(
         "key", "view", "v.enabled", "v.reason", F.array_join("v.chart_types", ",").alias("charts")
     )
 
@@ -154,11 +155,11 @@ def chart_pie(spark, sf):
     "axis_ticks",
     f"""WITH t AS (SELECT o_custkey, greatest(max(o_totalprice) / 16, 1.0) AS top FROM orders GROUP BY o_custkey),
 v AS (SELECT o_custkey, i AS step, top / {K.AXIS_STEPS} * ({K.AXIS_STEPS} - i) AS val FROM t, range({K.AXIS_STEPS + 1}) r(i))
-SELECT o_custkey, step, round(val, 4) AS value, CASE WHEN val >= 10000 THEN printf('%.0fk', val / 1000) WHEN val >= 1000 THEN printf('%.1fk', val / 1000) ELSE printf('%.0f', val) END AS label FROM v""",
+SELECT o_custkey, step, CAST(floor(val * 100) AS BIGINT) AS cents, CASE WHEN val >= 10000 THEN printf('%.0fk', val / 1000) WHEN val >= 1000 THEN printf('%.1fk', val / 1000) ELSE printf('%.0f', val) END AS label FROM v""",
 )
 def axis_ticks(spark, sf):
     tops = table(spark, sf, "orders").groupBy("o_custkey").agg((F.max("o_totalprice") / 16).alias("top"))
-    ticks = tops.select("o_custkey", F.explode(views.axis_ticks(F.col("top"))).alias("t"))
-    return ticks.select("o_custkey", "t.step", F.round("t.value", 4).alias("value"), "t.label")
+    ticks = unfold(tops, ["o_custkey"], views.axis_ticks(F.col("top")), "_i", "t")
+    return ticks.select("o_custkey", "t.step", F.floor(F.col("t.value") * 100).alias("cents"), "t.label")
 
 

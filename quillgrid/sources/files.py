@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions import csvtext, jsontext
+from quillgrid.functions.core import unfold
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -61,7 +62,7 @@ def csv_rows(df: DataFrame, doc: str, text: str, strict: bool = False) -> DataFr
     ).withColumn("_w", F.size(F.get("_r", F.lit(0))))
     if strict:
         parsed = parsed.where(F.forall("_r", lambda r: F.size(r) == F.col("_w")))
-    return parsed.select("doc_id", "_w", F.posexplode("_r").alias("row", "fields")).select(
+    return unfold(parsed, ["doc_id", "_w"], F.col("_r"), "row", "fields").select(
         "doc_id", "row", "fields", F.size("fields").alias("n_fields"),
         (F.size("fields") != F.col("_w")).alias("ragged"),
     )

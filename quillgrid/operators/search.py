@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from quillgrid import constants as K
 from quillgrid.functions.core import lines_of, run_counts, trim_ws, unfold
 from quillgrid.functions.text import chunk_pieces, pack_pieces, tokenize
+from quillgrid.session import materialise
 
 CHUNK_KEY = ("collection_id", "doc_id", "position")
+RANKED_SCHEMA = (
+    "query_id string, collection_id string, rank int, doc_id bigint, position int, score double"
+)
 
 
 def chunk(df: DataFrame, doc: str, collection: str, text: str, size: int = K.CHUNK_BYTES) -> DataFrame:
@@ -82,16 +86,37 @@ def matches(chunks: DataFrame, terms: Iterable[str]) -> DataFrame:
     return found.withColumn("hits", hits).drop("tokens")
 
 
+def term_gain(tf: Column, df: Column, dl: Column, n_chunks: Column, avg_dl: Column) -> Column:
+    """What one occurrence of a query term adds to the score of a chunk."""
+    idf = F.log((n_chunks - df + 0.5) / (df + 0.5) + 1)
+    norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avg_dl)
+    return idf * (tf * (K.BM25_K1 + 1)) / (tf + norm)
+
+
+def top_chunks(scored: DataFrame, k: int) -> DataFrame:
+    """Ranks chunks within (query, collection) and keeps the ``k`` best; ties go to (doc, position).
+
+    ``rank <= k`` is a window group limit: each task passes on at most k rows per group, so one
+    collection holding most chunks does not gather them in one task.
+    """
+    order = Window.partitionBy("query_id", "collection_id").orderBy(F.desc("score"), "doc_id", "position")
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    if k > 0:
+        ranked = ranked.where(F.col("rank") <= k)
+    columns = ["query_id", "collection_id", "rank", "doc_id", "position", "score"]
+    return ranked.select(*columns, *[c for c in scored.columns if c not in columns])
+
+
 def bm25(
     chunks: DataFrame, queries: Iterable[tuple[str, str]], k: int = K.SEARCH_DEPTH,
     stats: DataFrame | None = None, compat: bool = False,
 ) -> DataFrame:
     """The ``k`` best chunks per (query, collection); ``k <= 0`` keeps all with a positive score.
 
-    ``chunks`` needs ``collection_id, doc_id, position, content, tokens, dl``. The wide side is read
-    once and shrinks to matching chunks before anything meets. Corpus size, average length and
-    document frequencies are one aggregated row per collection, joined by size: Spark broadcasts them
-    while they are small and splits skewed collections otherwise. Ties go to (doc, position).
+    For chunks that are not indexed: ``collection_id, doc_id, position, content, tokens, dl``. A first
+    pass over the tokens counts the asked terms per collection and writes that small table; the second
+    keeps matching chunks only and scores them in place. The written table's true size decides how it
+    is joined: broadcast while small, else a shuffle in which Spark splits skewed collections.
 
     A repeated query term weighs by its repetitions. With ``compat``, repetitions also multiply the
     document frequency, and a term that thereby turns a score non-positive drops the chunk.
@@ -99,12 +124,8 @@ def bm25(
     asked = query_terms(queries)
     terms = sorted({t for q in asked.values() for t in q})
     spark = chunks.sparkSession
-    schema = (
-        "query_id string, collection_id string, rank int, doc_id bigint, position int, score double, "
-        "content string"
-    )
     if not terms:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], RANKED_SCHEMA + ", content string")
 
     corpus = (stats if stats is not None else corpus_stats(chunks)).select(
         "collection_id", "n_chunks", "avg_dl"
@@ -118,7 +139,7 @@ def bm25(
         .groupBy("collection_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df_of"))
     )
-    known = frequency.join(corpus, "collection_id")
+    known = materialise(frequency.join(corpus, "collection_id"), "frequencies")
     weights = F.array(
         *[
             F.struct(
@@ -134,12 +155,8 @@ def bm25(
         df = F.try_element_at(F.col("df_of"), hit["term"])
         if compat:
             df = df * times
-        n, tf = F.col("n_chunks"), hit["tf"]
-        idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
-        norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / F.col("avg_dl"))
-        return F.when(times == 0, F.lit(0.0)).otherwise(
-            times * idf * (tf * (K.BM25_K1 + 1)) / (tf + norm)
-        )
+        one = term_gain(hit["tf"], df, F.col("dl"), F.col("n_chunks"), F.col("avg_dl"))
+        return F.when(times == 0, F.lit(0.0)).otherwise(times * one)
 
     def score(w: Column) -> Column:
         gains = F.transform(F.col("hits"), lambda h: gain(h, w["qtf"]))
@@ -151,13 +168,7 @@ def bm25(
         .select("s.query_id", *CHUNK_KEY, "s.score", "content")
         .where(F.col("score") > 0)
     )
-    order = Window.partitionBy("query_id", "collection_id").orderBy(F.desc("score"), "doc_id", "position")
-    # ``rank <= k`` is a window group limit: each task passes on at most k rows per group, so one
-    # collection holding most chunks does not gather them in one task.
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    if k > 0:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked.select("query_id", "collection_id", "rank", "doc_id", "position", "score", "content")
+    return top_chunks(scored, k)
 
 
 def with_names(hits: DataFrame, names: DataFrame, doc: str = "doc_id", name: str = "name") -> DataFrame:
@@ -223,5 +234,5 @@ def highlight(text: Column, needle: str) -> Column:
 
 __all__ = [
     "bm25", "chunk", "corpus_stats", "document_frequency", "format_hit", "grep", "highlight",
-    "matches", "query_terms", "term_counts", "with_names", "with_tokens",
+    "matches", "query_terms", "term_counts", "term_gain", "top_chunks", "with_names", "with_tokens",
 ]

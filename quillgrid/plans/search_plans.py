@@ -74,17 +74,26 @@ ranked AS (
 
 
 def _hits(spark, sf):
-    stored = index(spark, sf)
-    return search.bm25(stored.chunks(spark), QUERIES, K.SEARCH_DEPTH, stats=stored.stats(spark))
+    return chunk_index.ranked(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH)
 
 
-@query(
-    "bm25_topk",
-    f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
-FROM ranked WHERE rank <= {K.SEARCH_DEPTH}""",
-)
+_TOP = f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
+FROM ranked WHERE rank <= {K.SEARCH_DEPTH}"""
+
+
+@query("bm25_topk", _TOP)
 def bm25_topk(spark, sf):
-    return _hits(spark, sf).withColumn("score", F.round("score", 6))
+    """From the stored postings."""
+    found = chunk_index.search_index(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("bm25_scan", _TOP)
+def bm25_scan(spark, sf):
+    """The same ranking from chunks that have no postings."""
+    stored = index(spark, sf)
+    found = search.bm25(stored.chunks(spark), QUERIES, K.SEARCH_DEPTH, stats=stored.stats(spark))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -51,8 +51,19 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/quillgrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back.
+
+    Cuts the lineage, survives lost executors, and gives the planner the true size: it then
+    broadcasts the table if it is below Spark's own threshold and shuffles it otherwise.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has slots.
+    """Spread a table scan that has fewer splits than the cluster has slots.
 
     A small table in one file is a single split, which would leave heavy text work to one task.
     Large inputs already have more splits than slots and pass through without a shuffle.

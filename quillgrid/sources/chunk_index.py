@@ -1,20 +1,22 @@
-"""The stored chunk index: chunks with tokens and corpus statistics as Parquet tables."""
+"""The stored chunk index: chunks, postings, term and corpus statistics as Parquet tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.operators.search import chunk, corpus_stats, with_tokens
-from quillgrid.session import spread
-
+from quillgrid import constants as K
+from quillgrid.operators import search
+from quillgrid.session import materialise, spread
 
 # Stated, because a collection named like a number would otherwise be read back as one.
 CHUNK_SCHEMA = (
     "doc_id bigint, position int, content string, tokens array<string>, dl int, collection_id string"
 )
+CHUNK_COLUMNS = ("collection_id", "doc_id", "position", "content", "tokens", "dl")
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,16 @@ class ChunkIndex:
     def chunks(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/chunks")
 
+    def postings(self, spark: SparkSession) -> DataFrame:
+        """``term, collection_id, doc_id, position, tf, dl``, clustered by term."""
+        return spark.read.parquet(f"{self.path}/postings")
+
+    def terms(self, spark: SparkSession) -> DataFrame:
+        """``collection_id, term, df``, clustered by term."""
+        return spark.read.parquet(f"{self.path}/terms")
+
     def stats(self, spark: SparkSession) -> DataFrame:
+        """``collection_id, n_chunks, avg_dl``."""
         return spark.read.parquet(f"{self.path}/stats")
 
     def collection(self, spark: SparkSession, collection_id: str) -> DataFrame:
@@ -35,28 +46,84 @@ class ChunkIndex:
 
 
 def write_index(chunks: DataFrame, path: str) -> ChunkIndex:
-    """Store chunks partitioned by collection, and their statistics.
+    """Store chunks partitioned by collection, and what ranking needs.
 
     The rebalance hint lets Spark size the output by bytes: small collections share a task, and a
-    collection holding most rows is split over many.
+    collection holding most rows is split over many. Postings and terms are range-partitioned by
+    term first, so that a query's terms are a few row groups of a few files. The range key goes on
+    to the document, so a term found in most chunks is spread over many files.
     """
     spark = chunks.sparkSession
-    with_tokens(chunks).hint("rebalance", "collection_id").write.partitionBy("collection_id").parquet(
+    index = ChunkIndex(path)
+    search.with_tokens(chunks).hint("rebalance", "collection_id").write.partitionBy("collection_id").parquet(
         f"{path}/chunks"
     )
-    index = ChunkIndex(path)
-    corpus_stats(index.chunks(spark)).write.parquet(f"{path}/stats")
+    stored = index.chunks(spark)
+    search.corpus_stats(stored).write.parquet(f"{path}/stats")
+    by_term = ("term", "collection_id", "doc_id")
+    postings = search.term_counts(stored).select(*by_term, "position", "tf", "dl")
+    postings.repartitionByRange(*by_term).sortWithinPartitions(*by_term).write.parquet(f"{path}/postings")
+    counts = search.document_frequency(index.postings(spark))
+    counts.repartitionByRange("term", "collection_id").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     return index
 
 
 def build_index(docs: DataFrame, doc: str, collection: str, text: str, path: str) -> ChunkIndex:
-    return write_index(chunk(spread(docs, doc), doc, collection, text), path)
+    return write_index(search.chunk(spread(docs, doc), doc, collection, text), path)
+
+
+def ranked(
+    spark: SparkSession, index: ChunkIndex, queries: Iterable[tuple[str, str]], k: int = K.SEARCH_DEPTH
+) -> DataFrame:
+    """The ``k`` best chunks per (query, collection) from the stored postings, without their text.
+
+    Only postings of the asked terms are read: the term filter reaches the Parquet scan, where the
+    clustering lets it skip row groups. What is shuffled is one narrow row per matching chunk.
+    """
+    asked = search.query_terms(queries)
+    terms = sorted({t for q in asked.values() for t in q})
+    if not terms:
+        return spark.createDataFrame([], search.RANKED_SCHEMA)
+    wanted = F.col("term").isin(terms)
+    # Terms of the queries with their repetitions: a literal, its size is that of the query texts.
+    weights = spark.createDataFrame(
+        [(t, [(n, q[t]) for n, q in asked.items() if t in q]) for t in terms],
+        "term string, asks array<struct<query_id:string,qtf:int>>",
+    )
+    known = index.terms(spark).where(wanted).join(index.stats(spark), "collection_id").join(weights, "term")
+    hits = index.postings(spark).where(wanted).join(known, ["collection_id", "term"])
+    gain = F.col("a.qtf") * search.term_gain(
+        F.col("tf"), F.col("df"), F.col("dl"), F.col("n_chunks"), F.col("avg_dl")
+    )
+    scored = (
+        hits.select(*search.CHUNK_KEY, "term", "tf", "df", "dl", "n_chunks", "avg_dl", F.explode("asks").alias("a"))
+        .groupBy(F.col("a.query_id").alias("query_id"), *search.CHUNK_KEY)
+        .agg(F.sum(gain).alias("score"))
+        .where(F.col("score") > 0)
+    )
+    return search.top_chunks(scored, k)
+
+
+def search_index(
+    spark: SparkSession, index: ChunkIndex, queries: Iterable[tuple[str, str]], k: int = K.SEARCH_DEPTH
+) -> DataFrame:
+    """``ranked`` with the text of each chunk.
+
+    The ranking is written first. Its true size is then known to the planner, which broadcasts it
+    to the chunk scan while it is small; the text column is read once and never shuffled.
+    """
+    best = materialise(ranked(spark, index, queries, k), "ranked")
+    texts = index.chunks(spark).select(*search.CHUNK_KEY, "content")
+    return texts.join(best, list(search.CHUNK_KEY)).select(
+        "query_id", "collection_id", "rank", "doc_id", "position", "score", "content"
+    )
 
 
-def replace_documents(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Chunks after replacing every (collection, document) that occurs in ``new``."""
+def replace_documents(old: DataFrame, new: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Chunks after replacing every (collection, document) of ``changed``, or of ``new`` itself."""
     key = ["collection_id", "doc_id"]
-    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+    doomed = (changed if changed is not None else new).select(*key).distinct()
+    return old.join(doomed, key, "left_anti").unionByName(new)
 
 
 def remove_collection(chunks: DataFrame, collection_id: str) -> DataFrame:

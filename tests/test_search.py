@@ -125,3 +125,18 @@ def test_names(spark):
     assert {r["doc_id"]: r["t"] for r in got.collect()} == {
         1: "--- [1] a.txt (relevance: 0.50) ---", 2: "--- [1] doc#2 (relevance: 1.25) ---",
     }
+
+
+def test_index_ranking_matches_scan(spark):
+    rows = corpus(11, 200)
+    chunks = chunk_rows(spark, rows)
+    index = chunk_index.write_index(chunks.drop("tokens", "dl"), run_dir(spark, "index"))
+    queries = [("x", "go the"), ("y", "data data slow"), ("z", "nothing here")]
+    for k in (0, 4):
+        got = chunk_index.search_index(spark, index, queries, k)
+        for name, q in queries:
+            assert as_scores(got.where(F.col("query_id") == name)) == naive_bm25(rows, q, k)
+    texts = {(r[0], r[1], r[2]): r[3] for r in rows}
+    for r in chunk_index.search_index(spark, index, queries, 4).collect():
+        assert texts[r["collection_id"], r["doc_id"], r["position"]] == r["content"]
+    assert chunk_index.ranked(spark, index, [("q", " ! ")], 3).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid import constants as K
+from quillgrid.functions.core import unfold
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
@@ -144,15 +145,16 @@ def milestones(
     return first.unionByName(fifth)
 
 
-def compare_fields(profile: DataFrame, doc: str, field: str) -> DataFrame:
-    """For each field: in how many documents it occurs, and whether all share it.
+def compare_fields(docs: DataFrame, names: str) -> DataFrame:
+    """For each field: in how many documents it occurs, and whether all documents with fields share it.
 
-    A field is counted, never gathered: the list of documents having it is not built.
+    ``names`` is each document's array of distinct field names. A field is counted, never gathered:
+    only one counter per field and task crosses the shuffle.
     """
-    pairs = profile.select(F.col(doc).alias("doc"), F.col(field).alias("field")).distinct()
-    total = pairs.select("doc").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = docs.agg(F.count_if(F.size(names) > 0).alias("n")).scalar()
     return (
-        pairs.groupBy("field").agg(F.count(F.lit(1)).alias("documents"))
+        unfold(docs, [], F.col(names), "_i", "field")
+        .groupBy("field").agg(F.count(F.lit(1)).alias("documents"))
         .withColumn("total_documents", total)
         .withColumn("shared", F.col("documents") == F.col("total_documents"))
     )

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions import jsontext
-from quillgrid.functions.core import unfold
 from quillgrid.operators import collections, profile
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
@@ -204,8 +203,7 @@ SELECT field, count(*) AS documents, (SELECT count(DISTINCT doc_id) FROM p) AS t
   count(*) = (SELECT count(DISTINCT doc_id) FROM p) AS shared FROM p GROUP BY field""",
 )
 def compare_docs(spark, sf):
-    fields = unfold(_json_fields(spark, sf), ["doc_id"], F.col("ks"), "_i", "field")
-    return collections.compare_fields(fields, "doc_id", "field")
+    return collections.compare_fields(_json_fields(spark, sf), "ks")
 
 
 @query(

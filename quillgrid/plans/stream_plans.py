@@ -9,7 +9,7 @@ from quillgrid.operators.search import CHUNK_KEY
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
 from quillgrid.plans.text_plans import chunks_sql
-from quillgrid.session import run_dir, spread
+from quillgrid.session import run_dir
 from quillgrid.sources.files import table
 from quillgrid.streaming import ingest, milestones, reindex
 
@@ -50,20 +50,9 @@ def stream_reindex(spark, sf):
         "doc_id", F.col("text").alias("raw_content"), F.lit("").alias("structured_json"),
         F.lit("2024-01-01").cast("timestamp_ntz").alias("changed_at"),
     )
-    version = lambda batch: f"{root}/v{batch}"
-    last = {"batch": -1}
-
-    def previous(batch):
-        return spark.read.parquet(version(batch - 1)) if batch > 0 else None
-
-    write = reindex.reindex_writer(lambda: members, previous, version)
-
-    def step(batch_df, batch):
-        write(spread(batch_df, "doc_id"), batch)
-        last["batch"] = batch
-
-    reindex.reindex(changes, step, f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(version(last["batch"])).select(*CHUNK_KEY, "content")
+    index = reindex.DeltaIndex(None, f"{root}/deltas")
+    reindex.reindex(changes, index, lambda: members, f"{root}/checkpoint").awaitTermination()
+    return index.read(spark).select(*CHUNK_KEY, "content")
 
 
 _ACTIONS = {"view": "first_upload", "signup": "structured", "purchase": "schema_master", "click": "queried"}

@@ -11,7 +11,8 @@ from quillgrid.functions.core import head_lines, trim_ws, unfold
 from quillgrid.operators import search
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
-from quillgrid.sources.files import table
+from quillgrid.session import run_dir
+from quillgrid.sources.files import documents_from_files, table
 
 WS = D.WS
 
@@ -273,3 +274,16 @@ def export_names(spark, sf):
     return files.select(
         "p_partkey", export_name(F.col("f"), "csv").alias("csv_name"), export_name(F.col("f"), "schema").alias("schema_name")
     )
+
+
+@query("ingest_text", "SELECT item_id, text, length(text) AS chars FROM benchmark")
+def ingest_text(spark, sf):
+    """Every benchmark item as a text file of its own, read back whole."""
+    root = run_dir(spark, "texts")
+    table(spark, sf, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(root)
+    docs = documents_from_files(spark, root)
+    body = F.regexp_replace("raw_content", r"\n\z", "")
+    return docs.select(
+        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), body.alias("text"),
+        F.length(body).alias("chars"),
+    )

@@ -20,12 +20,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def documents_from_files(spark: SparkSession, path: str, limit: int = K.MAX_DOCUMENT_BYTES) -> DataFrame:
-    """One row per text file: ``filename, raw_content, created_at``.
+    """One row per text file: ``path, filename, raw_content, created_at``.
 
     A file is read whole; what lies beyond ``limit`` bytes is cut, the documented upload limit.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
+        "path",
         F.element_at(F.split("path", "/"), -1).alias("filename"),
         F.col("content").substr(1, limit).cast("string").alias("raw_content"),
         F.col("modificationTime").alias("created_at"),

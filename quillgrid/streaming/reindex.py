@@ -1,51 +1,79 @@
-"""Re-indexing changed documents in every collection that holds them."""
+"""Re-indexing changed documents in every collection that holds them.
+
+The index is a base table plus one delta per micro-batch. A batch writes only the chunks of the
+documents it changes, so its cost follows the changes, not the index. Readers overlay the deltas on
+the base; compaction folds them in.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillgrid.operators.collections import latest_per
 from quillgrid.operators.search import chunk, with_tokens
-from quillgrid.sources.chunk_index import replace_documents
+from quillgrid.session import spread
+from quillgrid.sources.chunk_index import CHUNK_COLUMNS, CHUNK_SCHEMA, replace_documents
+
+KEY = ("collection_id", "doc_id")
+KEY_SCHEMA = "collection_id string, doc_id bigint, batch bigint"
 
 
-def changed_chunks(changes: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Chunks of changed documents for each collection they belong to.
+def latest_text(changes: DataFrame, memberships: DataFrame) -> DataFrame:
+    """``collection_id, doc_id, text`` of changed documents, one row per collection holding them.
 
     Structured text replaces raw text once it exists. Of several changes to a document the last one
     counts. Memberships hold ``collection_id, doc_id``.
     """
     last = latest_per(changes, "doc_id", ["changed_at"], ["raw_content", "structured_json"])
     text = F.coalesce(F.nullif("structured_json", F.lit("")), F.col("raw_content"))
-    docs = last.select("doc_id", text.alias("text")).join(memberships, "doc_id")
-    return with_tokens(chunk(docs, "doc_id", "collection_id", "text"))
+    return last.select("doc_id", text.alias("text")).join(memberships.select(*KEY), "doc_id")
 
 
-def reindex_writer(
-    memberships: Callable[[], DataFrame], read_index: Callable[[int], DataFrame | None], version: Callable[[int], str]
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function writing one index version per micro-batch.
+@dataclass(frozen=True)
+class DeltaIndex:
+    """A base chunk table and the deltas written over it."""
+
+    base: str | None
+    deltas: str
+
+    def write_batch(self, changes: DataFrame, memberships: DataFrame, batch: int) -> None:
+        """Store one batch under its number; a repeated batch overwrites itself with the same rows."""
+        docs = latest_text(changes, memberships)
+        chunks = with_tokens(chunk(docs, "doc_id", "collection_id", "text"))
+        chunks.write.mode("overwrite").parquet(f"{self.deltas}/chunks/batch={batch}")
+        # A document can lose all its chunks, so what was replaced is stored apart from the chunks.
+        docs.select(*KEY).write.mode("overwrite").parquet(f"{self.deltas}/keys/batch={batch}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """Current chunks. Replaced keys are a narrow table; its size decides how the base is filtered."""
+        keys = spark.read.schema(KEY_SCHEMA).parquet(f"{self.deltas}/keys")
+        latest = keys.groupBy(*KEY).agg(F.max("batch").alias("batch"))
+        stored = spark.read.schema(f"{CHUNK_SCHEMA}, batch bigint").parquet(f"{self.deltas}/chunks")
+        fresh = stored.join(latest, [*KEY, "batch"]).select(*CHUNK_COLUMNS)
+        if self.base is None:
+            return fresh
+        old = spark.read.schema(CHUNK_SCHEMA).parquet(self.base).select(*CHUNK_COLUMNS)
+        return replace_documents(old, fresh, latest)
+
+    def compact(self, spark: SparkSession, path: str) -> None:
+        """Write base and deltas as a new base table."""
+        self.read(spark).hint("rebalance", "collection_id").write.partitionBy("collection_id").parquet(path)
 
-    A version is a new directory named by the batch, so a repeated batch writes the same result and
-    readers keep the version they opened.
-    """
-    def write(changes: DataFrame, batch: int) -> None:
-        fresh = changed_chunks(changes, memberships())
-        old = read_index(batch)
-        merged = fresh if old is None else replace_documents(old, fresh)
-        merged.hint("rebalance", "collection_id").write.mode("overwrite").partitionBy("collection_id").parquet(
-            version(batch)
-        )
 
-    return write
+def reindex(
+    changes: DataFrame, index: DeltaIndex, memberships: Callable[[], DataFrame], checkpoint: str
+) -> StreamingQuery:
+    """Process what has arrived; memberships are read anew for every batch."""
 
+    def write(batch_df: DataFrame, batch: int) -> None:
+        index.write_batch(spread(batch_df, "doc_id"), memberships(), batch)
 
-def reindex(changes: DataFrame, writer: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
-        changes.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
+        changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

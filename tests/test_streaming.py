@@ -3,6 +3,7 @@ import os
 
 
 from quillgrid.operators import collections
+from quillgrid.operators.search import chunk, with_tokens
 from quillgrid.session import run_dir
 from quillgrid.sources import files, sinks
 from quillgrid.streaming import ingest, milestones, reindex
@@ -38,30 +39,33 @@ def test_upload_limit_cuts_bytes(spark, tmp_path):
     assert got["raw_content"] == "abcd" and got["filename"] == "big.txt"
 
 
-def test_reindex_versions(spark, tmp_path):
+def test_reindex_deltas(spark, tmp_path):
     members = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], "collection_id string, doc_id bigint")
     schema = "doc_id bigint, raw_content string, structured_json string, changed_at timestamp_ntz"
     src = str(tmp_path / "changes")
-    root = run_dir(spark, "versions")
-    version = lambda b: f"{root}/{b}"
-
-    def read_index(batch):
-        return spark.read.parquet(version(batch - 1)) if batch else None
-
     stamp = lambda i: dt.datetime(2024, 1, 1, 0, 0, i)
-    writer = reindex.reindex_writer(lambda: members, read_index, version)
+    base = str(tmp_path / "base")
+    old = spark.createDataFrame([("a", 2, "old two"), ("c", 9, "kept")], "c string, d bigint, t string")
+    with_tokens(chunk(old, "d", "c", "t")).write.partitionBy("collection_id").parquet(base)
+    index = reindex.DeltaIndex(base, run_dir(spark, "deltas"))
 
     def send(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        reindex.reindex(stream, writer, str(tmp_path / "ck")).awaitTermination()
+        reindex.reindex(stream, index, lambda: members, str(tmp_path / "ck")).awaitTermination()
+        return {(r["collection_id"], r["doc_id"], r["content"]) for r in index.read(spark).collect()}
 
-    send([(1, "raw one", None, stamp(1)), (2, "raw two", "", stamp(1))])
-    first = {(r["collection_id"], r["doc_id"], r["content"]) for r in spark.read.parquet(version(0)).collect()}
-    assert first == {("a", 1, "raw one"), ("b", 1, "raw one"), ("a", 2, "raw two")}
-    send([(1, "raw one", "{old}", stamp(2)), (1, "raw one", "{new}", stamp(3))])
-    second = {(r["collection_id"], r["doc_id"], r["content"]) for r in spark.read.parquet(version(1)).collect()}
-    assert second == {("a", 1, "{new}"), ("b", 1, "{new}"), ("a", 2, "raw two")}
+    assert send([(1, "raw one", None, stamp(1)), (2, "raw two", "", stamp(1))]) == {
+        ("a", 1, "raw one"), ("b", 1, "raw one"), ("a", 2, "raw two"), ("c", 9, "kept"),
+    }
+    want = {("a", 1, "{new}"), ("b", 1, "{new}"), ("c", 9, "kept")}
+    # The second document ends up empty: its chunks go, and nothing takes their place.
+    assert send(
+        [(1, "raw one", "{old}", stamp(2)), (1, "raw one", "{new}", stamp(3)), (2, "  ", None, stamp(4))]
+    ) == want
+    index.compact(spark, str(tmp_path / "next"))
+    fresh = reindex.DeltaIndex(str(tmp_path / "next"), index.deltas)
+    assert {(r["collection_id"], r["doc_id"], r["content"]) for r in fresh.read(spark).collect()} == want
 
 
 def test_milestones_agree_with_batch(spark, tmp_path):

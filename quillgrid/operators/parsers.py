@@ -232,9 +232,10 @@ def invoice(text: Column) -> Column:
 
 
 def entities(df: DataFrame, doc: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """``doc_id, kind, value, n``: entities of each document with their number of mentions.
+    """``doc_id, kind, value, n, opens_kind``: entities of each document with their number of mentions.
 
-    Counting happens inside the document's row; nothing is shuffled.
+    ``opens_kind`` marks one entity per document and kind. Counting happens inside the document's row;
+    nothing is shuffled.
     """
     def tagged(kind: str, pattern: str) -> Column:
         return F.transform(
@@ -242,19 +243,32 @@ def entities(df: DataFrame, doc: str, text: str, patterns: dict[str, str] | None
             lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")),
         )
 
+    def marked(runs: Column) -> Column:
+        return F.transform(
+            runs,
+            lambda r, i: F.struct(
+                r["value"]["kind"].alias("kind"), r["value"]["value"].alias("value"), r["n"].alias("n"),
+                ((i == 0) | (F.get(runs, i - 1)["value"]["kind"] != r["value"]["kind"])).alias("opens_kind"),
+            ),
+        )
+
     found = [tagged(kind, pattern) for kind, pattern in (patterns or ENTITY_PATTERNS).items()]
-    counted = unfold(df, [F.col(doc).alias("doc_id")], run_counts(F.concat(*found)), "_i", "e")
-    return counted.select("doc_id", "e.value.kind", "e.value.value", "e.n")
+    listed = let(run_counts(F.concat(*found)), marked)
+    return unfold(df, [F.col(doc).alias("doc_id")], listed, "_i", "e").select("doc_id", "e.*")
 
 
 def entity_counts(found: DataFrame) -> DataFrame:
-    """Mentions, distinct values and documents per kind."""
-    by_value = found.groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    totals = by_value.groupBy("kind").agg(
-        F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("distinct_values")
+    """Mentions, distinct values and documents per kind, in one pass over the entities.
+
+    A value mentioned everywhere shrinks to one row per task before the shuffle.
+    """
+    by_value = found.groupBy("kind", "value").agg(
+        F.sum("n").alias("n"), F.count_if("opens_kind").alias("documents")
+    )
+    return by_value.groupBy("kind").agg(
+        F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("distinct_values"),
+        F.sum("documents").alias("documents"),
     )
-    docs = found.select("kind", "doc_id").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
-    return totals.join(docs, "kind")
 
 
 def xml_records(df: DataFrame, doc: str, text: str, path: str, fields: list[str]) -> DataFrame:

@@ -172,8 +172,15 @@ def bm25(
 
 
 def with_names(hits: DataFrame, names: DataFrame, doc: str = "doc_id", name: str = "name") -> DataFrame:
-    """Adds ``doc_name``; documents without a name show as ``doc#<id>``."""
-    known = names.select(F.col(doc).alias("doc_id"), F.col(name).alias("_name"))
+    """Adds ``doc_name``; documents without a name show as ``doc#<id>``.
+
+    ``hits`` should be a stored table: it is read twice, first to cut the names down to the documents
+    hit, which spares the name table a shuffle while the hits are small enough to broadcast.
+    """
+    hit_docs = hits.select("doc_id").distinct()
+    known = names.select(F.col(doc).alias("doc_id"), F.col(name).alias("_name")).join(
+        hit_docs, "doc_id", "left_semi"
+    )
     shown = F.coalesce(F.nullif(F.col("_name"), F.lit("")), F.concat(F.lit("doc#"), F.col("doc_id").cast("string")))
     return hits.join(known, "doc_id", "left").withColumn("doc_name", shown).drop("_name")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgrid import constants as K
 from quillgrid.functions import jsontext
 from quillgrid.functions.core import let, lines_of, occurrences
+from quillgrid.session import materialise
 
 _NO_CHARTS = "array<string>"
 
@@ -167,9 +168,10 @@ def bar_data(df: DataFrame, label: Column, value: Column, n: int = K.BAR_LIMIT)
 def pie_data(df: DataFrame, label: Column, value: Column, slices: int = K.PIE_SLICES) -> DataFrame:
     """Share per label; labels beyond the largest ``slices`` merge into one.
 
-    The kept labels are at most ``slices`` rows, the bound that allows broadcasting them.
+    The sums are written once and read for the total, the largest labels and the merge. The kept
+    labels are at most ``slices`` rows, the bound that allows broadcasting them.
     """
-    sums = df.groupBy(label.alias("label")).agg(F.sum(value).alias("value"))
+    sums = materialise(df.groupBy(label.alias("label")).agg(F.sum(value).alias("value")), "pie")
     kept = sums.orderBy(F.desc("value"), "label").limit(slices).select(F.col("label").alias("kept"))
     total = sums.agg(F.sum("value")).scalar()
     merged = (

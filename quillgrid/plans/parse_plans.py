@@ -173,7 +173,7 @@ def _found(spark, sf):
 
 @query("entities", f"WITH {_ENTITIES} SELECT doc_id, kind, value, n FROM found")
 def entities(spark, sf):
-    return _found(spark, sf)
+    return _found(spark, sf).drop("opens_kind")
 
 
 @query(
@@ -226,20 +226,22 @@ def invoice_parse(spark, sf):
 
 @query(
     "order_reconcile",
-    """SELECT o_orderkey, coalesce(n, 0) AS n_lines, round(coalesce(s, 0), 2) AS lines_total, round(o_totalprice, 2) AS stated,
-  abs(coalesce(s, 0) - o_totalprice) < 0.005 AS reconciles FROM orders LEFT JOIN (
-  SELECT l_orderkey, count(*) AS n, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS s FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
+    """WITH l AS (SELECT l_orderkey, count(*) AS n, sum(CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(18, 6))) AS s FROM lineitem GROUP BY l_orderkey),
+b AS (SELECT o_orderkey, coalesce(n, 0) AS n_lines, round(coalesce(s, 0), 2) AS t, CAST(o_totalprice AS DECIMAL(18, 2)) AS p FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT o_orderkey, n_lines, CAST(t AS DOUBLE) AS lines_total, CAST(p AS DOUBLE) AS stated, t = p AS reconciles FROM b""",
 )
 def order_reconcile(spark, sf):
+    """Whether an order's lines add up to its stated total, in exact decimals."""
     amount = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(amount).alias("s")
+        F.count(F.lit(1)).alias("n"), F.sum(amount.cast("decimal(18,6)")).alias("s")
     )
     both = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").join(lines, "o_orderkey", "left")
-    total = F.coalesce("s", F.lit(0.0))
+    total = F.round(F.coalesce("s", F.lit(0).cast("decimal(18,6)")), 2)
+    stated = F.col("o_totalprice").cast("decimal(18,2)")
     return both.select(
-        "o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.round(total, 2).alias("lines_total"),
-        F.round("o_totalprice", 2).alias("stated"), (F.abs(total - F.col("o_totalprice")) < 0.005).alias("reconciles"),
+        "o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), total.cast("double").alias("lines_total"),
+        stated.cast("double").alias("stated"), (total == stated).alias("reconciles"),
     )
 
 

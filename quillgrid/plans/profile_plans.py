@@ -9,6 +9,7 @@ from quillgrid.functions import jsontext
 from quillgrid.operators import collections, profile
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
+from quillgrid.session import materialise
 from quillgrid.sources.files import table
 
 _FIELDS = f"""{D.CSV_CELLS_SQL},
@@ -175,7 +176,7 @@ nums AS (SELECT 'o_orderkey' AS field, CAST(min(o_orderkey) AS DOUBLE) AS low, C
 SELECT field, type, row_count, top_value, top_count, low, high, round(mean, 4) AS mean FROM prof JOIN tops USING (field) LEFT JOIN nums USING (field)""",
 )
 def summary_facts(spark, sf):
-    counts = _counts(spark, sf)
+    counts = materialise(_counts(spark, sf), "counts")
     numbers = profile.numeric_facts(table(spark, sf, "orders"), ["o_orderkey", "o_custkey"])
     return (
         profile.profile_values(counts).select("field", "type", "row_count")

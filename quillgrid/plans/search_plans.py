@@ -9,7 +9,7 @@ from quillgrid.operators import search
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
 from quillgrid.plans.text_plans import chunks_sql
-from quillgrid.session import run_dir
+from quillgrid.session import materialise, run_dir
 from quillgrid.sources import chunk_index
 
 QUERIES = (("three terms", "the then with"), ("repeats", "there there of"), ("rare", "Entre VERDAD x9"))
@@ -74,7 +74,7 @@ ranked AS (
 
 
 def _hits(spark, sf):
-    return chunk_index.ranked(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH)
+    return materialise(chunk_index.ranked(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH), "ranked")
 
 
 _TOP = f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content

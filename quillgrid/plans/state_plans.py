@@ -216,6 +216,11 @@ def milestones(spark, sf):
 _PRICE_TEXT = "'$' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ',' || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS STRING), 3, '0')"
 
 
+def _exact_sum(amount, scale: int):
+    """A sum in decimals: the same whatever order the rows arrive in."""
+    return F.sum(amount.cast(f"decimal(18,{scale})")).cast("double")
+
+
 @query("table_filter", "SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) AS price FROM orders WHERE floor(o_totalprice) > 300000")
 def table_filter(spark, sf):
     texts = table(spark, sf, "orders").select("o_orderkey", F.expr(_PRICE_TEXT).alias("text"))
@@ -243,25 +248,24 @@ def table_sort(spark, sf):
 
 @query(
     "table_by_month",
-    """SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1""",
+    """SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS total,
+  round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*), 4) AS mean FROM lineitem GROUP BY 1""",
 )
 def table_by_month(spark, sf):
     months = table(spark, sf, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"))
-    return months.agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"),
-        F.round(F.avg("l_extendedprice"), 4).alias("mean"),
-    )
+    sums = months.agg(F.count(F.lit(1)).alias("n"), _exact_sum(F.col("l_extendedprice"), 2).alias("total"))
+    return sums.withColumn("mean", F.round(F.col("total") / F.col("n"), 4))
 
 
 @query(
     "table_totals",
-    """SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net,
-  round(avg(l_discount), 6) AS mean_discount, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY ALL""",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS net,
+  round(CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) / count(*), 6) AS mean_discount, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY ALL""",
 )
 def table_totals(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"),
-        F.round(F.avg("l_discount"), 6).alias("mean_discount"), F.min("l_extendedprice").alias("low"),
+        _exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"),
+        F.round(_exact_sum(F.col("l_discount"), 2) / F.count(F.lit(1)), 6).alias("mean_discount"), F.min("l_extendedprice").alias("low"),
         F.max("l_extendedprice").alias("high"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid import constants as K
+from quillgrid.functions.core import unfold
 from quillgrid.operators import search
 from quillgrid.session import materialise, spread
 
@@ -85,18 +86,34 @@ def ranked(
     if not terms:
         return spark.createDataFrame([], search.RANKED_SCHEMA)
     wanted = F.col("term").isin(terms)
-    # Terms of the queries with their repetitions: a literal, its size is that of the query texts.
-    weights = spark.createDataFrame(
-        [(t, [(n, q[t]) for n, q in asked.items() if t in q]) for t in terms],
-        "term string, asks array<struct<query_id:string,qtf:int>>",
+    # Which queries ask for a term, and how often: a literal as large as the query texts.
+    asks = F.create_map(
+        *[
+            x
+            for t in terms
+            for x in (
+                F.lit(t),
+                F.array(
+                    *[
+                        F.struct(F.lit(n).alias("query_id"), F.lit(q[t]).alias("qtf"))
+                        for n, q in asked.items() if t in q
+                    ]
+                ),
+            )
+        ]
     )
-    known = index.terms(spark).where(wanted).join(index.stats(spark), "collection_id").join(weights, "term")
+    # One row per asked term and collection, written so that its size decides how it is joined. A
+    # term that holds most postings then needs no shuffle of them.
+    known = materialise(index.terms(spark).where(wanted).join(index.stats(spark), "collection_id"), "terms")
     hits = index.postings(spark).where(wanted).join(known, ["collection_id", "term"])
     gain = F.col("a.qtf") * search.term_gain(
         F.col("tf"), F.col("df"), F.col("dl"), F.col("n_chunks"), F.col("avg_dl")
     )
     scored = (
-        hits.select(*search.CHUNK_KEY, "term", "tf", "df", "dl", "n_chunks", "avg_dl", F.explode("asks").alias("a"))
+        unfold(
+            hits, [*search.CHUNK_KEY, "tf", "df", "dl", "n_chunks", "avg_dl"],
+            F.try_element_at(asks, F.col("term")), "_i", "a",
+        )
         .groupBy(F.col("a.query_id").alias("query_id"), *search.CHUNK_KEY)
         .agg(F.sum(gain).alias("score"))
         .where(F.col("score") > 0)

@@ -91,25 +91,51 @@ def _csv_issues(records: Column, fields: Column, ragged: Column) -> Column:
 
 
 def _json_fields(rows: Column) -> Column:
-    """Field profiles over records; explicit nulls are empties, absent keys are counted apart."""
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform(rows, F.map_keys))))
+    """Field profiles over records; explicit nulls are empties, absent keys are counted apart.
 
-    def field(name: Column) -> Column:
-        held = F.filter(rows, lambda r: F.map_contains_key(r, name))
-        values = F.transform(held, lambda r: F.try_element_at(r, name))
+    References to members are sorted by key, so each field is one run of them. The work is near
+    linear in the number of members, also where records have very many different keys.
+    """
+    refs = F.array_sort(
+        F.flatten(
+            F.transform(
+                rows,
+                lambda r, i: F.transform(F.map_keys(r), lambda k: F.struct(k.alias("key"), i.alias("row"))),
+            )
+        )
+    )
 
-        def of(vals: Column) -> Column:
-            shown = F.filter(vals, lambda v: ~F.is_variant_null(v))
-            empty = F.size(vals) - F.size(shown)
-            return _field(
-                name, collapse_types(F.array_distinct(F.transform(vals, jsontext.field_type))),
-                empty > 0, F.lit(False), empty, F.size(rows) - F.size(vals),
-                F.transform(F.slice(shown, 1, 3), lambda v: F.to_json(v)),
+    def of_refs(s: Column) -> Column:
+        starts = F.filter(
+            F.transform(s, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"))),
+            lambda e: (e["at"] == 0) | (F.get(s, e["at"] - 1)["key"] != e["key"]),
+        )
+
+        def field(name: Column, run: Column) -> Column:
+            values = F.transform(run, lambda x: F.try_element_at(F.get(rows, x["row"]), x["key"]))
+
+            def of(vals: Column) -> Column:
+                shown = F.filter(vals, lambda v: ~F.is_variant_null(v))
+                empty = F.size(vals) - F.size(shown)
+                return _field(
+                    name, collapse_types(F.array_distinct(F.transform(vals, jsontext.field_type))),
+                    empty > 0, F.lit(False), empty, F.size(rows) - F.size(vals),
+                    F.transform(F.slice(shown, 1, 3), lambda v: F.to_json(v)),
+                )
+
+            return let(values, of)
+
+        def of_starts(st: Column) -> Column:
+            return F.transform(
+                st,
+                lambda e, j: field(
+                    e["key"], F.slice(s, e["at"] + 1, F.coalesce(F.get(st, j + 1)["at"], F.size(s)) - e["at"])
+                ),
             )
 
-        return let(values, of)
+        return let(starts, of_starts)
 
-    return F.transform(names, field)
+    return let(refs, of_refs)
 
 
 def _object_fields(members: Column) -> Column:

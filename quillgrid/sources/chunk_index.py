@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid import constants as K
@@ -15,8 +15,12 @@ from quillgrid.session import materialise, spread
 
 # Stated, because a collection named like a number would otherwise be read back as one.
 CHUNK_SCHEMA = (
-    "doc_id bigint, position int, content string, tokens array<string>, dl int, collection_id string"
+    "collection_id string, doc_id bigint, position int, content string, tokens array<string>, dl int, "
+    "bucket int"
 )
+# Chunks are partitioned by a hash bucket of their collection: the number of directories stays the
+# same however many collections there are.
+BUCKETS = 64
 CHUNK_COLUMNS = ("collection_id", "doc_id", "position", "content", "tokens", "dl")
 
 
@@ -27,7 +31,7 @@ class ChunkIndex:
     path: str
 
     def chunks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/chunks")
+        return read_chunks(spark, f"{self.path}/chunks")
 
     def postings(self, spark: SparkSession) -> DataFrame:
         """``term, collection_id, doc_id, position, tf, dl``, clustered by term."""
@@ -42,23 +46,51 @@ class ChunkIndex:
         return spark.read.parquet(f"{self.path}/stats")
 
     def collection(self, spark: SparkSession, collection_id: str) -> DataFrame:
-        """Chunks of one collection in (document, position) order; other partitions are not read."""
-        return self.chunks(spark).where(F.col("collection_id") == collection_id).orderBy("doc_id", "position")
+        """Chunks of one collection in (document, position) order.
+
+        Only the collection's bucket is read, and in it only row groups that can hold the collection.
+        """
+        return (
+            read_chunks(spark, f"{self.path}/chunks", collection_id).where(F.col("collection_id") == collection_id)
+            .orderBy("doc_id", "position")
+        )
+
+
+def bucket_of(collection: Column) -> Column:
+    return F.pmod(F.xxhash64(collection), F.lit(BUCKETS)).cast("int")
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Store chunks with tokens, clustered by collection inside its bucket.
+
+    The rebalance hint lets Spark size the output by bytes: small buckets share a task, and a bucket
+    with a collection holding most rows is split over many.
+    """
+    bucketed = chunks.select(*CHUNK_COLUMNS, bucket_of(F.col("collection_id")).alias("bucket"))
+    (
+        bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection_id", "doc_id", "position")
+        .write.partitionBy("bucket").parquet(path)
+    )
+
+
+def read_chunks(spark: SparkSession, path: str, collection_id: str | None = None) -> DataFrame:
+    """Stored chunks; with a collection, only those of its bucket."""
+    stored = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    if collection_id is not None:
+        stored = stored.where(F.col("bucket") == bucket_of(F.lit(collection_id)))
+    return stored.select(*CHUNK_COLUMNS)
 
 
 def write_index(chunks: DataFrame, path: str) -> ChunkIndex:
-    """Store chunks partitioned by collection, and what ranking needs.
+    """Store chunks and what ranking needs.
 
-    The rebalance hint lets Spark size the output by bytes: small collections share a task, and a
-    collection holding most rows is split over many. Postings and terms are range-partitioned by
+    Postings and terms are range-partitioned by
     term first, so that a query's terms are a few row groups of a few files. The range key goes on
     to the document, so a term found in most chunks is spread over many files.
     """
     spark = chunks.sparkSession
     index = ChunkIndex(path)
-    search.with_tokens(chunks).hint("rebalance", "collection_id").write.partitionBy("collection_id").parquet(
-        f"{path}/chunks"
-    )
+    write_chunks(search.with_tokens(chunks), f"{path}/chunks")
     stored = index.chunks(spark)
     search.corpus_stats(stored).write.parquet(f"{path}/stats")
     by_term = ("term", "collection_id", "doc_id")

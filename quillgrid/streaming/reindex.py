@@ -17,9 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 from quillgrid.operators.collections import latest_per
 from quillgrid.operators.search import chunk, with_tokens
 from quillgrid.session import spread
-from quillgrid.sources.chunk_index import CHUNK_COLUMNS, CHUNK_SCHEMA, replace_documents
+from quillgrid.sources.chunk_index import CHUNK_COLUMNS, read_chunks, replace_documents, write_chunks
 
 KEY = ("collection_id", "doc_id")
+DELTA_SCHEMA = (
+    "collection_id string, doc_id bigint, position int, content string, tokens array<string>, dl int, "
+    "batch bigint"
+)
 KEY_SCHEMA = "collection_id string, doc_id bigint, batch bigint"
 
 
@@ -53,16 +57,15 @@ class DeltaIndex:
         """Current chunks. Replaced keys are a narrow table; its size decides how the base is filtered."""
         keys = spark.read.schema(KEY_SCHEMA).parquet(f"{self.deltas}/keys")
         latest = keys.groupBy(*KEY).agg(F.max("batch").alias("batch"))
-        stored = spark.read.schema(f"{CHUNK_SCHEMA}, batch bigint").parquet(f"{self.deltas}/chunks")
+        stored = spark.read.schema(DELTA_SCHEMA).parquet(f"{self.deltas}/chunks")
         fresh = stored.join(latest, [*KEY, "batch"]).select(*CHUNK_COLUMNS)
         if self.base is None:
             return fresh
-        old = spark.read.schema(CHUNK_SCHEMA).parquet(self.base).select(*CHUNK_COLUMNS)
-        return replace_documents(old, fresh, latest)
+        return replace_documents(read_chunks(spark, self.base), fresh, latest)
 
     def compact(self, spark: SparkSession, path: str) -> None:
         """Write base and deltas as a new base table."""
-        self.read(spark).hint("rebalance", "collection_id").write.partitionBy("collection_id").parquet(path)
+        write_chunks(self.read(spark), path)
 
 
 def reindex(

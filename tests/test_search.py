@@ -105,6 +105,8 @@ def test_index_round_trip(spark):
     assert chunks.exceptAll(direct).count() == 0 and direct.exceptAll(chunks).count() == 0
     one = index.collection(spark, "007").collect()
     assert [(r["doc_id"], r["position"]) for r in one] == sorted((r["doc_id"], r["position"]) for r in one)
+    plan = index.collection(spark, "007")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan and "PartitionFilters: [isnotnull(bucket" in plan
     assert {r["collection_id"] for r in index.stats(spark).collect()} == {"007", "8"}
 
     new = search.with_tokens(

@@ -6,6 +6,7 @@ from quillgrid.operators import collections
 from quillgrid.operators.search import chunk, with_tokens
 from quillgrid.session import run_dir
 from quillgrid.sources import files, sinks
+from quillgrid.sources.chunk_index import write_chunks
 from quillgrid.streaming import ingest, milestones, reindex
 from tests import fixtures as fx
 
@@ -46,7 +47,7 @@ def test_reindex_deltas(spark, tmp_path):
     stamp = lambda i: dt.datetime(2024, 1, 1, 0, 0, i)
     base = str(tmp_path / "base")
     old = spark.createDataFrame([("a", 2, "old two"), ("c", 9, "kept")], "c string, d bigint, t string")
-    with_tokens(chunk(old, "d", "c", "t")).write.partitionBy("collection_id").parquet(base)
+    write_chunks(with_tokens(chunk(old, "d", "c", "t")), base)
     index = reindex.DeltaIndex(base, run_dir(spark, "deltas"))
 
     def send(rows):

@@ -72,6 +72,15 @@ def run_counts(items: Column) -> Column:
     return let(F.array_sort(items), runs)
 
 
+def unfold_present(df: DataFrame, keep: list, value: Column, name: str) -> DataFrame:
+    """The kept columns and ``value``, for rows where it is present.
+
+    A plain filter on a computed column is pushed below its computation, which then runs twice.
+    """
+    rows = unfold(df, keep, F.array_compact(F.array(value)), "_i", name)
+    return rows.drop("_i")
+
+
 def unfold(df: DataFrame, keep: list, items: Column, *names: str) -> DataFrame:
     """One row per item of an array or map: the kept columns, then position and item under ``names``.
 

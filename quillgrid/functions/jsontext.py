@@ -11,21 +11,28 @@ OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
 
 
-def is_valid(text: Column) -> Column:
-    """Strict validity of the whole text.
+def strict(text: Column) -> Column:
+    """The parsed value, or NULL if the text is not exactly one JSON value.
 
-    The parser ignores what follows the first value, so the text has to parse inside brackets
-    as the only element and inside braces as the only member.
+    The parser ignores what follows the first value, so the text has to parse inside brackets as
+    the only element and inside braces as the only member.
     """
-    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    count = F.size(F.try_variant_get(element, "$", ARRAY))
-    return F.coalesce((count == 1) & member.isNotNull(), F.lit(False))
+    def parse(t: Column) -> Column:
+        element = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        member = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        both = F.struct(
+            F.try_variant_get(element, "$", ARRAY).alias("items"), member.isNotNull().alias("alone")
+        )
+        return let(
+            both, lambda s: F.when((F.size(s["items"]) == 1) & s["alone"], F.get(s["items"], F.lit(0)))
+        )
 
+    return let(trim_ws(text), parse)
 
-def strict(text: Column) -> Column:
-    """The parsed value, or NULL if the text is not exactly one JSON value."""
-    return let(trim_ws(text), lambda t: F.when(is_valid(t), F.try_parse_json(t)))
+
+def is_valid(text: Column) -> Column:
+    """Strict validity of the whole text."""
+    return strict(text).isNotNull()
 
 
 def as_object(value: Column) -> Column:
@@ -149,7 +156,7 @@ def flat_map(value: Column) -> Column:
 
 
 def largest_array(value: Column) -> Column:
-    """``struct<n, path, items>`` of the largest array of objects outside other arrays.
+    """``struct<n, path, items>`` of the largest array of objects inside an object, outside other arrays.
 
     Items that are not objects are skipped. Of equally large arrays the smallest path wins.
     """
@@ -168,7 +175,8 @@ def largest_array(value: Column) -> Column:
         F.lit(0).alias("n"), F.lit("").alias("path"), F.array().cast(ARRAY).alias("items"),
     )
     arrays = F.filter(flatten(value), lambda leaf: as_array(leaf["val"]).isNotNull())
-    return F.aggregate(F.transform(arrays, candidate), none, better)
+    found = F.aggregate(F.transform(arrays, candidate), none, better)
+    return F.when(as_object(value).isNotNull(), found)
 
 
 def depth(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions import jsontext
-from quillgrid.functions.core import unfold
+from quillgrid.functions.core import let, trim_ws, unfold, unfold_present
 from quillgrid.operators import exports, parsers, quality
 from quillgrid.operators.profile import profile_fields, schema_struct, with_profile
 from quillgrid.plans import derived as D
@@ -28,7 +28,8 @@ def _parsed(spark, sf):
 
 
 def _valid(spark, sf):
-    return _parsed(spark, sf).where(F.col("v").isNotNull())
+    docs = D.order_docs(spark, sf)
+    return unfold_present(docs, ["doc_id", "raw", "structured"], jsontext.strict(F.col("structured")), "v")
 
 
 @query(
@@ -75,8 +76,8 @@ SELECT c.doc_id, field, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE '
 FROM cells c JOIN n_recs USING (doc_id) GROUP BY c.doc_id, field""",
 )
 def profile_json(spark, sf):
-    docs = D.order_docs(spark, sf).withColumn("v", jsontext.strict(F.col("structured")))
-    records = docs.where(F.size(jsontext.record_items(F.col("v"))) > 0)
+    # Only arrays of records have fields among the texts that start as arrays.
+    records = D.order_docs(spark, sf).where(trim_ws(F.col("structured")).startswith("["))
     fields = profile_fields(with_profile(records, "structured"), "doc_id")
     return fields.select(
         "doc_id", F.col("name").alias("field"), "type", "empty_count", "missing_count",
@@ -122,8 +123,8 @@ def quality_consistency(spark, sf):
     f"WITH {_VALID}, o AS (SELECT doc_id, json_keys(j) AS ks FROM valid WHERE json_type(j) = 'OBJECT') SELECT doc_id, {_NAMING.format(k='ks')} AS score FROM o",
 )
 def naming_consistency(spark, sf):
-    keys = F.map_keys(jsontext.as_object(F.col("v")))
-    docs = _valid(spark, sf).withColumn("ks", keys).where(F.col("ks").isNotNull())
+    keys = F.map_keys(jsontext.as_object(jsontext.strict(F.col("structured"))))
+    docs = unfold_present(D.order_docs(spark, sf), ["doc_id"], keys, "ks")
     return docs.select("doc_id", quality.naming_consistency(F.col("ks")).alias("score"))
 
 
@@ -199,8 +200,7 @@ walk AS (SELECT doc_id, id, 1 AS level FROM nodes WHERE parent IS NULL AND type
 SELECT doc_id, max(level) AS depth FROM walk GROUP BY doc_id""",
 )
 def json_depth(spark, sf):
-    docs = _valid(spark, sf).where(jsontext.as_object(F.col("v")).isNotNull())
-    return docs.select("doc_id", jsontext.depth(F.col("v")).alias("depth"))
+    return unfold_present(_parsed(spark, sf), ["doc_id"], jsontext.depth(F.col("v")), "depth")
 
 
 @query(
@@ -210,7 +210,7 @@ SELECT doc_id, substr(fullkey, 3) AS field, {_TEXT} AS value FROM nodes JOIN roo
 WHERE parent IS NOT NULL AND NOT contains(fullkey, '[') AND type <> 'OBJECT'""",
 )
 def flatten_kv(spark, sf):
-    return parsers.flat_json(_valid(spark, sf), "doc_id", "structured")
+    return parsers.flat_json(D.order_docs(spark, sf), "doc_id", "structured")
 
 
 _EXPORT = f"""{_TREE},
@@ -263,9 +263,11 @@ def export_table(spark, sf):
 
 @query("largest_array", f"WITH {_EXPORT} SELECT doc_id, n, path FROM best")
 def largest_array(spark, sf):
-    docs = _valid(spark, sf).where(jsontext.as_object(F.col("v")).isNotNull())
-    found = docs.select("doc_id", jsontext.largest_array(F.col("v")).alias("a")).where("a.n > 0")
-    return found.select("doc_id", "a.n", "a.path")
+    found = let(
+        jsontext.largest_array(F.col("v")),
+        lambda a: F.when(a["n"] > 0, F.struct(a["n"].alias("n"), a["path"].alias("path"))),
+    )
+    return unfold_present(_parsed(spark, sf), ["doc_id"], found, "a").select("doc_id", "a.*")
 
 
 def _as_text_sql(cell: str, sep: str, open_: str = "", close: str = "", rule: bool = False) -> str:

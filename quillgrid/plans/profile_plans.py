@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions import jsontext
+from quillgrid.functions.core import unfold_present
 from quillgrid.operators import collections, profile
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
@@ -189,8 +190,8 @@ def summary_facts(spark, sf):
 
 
 def _json_fields(spark, sf):
-    docs = D.order_docs(spark, sf).withColumn("m", jsontext.as_object(jsontext.strict(F.col("structured"))))
-    return docs.where(F.col("m").isNotNull()).select("doc_id", F.map_keys("m").alias("ks"))
+    keys = F.map_keys(jsontext.as_object(jsontext.strict(F.col("structured"))))
+    return unfold_present(D.order_docs(spark, sf), ["doc_id"], keys, "ks")
 
 
 _KEYS = f"""{D.ORDER_DOCS_SQL}, ks AS (SELECT doc_id, json_keys(CAST(structured AS JSON)) AS ks FROM order_docs

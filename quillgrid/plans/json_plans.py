@@ -39,7 +39,7 @@ s AS (SELECT doc_id, j, CASE WHEN json_type(j) = 'OBJECT' THEN 'object'
   WHEN json_type(j) = 'ARRAY' AND json_array_length(j) > 0
     AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) NOT IN ('OBJECT', 'NULL'))) = 0 THEN 'records'
   ELSE 'error' END AS shape FROM t)
-SELECT doc_id, shape, CASE shape WHEN 'object' THEN 1 WHEN 'records' THEN json_array_length(j) ELSE 0 END AS n_rows FROM s""",
+SELECT doc_id, shape, CAST(CASE shape WHEN 'object' THEN 1 WHEN 'records' THEN json_array_length(j) ELSE 0 END AS BIGINT) AS n_rows FROM s""",
 )
 def json_shape(spark, sf):
     from quillgrid.sources.files import json_shape as shape
@@ -71,7 +71,7 @@ cells AS (SELECT r.doc_id, r.pos, n.key AS field, n.value, CASE n.type WHEN 'BOO
     WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'string' WHEN 'ARRAY' THEN 'string' ELSE 'number' END AS kind
   FROM recs r JOIN nodes n ON n.doc_id = r.doc_id AND n.parent = r.id)
 SELECT c.doc_id, field, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE 'mixed' END AS type,
-  count_if(kind = 'null') AS empty_count, max(n) - count(*) AS missing_count,
+  count(CASE WHEN kind = 'null' THEN 1 END) AS empty_count, max(n) - count(*) AS missing_count,
   array_to_string(list(CAST(value AS VARCHAR) ORDER BY pos) FILTER (kind <> 'null')[1:3], '|') AS samples
 FROM cells c JOIN n_recs USING (doc_id) GROUP BY c.doc_id, field""",
 )
@@ -87,7 +87,7 @@ def profile_json(spark, sf):
 
 @query(
     "quality_completeness",
-    f"""WITH {_TREE}, m AS (SELECT doc_id, count(*) AS n, count_if(type = 'NULL' OR (type = 'VARCHAR' AND json_extract_string(value, '$') = '')) AS gone
+    f"""WITH {_TREE}, m AS (SELECT doc_id, count(*) AS n, count(CASE WHEN type = 'NULL' OR (type = 'VARCHAR' AND json_extract_string(value, '$') = '') THEN 1 END) AS gone
   FROM nodes WHERE parent_type = 'OBJECT' GROUP BY doc_id)
 SELECT v.doc_id, CASE WHEN n IS NULL THEN 50 ELSE 100 - gone * 100 // n END AS completeness FROM valid v LEFT JOIN m USING (doc_id)""",
 )
@@ -163,7 +163,7 @@ _GRADE = "CASE " + " ".join(f"WHEN score >= {n} THEN '{g}'" for n, g in K.GRADES
 
 @query(
     "quality_score",
-    f"""WITH {_TREE}, m AS (SELECT doc_id, count(*) AS n, count_if(type = 'NULL' OR (type = 'VARCHAR' AND json_extract_string(value, '$') = '')) AS gone
+    f"""WITH {_TREE}, m AS (SELECT doc_id, count(*) AS n, count(CASE WHEN type = 'NULL' OR (type = 'VARCHAR' AND json_extract_string(value, '$') = '') THEN 1 END) AS gone
   FROM nodes WHERE parent_type = 'OBJECT' GROUP BY doc_id),
 complete AS (SELECT v.doc_id, CASE WHEN n IS NULL THEN 50 ELSE 100 - gone * 100 // n END AS completeness FROM valid v LEFT JOIN m USING (doc_id)),
 {_CONSISTENCY}, {_VALIDITY}, {_STRUCTURE},

@@ -40,9 +40,9 @@ def log_parse(spark, sf):
 
 @query(
     "log_summary",
-    f"""SELECT event_id % 20 AS day, count(*) AS total_entries, count_if(event_type NOT IN ('error', 'signup')) AS info, count_if(event_type = 'signup') AS warn,
-  count_if(event_type = 'error') AS error, count_if(event_type = 'error') AS failed, 0 AS payment_failures, {_STAMP.replace('ts', 'min(ts)')} AS first_at,
-  count(DISTINCT event_type) AS unique_endpoints, CAST(round(count_if(event_type = 'error') * 100 / count(*)) AS INT) AS error_percent
+    f"""SELECT event_id % 20 AS day, count(*) AS total_entries, count(CASE WHEN event_type NOT IN ('error', 'signup') THEN 1 END) AS info, count(CASE WHEN event_type = 'signup' THEN 1 END) AS warn,
+  count(CASE WHEN event_type = 'error' THEN 1 END) AS error, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, 0 AS payment_failures, {_STAMP.replace('ts', 'min(ts)')} AS first_at,
+  count(DISTINCT event_type) AS unique_endpoints, CAST(round(count(CASE WHEN event_type = 'error' THEN 1 END) * 100 / count(*)) AS INT) AS error_percent
 FROM events GROUP BY 1""",
 )
 def log_summary(spark, sf):
@@ -55,8 +55,8 @@ def log_summary(spark, sf):
 
 @query(
     "events_summary",
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count_if(event_type = 'error') AS errors, count(DISTINCT user_id) AS users,
-  round(count_if(event_type = 'error') * 100.0 / count(*), 4) AS error_percent, CAST(date_diff('second', min(ts), max(ts)) AS BIGINT) AS span_seconds
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(DISTINCT user_id) AS users,
+  round(count(CASE WHEN event_type = 'error' THEN 1 END) * 100.0 / count(*), 4) AS error_percent, CAST(date_diff('second', min(ts), max(ts)) AS BIGINT) AS span_seconds
 FROM (SELECT date_trunc('second', ts) AS ts, event_type, user_id FROM events) GROUP BY 1""",
 )
 def events_summary(spark, sf):
@@ -211,7 +211,7 @@ _INVOICE = f"""'INVOICE #INV-' || CAST(o_orderkey AS STRING) || chr(10) || chr(1
     f"""SELECT o_orderkey, 'INV-' || o_orderkey AS number, '2024-03-' || lpad(CAST(o_orderkey % 28 + 1 AS VARCHAR), 2, '0') AS day, 'PO-' || o_custkey AS po,
   'Seller ' || (o_orderkey % 10) || ' Ltd' AS seller, '12-' || o_orderkey AS tax_id, 'Buyer ' || o_custkey AS buyer, 'Desk' AS attention, 3 AS n_items,
   round(({_QTY} * {_UNIT} + 2550) / 100, 2) AS items_sum, round({_SUB} / 100, 2) AS subtotal, round({_TAX} / 100, 2) AS tax,
-  round(({_SUB} + {_TAX}) / 100, 2) AS total, 0.085 AS tax_rate, '44' || o_custkey AS account, o_orderkey % 7 <> 0 AS reconciles FROM orders""",
+  round(({_SUB} + {_TAX}) / 100, 2) AS total, CAST(0.085 AS DOUBLE) AS tax_rate, '44' || o_custkey AS account, o_orderkey % 7 <> 0 AS reconciles FROM orders""",
 )
 def invoice_parse(spark, sf):
     docs = D.orders(spark, sf).select("o_orderkey", parsers.invoice(F.expr(_INVOICE)).alias("i"))
@@ -296,9 +296,9 @@ def row_issues(spark, sf):
 
 @query(
     "normalise_summary",
-    f"""WITH c AS ({_CLEAN_SQL}) SELECT count(*) AS total_rows, count_if(issues <> '') AS issue_rows, count_if(name IS NULL) AS missing_name,
-  count_if(age IS NULL) AS missing_age, count_if(city IS NULL) AS missing_city, count_if(salary IS NULL) AS missing_salary,
-  count_if(start_date IS NULL) AS missing_start_date, count_if(email IS NULL) AS missing_email, '{'|'.join(sorted(_TAGS))}' AS date_forms FROM c""",
+    f"""WITH c AS ({_CLEAN_SQL}) SELECT count(*) AS total_rows, count(CASE WHEN issues <> '' THEN 1 END) AS issue_rows, count(CASE WHEN name IS NULL THEN 1 END) AS missing_name,
+  count(CASE WHEN age IS NULL THEN 1 END) AS missing_age, count(CASE WHEN city IS NULL THEN 1 END) AS missing_city, count(CASE WHEN salary IS NULL THEN 1 END) AS missing_salary,
+  count(CASE WHEN start_date IS NULL THEN 1 END) AS missing_start_date, count(CASE WHEN email IS NULL THEN 1 END) AS missing_email, '{'|'.join(sorted(_TAGS))}' AS date_forms FROM c""",
 )
 def normalise_summary(spark, sf):
     out = parsers.people_summary(parsers.normalise_people(_people(spark, sf), ALIASES))

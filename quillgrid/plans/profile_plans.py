@@ -16,7 +16,7 @@ from quillgrid.sources.files import table
 _FIELDS = f"""{D.CSV_CELLS_SQL},
 kinds AS (SELECT *, CASE WHEN lower(value) IN {D.MISSING_SQL} THEN NULL ELSE {D.classify_sql('value')} END AS kind FROM csv_cells),
 fields AS (
-  SELECT doc_id, position, name, count(*) AS n_rows, count_if(value = '') AS empty_count, count(DISTINCT kind) AS n_kinds,
+  SELECT doc_id, position, name, count(*) AS n_rows, count(CASE WHEN value = '' THEN 1 END) AS empty_count, count(DISTINCT kind) AS n_kinds,
     CASE count(DISTINCT kind) WHEN 0 THEN 'null' WHEN 1 THEN min(kind) ELSE 'mixed' END AS type,
     count(DISTINCT value) FILTER (value <> '') AS n_distinct,
     array_to_string((list(value ORDER BY n) FILTER (value <> ''))[1:3], '|') AS samples
@@ -63,9 +63,9 @@ def profile_issues(spark, sf):
 @query(
     "clean_report",
     f"""WITH {_FIELDS},
-money AS (SELECT doc_id, count_if(regexp_matches(value, '{K.CURRENCY_CELL}')) AS currency_values FROM csv_cells GROUP BY doc_id),
+money AS (SELECT doc_id, count(CASE WHEN regexp_matches(value, '{K.CURRENCY_CELL}') THEN 1 END) AS currency_values FROM csv_cells GROUP BY doc_id),
 c AS (SELECT doc_id, CAST(sum(n_rows) AS BIGINT) AS total_values, CAST(sum(empty_count) AS BIGINT) AS empty_values,
-    count_if(type = 'date') AS date_columns, CAST(sum(CASE WHEN type = 'email' THEN n_rows - empty_count ELSE 0 END) AS BIGINT) AS email_values,
+    count(CASE WHEN type = 'date' THEN 1 END) AS date_columns, CAST(sum(CASE WHEN type = 'email' THEN n_rows - empty_count ELSE 0 END) AS BIGINT) AS email_values,
     string_agg(name, ', ' ORDER BY position) FILTER (type = 'mixed') AS mixed FROM fields GROUP BY doc_id),
 a AS (SELECT *, list_filter([
     CASE WHEN empty_values > 0 THEN 'Data has ' || (empty_values * 100 // greatest(total_values, 1)) || '{K.ADVICE_MISSING}' END,
@@ -91,7 +91,7 @@ _CELLS = "cells AS (" + " UNION ALL ".join(
     f"SELECT o_orderkey AS row_key, '{c}' AS field, coalesce(trim(CAST({c} AS VARCHAR)), '') AS value FROM orders"
     for c in _COLUMNS
 ) + f"""), typed AS (SELECT *, CASE WHEN lower(value) IN {D.MISSING_SQL} THEN NULL ELSE {D.classify_sql('value')} END AS kind FROM cells),
-prof AS (SELECT field, count(*) AS row_count, count_if(value = '') AS empty_count, count(DISTINCT value) FILTER (value <> '') AS distinct_count,
+prof AS (SELECT field, count(*) AS row_count, count(CASE WHEN value = '' THEN 1 END) AS empty_count, count(DISTINCT value) FILTER (value <> '') AS distinct_count,
   CASE count(DISTINCT kind) WHEN 0 THEN 'null' WHEN 1 THEN min(kind) ELSE 'mixed' END AS type FROM typed GROUP BY field)"""
 
 
@@ -137,8 +137,8 @@ _LINKS = [
 @query(
     "profile_references",
     " UNION ALL ".join(
-        f"""SELECT '{ck}' AS child, '{pk}' AS parent, count(*) AS child_values, count_if(n IS NULL) AS orphans,
-  count_if(n IS NULL) = 0 AND count_if(n > 1) = 0 AS is_reference
+        f"""SELECT '{ck}' AS child, '{pk}' AS parent, count(*) AS child_values, count(CASE WHEN n IS NULL THEN 1 END) AS orphans,
+  count(CASE WHEN n IS NULL THEN 1 END) = 0 AND count(CASE WHEN n > 1 THEN 1 END) = 0 AS is_reference
 FROM (SELECT DISTINCT {ck} AS v FROM {ct} WHERE {ck} IS NOT NULL) LEFT JOIN (SELECT {pk} AS v, count(*) AS n FROM {pt} GROUP BY {pk}) USING (v)"""
         for ct, ck, pt, pk in _LINKS
     ),

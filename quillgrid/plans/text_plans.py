@@ -202,7 +202,7 @@ def significant_tokens(spark, sf):
 @query(
     "currency_cells",
     f"""WITH {D.CSV_CELLS_SQL}
-SELECT doc_id, count_if(regexp_matches(trim(value, '{WS}'), '{K.CURRENCY_CELL}')) AS cells FROM csv_cells GROUP BY doc_id""",
+SELECT doc_id, count(CASE WHEN regexp_matches(trim(value, '{WS}'), '{K.CURRENCY_CELL}') THEN 1 END) AS cells FROM csv_cells GROUP BY doc_id""",
 )
 def currency_cells(spark, sf):
     return D.csv_docs(spark, sf).select("doc_id", text.currency_cells(F.col("text")).alias("cells"))

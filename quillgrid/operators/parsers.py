@@ -171,13 +171,22 @@ def _money(text: Column) -> Column:
 
 def invoice(text: Column) -> Column:
     """An invoice as one struct: head, parties, line items, totals, payment, and a sum check."""
+    return let(text, _invoice)
+
+
+def _invoice(text: Column) -> Column:
     plain_lines = lambda ls: F.filter(ls, lambda l: ~l.rlike(r"^[A-Za-z ]+:"))
     labelled = lambda ls, label: _or_null(
         F.regexp_replace(F.get(F.filter(ls, lambda l: l.startswith(label)), F.lit(0)), rf"^{label}\s*", "")
     )
 
     def item(line: Column) -> Column:
-        g = lambda i: F.regexp_extract(line, INVOICE_ITEM, i)
+        # One match per line: its groups are written out with a separator and split again.
+        groups = F.split(F.regexp_replace(line, INVOICE_ITEM, "\x01".join(f"${i}" for i in range(1, 7))), "\x01", -1)
+        return let(groups, of_groups)
+
+    def of_groups(parts: Column) -> Column:
+        g = lambda i: F.get(parts, F.lit(i - 1))
         return F.struct(
             g(1).alias("description"), _money(g(2)).alias("quantity"), _or_null(g(3)).alias("unit"),
             _money(g(4)).alias("unit_price"),

@@ -51,28 +51,33 @@ def piece_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encode_pieces(pieces: list[bytes], vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all pieces in turn, and where each piece's ids begin (one more at the end)."""
+def encode_pieces(pieces: list[bytes], vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all pieces in some order; where each piece's ids begin, and how many it has."""
     enc = encoder(vocabulary)
-    plain = [i for i, p in enumerate(pieces) if p[1:2] > b" " and p[:1] not in b"\t\n\v\f\r" or len(p) == 1 and p > b" "]
-    ids: list = [None] * len(pieces)
+    # In a joined text each line end is one token of its own, as these pieces hold no white space after their first character.
+    plain = [i for i, p in enumerate(pieces) if p[0] > 32 or p[0] == 32 and p[1:2] > b" "]
+    begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    ids, total = [np.zeros(0, np.uint32)], 0
+
+    def put(where, part: np.ndarray, sizes: np.ndarray) -> None:
+        nonlocal total
+        begin[where], size[where] = total + np.cumsum(sizes) - sizes, sizes
+        ids.append(part)
+        total += len(part)
+
+    rest = set(range(len(pieces))).difference(plain) if len(plain) < len(pieces) else set()
     for lo in range(0, len(plain), 20_000):
         some = plain[lo:lo + 20_000]
-        # In the joined text each line end is one token of its own, as no piece holds or ends in white space after its first character.
-        joined = np.array(enc.encode_ordinary(b"\n".join(pieces[i] for i in some).decode()), np.uint32)
-        stop = np.append(np.flatnonzero(joined == _NEWLINE), len(joined))
-        if len(stop) != len(some):
-            parts = [np.array(enc.encode_ordinary(pieces[i].decode()), np.uint32) for i in some]
+        joined = np.array(enc.encode_ordinary(b"\n".join([pieces[i] for i in some]).decode()), np.uint32)
+        ends = np.flatnonzero(joined == _NEWLINE)
+        if len(ends) == len(some) - 1:
+            put(some, joined[joined != _NEWLINE], np.diff(np.concatenate([[-1], ends, [len(joined)]])) - 1)
         else:
-            start = np.insert(stop[:-1] + 1, 0, 0)
-            parts = [joined[a:b] for a, b in zip(start, stop)]
-        for i, part in zip(some, parts):
-            ids[i] = part
-    for i, p in enumerate(pieces):
-        if ids[i] is None:
-            ids[i] = np.array(enc.encode_ordinary(p.decode()), np.uint32)
-    size = np.array([len(x) for x in ids], np.int64)
-    return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(size)])
+            rest.update(some)
+    for i in sorted(rest):
+        part = np.array(enc.encode_ordinary(pieces[i].decode()), np.uint32)
+        put([i], part, np.array([len(part)]))
+    return np.concatenate(ids), begin, size
 
 
 class Known:
@@ -82,17 +87,17 @@ class Known:
         self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         """Sorted new keys with their ids."""
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.begin = np.insert(self.begin, at, begin[:-1] + len(self.ids))
-        self.size = np.insert(self.size, at, np.diff(begin))
+        self.begin = np.insert(self.begin, at, begin + len(self.ids))
+        self.size = np.insert(self.size, at, size)
         self.ids = np.concatenate([self.ids, ids])
 
 
-#: Pieces kept by a process (some 50 MB).
-MOST_KNOWN = 1_000_000
+#: Pieces kept by a process (some 100 MB).
+MOST_KNOWN = 2_000_000
 #: Slices that share a sweep over the known pieces.
 SLICE_BYTES = 4 << 20
 _known: dict[str, Known] = {}

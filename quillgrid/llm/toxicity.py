@@ -50,12 +50,14 @@ class Model:
     bias: float
     sizes: tuple[int, ...] = SIZES
     n_slots: int = SLOTS
+    _table: np.ndarray | None = None
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Probability that each text is toxic; an empty text has the bias alone."""
-        table = np.zeros(self.n_slots, np.float32)
-        table[self.slots] = self.weights
-        n = len(off) - 1
+        if self._table is None:
+            self._table = np.zeros(self.n_slots, np.float32)
+            self._table[self.slots] = self.weights
+        table, n = self._table, len(off) - 1
         total = np.full(n, self.bias)
         found = []
         for slot, start, end in text_slots(buf, off, self.sizes, self.n_slots):

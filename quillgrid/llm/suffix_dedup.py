@@ -82,14 +82,19 @@ def _deal(keys: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
 
 
-def _smallest(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the place of one of each, and the smallest and largest id of each."""
-    order = np.argsort(keys, kind="stable")
+def _smallest(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the place of one of each, the smallest and largest id of each, and for each item its key's number."""
+    order = np.argsort(keys)
     k = keys[order]
-    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     if not len(k):
-        return k, head, ids[:0], ids[:0]
-    return k[head], order[head], np.minimum.reduceat(ids[order], head), np.maximum.reduceat(ids[order], head)
+        return k, order, ids[:0], ids[:0], order
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    head = np.flatnonzero(new)
+    back = np.empty(len(k), np.int64)
+    back[order] = np.cumsum(new) - 1
+    i = ids[order]
+    return k[head], order[head], np.minimum.reduceat(i, head), np.maximum.reduceat(i, head), back
 
 
 def trigger_rows(docs: DataFrame, n: int, length: int) -> DataFrame:
@@ -102,7 +107,7 @@ def trigger_rows(docs: DataFrame, n: int, length: int) -> DataFrame:
             rows: list[tuple] = []
             for b in np.unique(bucket):
                 pick = bucket == b
-                keys, _, least, most = _smallest(p.key[pick], ids[pick])
+                keys, _, least, most, _ = _smallest(p.key[pick], ids[pick])
                 cut = _deal(keys, n)
                 rows += [(k, b, keys[s:e].tobytes(), least[s:e].tobytes(), (least[s:e] != most[s:e]).tobytes())
                          for k, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
@@ -128,8 +133,7 @@ def shared_triggers(rows: DataFrame, n: int) -> DataFrame:
         if not keys:
             return
         every, ids = np.concatenate(keys), np.concatenate(docs)
-        u, _, least, most = _smallest(every, ids)
-        at = np.searchsorted(u, every)
+        u, _, least, most, at = _smallest(every, ids)
         several = np.zeros(len(u), bool)
         several[at[np.concatenate(many)]] = True
         shared = ((least != most) | several)[at]
@@ -158,7 +162,7 @@ def phrase_rows(docs: DataFrame, shared: DataFrame, n: int, length: int) -> Data
             at = np.minimum(np.searchsorted(keys, p.key), len(keys) - 1)
             pick = np.flatnonzero(keys[at] == p.key)
             ids = _ids(_column(left, "doc_id", pa.int64()))[p.doc[pick]]
-            _, one, least, _ = _smallest(p.content[pick], ids)
+            _, one, least, _, _ = _smallest(p.content[pick], ids)
             order = np.argsort(p.key[pick[one]], kind="stable")
             one, least = pick[one[order]], least[order]
             size = p.last[one] - p.first[one] + length
@@ -200,8 +204,8 @@ def repeated_windows(rows: DataFrame, n: int, length: int) -> DataFrame:
             at = np.arange(windows.sum()) - base[phrase] + start[phrase]
             h = T.span_hashes(prefix, at, at + length)
             own = ids[phrase]
-            u, _, least, _ = _smallest(h, own)
-            repeated = least[np.searchsorted(u, h)] < own
+            _, _, least, _, back = _smallest(h, own)
+            repeated = least[back] < own
             edge = np.ones(len(h) + 1, bool)
             edge[1:-1] = (repeated[1:] != repeated[:-1]) | (phrase[1:] != phrase[:-1])
             bounds = np.flatnonzero(edge)
@@ -227,8 +231,8 @@ def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[Phrases, np.
     p = Phrases(_column(left, "text", pa.string()), length)
     ids = _ids(_column(left, "doc_id", pa.int64()))[p.doc]
     change = np.zeros(len(p.buf) + 1, np.int64)
-    u, _, least, _ = _smallest(p.content, ids)
-    later = least[np.searchsorted(u, p.content)] < ids
+    u, _, least, _, back = _smallest(p.content, ids)
+    later = least[back] < ids
     np.add.at(change, p.first[later], 1)
     np.add.at(change, p.last[later] + length, -1)
     if right.num_rows:
@@ -236,7 +240,7 @@ def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[Phrases, np.
         begin, end = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in right[c]]).astype(np.int64) for c in ("begins", "ends"))
         order = np.argsort(name, kind="stable")
         name, begin, end = name[order], begin[order], end[order]
-        lo, hi = np.searchsorted(name, p.content, "left"), np.searchsorted(name, p.content, "right")
+        lo, hi = (np.searchsorted(name, u, side)[back] for side in ("left", "right"))
         n = hi - lo
         run = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         where = np.repeat(p.first, n)
@@ -245,8 +249,9 @@ def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[Phrases, np.
     return p, np.cumsum(change[:-1]) > 0
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left) of each row of ``doc_id, text``.
+def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left, and the columns to carry) of each row of
+    ``doc_id, text``.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id. Matches never cross documents. A
     null text counts as empty, a null id as smaller than all; rows of the same id don't take from each other. Other columns are ignored,
@@ -254,7 +259,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False) -> Dat
     """
     spark = docs.sparkSession
     n = parts_of(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("bucket", range_bucket(docs, "doc_id", 2 * n).cast("int"))
+    bucket = range_bucket(docs, "doc_id", 2 * n).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bucket.alias("bucket"))
     shared = materialise(shared_triggers(trigger_rows(rows, 2 * n, length), n), "triggers")
     repeats = materialise(repeated_windows(phrase_rows(rows, shared, 2 * n, length), n, length), "repeats")
 
@@ -269,7 +275,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False) -> Dat
         cols = list(zip(*out)) or [[]] * 5
         table = {"doc_id": _column(left, "doc_id", pa.int64()), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()),
                  "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())}
-        return pa.table(table | ({"kept": pa.array(cols[4], pa.binary())} if with_kept else {}))
+        table |= {"kept": pa.array(cols[4], pa.binary())} if with_kept else {}
+        return pa.table(table | {f"_c{i}": left[f"_c{i}"] for i in range(len(carry))})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
-    return rows.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(run, schema)
+    schema += "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bucket.alias("bucket"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
+    done = whole.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(run, schema)
+    return done.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})

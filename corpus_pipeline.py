@@ -34,17 +34,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     done = suffix_dedup.dedup(docs, with_kept=True, carry=others)
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", F.lit("UTF-8"))).otherwise(_whole_characters(F.col("kept")))
-    done = done.where("n_bytes = 0 or n_removed < n_bytes").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return done.select(*docs.columns)
-
-
-def _whole_characters(kept):
-    """Bytes as text, where broken characters (read as replacement marks) are left out unless the bytes held such a mark."""
-    mark = F.lit(b"\xef\xbf\xbd")
-    read = F.try_validate_utf8(kept.cast("string"))
-    fixed = F.replace(F.make_valid_utf8(kept.cast("string")), mark.cast("string"), F.lit(""))
-    return F.coalesce(read, fixed)
+    done = done.where("n_bytes = 0 or n_removed < n_bytes").withColumn("n_chars", F.length("kept_text").cast("long"))
+    return done.withColumnRenamed("kept_text", "text").select(*docs.columns)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

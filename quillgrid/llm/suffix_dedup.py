@@ -250,8 +250,8 @@ def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[Phrases, np.
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left, and the columns to carry) of each row of
-    ``doc_id, text``.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row of ``doc_id, text``. With ``with_kept`` also ``kept``, the
+    bytes left, and ``kept_text``, their whole characters; and the columns to carry.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id. Matches never cross documents. A
     null text counts as empty, a null id as smaller than all; rows of the same id don't take from each other. Other columns are ignored,
@@ -275,10 +275,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, carry:
         cols = list(zip(*out)) or [[]] * 5
         table = {"doc_id": _column(left, "doc_id", pa.int64()), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()),
                  "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())}
-        table |= {"kept": pa.array(cols[4], pa.binary())} if with_kept else {}
+        if with_kept:
+            table |= {"kept": pa.array(cols[4], pa.binary()), "kept_text": pa.array([k.decode("utf-8", "ignore") for k in cols[4]], pa.string())}
         return pa.table(table | {f"_c{i}": left[f"_c{i}"] for i in range(len(carry))})
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, kept_text string" if with_kept else "")
     schema += "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bucket.alias("bucket"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
     done = whole.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(run, schema)

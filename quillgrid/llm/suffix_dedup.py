@@ -230,7 +230,7 @@ def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[Phrases, np.
     """The phrases of a document bucket and, for each byte, whether it goes."""
     p = Phrases(_column(left, "text", pa.string()), length)
     ids = _ids(_column(left, "doc_id", pa.int64()))[p.doc]
-    change = np.zeros(len(p.buf) + 1, np.int64)
+    change = np.zeros(len(p.buf) + 1, np.int32)
     u, _, least, _, back = _smallest(p.content, ids)
     later = least[back] < ids
     np.add.at(change, p.first[later], 1)
@@ -246,7 +246,7 @@ def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[Phrases, np.
         where = np.repeat(p.first, n)
         np.add.at(change, where + begin[run], 1)
         np.add.at(change, where + end[run] + length, -1)
-    return p, np.cumsum(change[:-1]) > 0
+    return p, np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -262,7 +262,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, carry:
     bucket = range_bucket(docs, "doc_id", 2 * n).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bucket.alias("bucket"))
     shared = materialise(shared_triggers(trigger_rows(rows, 2 * n, length), n), "triggers")
-    repeats = materialise(repeated_windows(phrase_rows(rows, shared, 2 * n, length), n, length), "repeats")
+    repeats = materialise(repeated_windows(phrase_rows(rows, shared, 8 * n, length), n, length), "repeats")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         p, gone = _removed(left, right, length)

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.session import materialise
 from quillgrid.sources.files import table
 
-__all__ = ["bucketed", "held_out", "materialise", "parts_of", "range_bucket", "rows_to_batch", "table"]
+__all__ = ["held_out", "hinted", "materialise", "parts_of", "range_bucket", "table"]
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
@@ -24,11 +21,6 @@ def parts_of(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * factor
 
 
-def bucketed(df: DataFrame, bucket: str, n: int) -> DataFrame:
-    """Rows dealt by a bucket number into the session's shuffle partitions."""
-    return df.repartition(n, bucket)
-
-
 def range_bucket(df: DataFrame, column: str, n: int) -> Column:
     """Buckets 0 to n - 1 of about equal row counts in the order of a number; null falls in the first.
 
@@ -44,9 +36,10 @@ def range_bucket(df: DataFrame, column: str, n: int) -> Column:
     return F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(column).cast("double"))), F.lit(0))
 
 
-def rows_to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+#: Rows of a stored table of ids that every task may hold (some 20 MB).
+MOST_BROADCAST = 1_000_000
 
 
-def no_batches() -> Iterator[pa.RecordBatch]:
-    return iter(())
+def hinted(stored: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if it is counted to be small; else the planner decides."""
+    return F.broadcast(stored) if stored.count() <= MOST_BROADCAST else stored

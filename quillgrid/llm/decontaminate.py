@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import textbytes as T
-from quillgrid.llm.common import materialise
+from quillgrid.llm.common import hinted, materialise
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -222,4 +222,4 @@ def _aligner(shared, seeds, share: float):
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
     bad = materialise(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    return docs.join(hinted(bad), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")

@@ -1,6 +1,6 @@
 """N-gram Jaccard join with a count-vector R-tree: documents whose word n-gram sets are alike, exactly.
 
-A set's n-grams are hashed into groups; the counts of the groups are a point. The overlap of two sets is at most the sum of the smaller
+A set's n-grams are hashed into groups; the counts of the groups are a point (folded to 64 groups in the tree, finer for a pair). The overlap of two sets is at most the sum of the smaller
 counts, and of a set and all points of a tree node at most that with the node's largest counts; so a tree over the points finds the
 pairs that may be alike, and these are compared whole.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import textbytes as T
-from quillgrid.llm.common import materialise, parts_of
+from quillgrid.llm.common import hinted, materialise, parts_of
 from quillgrid.llm.components import components
 
 SIZE, PERCENT, GROUPS = 5, 80, 64
@@ -56,6 +56,22 @@ def needed(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def point(grams: np.ndarray) -> np.ndarray:
+    """Counts of a set's n-grams by group. Larger sets have more groups, a power of two of them, which fold down to fewer."""
+    groups = max(GROUPS, 1 << max(0, len(grams) // 3).bit_length())
+    return np.bincount((T.mix(grams) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return counts if len(counts) == groups else counts.reshape(-1, groups).sum(0)
+
+
+def overlap_bound(p: np.ndarray, q: np.ndarray) -> int:
+    """No two sets of these points share more n-grams."""
+    n = min(len(p), len(q))
+    return int(np.minimum(folded(p, n), folded(q, n)).sum())
+
+
 class CountTree:
     """An R-tree over count vectors, packed bottom up in the order of set size and largest groups.
 
@@ -159,7 +175,7 @@ def signatures(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                         keys.append(None)
                         continue
                     seen.add(node)
-                    counts.append(np.bincount((T.mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes())
+                    counts.append(point(s).astype("<i4").tobytes())
                     k = len(s) - -(-percent * len(s) // 100) + 1
                     rare = s[~is_usual][:k]
                     rest = s[is_usual][:k - len(rare)]
@@ -216,7 +232,7 @@ def sets_of(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, size: int) ->
                 [batch.column(0).filter(pa.array(own, pa.bool_())), pa.array([s.view(np.int64).tobytes() for s, o in zip(sets, own) if o], pa.binary())],
                 ["node", "grams"])
 
-    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    return docs.join(hinted(wanted), "doc_id").select("node", "text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,8 +261,8 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = (np.asarray(batch.column(i)) for i in (2, 4))
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, GROUPS) for i in (3, 5))
-            keep = pa.array(np.minimum(p, q).sum(1) >= needed(m, n, percent))
+            p, q = ([np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(i)] for i in (3, 5))
+            keep = pa.array(np.array([overlap_bound(x, y) for x, y in zip(p, q)], np.int64) >= needed(m, n, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     left = points.select(F.col("node").alias("a"), F.col("n").alias("_m"), F.col("counts").alias("_p"))
@@ -259,9 +275,13 @@ def tree_pairs(groups: DataFrame, n: int, percent: int) -> DataFrame:
 
     def search(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<i4").reshape(-1, GROUPS)
-        node = np.asarray(table["node"])
-        for x, y in CountTree(counts, np.asarray(table["n"]), np.asarray(table["root"])).pairs(percent):
+        fine = [np.frombuffer(x.as_buffer(), "<i4") for x in table["counts"]]
+        counts = np.stack([folded(x) for x in fine])
+        node, size = np.asarray(table["node"]), np.asarray(table["n"])
+        for x, y in CountTree(counts, size, np.asarray(table["root"])).pairs(percent):
+            bound = np.array([overlap_bound(fine[i], fine[j]) for i, j in zip(x, y)], np.int64)
+            near = bound >= needed(size[x], size[y], percent)
+            x, y = x[near], y[near]
             a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

@@ -58,10 +58,20 @@ def needed(a, b, percent: int = PERCENT):
 
 def point(grams: np.ndarray) -> np.ndarray:
     """Counts of a set's n-grams by group. Larger sets have more groups, a power of two of them, which fold down to fewer."""
-    groups = max(GROUPS, 1 << max(0, len(grams) // 3).bit_length())
+    groups = max(GROUPS, min(1 << len(grams).bit_length(), 1 << 13))
     return np.bincount((T.mix(grams) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes where they fit, else as 32-bit numbers behind a mark; their number is a power of two."""
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\0" + counts.astype("<u4").tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    return (raw if len(raw) % 2 == 0 else raw[1:].view("<u4")).astype(np.int32)
+
+
 def folded(counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return counts if len(counts) == groups else counts.reshape(-1, groups).sum(0)
 
@@ -145,7 +155,8 @@ def frequent_grams(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
-    """``doc_id, n, node, usual, counts, keys``: set size, set id, how many of the first keys are frequent ones, the point, the prefix.
+    """``doc_id, n, node, usual, counts, coarse, keys``: set size, set id, how many of the first keys are frequent ones, the point, the
+    point folded, the prefix.
 
     ``node`` has the share of frequent n-grams in its first 7 bits, then 57 bits of a hash of the whole set; null for an empty set. Of equal
     sets in a batch only the first carries keys.
@@ -154,7 +165,7 @@ def signatures(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
         usual = frequent.value
         for batch in batches:
             seen: set[int] = set()
-            n, nodes, common, counts, keys = [], [], [], [], []
+            n, nodes, common, counts, coarse, keys = [], [], [], [], [], []
             for _, _, buf, off in T.slices(batch.column(1)):
                 for s in gram_sets(buf, off, size):
                     n.append(len(s))
@@ -162,6 +173,7 @@ def signatures(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                         nodes.append(None)
                         common.append(0)
                         counts.append(None)
+                        coarse.append(None)
                         keys.append(None)
                         continue
                     at = np.minimum(np.searchsorted(usual, s), max(0, len(usual) - 1))
@@ -172,20 +184,23 @@ def signatures(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                     if node in seen:
                         common.append(0)
                         counts.append(None)
+                        coarse.append(None)
                         keys.append(None)
                         continue
                     seen.add(node)
-                    counts.append(point(s).astype("<i4").tobytes())
+                    counts.append(packed(at := point(s)))
+                    coarse.append(packed(folded(at)))
                     k = len(s) - -(-percent * len(s) // 100) + 1
                     rare = s[~is_usual][:k]
                     rest = s[is_usual][:k - len(rare)]
                     common.append(len(rest))
                     keys.append(np.concatenate([rest, rare]).view(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(common, pa.int32()), pa.array(counts, pa.binary()), pa.array(keys, pa.binary())],
-                ["doc_id", "n", "node", "usual", "counts", "keys"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(common, pa.int32()), pa.array(counts, pa.binary()),
+                 pa.array(coarse, pa.binary()), pa.array(keys, pa.binary())],
+                ["doc_id", "n", "node", "usual", "counts", "coarse", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, usual int, counts binary, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, usual int, counts binary, coarse binary, keys binary")
 
 
 def prefix_keys(signed: DataFrame) -> DataFrame:
@@ -261,7 +276,7 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = (np.asarray(batch.column(i)) for i in (2, 4))
-            p, q = ([np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(i)] for i in (3, 5))
+            p, q = ([unpacked(x.as_buffer()) for x in batch.column(i)] for i in (3, 5))
             keep = pa.array(np.array([overlap_bound(x, y) for x, y in zip(p, q)], np.int64) >= needed(m, n, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -271,34 +286,48 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def tree_pairs(groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """``a, b``: pairs of different components that the trees of the groups (``key, node, root, n, counts``) let through."""
+    """``a, b``: pairs of different components that the trees of the groups (``key, node, root, n, coarse``) let through, each once.
 
+    A tree gives one row per set with its partners packed, so that a pair that several keys find is put together before it is a row.
+    """
     def search(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        fine = [np.frombuffer(x.as_buffer(), "<i4") for x in table["counts"]]
-        counts = np.stack([folded(x) for x in fine])
-        node, size = np.asarray(table["node"]), np.asarray(table["n"])
-        for x, y in CountTree(counts, size, np.asarray(table["root"])).pairs(percent):
-            bound = np.array([overlap_bound(fine[i], fine[j]) for i, j in zip(x, y)], np.int64)
-            near = bound >= needed(size[x], size[y], percent)
-            x, y = x[near], y[near]
-            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = np.asarray(table["node"])
+        tree = CountTree(np.stack([unpacked(x.as_buffer()) for x in table["coarse"]]), np.asarray(table["n"]), np.asarray(table["root"]))
+        for x, y in tree.pairs(percent):
+            yield packed_rows(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
+
+    def packed_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        cut = [*head.tolist(), len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array([b[s:e].tobytes() for s, e in zip(cut, cut[1:])], pa.binary())], ["a", "bs"])
+
+    def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             key = np.asarray(batch.column(0))
             cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for a, b in zip(cut, cut[1:]):
-                if held and np.asarray(held[0].column(0))[0] != key[a]:
-                    yield from search(held)
+                if held and held[0].column(0)[0].as_py() != key[a]:
+                    yield held
                     held = []
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from search(held)
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches):
+            yield from search(group)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches):
+            b = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for g in group for x in g.column(1)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), group[0].column(0)[0].as_py(), np.int64)), pa.array(b)], ["a", "b"])
 
-    return groups.select("key", "node", "root", "n", "counts").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    found = groups.select("key", "node", "root", "n", "coarse").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, bs binary")
+    return found.repartition(n, "a").sortWithinPartitions("a").mapInArrow(unpack, "a long, b long")
 
 
 def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -326,8 +355,9 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     open_keys = labelled.groupBy("key").agg(
         F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"),
     ).where("x <> y").groupBy("c", "s", "x", "y").agg(F.min("key").alias("key")).select("key")
-    groups = labelled.join(open_keys, "key").dropDuplicates(["key", "node"]).join(points, "node")
-    more_pairs = materialise(tree_pairs(groups, n, percent), "pairs")
+    coarse = signed.where("coarse is not null").select("node", "n", "coarse").dropDuplicates(["node"])
+    groups = labelled.join(open_keys, "key").dropDuplicates(["key", "node"]).join(coarse, "node")
+    more_pairs = materialise(bounded(tree_pairs(groups, n, percent), points, percent), "pairs")
     more_links = _verified(more_pairs, firsts, rows, size, percent)
     roots = components(links.union(more_links)) if more_links.take(1) else roots
     nodes = signed.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

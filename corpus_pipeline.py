@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import decontaminate, jaccard_join, packing, suffix_dedup, toxicity
-from quillgrid.llm.common import hinted, materialise, table
+from quillgrid.llm.common import hinted, materialise, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,16 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+def _prepared(stage):
+    return lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", drop_near_copies),
-    ("suffix_array_dedup", drop_repeated_passages),
-    ("benchmark_decontamination", drop_benchmark_copies),
-    ("best_fit_packing", pack_sequences),
+    ("toxicity", _prepared(drop_toxic)),
+    ("ngram_jaccard_join", _prepared(drop_near_copies)),
+    ("suffix_array_dedup", _prepared(drop_repeated_passages)),
+    ("benchmark_decontamination", _prepared(drop_benchmark_copies)),
+    ("best_fit_packing", _prepared(pack_sequences)),
 ]
 
 #: SQL cannot express the classifier, the alignment or the packing.

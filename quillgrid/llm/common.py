@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgrid.session import materialise
 from quillgrid.sources.files import table
 
-__all__ = ["held_out", "hinted", "materialise", "parts_of", "range_bucket", "table"]
+__all__ = ["held_out", "hinted", "materialise", "parts_of", "range_bucket", "small_batches", "table"]
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
@@ -16,6 +16,14 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most 2,000 rows: texts are long, and two tasks share an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > 2000:
+        spark.conf.set(name, "2000")
+    return spark
+
+
 def parts_of(spark: SparkSession, factor: int = 1) -> int:
     """How many buckets to deal rows into: the session's shuffle partitions, times a factor."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * factor

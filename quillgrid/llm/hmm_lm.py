@@ -28,6 +28,8 @@ SEGMENT = 128
 #: The hash and the class of the token that ends every text.
 END_HASH = np.uint64(0x5DEECE66D1234567)
 END_CLASS = 0
+#: Tokens of a task that are put together before they are dealt.
+_HELD = 3_000_000
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,26 +62,35 @@ def asked_words(docs: DataFrame, n_words: int) -> DataFrame:
     their counts in training texts. ``docs`` has ``bucket, learn, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             h, kind, first = batch_tokens(batch.column(2))
-            bucket = np.asarray(batch.column(0)).astype(np.int64)
             owner = T.owners(first)
-            learn = np.asarray(batch.column(1)).astype(float)[owner]
-            rows: list[tuple] = []
-            for b in np.unique(bucket):
-                pick = np.flatnonzero(bucket[owner] == b)
-                u, at, back = np.unique(h[pick], return_index=True, return_inverse=True)
-                count = np.bincount(back, learn[pick], len(u)).astype(np.uint32)
-                c = kind[pick][at]
-                wb = ((u >> np.uint64(32)) * np.uint64(n_words) >> np.uint64(32)).astype(np.int64)
-                cut = np.searchsorted(wb, np.arange(n_words + 1))
-                rows += [(w, b, u[s:e].tobytes(), c[s:e].tobytes(), count[s:e].tobytes())
-                         for w, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
-            if rows:
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
-                    ["wb", "bucket", "words", "classes", "counts"])
+            held.append((h, kind, np.asarray(batch.column(0)).astype(np.int32)[owner], np.asarray(batch.column(1)).astype(np.float32)[owner]))
+            if sum(len(x[0]) for x in held) > _HELD:
+                yield from deal(held)
+                held = []
+        yield from deal(held)
+
+    def deal(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        h, kind, bucket, learn = (np.concatenate(x) for x in zip(*held))
+        rows: list[tuple] = []
+        for b in np.unique(bucket):
+            pick = np.flatnonzero(bucket == b)
+            u, at, back = np.unique(h[pick], return_index=True, return_inverse=True)
+            count = np.bincount(back, learn[pick], len(u)).astype(np.uint32)
+            c = kind[pick][at]
+            wb = ((u >> np.uint64(32)) * np.uint64(n_words) >> np.uint64(32)).astype(np.int64)
+            cut = np.searchsorted(wb, np.arange(n_words + 1))
+            rows += [(w, b, u[s:e].tobytes(), c[s:e].tobytes(), count[s:e].tobytes())
+                     for w, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
+        if rows:
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
+                ["wb", "bucket", "words", "classes", "counts"])
 
     return docs.select("bucket", "learn", "text").mapInArrow(run, "wb int, bucket int, words binary, classes binary, counts binary")
 

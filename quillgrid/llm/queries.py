@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import chat, decontaminate, fingerprints, hmm_lm, html_main, jaccard_join, packing, suffix_dedup, token_counts, toxicity
-from quillgrid.llm.common import held_out, table
+from quillgrid.llm.common import held_out, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,8 +94,12 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _prepared(query: Query) -> Query:
+    return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (
+    return {f.__name__: _prepared(f) for f in (
         op1_fingerprints, op2_chat_format, op3_html_main_text, op4_jaccard_join, op5_best_fit_packing, op6_toxicity, op7_decontaminate,
         op8_token_counts, op9_suffix_dedup, op10_hmm_lm)}
 

@@ -29,6 +29,8 @@ _PLACE = np.uint64(30)
 _NULL_ID = np.iinfo(np.int64).min
 #: Bytes parsed at once: the passes stay in the processor's cache.
 _SLICE = 1 << 17
+#: Phrases of a task that are put together before they are dealt.
+_HELD = 1_000_000
 
 
 class Phrases:
@@ -101,21 +103,31 @@ def trigger_rows(docs: DataFrame, n: int, length: int) -> DataFrame:
     """``kb, bucket, keys, docs, many``: the distinct triggers of a task's documents by key bucket and document bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             p = Phrases(batch.column(2), length)
-            ids, bucket = _ids(batch.column(1))[p.doc], np.asarray(batch.column(0)).astype(np.int64)[p.doc]
-            rows: list[tuple] = []
-            for b in np.unique(bucket):
-                pick = bucket == b
-                keys, _, least, most, _ = _smallest(p.key[pick], ids[pick])
-                cut = _deal(keys, n)
-                rows += [(k, b, keys[s:e].tobytes(), least[s:e].tobytes(), (least[s:e] != most[s:e]).tobytes())
-                         for k, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
-            if rows:
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
-                    ["kb", "bucket", "keys", "docs", "many"])
+            held.append((p.key, _ids(batch.column(1))[p.doc], np.asarray(batch.column(0)).astype(np.int64)[p.doc]))
+            if sum(len(h[0]) for h in held) > _HELD:
+                yield from deal(held)
+                held = []
+        yield from deal(held)
+
+    def deal(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        key, ids, bucket = (np.concatenate(x) for x in zip(*held))
+        rows: list[tuple] = []
+        for b in np.unique(bucket):
+            pick = bucket == b
+            keys, _, least, most, _ = _smallest(key[pick], ids[pick])
+            cut = _deal(keys, n)
+            rows += [(k, b, keys[s:e].tobytes(), least[s:e].tobytes(), (least[s:e] != most[s:e]).tobytes())
+                     for k, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
+        if rows:
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
+                ["kb", "bucket", "keys", "docs", "many"])
 
     return docs.select("bucket", "doc_id", "text").mapInArrow(run, "kb int, bucket int, keys binary, docs binary, many binary")
 

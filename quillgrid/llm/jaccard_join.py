@@ -271,7 +271,7 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose points allow them to be alike."""
+    """The stored pairs whose points allow them to be alike. ``points`` may hold a node more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +282,10 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     left = points.select(F.col("node").alias("a"), F.col("n").alias("_m"), F.col("counts").alias("_p"))
     right = points.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("counts").alias("_q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_m", "_p", "_n", "_q").mapInArrow(run, "a long, b long")
+    # Few points are asked for: the pairs go to them, and not all points to the pairs.
+    half = left.join(hinted(pairs), "a")
+    other = right.join(hinted(materialise(pairs.select("b").distinct(), "ends")), "b")
+    return half.join(other, "b").select("a", "b", "_m", "_p", "_n", "_q").mapInArrow(run, "a long, b long").distinct()
 
 
 def tree_pairs(groups: DataFrame, n: int, percent: int) -> DataFrame:
@@ -344,10 +347,10 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     frequent = spark.sparkContext.broadcast(frequent_grams(rows, size))
     signed = materialise(signatures(rows, frequent, size, percent), "sets")
     firsts = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    points = signed.where("counts is not null").select("node", "n", "counts").dropDuplicates(["node"])
+    points = signed.where("counts is not null").select("node", "n", "counts")
     shared = materialise(shared_keys(prefix_keys(signed), n), "keys")
     hub_pairs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first_pairs = materialise(bounded(hub_pairs, points, percent), "pairs")
+    first_pairs = materialise(bounded(materialise(hub_pairs, "hubs"), points, percent), "pairs")
     links = _verified(first_pairs, firsts, rows, size, percent)
     roots = materialise(components(links), "roots")
     labelled = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -357,7 +360,7 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     ).where("x <> y").groupBy("c", "s", "x", "y").agg(F.min("key").alias("key")).select("key")
     coarse = signed.where("coarse is not null").select("node", "n", "coarse").dropDuplicates(["node"])
     groups = labelled.join(open_keys, "key").dropDuplicates(["key", "node"]).join(coarse, "node")
-    more_pairs = materialise(bounded(tree_pairs(groups, n, percent), points, percent), "pairs")
+    more_pairs = materialise(bounded(materialise(tree_pairs(groups, n, percent), "trees"), points, percent), "pairs")
     more_links = _verified(more_pairs, firsts, rows, size, percent)
     roots = components(links.union(more_links)) if more_links.take(1) else roots
     nodes = signed.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

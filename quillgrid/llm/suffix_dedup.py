@@ -71,7 +71,8 @@ def _parse(buf: np.ndarray, off: np.ndarray, length: int):
     final = whole.copy()
     final[:-1] &= (place[1:] != place[:-1]) | ~whole[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(final)
-    return np.searchsorted(off, first, "right") - 1, first, last, h[place[first]], T.span_hashes(prefix, first, last + length)
+    # Smallest hashes are small; mixed once more they fall into all buckets alike.
+    return np.searchsorted(off, first, "right") - 1, first, last, T.mix(h[place[first]] + np.uint64(length)), T.span_hashes(prefix, first, last + length)
 
 
 def _ids(column: pa.Array) -> np.ndarray:

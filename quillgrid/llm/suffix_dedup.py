@@ -195,6 +195,25 @@ def phrase_rows(docs: DataFrame, shared: DataFrame, n: int, length: int) -> Data
         run, "pb int, bucket int, sizes binary, docs binary, phrases binary")
 
 
+def _phrase_windows(text: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The content hash of each phrase, and the hashes of all its windows in turn; phrases are hashed a slice at a time."""
+    names, hashes = [], []
+    stop = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        begin = int(stop[lo] - size[lo])
+        hi = max(lo + 1, int(np.searchsorted(stop, begin + T.SLICE_BYTES, "right")))
+        n = size[lo:hi]
+        start = np.cumsum(n) - n
+        prefix = T.prefix_hashes(T.BYTE_VALUES[text[begin:int(stop[hi - 1])]])
+        windows = n - length + 1
+        at = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+        names.append(T.span_hashes(prefix, start, start + n))
+        hashes.append(T.window_hashes(prefix, length)[at])
+        lo = hi
+    return np.concatenate(names), np.concatenate(hashes)
+
+
 def repeated_windows(rows: DataFrame, n: int, length: int) -> DataFrame:
     """``bucket, phrases, begins, ends``: runs of a phrase's windows that a document before the phrase's own smallest one holds."""
 
@@ -204,18 +223,16 @@ def repeated_windows(rows: DataFrame, n: int, length: int) -> DataFrame:
             for r in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 by.setdefault(r[0], []).append(r[1:])
         codec = pa.Codec("zstd")
+        found: dict[int, list[tuple]] = {}
         for group in by.values():
             sizes = [np.frombuffer(r[1], np.uint8).astype(np.int64) for r in group]
             text = np.frombuffer(b"".join(codec.decompress(r[3], int(s.sum()), asbytes=True) for r, s in zip(group, sizes)), np.uint8)
             size = np.concatenate(sizes)
             ids = np.concatenate([np.frombuffer(r[2], np.int64) for r in group])
-            start = np.cumsum(size) - size
-            prefix = T.prefix_hashes(T.BYTE_VALUES[text])
+            name, h = _phrase_windows(text, size, length)
             windows = size - length + 1
             base = np.cumsum(windows) - windows
-            phrase = np.repeat(np.arange(len(size)), windows)
-            at = np.arange(windows.sum()) - base[phrase] + start[phrase]
-            h = T.span_hashes(prefix, at, at + length)
+            phrase = np.repeat(np.arange(len(size), dtype=np.int32), windows)
             own = ids[phrase]
             _, _, least, _, back = _smallest(h, own)
             repeated = least[back] < own
@@ -227,14 +244,14 @@ def repeated_windows(rows: DataFrame, n: int, length: int) -> DataFrame:
             a, b = a[keep], b[keep]
             which = phrase[a]
             begin, end = (a - base[which]).astype(np.uint8), (b - 1 - base[which]).astype(np.uint8)
-            name = T.span_hashes(prefix, start[which], start[which] + size[which])
             source = np.repeat(np.arange(len(group)), [len(s) for s in sizes])[which]
             cut = np.searchsorted(source, np.arange(len(group) + 1))
-            out = [(r[0], name[s:e].tobytes(), begin[s:e].tobytes(), end[s:e].tobytes()) for r, s, e in zip(group, cut[:-1], cut[1:]) if e > s]
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "phrases", "begins", "ends"])
+            for r, s, e in zip(group, cut[:-1], cut[1:]):
+                if e > s:
+                    found.setdefault(r[0], []).append((name[which[s:e]].tobytes(), begin[s:e].tobytes(), end[s:e].tobytes()))
+        for bucket, parts in found.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), *(pa.array([b"".join(x)], pa.binary()) for x in zip(*parts))], ["bucket", "phrases", "begins", "ends"])
 
     return rows.repartition(n, "pb").mapInArrow(run, "bucket int, phrases binary, begins binary, ends binary")
 
@@ -275,7 +292,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, carry:
     bucket = range_bucket(docs, "doc_id", 2 * n).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bucket.alias("bucket"))
     shared = materialise(shared_triggers(trigger_rows(rows, 2 * n, length), n), "triggers")
-    repeats = materialise(repeated_windows(phrase_rows(rows, shared, 8 * n, length), n, length), "repeats")
+    repeats = materialise(repeated_windows(phrase_rows(rows, shared, 2 * n, length), n, length), "repeats")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         p, gone = _removed(left, right, length)

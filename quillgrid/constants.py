@@ -44,16 +44,12 @@ CHUNK_BYTES = 500
 BM25_K1 = 1.2
 BM25_B = 0.75
 SEARCH_DEPTH = 10
-GREP_CAP = 20
-LISTING_CAP = 20
 HISTORY_WINDOW = 20
 
 # Previews: characters kept and the marker that follows a cut.
 RAW_PREVIEW = 8000
-DIGEST_STRUCTURED = 3000
 DIGEST_RAW = 2000
 CUT_MARKER = "\n... [truncated]"
-MAX_DOCUMENT_BYTES = 10 << 20
 
 # Characters stripped from both ends of a word before it is judged significant.
 WORD_PUNCTUATION = "\"',;:()[]{}"
@@ -84,15 +80,15 @@ ADVICE_DATES = "Multiple date columns detected — standardize to ISO 8601 forma
 VIEW_REASONS = {
     "explorer": "Always available",
     "upload_first": "Upload a document first",
-    "upload_and_collect": "Upload documents and add to a forest",
+    "upload_and_collect": "Upload documents and add to a collection",
     "uploaded": "Document uploaded",
     "tabular": "Tabular data detected",
     "not_tabular": "No tabular data — works best with CSV or JSON arrays",
     "numeric": "Numeric data found",
     "not_numeric": "No numeric data for visualization",
-    "many_documents": "Forest has multiple documents — compare and query across them",
-    "one_document": "Query across your forest — add more docs to compare",
-    "no_documents": "Add documents to a forest first",
+    "many_documents": "Collection has multiple documents — compare and query across them",
+    "one_document": "Query across your collection — add more docs to compare",
+    "no_documents": "Add documents to a collection first",
 }
 
 # Charts.

@@ -45,9 +45,8 @@ def _unquoted(text: Column, sep: str) -> Column:
 
 def repair_amounts(line: Column) -> Column:
     """Join thousands groups of currency amounts that were not quoted: ``$85,000`` -> ``$85000``."""
-    pattern = r"([$€£]\d++),(\d{3})(?!\d)"
-    once = F.regexp_replace(line, pattern, "$1$2")
-    return F.regexp_replace(F.regexp_replace(once, pattern, "$1$2"), pattern, "$1$2")
+    # A further group follows where the last one ended.
+    return F.regexp_replace(line, r"(\G(?!^)|[$€£]\d++),(\d{3})(?!\d)", "$1$2")
 
 
 def records(text: Column, repair: bool = True) -> Column:

@@ -14,36 +14,38 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
-def newest(df: DataFrame, columns: list[str], *order: Column, n: int = K.LISTING_CAP) -> DataFrame:
-    """The newest rows, light columns only."""
-    return df.select(*columns).orderBy(*order).limit(n)
+def newest(df: DataFrame, columns: list[str], *order: Column, n: int | None = None) -> DataFrame:
+    """The rows newest first, light columns only; the first ``n`` if a number is given."""
+    rows = df.select(*columns).orderBy(*order)
+    return rows if n is None else rows.limit(n)
 
 
 def preview(text: Column, n: int, marker: str = K.CUT_MARKER) -> Column:
-    """The first ``n`` characters with a marker where something was cut."""
+    """The first ``n`` characters (code points) with a marker where something was cut."""
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(marker))).otherwise(text)
 
 
-def raw_preview(text: Column, n: int = K.RAW_PREVIEW) -> Column:
+def raw_preview(text: Column, n: int) -> Column:
+    """As ``preview``, counting code points; the marker tells how many there are."""
     marker = F.concat(
         F.lit("\n\n... [truncated, "), F.length(text).cast("string"), F.lit(" chars total]")
     )
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), marker)).otherwise(text)
 
 
-def digest(df: DataFrame, doc: str, name: str, raw: str, structured: str) -> DataFrame:
-    """A collection's documents as text blocks: structured data if present, else raw text."""
+def digest(df: DataFrame, doc: str, name: str, raw: str, structured: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents as text blocks, whole: structured data if present, else raw text. ``keep`` names columns to pass on."""
     head = F.concat(
         F.lit("=== Document #"), F.col(doc).cast("string"), F.lit(": "), F.col(name), F.lit(" ===\n")
     )
     has = F.coalesce(F.col(structured), F.lit("")) != ""
     body = F.when(
-        has, F.concat(F.lit("Structured data:\n"), preview(F.col(structured), K.DIGEST_STRUCTURED), F.lit("\n\n"))
+        has, F.concat(F.lit("Structured data:\n"), F.col(structured), F.lit("\n\n"))
     ).when(
         F.coalesce(F.col(raw), F.lit("")) != "",
-        F.concat(F.lit("Raw content:\n"), preview(F.col(raw), K.DIGEST_RAW), F.lit("\n\n")),
+        F.concat(F.lit("Raw content:\n"), F.col(raw), F.lit("\n\n")),
     ).otherwise("")
-    return df.select(F.col(doc).alias("doc_id"), F.concat(head, body).alias("block"))
+    return df.select(*keep, F.col(doc).alias("doc_id"), F.concat(head, body).alias("block"))
 
 
 def listing_line(doc: Column, name: Column, created: Column) -> Column:

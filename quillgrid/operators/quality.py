@@ -184,11 +184,11 @@ def with_quality(
         F.struct(
             completeness(F.col("_v")).alias("completeness"),
             consistency(F.col("_v")).alias("consistency"),
-            validity(F.col(raw), other).alias("validity"),
+            validity(F.coalesce(F.col(raw), F.lit("")), other).alias("validity"),
             structure(F.col("_v")).alias("structure"),
         ),
     )
-    state = F.when(F.col(structured) == "", "pending").when(F.col("_v").isNull(), "invalid").otherwise("scored")
+    state = F.when(F.coalesce(F.col(structured), F.lit("")) == "", "pending").when(F.col("_v").isNull(), "invalid").otherwise("scored")
     flat = F.struct(*[F.lit(0).alias(n) for n in names])
     bad = F.struct(*[F.lit(25).alias(n) for n in names])
     rated = scored.withColumn("_state", state).withColumn(

@@ -99,7 +99,7 @@ def top_chunks(scored: DataFrame, k: int) -> DataFrame:
     ``rank <= k`` is a window group limit: each task passes on at most k rows per group, so one
     collection holding most chunks does not gather them in one task.
     """
-    order = Window.partitionBy("query_id", "collection_id").orderBy(F.desc("score"), "doc_id", "position")
+    order = Window.partitionBy("query_id", "collection_id").orderBy(F.desc(F.round("score", 9)), "doc_id", "position")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     if k > 0:
         ranked = ranked.where(F.col("rank") <= k)
@@ -190,12 +190,12 @@ def format_hit(rank: Column, name: Column, score: Column) -> Column:
 
 
 def grep(
-    df: DataFrame, doc: str, raw: str, structured: str | None, needle: str, cap: int = K.GREP_CAP
+    df: DataFrame, doc: str, raw: str, structured: str | None, needle: str, cap: int | None = None
 ) -> DataFrame:
     """Case-insensitive literal search in the lines of raw and structured text.
 
-    Hits keep document order, raw before structured, and the first ``cap`` per document are the
-    report. Both texts of a document are in its row, so lines are numbered, filtered and cut there.
+    Hits keep document order, raw before structured; ``hit`` numbers them, and ``cap`` keeps the first of each
+    document if it is given. Both texts of a document are in its row, so lines are numbered, filtered and cut there.
     """
     schema = "doc_id bigint, hit int, source string, line int, text string"
     if needle == "":
@@ -216,7 +216,7 @@ def grep(
     if structured is not None:
         present = present | F.contains(F.lower(F.col(structured)), wanted)
     return (
-        unfold(df.where(present), [F.col(doc).alias("doc_id")], F.slice(found, 1, cap), "hit", "h")
+        unfold(df.where(present), [F.col(doc).alias("doc_id")], found if cap is None else F.slice(found, 1, cap), "hit", "h")
         .select(
             "doc_id", (F.col("hit") + 1).alias("hit"), "h.source", "h.line", trim_ws(F.col("h.text")).alias("text")
         )

@@ -12,26 +12,26 @@ from pyspark.sql import functions as F
 
 from quillgrid import constants as K
 from quillgrid.functions.core import lines_of
-from quillgrid.session import spread
+
 from quillgrid.sources.files import table
 
 WS = K.WHITE_SPACE
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages"), "page_id")
+    return table(spark, sf, "pages")
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "orders"), "o_orderkey")
+    return table(spark, sf, "orders")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "events"), "event_id")
+    return table(spark, sf, "events")
 
 
 # --- JSON documents: one per order, in ten shapes -------------------------------------------

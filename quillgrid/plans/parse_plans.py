@@ -9,7 +9,7 @@ from quillgrid.functions.core import trim_ws, unfold
 from quillgrid.operators import parsers
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
-from quillgrid.session import spread
+
 from quillgrid.sources.files import csv_rows as read_csv_rows
 from quillgrid.sources.files import table
 
@@ -98,7 +98,7 @@ def log_transitions(spark, sf):
 UNION ALL SELECT c_custkey, 1, 'Customer=' || c_custkey || ';Status=open', '' FROM customer""",
 )
 def kv_parse(spark, sf):
-    docs = spread(table(spark, sf, "customer"), "c_custkey").select("c_custkey", F.expr(D.KV_TEXT).alias("text"))
+    docs = table(spark, sf, "customer").select("c_custkey", F.expr(D.KV_TEXT).alias("text"))
     blocks = parsers.kv_blocks(docs, "c_custkey", "text")
     entries = F.transform(F.array_sort(F.map_entries("pairs")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return blocks.select("doc_id", "block", F.array_join(entries, ";").alias("pairs"), "body")
@@ -113,7 +113,7 @@ _XML = """'<?xml version="1.0"?><list><row id="' || CAST(p_partkey AS STRING) ||
 UNION ALL SELECT p_partkey, 1, 'x', p_brand, '0' FROM part""",
 )
 def xml_records(spark, sf):
-    docs = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", F.expr(_XML).alias("text"))
+    docs = table(spark, sf, "part").select("p_partkey", F.expr(_XML).alias("text"))
     return parsers.xml_records(docs, "p_partkey", "text", "/list/row", ["@id", "name", "size"])
 
 
@@ -140,7 +140,7 @@ SELECT doc_id, unnest(range(len(ls))) AS block, unnest(ls) AS lang, unnest(bs) A
   unnest(list_transform(list_zip(ls, bs), lambda z: z[1] = 'chart' AND json_valid(z[2]))) AS is_chart FROM b""",
 )
 def fenced_blocks(spark, sf):
-    docs = spread(table(spark, sf, "conversations"), "conv_id").select(
+    docs = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.expr(_FENCED).alias("text")
     )
     return parsers.fenced_blocks(docs, "doc_id", "text")
@@ -268,7 +268,7 @@ def _people(spark, sf):
     start = F.lit("")
     for i, form in enumerate(_DAY_FORMS):
         start = F.when(F.col("c_custkey") % 8 == i, F.date_format(day, form)).otherwise(start)
-    return spread(table(spark, sf, "customer"), "c_custkey").select(
+    return table(spark, sf, "customer").select(
         "c_custkey", *[F.expr(e).alias(n) for n, e in _PEOPLE.items()], start.alias("start_date")
     )
 
@@ -324,7 +324,7 @@ def normalise_number(spark, sf):
 )
 def normalise_date(spark, sf):
     """Every ship date written in all forms and read back."""
-    lines = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    lines = table(spark, sf, "lineitem")
     written = F.array(*[F.date_format("l_shipdate", f) for f in _DAY_FORMS[:6]])
     texts = unfold(lines, ["l_orderkey", "l_linenumber", "l_partkey"], written, "_i", "text")
     return texts.select(
@@ -354,7 +354,7 @@ UNION ALL SELECT c_custkey, 2, c_custkey || '|$5|ok', FALSE FROM customer UNION
 UNION ALL SELECT c_custkey, 0, 'key|price|status', FALSE FROM customer""",
 )
 def csv_repair(spark, sf):
-    docs = spread(table(spark, sf, "customer"), "c_custkey").select("c_custkey", F.expr(_REPAIR_TEXT).alias("text"))
+    docs = table(spark, sf, "customer").select("c_custkey", F.expr(_REPAIR_TEXT).alias("text"))
     return read_csv_rows(docs, "c_custkey", "text").select(
         "doc_id", "row", F.array_join("fields", "|").alias("fields"), "ragged"
     )

@@ -17,7 +17,7 @@ def doc_lookup(spark, sf):
     return C.lookup(table(spark, sf, "orders"), "o_orderkey", 42).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-@query("list_documents", f"SELECT doc_id, source, lang, n_chars FROM documents ORDER BY doc_id DESC LIMIT {K.LISTING_CAP}")
+@query("list_documents", "SELECT doc_id, source, lang, n_chars FROM documents ORDER BY doc_id DESC")
 def list_documents(spark, sf):
     return C.newest(table(spark, sf, "documents"), ["doc_id", "source", "lang", "n_chars"], F.desc("doc_id"))
 
@@ -38,7 +38,7 @@ def doc_listing(spark, sf):
 )
 def doc_preview(spark, sf):
     return D.documents(spark, sf).select(
-        "doc_id", C.raw_preview(F.col("text")).alias("raw"), C.preview(F.col("text"), K.DIGEST_RAW).alias("short")
+        "doc_id", C.raw_preview(F.col("text"), K.RAW_PREVIEW).alias("raw"), C.preview(F.col("text"), K.DIGEST_RAW).alias("short")
     )
 
 
@@ -47,7 +47,7 @@ def doc_preview(spark, sf):
     f"""WITH d AS (SELECT source, doc_id, lang || '.txt' AS name, text, CASE WHEN doc_id % 3 = 0 THEN '{{"chars":' || n_chars || '}}' ELSE '' END AS s FROM documents)
 SELECT source, doc_id, '=== Document #' || doc_id || ': ' || name || ' ===' || chr(10) || CASE
   WHEN s <> '' THEN 'Structured data:' || chr(10) || s || chr(10) || chr(10)
-  WHEN text <> '' THEN 'Raw content:' || chr(10) || CASE WHEN length(text) > {K.DIGEST_RAW} THEN substr(text, 1, {K.DIGEST_RAW}) || chr(10) || '... [truncated]' ELSE text END || chr(10) || chr(10)
+  WHEN text <> '' THEN 'Raw content:' || chr(10) || text || chr(10) || chr(10)
   ELSE '' END AS block FROM d""",
 )
 def collection_digest(spark, sf):
@@ -55,8 +55,7 @@ def collection_digest(spark, sf):
         "source", "doc_id", F.concat("lang", F.lit(".txt")).alias("name"), "text",
         F.expr("""CASE WHEN doc_id % 3 = 0 THEN '{"chars":' || CAST(n_chars AS STRING) || '}' ELSE '' END""").alias("s"),
     )
-    blocks = C.digest(docs, "doc_id", "name", "text", "s")
-    return docs.select("source", "doc_id").join(blocks, "doc_id")
+    return C.digest(docs, "doc_id", "name", "text", "s", keep=("source",))
 
 
 _STATUS_DOCS = """SELECT doc_id, structured, CASE WHEN cust % 2 = 0 THEN 'schema' ELSE '' END AS schema_json, CASE WHEN cust % 3 = 0 THEN 'text' ELSE '' END AS summary"""
@@ -241,9 +240,9 @@ def table_missing(spark, sf):
     return texts.where(gone).select("c_custkey")
 
 
-@query("table_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query("table_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
 def table_sort(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
 
 
 @query(

@@ -61,10 +61,10 @@ _KEY = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{m}'" for a, m in _ACTIO
 
 @query(
     "stream_milestones",
-    f"SELECT DISTINCT user_id AS session, {_KEY} AS milestone FROM events WHERE event_type <> 'error'",
+    f"SELECT user_id AS session, {_KEY} AS milestone, min(ts) AS earned_at FROM events WHERE event_type <> 'error' GROUP BY ALL",
 )
 def stream_milestones(spark, sf):
     root = run_dir(spark, "milestones")
-    stream = milestones.first_events(_stream(spark, sf, "events"), "user_id", "event_type", "ts", "1 hour", _ACTIONS)
-    milestones.run(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("session", "milestone").distinct()
+    events = milestones.milestone_events(_stream(spark, sf, "events"), "user_id", "event_type", "ts", _ACTIONS)
+    milestones.run(events, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return milestones.earned(spark, f"{root}/out").withColumn("earned_at", F.col("earned_at").cast("timestamp_ntz"))

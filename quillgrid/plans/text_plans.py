@@ -229,14 +229,14 @@ def _grep_hits(spark, sf):
     return search.grep(docs, "doc_id", "text", "structured", NEEDLE)
 
 
-@query("grep_lines", f"WITH {_GREP_SQL} SELECT doc_id, hit, source, line, text FROM hits WHERE hit <= {K.GREP_CAP}")
+@query("grep_lines", f"WITH {_GREP_SQL} SELECT doc_id, hit, source, line, text FROM hits")
 def grep_lines(spark, sf):
     return _grep_hits(spark, sf)
 
 
 @query(
     "grep_highlight",
-    f"""WITH {_GREP_SQL}, spots AS (SELECT *, strpos(lower(text), lower('{NEEDLE}')) AS p FROM hits WHERE hit <= {K.GREP_CAP})
+    f"""WITH {_GREP_SQL}, spots AS (SELECT *, strpos(lower(text), lower('{NEEDLE}')) AS p FROM hits)
 SELECT doc_id, hit, substr(text, 1, p - 1) AS before, substr(text, p, {len(NEEDLE)}) AS found,
   substr(text, p + {len(NEEDLE)}) AS after FROM spots""",
 )

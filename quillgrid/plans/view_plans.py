@@ -11,7 +11,7 @@ from quillgrid.operators import views
 from quillgrid.operators.profile import with_profile
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
-from quillgrid.session import spread
+
 from quillgrid.sources.files import table
 
 _SCHEMA = """CASE cust % 4 WHEN 0 THEN '{"fields":[{"name":"a","type":"number"},{"name":"b","type":"date"}]}' WHEN 1 THEN '{"fields":[{"name":"a","type":"string"},{"name":"b","type":"date"}]}' WHEN 2 THEN '' ELSE '{"fields":[{"name":"n","type":"number"}]}' END"""
@@ -61,7 +61,7 @@ csv_charts AS (SELECT doc_id, {_CHARTS.format(num='num', cat='cat', day='day')}
 UNION ALL SELECT 'm' || conv_id || '-' || turn, CASE WHEN len(list_filter(string_split({_NOTES}, chr(10)), lambda l: regexp_matches(l, '\\$[\\d,.]+|\\b\\d{{2,}}\\b'))) >= 3 THEN 'bar' ELSE '' END FROM conversations""",
 )
 def chart_types_raw(spark, sf):
-    notes = spread(table(spark, sf, "conversations"), "conv_id").select(
+    notes = table(spark, sf, "conversations").select(
         F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"),
         F.expr(_NOTES).alias("text"),
     )

@@ -1,4 +1,4 @@
-"""Session helpers: settings, the shared work folder, and partition sizing."""
+"""Session helpers: settings and the shared work folder."""
 
 from __future__ import annotations
 
@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(master: str = "local[8]", app: str = "quillgrid", **conf: str) -> SparkSession:
     """A session with the settings the plans expect; extra settings override them."""
     settings = {
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
     }
+    if master.startswith("local"):
+        settings["spark.driver.memory"] = "8g"
     settings.update(conf)
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in settings.items():
@@ -36,11 +36,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    is a temporary folder used.
+    A cluster names it in ``spark.checkpoint.dir``, and must. Only a local session, whose tasks share the
+    driver's disk, gets a temporary folder where that is unset.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quillgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -60,15 +62,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table scan that has fewer splits than the cluster has slots.
-
-    A small table in one file is a single split, which would leave heavy text work to one task.
-    Large inputs already have more splits than slots and pass through without a shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgrid import constants as K
 from quillgrid.functions.core import unfold
 from quillgrid.operators import search
-from quillgrid.session import materialise, spread
+from quillgrid.session import materialise
 
 # Stated, because a collection named like a number would otherwise be read back as one.
 CHUNK_SCHEMA = (
@@ -102,7 +102,7 @@ def write_index(chunks: DataFrame, path: str) -> ChunkIndex:
 
 
 def build_index(docs: DataFrame, doc: str, collection: str, text: str, path: str) -> ChunkIndex:
-    return write_index(search.chunk(spread(docs, doc), doc, collection, text), path)
+    return write_index(search.chunk(docs, doc, collection, text), path)
 
 
 def ranked(

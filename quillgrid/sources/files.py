@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid import constants as K
 from quillgrid.functions import csvtext, jsontext
 from quillgrid.functions.core import unfold
 
@@ -19,16 +18,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def documents_from_files(spark: SparkSession, path: str, limit: int = K.MAX_DOCUMENT_BYTES) -> DataFrame:
+def documents_from_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """One row per text file: ``path, filename, raw_content, created_at``.
 
-    A file is read whole; what lies beyond ``limit`` bytes is cut, the documented upload limit.
+    A file is read whole; only if a ``limit`` is given, bytes beyond it are cut.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.col("content").substr(1, limit).cast("string").alias("raw_content"),
+        (F.col("content") if limit is None else F.col("content").substr(1, limit)).cast("string").alias("raw_content"),
         F.col("modificationTime").alias("created_at"),
     )
 

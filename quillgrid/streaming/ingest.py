@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillgrid import constants as K
 from quillgrid.operators.profile import with_clean_report, with_profile
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -21,7 +20,7 @@ def arriving_files(spark: SparkSession, path: str, per_batch: int = 1000) -> Dat
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"),
         F.xxhash64("path").alias("doc_id"),
-        F.col("content").substr(1, K.MAX_DOCUMENT_BYTES).cast("string").alias("raw_content"),
+        F.col("content").cast("string").alias("raw_content"),
         F.col("modificationTime").alias("created_at"),
     )
 

@@ -1,34 +1,46 @@
-"""First-event milestones on a stream; the batch form stays the truth for late events."""
+"""First-event milestones on a stream: one row per (session, milestone), with the earliest time seen so far."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillgrid import constants as K
 
+SCHEMA = "session {session}, milestone string, earned_at timestamp"
 
-def first_events(
-    events: DataFrame, session: str, action: str, ts: str, delay: str = "1 hour",
-    actions: dict[str, str] | None = None,
-) -> DataFrame:
-    """One row per (session, milestone) within the watermark; state is bounded by the delay."""
+
+def milestone_events(events: DataFrame, session: str, action: str, ts: str, actions: dict[str, str] | None = None) -> DataFrame:
+    """``session, milestone, earned_at`` of every event that earns one."""
     named = actions or K.MILESTONES
     mapping = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
-    return (
-        events.where(F.col(action).isin(*named))
-        .select(
-            F.col(session).alias("session"), F.try_element_at(mapping, F.col(action)).alias("milestone"),
-            F.col(ts).cast("timestamp").alias("earned_at"),
-        )
-        .withWatermark("earned_at", delay)
-        .dropDuplicatesWithinWatermark(["session", "milestone"])
+    return events.where(F.col(action).isin(*named)).select(
+        F.col(session).alias("session"), F.try_element_at(mapping, F.col(action)).alias("milestone"), F.col(ts).cast("timestamp").alias("earned_at"),
     )
 
 
+def earned(spark: SparkSession, out: str, session_type: str = "bigint", before: int | None = None) -> DataFrame:
+    """The earned milestones, each with its earliest time; ``before`` leaves out batches from this number on."""
+    rows = spark.read.schema(SCHEMA.format(session=session_type) + ", batch bigint").option("basePath", out).parquet(out)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    return rows.groupBy("session", "milestone").agg(F.min("earned_at").alias("earned_at"))
+
+
 def run(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    """Add what each batch earns to ``out``: milestones not yet there, or with an earlier time than there.
+
+    A batch writes its own folder anew, so a repeated one changes nothing. No state is kept by time, so late and repeated events, however
+    far apart, neither earn twice nor are lost.
+    """
+    kind = stream.schema["session"].dataType.simpleString()
+
+    def write(batch_df: DataFrame, batch: int) -> None:
+        new = batch_df.groupBy("session", "milestone").agg(F.min("earned_at").alias("earned_at"))
+        if batch:
+            known = earned(batch_df.sparkSession, out, kind, batch).withColumnRenamed("earned_at", "_known")
+            new = new.join(known, ["session", "milestone"], "left").where("_known IS NULL OR earned_at < _known").drop("_known")
+        new.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillgrid.operators.collections import latest_per
 from quillgrid.operators.search import chunk, with_tokens
-from quillgrid.session import spread
+
 from quillgrid.sources.chunk_index import CHUNK_COLUMNS, read_chunks, replace_documents, write_chunks
 
 KEY = ("collection_id", "doc_id")
@@ -74,7 +74,7 @@ def reindex(
     """Process what has arrived; memberships are read anew for every batch."""
 
     def write(batch_df: DataFrame, batch: int) -> None:
-        index.write_batch(spread(batch_df, "doc_id"), memberships(), batch)
+        index.write_batch(batch_df, memberships(), batch)
 
     return (
         changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

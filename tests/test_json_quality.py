@@ -191,3 +191,11 @@ def test_exports(spark):
     assert get("json")[3] == "nope" and json.loads(get("json")[1]) == [{"a": "1,2", "b": "x|y"}, {"b": "q"}]
     wide = exports.to_columns(exports.rows(df, "id", "s"))
     assert wide.columns == ["doc_id", "row", "a", "b"]
+
+
+def test_null_structured_text_is_pending(spark):
+    from quillgrid.operators.quality import with_quality
+
+    df = spark.createDataFrame([("a b", None), (None, '{"a": 1}')], "raw string, s string")
+    got = [r.quality for r in with_quality(df, "raw", "s").collect()]
+    assert (got[0].score, got[0].status) == (0, "pending") and got[1].status == "scored"

@@ -86,7 +86,8 @@ def test_grep(spark):
     )
     got = [tuple(r) for r in search.grep(df, "id", "raw", "s", "fOO").where("doc_id = 1").orderBy("hit").collect()]
     assert got == [(1, 1, "raw", 1, "Foo"), (1, 2, "raw", 2, "barfoo"), (1, 3, "structured", 2, '"FOO"}')]
-    assert search.grep(df, "id", "raw", "s", "foo").where("doc_id = 2").count() == 20
+    assert search.grep(df, "id", "raw", "s", "foo").where("doc_id = 2").count() == 30
+    assert search.grep(df, "id", "raw", "s", "foo", cap=20).where("doc_id = 2").count() == 20
     assert search.grep(df, "id", "raw", "s", "").count() == 0
 
 

@@ -77,8 +77,9 @@ def test_milestones_agree_with_batch(spark, tmp_path):
     events.coalesce(1).write.parquet(src)
     stream = spark.readStream.schema(events.schema).parquet(src)
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    milestones.run(milestones.first_events(stream, "s", "a", "ts"), out, ck).awaitTermination()
-    got = {(r["session"], r["milestone"]) for r in spark.read.parquet(out).collect()}
+    milestones.run(milestones.milestone_events(stream, "s", "a", "ts"), out, ck).awaitTermination()
+    kind = dict(events.dtypes)["s"]
+    got = {(r["session"], r["milestone"]) for r in milestones.earned(spark, out, kind).collect()}
     batch = collections.milestones(events, "s", "a", "ts").where("milestone != 'power_user'")
     assert got == {(r["session"], r["milestone"]) for r in batch.collect()}
 
@@ -103,3 +104,15 @@ def test_sinks(spark, tmp_path):
         raise AssertionError("an unknown format must be refused")
     except ValueError:
         pass
+
+
+def test_milestone_once_over_far_batches(spark, tmp_path):
+    """Three batches months apart, the last one late: one row with the earliest time."""
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    schema = "s bigint, a string, ts timestamp"
+    for n, day in enumerate(("2024-02-01", "2024-06-01", "2024-01-01")):
+        spark.sql(f"SELECT 1L AS s, 'upload' AS a, TIMESTAMP'{day}' AS ts UNION ALL SELECT 1L, 'other', TIMESTAMP'{day}'").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        milestones.run(milestones.milestone_events(stream, "s", "a", "ts"), out, ck).awaitTermination()
+    rows = milestones.earned(spark, out).collect()
+    assert [(r.session, r.milestone, str(r.earned_at.date())) for r in rows] == [(1, "first_upload", "2024-01-01")]

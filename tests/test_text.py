@@ -152,3 +152,9 @@ def test_csv_repair_and_tabs(column):
     got = column(csvtext.records, ["n,s\nA,$85,000\nB,$1,234,567\nC,5", "a\tb\n1\t2"])
     assert got[0] == [["n", "s"], ["A", "$85000"], ["B", "$1234567"], ["C", "5"]]
     assert got[1] == [["a", "b"], ["1", "2"]]
+
+
+def test_amounts_of_any_number_of_groups(column):
+    from quillgrid.functions import csvtext
+
+    assert column(csvtext.repair_amounts, ["x,$1,234,567,890,123,y", "$85,000,€1,5"]) == ["x,$1234567890123,y", "$85000,€1,5"]

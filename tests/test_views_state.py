@@ -84,5 +84,5 @@ def test_digest_and_listing(spark):
         [(1, "a", "r" * 2100, ""), (2, "b", "raw", "{}"), (3, "c", "", None)], "id int, n string, raw string, s string"
     )
     got = {r["doc_id"]: r["block"] for r in collections.digest(df, "id", "n", "raw", "s").collect()}
-    assert got[1] == "=== Document #1: a ===\nRaw content:\n" + "r" * 2000 + "\n... [truncated]\n\n"
+    assert got[1] == "=== Document #1: a ===\nRaw content:\n" + "r" * 2100 + "\n\n"
     assert got[2] == "=== Document #2: b ===\nStructured data:\n{}\n\n" and got[3] == "=== Document #3: c ===\n"

@@ -24,7 +24,7 @@ def test_views(spark):
     charts = lambda i: list(got[i]["graphs"]["chart_types"])
     assert [charts(i) for i in range(1, 8)] == [["bar", "pie"], ["bar"], ["bar", "pie"], ["line"], [], [], ["bar"]]
     assert [got[i]["table"]["enabled"] for i in range(1, 8)] == [True, True, True, True, False, False, True]
-    assert got[3]["oracle"]["reason"].startswith("Forest has multiple") and got[2]["oracle"]["enabled"]
+    assert got[3]["oracle"]["reason"].startswith("Collection has multiple") and got[2]["oracle"]["enabled"]
     assert not got[6]["summary"]["enabled"] and got[6]["explorer"]["enabled"]
 
 

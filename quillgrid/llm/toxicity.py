@@ -82,10 +82,11 @@ def train(texts: list[np.ndarray], labels: np.ndarray, sizes=SIZES, slots: int =
     if not len(labels) or labels.min() == labels.max():
         empty.bias = -4.0 if not len(labels) or labels.max() == 0 else 4.0
         return empty
-    where = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    p = np.bincount(where, labels[row], slots)
-    q = np.bincount(where, 1 - labels[row], slots)
+    # Text by text, so that nothing as long as all texts is made.
+    p, q = np.zeros(slots), np.zeros(slots)
+    for t, y in zip(texts, labels):
+        p[t] += y
+        q[t] += 1 - y
     ratio = np.log((p + alpha) / (labels.sum() + 2 * alpha)) - np.log((q + alpha) / ((1 - labels).sum() + 2 * alpha))
     ratio[(p + q < min_texts) | (np.abs(ratio) < min_ratio)] = 0
     used = np.flatnonzero(ratio)
@@ -93,10 +94,11 @@ def train(texts: list[np.ndarray], labels: np.ndarray, sizes=SIZES, slots: int =
     if not len(used):
         empty.bias = prior
         return empty
-    index = np.full(slots, -1, np.int64)
+    index = np.full(slots, -1, np.int32)
     index[used] = np.arange(len(used))
-    keep = index[where] >= 0
-    row, col = row[keep], index[where[keep]]
+    cols = [index[t] for t in texts]
+    cols = [c[c >= 0] for c in cols]
+    row, col = np.repeat(np.arange(len(texts)), [len(c) for c in cols]), np.concatenate(cols)
     r = ratio[used]
     value = r[col]
     step_w = 1.0 / (l2 + 0.25 * float(np.bincount(row, value ** 2, len(labels)).max()) * max(1, len(labels)) ** 0.5)
@@ -143,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_rows: int = 300
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "toxic", "slots"])
 
-    sample = rows.mapInArrow(slots_of, "doc_id long, toxic int, slots binary").toArrow().sort_by("doc_id")
-    texts = [np.frombuffer(x.as_py(), np.int32) for x in sample["slots"]]
-    return train(texts, np.array(sample["toxic"].to_pylist(), float))
+    sample = rows.mapInArrow(slots_of, "doc_id long, toxic int, slots binary").toArrow()
+    order = np.argsort(np.asarray(sample["doc_id"]), kind="stable")
+    texts = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["slots"]]
+    return train([texts[i] for i in order], np.asarray(sample["toxic"]).astype(float)[order])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from quillgrid.functions import jsontext, normalise
 from quillgrid.functions.core import compact_texts, let, lines_of, run_counts, trim_ws, unfold
 
 # Patterns of log lines.
-LOG_HEAD = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)\]?\s+([A-Z]+)\s+(.*)$"
+LOG_HEAD = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)(Z|[+-]\d{2}:?\d{2})?\]?\s+([A-Z]+)\s+(.*)$"
 LOG_REQUEST = r"^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(\S+)\s+(\d{3})(?:\s+(\d+)ms)?"
 LOG_PAIR = r'([A-Za-z_][A-Za-z0-9_]*)=("[^"]*"|[^\s"]+)'
 
@@ -40,16 +40,20 @@ def _or_null(text: Column) -> Column:
 def parse_log(lines: DataFrame, line: str) -> DataFrame:
     """Adds the fields of a log line; ``is_entry`` is false where the line is not an entry.
 
-    Every field is one expression on the line, so parsing is a single projection.
+    Every field is one expression on the line, so parsing is a single projection. ``ts`` is the stamp as written, or UTC where the
+    stamp names its offset.
     """
     head = lambda g: F.regexp_extract(F.col(line), LOG_HEAD, g)
     request = lambda g: _or_null(F.regexp_extract(F.col("_rest"), LOG_REQUEST, g))
-    split = lines.withColumn("_rest", head(3)).withColumn("_stamp", head(1))
-    stamp = F.replace(F.translate(F.col("_stamp"), "/T", "- "), F.lit("  "), F.lit(" "))
+    split = lines.withColumn("_rest", head(4)).withColumn("_stamp", head(1)).withColumn("_zone", head(2))
+    digits = F.translate("_zone", "+-:Z", "")
+    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+    ahead = F.coalesce(F.when(F.startswith("_zone", F.lit("-")), -minutes).otherwise(minutes), F.lit(0))
+    stamp = F.translate(F.col("_stamp"), "/T", "- ").try_cast("timestamp_ntz") - F.make_dt_interval(mins=ahead)
     parsed = (
         split.withColumn("is_entry", F.col("_stamp") != "")
-        .withColumn("ts", F.when(F.col("is_entry"), F.try_to_timestamp(stamp).cast("timestamp_ntz")))
-        .withColumn("level", _or_null(head(2)))
+        .withColumn("ts", stamp)
+        .withColumn("level", _or_null(head(3)))
         .withColumn("method", request(1))
         .withColumn("path", request(2))
         .withColumn("status", request(3).try_cast("int"))
@@ -67,7 +71,7 @@ def parse_log(lines: DataFrame, line: str) -> DataFrame:
                 F.trim(F.regexp_replace("_rest", r"\s*" + LOG_PAIR, "")),
             ),
         )
-        .drop("_rest", "_stamp")
+        .drop("_rest", "_stamp", "_zone")
     )
 
 
@@ -98,6 +102,18 @@ def log_summary(entries: DataFrame, group: str, payment_path: str = "%/payments%
     )
 
 
+def log_levels(entries: DataFrame, group: str) -> DataFrame:
+    """Entries of each level, whatever its name: ``group, level, entries``."""
+    return entries.where("is_entry").groupBy(group, "level").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def log_endpoints(entries: DataFrame, group: str) -> DataFrame:
+    """The endpoints of a log: ``group, method, path, requests, failed``."""
+    return entries.where("is_entry AND path IS NOT NULL").groupBy(group, "method", "path").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 400).alias("failed")
+    )
+
+
 def transitions(entries: DataFrame, group: str, ts: str, state: Column, bucket: str = "hour") -> DataFrame:
     """Changes of a state over time: ``group, at, state``.
 
@@ -281,19 +297,41 @@ def entity_counts(found: DataFrame) -> DataFrame:
 
 
 def xml_records(df: DataFrame, doc: str, text: str, path: str, fields: list[str]) -> DataFrame:
-    """Repeated elements of XML text as rows: one column of texts per field path.
+    """Repeated elements of XML text as rows: one column of texts per field path (``name``, ``@id``, ``owner/name``).
 
-    Fields are read by the same element order, so each is wanted once per record.
+    The text is parsed once, and each record keeps its own fields: an absent one is null, of a repeated one the first counts.
+    Text that is not XML, or has another root, gives no rows.
     """
-    lists = {
-        f: F.xpath(F.col(text), F.lit(f"{path}/{f}" if f.startswith("@") else f"{path}/{f}/text()"))
-        for f in fields
-    }
-    zipped = F.arrays_zip(*[c.alias(f"c{i}") for i, c in enumerate(lists.values())])
-    rows = unfold(df, [F.col(doc).alias("doc_id")], zipped, "record", "r")
-    return rows.select(
-        "doc_id", "record", *[F.col("r")[f"c{i}"].alias(f.lstrip("@")) for i, f in enumerate(lists)]
-    )
+    root, *levels = path.strip("/").split("/")
+    columns = [f.replace("@", "_").split("/") for f in fields]
+    schema = _xml_struct(columns)
+    for level in reversed(levels):
+        schema = f"struct<`{level}`:array<{schema}>>"
+    # A leading declaration, comments and a document type come before the root element.
+    is_root = F.regexp_extract(F.col(text), r"^(?:\s|<\?[\s\S]*?\?>|<!--[\s\S]*?-->|<![^>]*>)*+<([^\s/>]+)", 1) == root
+    parsed = df.select(F.col(doc).alias("doc_id"), F.when(is_root, F.from_xml(F.col(text), schema)).alias("_x"))
+    items = F.array(F.col("_x"))
+    for level in levels:
+        items = F.flatten(F.array_compact(F.transform(items, lambda x: x[level])))
+    rows = unfold(parsed, ["doc_id"], items, "record", "r")
+
+    def value(at: Column, parts: list[str]) -> Column:
+        name, *rest = parts
+        if name.startswith("_"):
+            return at[name]
+        first = F.get(at[name], F.lit(0))
+        return value(first, rest) if rest else first
+
+    return rows.select("doc_id", "record", *[value(F.col("r"), c).alias(f.lstrip("@")) for c, f in zip(columns, fields)])
+
+
+def _xml_struct(paths: list[list[str]]) -> str:
+    """The type of an element with these paths below it; attributes (``_name``) are single, elements may repeat."""
+    below: dict[str, list[list[str]]] = {}
+    for name, *rest in paths:
+        below.setdefault(name, []).extend([rest] if rest else [])
+    kinds = {n: "string" if n.startswith("_") else f"array<{_xml_struct(p) if p else 'string'}>" for n, p in below.items()}
+    return "struct<" + ", ".join(f"`{n}`:{k}" for n, k in kinds.items()) + ">"
 
 
 def flat_json(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -305,7 +343,7 @@ def flat_json(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def markdown_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """Body rows of Markdown tables: ``doc_id, row, cells`` with the header as ``headers``."""
+    """Body rows of Markdown tables: ``doc_id, table, headers, row, cells``; any other line ends a table."""
     is_row = lambda l: l.rlike(r"^\s*\|.*\|\s*$")
     is_rule = lambda l: l.rlike(r"^\s*\|(?:[\s:-]+\|)+\s*$") & F.contains(l, F.lit("-"))
 
@@ -315,19 +353,25 @@ def markdown_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
             F.split(inner, r"(?<!\\)\|", -1), lambda c: F.replace(trim_ws(c), F.lit(r"\|"), F.lit("|"))
         )
 
-    rows = F.filter(lines_of(F.col(text)), lambda l: is_row(l) & ~is_rule(l))
-    parsed = df.select(F.col(doc).alias("doc_id"), F.transform(rows, cells).alias("_r"))
+    # Other lines become empty ones, so that tables are what empty lines part.
+    kept = F.array_join(F.transform(lines_of(F.col(text)), lambda l: F.when(is_row(l), l).otherwise("")), "\n")
+    parts = F.filter(F.split(kept, "\n\n+", -1), lambda p: F.btrim(p, F.lit("\n")) != "")
+    tables = F.transform(
+        parts, lambda p: F.transform(F.filter(lines_of(p), lambda l: is_row(l) & ~is_rule(l)), cells)
+    )
+    parsed = unfold(df, [F.col(doc).alias("doc_id")], tables, "table", "_r")
     body = F.when(F.size("_r") > 1, F.slice("_r", 2, F.size("_r") - 1))
-    return unfold(parsed, ["doc_id", F.get("_r", F.lit(0)).alias("headers")], body, "row", "cells")
+    return unfold(parsed, ["doc_id", "table", F.get("_r", F.lit(0)).alias("headers")], body, "row", "cells")
 
 
 FENCE = r"```(\w*)\n([\s\S]*?)```"
 
 
 def fenced_blocks(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """Fenced blocks: ``doc_id, block, lang, body, is_chart``."""
-    langs = F.regexp_extract_all(F.col(text), F.lit(FENCE), F.lit(1))
-    bodies = F.regexp_extract_all(F.col(text), F.lit(FENCE), F.lit(2))
+    """Fenced blocks: ``doc_id, block, lang, body, is_chart``. A chart's body may follow its mark without a line end."""
+    told = F.replace(F.col(text), F.lit("```chart{"), F.lit("```chart\n{"))
+    langs = F.regexp_extract_all(told, F.lit(FENCE), F.lit(1))
+    bodies = F.regexp_extract_all(told, F.lit(FENCE), F.lit(2))
     zipped = F.arrays_zip(langs.alias("lang"), bodies.alias("body"))
     return (
         unfold(

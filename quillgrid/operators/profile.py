@@ -304,15 +304,15 @@ def profile_values(counts: DataFrame) -> DataFrame:
     )
 
 
-def first_values(counts: DataFrame, n: int = 3) -> DataFrame:
-    """The first ``n`` distinct values of each field in row order.
+def first_values(cells: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` values of each field in row order, empty ones left out and repeats kept; ``cells`` as of ``cells_of``.
 
     The rank filter becomes a window group limit: each task keeps ``n`` rows per field before the
     shuffle, so a field with very many values stays cheap.
     """
-    order = Window.partitionBy("field").orderBy("first_key", "value")
+    order = Window.partitionBy("field").orderBy("row_key", "value")
     return (
-        counts.where(F.col("value") != "")
+        cells.where(F.col("value") != "")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= n)
         .select("field", "rank", "value")

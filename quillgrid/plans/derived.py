@@ -122,27 +122,36 @@ MISSING_SQL = "('', 'null', 'n/a', 'not_available')"
 
 # --- log, key-value and Markdown documents --------------------------------------------------
 
-EVENT_LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END"
+EVENT_LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'click' THEN 'DEBUG' ELSE 'INFO' END"
+EVENT_PATH = "CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '/api/payments' ELSE '/api/' || event_type END"
 EVENT_STATUS = "CASE event_type WHEN 'error' THEN '500' WHEN 'signup' THEN '201' ELSE '200' END"
-EVENT_TAIL = f"""' /api/' || event_type || ' ' || {EVENT_STATUS} || ' ' || CAST(user_id % 900 AS STRING) || 'ms user_id=usr_' || CAST(user_id AS STRING) || CASE WHEN event_type = 'error' THEN ' err="card: declined"' ELSE '' END || ' count=' || CAST(event_id % 7 AS STRING)"""
+EVENT_TAIL = f"""' ' || {EVENT_PATH} || ' ' || {EVENT_STATUS} || ' ' || CAST(user_id % 900 AS STRING) || 'ms user_id=usr_' || CAST(user_id AS STRING) || CASE WHEN event_type = 'error' THEN ' err="card: declined"' ELSE '' END || ' count=' || CAST(event_id % 7 AS STRING)"""
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One log line per event: ``event_id, user_id, line``."""
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    """One log line per event: ``event_id, user_id, line``, with stamps in brackets, in UTC, or with an offset."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSS"
+    stamp = (
+        F.when(F.col("event_id") % 4 == 1, F.date_format("ts", iso + "'Z'"))
+        .when(F.col("event_id") % 4 == 2, F.date_format(F.col("ts") + F.expr("INTERVAL '2' HOUR"), iso + "'+02:00'"))
+        .otherwise(F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("]")))
+    )
     return events(spark, sf).select(
         "event_id", "user_id", "event_type", "ts",
         F.concat(
-            F.lit("["), stamp, F.lit("] "), F.expr(EVENT_LEVEL), F.lit(" POST"), F.expr(EVENT_TAIL)
+            stamp, F.lit(" "), F.expr(EVENT_LEVEL), F.lit(" POST"), F.expr(EVENT_TAIL)
         ).alias("line"),
     )
 
 
+_MS = "lpad(CAST(CAST(floor(date_part('microsecond', ts) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0')"
 LOG_LINES_SQL = f"""log_lines AS (
   SELECT event_id, user_id, event_type, ts,
-    '[' || strftime(ts, '%Y-%m-%d %H:%M:%S.') || lpad(CAST(CAST(floor(date_part('microsecond', ts) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0')
-    || '] ' || {EVENT_LEVEL} || ' POST' || {EVENT_TAIL} AS line FROM events)"""
+    CASE event_id % 4 WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.') || {_MS} || 'Z'
+      WHEN 2 THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.') || {_MS} || '+02:00'
+      ELSE '[' || strftime(ts, '%Y-%m-%d %H:%M:%S.') || {_MS} || ']' END
+    || ' ' || {EVENT_LEVEL} || ' POST' || {EVENT_TAIL} AS line FROM events)"""
 
 KV_TEXT = """'Name: ' || c_name || chr(10) || 'Segment: ' || c_mktsegment || chr(10) || 'Nation Key: ' || CAST(c_nationkey AS STRING) || chr(10) || 'free text here' || chr(10) || '---' || chr(10) || 'Customer: ' || CAST(c_custkey AS STRING) || chr(10) || 'Status: open'"""
 MARKDOWN_TEXT = """'# ' || role || chr(10) || chr(10) || text || chr(10) || chr(10) || '## turn ' || CAST(turn AS STRING)"""
-MARKDOWN_TABLE = """'Order ' || CAST(o_orderkey AS STRING) || chr(10) || '| key | status | note |' || chr(10) || '| --- | :-: | --- |' || chr(10) || '| ' || CAST(o_orderkey AS STRING) || ' | ' || o_orderstatus || ' | a\\\\|b |' || chr(10) || '| ' || CAST(o_custkey AS STRING) || ' | ' || o_orderpriority || ' |  |'"""
+MARKDOWN_TABLE = """'Order ' || CAST(o_orderkey AS STRING) || chr(10) || '| key | status | note |' || chr(10) || '| --- | :-: | --- |' || chr(10) || '| ' || CAST(o_orderkey AS STRING) || ' | ' || o_orderstatus || ' | a\\\\|b |' || chr(10) || '| ' || CAST(o_custkey AS STRING) || ' | ' || o_orderpriority || ' |  |' || chr(10) || 'Next' || chr(10) || '| day |' || chr(10) || '|---|' || chr(10) || '| ' || CAST(o_custkey AS STRING) || ' |'"""

@@ -27,7 +27,7 @@ _STAMP = f"strftime(ts, '%Y-%m-%d %H:%M:%S.') || lpad(CAST({_MS} AS VARCHAR), 3,
 
 @query(
     "log_parse",
-    f"""SELECT event_id, {_STAMP} AS at, {D.EVENT_LEVEL} AS level, 'POST' AS method, '/api/' || event_type AS path,
+    f"""SELECT event_id, {_STAMP} AS at, {D.EVENT_LEVEL} AS level, 'POST' AS method, {D.EVENT_PATH} AS path,
   CAST({D.EVENT_STATUS} AS INT) AS status, user_id % 900 AS duration_ms, 'usr_' || user_id AS user_id,
   CASE WHEN event_type = 'error' THEN 'card: declined' END AS error, CAST(event_id % 7 AS VARCHAR) AS n FROM events""",
 )
@@ -40,9 +40,9 @@ def log_parse(spark, sf):
 
 @query(
     "log_summary",
-    f"""SELECT event_id % 20 AS day, count(*) AS total_entries, count(CASE WHEN event_type NOT IN ('error', 'signup') THEN 1 END) AS info, count(CASE WHEN event_type = 'signup' THEN 1 END) AS warn,
-  count(CASE WHEN event_type = 'error' THEN 1 END) AS error, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, 0 AS payment_failures, {_STAMP.replace('ts', 'min(ts)')} AS first_at,
-  count(DISTINCT event_type) AS unique_endpoints, CAST(round(count(CASE WHEN event_type = 'error' THEN 1 END) * 100 / count(*)) AS INT) AS error_percent
+    f"""SELECT event_id % 20 AS day, count(*) AS total_entries, count(CASE WHEN {D.EVENT_LEVEL} = 'INFO' THEN 1 END) AS info, count(CASE WHEN event_type = 'signup' THEN 1 END) AS warn,
+  count(CASE WHEN event_type = 'error' THEN 1 END) AS error, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, count(CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 1 END) AS payment_failures, {_STAMP.replace('ts', 'min(ts)')} AS first_at,
+  count(DISTINCT {D.EVENT_PATH}) AS unique_endpoints, CAST(round(count(CASE WHEN event_type = 'error' THEN 1 END) * 100 / count(*)) AS INT) AS error_percent
 FROM events GROUP BY 1""",
 )
 def log_summary(spark, sf):
@@ -53,6 +53,23 @@ def log_summary(spark, sf):
     )
 
 
+@query(
+    "log_levels",
+    f"SELECT event_id % 20 AS day, {D.EVENT_LEVEL} AS level, count(*) AS entries FROM events GROUP BY 1, 2",
+)
+def log_levels(spark, sf):
+    return parsers.log_levels(_entries(spark, sf).withColumn("day", F.col("event_id") % 20), "day")
+
+
+@query(
+    "log_endpoints",
+    f"""SELECT event_id % 20 AS day, 'POST' AS method, {D.EVENT_PATH} AS path, count(*) AS requests,
+  count(CASE WHEN event_type = 'error' THEN 1 END) AS failed FROM events GROUP BY 1, 3""",
+)
+def log_endpoints(spark, sf):
+    return parsers.log_endpoints(_entries(spark, sf).withColumn("day", F.col("event_id") % 20), "day")
+
+
 @query(
     "events_summary",
     """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(DISTINCT user_id) AS users,
@@ -104,13 +121,13 @@ def kv_parse(spark, sf):
     return blocks.select("doc_id", "block", F.array_join(entries, ";").alias("pairs"), "body")
 
 
-_XML = """'<?xml version="1.0"?><list><row id="' || CAST(p_partkey AS STRING) || '"><name>' || p_name || '</name><size>' || CAST(p_size AS STRING) || '</size></row><row id="x"><name>' || p_brand || '</name><size>0</size></row></list>'"""
+_XML = """'<?xml version="1.0"?><list><row id="' || CAST(p_partkey AS STRING) || '"><name>' || p_name || '</name><size>' || CAST(p_size AS STRING) || '</size></row><row id="y"><name>' || p_type || '</name></row><row id="x"><name>' || p_brand || '</name><size>0</size></row></list>'"""
 
 
 @query(
     "xml_records",
     """SELECT p_partkey AS doc_id, 0 AS record, CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part
-UNION ALL SELECT p_partkey, 1, 'x', p_brand, '0' FROM part""",
+UNION ALL SELECT p_partkey, 1, 'y', p_type, NULL FROM part UNION ALL SELECT p_partkey, 2, 'x', p_brand, '0' FROM part""",
 )
 def xml_records(spark, sf):
     docs = table(spark, sf, "part").select("p_partkey", F.expr(_XML).alias("text"))
@@ -119,22 +136,23 @@ def xml_records(spark, sf):
 
 @query(
     "markdown_rows",
-    """SELECT o_orderkey AS doc_id, 0 AS row, 'key,status,note' AS headers, o_orderkey || ',' || o_orderstatus || ',a|b' AS cells FROM orders
-UNION ALL SELECT o_orderkey, 1, 'key,status,note', o_custkey || ',' || o_orderpriority || ',' FROM orders""",
+    """SELECT o_orderkey AS doc_id, 0 AS "table", 0 AS row, 'key,status,note' AS headers, o_orderkey || ',' || o_orderstatus || ',a|b' AS cells FROM orders
+UNION ALL SELECT o_orderkey, 0, 1, 'key,status,note', o_custkey || ',' || o_orderpriority || ',' FROM orders
+UNION ALL SELECT o_orderkey, 1, 0, 'day', CAST(o_custkey AS VARCHAR) FROM orders""",
 )
 def markdown_rows(spark, sf):
     docs = D.orders(spark, sf).select("o_orderkey", F.expr(D.MARKDOWN_TABLE).alias("text"))
     return parsers.markdown_rows(docs, "o_orderkey", "text").select(
-        "doc_id", "row", F.array_join("headers", ",").alias("headers"), F.array_join("cells", ",").alias("cells")
+        "doc_id", "table", "row", F.array_join("headers", ",").alias("headers"), F.array_join("cells", ",").alias("cells")
     )
 
 
-_FENCED = """text || chr(10) || '```chart' || chr(10) || '{"type":"bar","n":' || CAST(turn AS STRING) || '}' || chr(10) || '```' || chr(10) || role || chr(10) || '```' || chr(10) || 'code ' || role || chr(10) || '```'"""
+_FENCED = """text || chr(10) || '```chart' || chr(10) || '{"type":"bar","n":' || CAST(turn AS STRING) || '}' || chr(10) || '```' || chr(10) || role || chr(10) || '```' || chr(10) || 'code ' || role || chr(10) || '```' || chr(10) || '```chart{"n":' || CAST(turn AS STRING) || '}```'"""
 
 
 @query(
     "fenced_blocks",
-    f"""WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, {_FENCED} AS text FROM conversations),
+    f"""WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, replace({_FENCED}, '```chart{{', '```chart' || chr(10) || '{{') AS text FROM conversations),
 b AS (SELECT doc_id, regexp_extract_all(text, '```(\\w*)\\n([\\s\\S]*?)```', 1) AS ls, regexp_extract_all(text, '```(\\w*)\\n([\\s\\S]*?)```', 2) AS bs FROM t)
 SELECT doc_id, unnest(range(len(ls))) AS block, unnest(ls) AS lang, unnest(bs) AS body,
   unnest(list_transform(list_zip(ls, bs), lambda z: z[1] = 'chart' AND json_valid(z[2]))) AS is_chart FROM b""",

@@ -110,12 +110,11 @@ def profile_table(spark, sf):
 
 @query(
     "profile_first_values",
-    f"""WITH {_CELLS}, firsts AS (SELECT field, value, min(row_key) AS k FROM cells WHERE value <> '' GROUP BY field, value),
-r AS (SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY k, value) AS rank FROM firsts)
+    f"""WITH {_CELLS}, r AS (SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY row_key, value) AS rank FROM cells WHERE value <> '')
 SELECT field, rank, value FROM r WHERE rank <= 3""",
 )
 def profile_first_values(spark, sf):
-    return profile.first_values(_counts(spark, sf))
+    return profile.first_values(profile.cells_of(table(spark, sf, "orders"), "o_orderkey", _COLUMNS))
 
 
 @query(

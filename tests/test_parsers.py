@@ -125,3 +125,34 @@ def test_markup(spark):
     blocks = parsers.fenced_blocks(one(spark, fenced), "id", "text").collect()
     assert [(b["lang"], b["is_chart"]) for b in blocks] == [("chart", True), ("py", False), ("chart", False)]
     assert blocks[1]["body"] == "print(1)\n"
+
+
+def test_markup_with_gaps(spark):
+    text = "<!-- a --><l><r><n>A</n></r><r k='2'><n>B</n><p>9</p><o><m>x</m></o></r><r><p>1</p><p>2</p></r></l>"
+    rows = parsers.xml_records(one(spark, text), "id", "text", "/l/r", ["n", "p", "@k", "o/m"]).orderBy("record").collect()
+    assert [tuple(r)[2:] for r in rows] == [("A", None, None, None), ("B", "9", "2", "x"), (None, "1", None, None)]
+    deep = "<a><b><c><v>1</v></c></b><b/><b><c><v>2</v></c><c><v>3</v></c></b></a>"
+    assert [r["v"] for r in parsers.xml_records(one(spark, deep), "id", "text", "/a/b/c", ["v"]).orderBy("record").collect()] == ["1", "2", "3"]
+    for bad in (None, "", "no xml", "<l><r>", "<other><r><n>A</n></r></other>"):
+        df = spark.createDataFrame([(1, bad)], "id int, text string")
+        assert parsers.xml_records(df, "id", "text", "/l/r", ["n"]).count() == 0, bad
+    two = "| a |\n|---|\n| 1 |\n| 2 |\n\n| b | c |\n| --- | --- |\n| 3 | 4 |\ntext\n| d |\n"
+    rows = parsers.markdown_rows(one(spark, two), "id", "text").orderBy("table", "row").collect()
+    assert [(r["table"], r["row"], r["headers"], r["cells"]) for r in rows] == [
+        (0, 0, ["a"], ["1"]), (0, 1, ["a"], ["2"]), (1, 0, ["b", "c"], ["3", "4"])]
+    chart = parsers.fenced_blocks(one(spark, 'so ```chart{"n":1}``` it is'), "id", "text").first()
+    assert (chart["lang"], chart["body"], chart["is_chart"]) == ("chart", '{"n":1}', True)
+
+
+def test_log_stamps_and_levels(spark):
+    text = "\n".join((
+        "2031-03-15T08:23:14.123Z INFO GET /a 200 5ms", "2031-03-15T10:23:15+02:00 DEBUG GET /a 503 5ms",
+        "[2031-03-15T03:23:16-0500] FATAL down", "2031/03/15 08:23:17 INFO GET /b 404"))
+    parsed = parsers.parse_log(parsers.log_lines(one(spark, text), "id", "text"), "line")
+    stamps = [r["ts"] for r in parsed.orderBy("line_no").collect()]
+    assert [s.strftime("%H:%M:%S") for s in stamps] == ["08:23:14", "08:23:15", "08:23:16", "08:23:17"]
+    assert stamps[0].microsecond == 123000
+    levels = {r["level"]: r["entries"] for r in parsers.log_levels(parsed, "doc_id").collect()}
+    assert levels == {"INFO": 2, "DEBUG": 1, "FATAL": 1}
+    ends = {r["path"]: (r["requests"], r["failed"]) for r in parsers.log_endpoints(parsed, "doc_id").collect()}
+    assert ends == {"/a": (2, 1), "/b": (1, 1)}

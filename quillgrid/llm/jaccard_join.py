@@ -1,6 +1,6 @@
 """N-gram Jaccard join with a count-vector R-tree: documents whose word n-gram sets are alike, exactly.
 
-A set's n-grams are hashed into groups; the counts of the groups are a point (folded to 64 groups in the tree, finer for a pair). The overlap of two sets is at most the sum of the smaller
+A set's n-grams are hashed into groups; the counts of the groups are a point (folded to 64 groups in the tree, finer at its leaves and for a pair). The overlap of two sets is at most the sum of the smaller
 counts, and of a set and all points of a tree node at most that with the node's largest counts; so a tree over the points finds the
 pairs that may be alike, and these are compared whole.
 
@@ -76,6 +76,11 @@ def folded(counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return counts if len(counts) == groups else counts.reshape(-1, groups).sum(0)
 
 
+def coarse_point(counts: np.ndarray, size: int) -> np.ndarray:
+    """A point folded to a group for every 8 to 16 n-grams: with fewer groups, unlike large sets have much the same counts."""
+    return folded(counts, min(len(counts), max(GROUPS, 1 << (size >> 4).bit_length())))
+
+
 def overlap_bound(p: np.ndarray, q: np.ndarray) -> int:
     """No two sets of these points share more n-grams."""
     n = min(len(p), len(q))
@@ -134,6 +139,20 @@ class CountTree:
             todo += [(level - 1, query[a:a + (1 << 18)], child[a:a + (1 << 18)]) for a in range(0, len(query), 1 << 18)]
 
 
+def finer(points: list[np.ndarray], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int = PERCENT, cells: int = 1 << 21) -> np.ndarray:
+    """Whether each pair of points (by number) may be alike by as many groups as both have."""
+    groups = np.array([len(p) for p in points])
+    both = np.minimum(groups[x], groups[y])
+    keep = np.ones(len(x), bool)
+    for n in np.unique(both[both > GROUPS]).tolist():
+        at = np.flatnonzero(both == n)
+        step = max(1, cells // n)
+        for pick in (at[a:a + step] for a in range(0, len(at), step)):
+            p, q = (np.stack([folded(points[i], n) for i in ends]) for ends in (x[pick].tolist(), y[pick].tolist()))
+            keep[pick] = np.minimum(p, q).sum(1) >= needed(sizes[x[pick]], sizes[y[pick]], percent)
+    return keep
+
+
 def frequent_grams(docs: DataFrame, size: int) -> np.ndarray:
     """The n-grams of an estimated ``FREQUENT`` documents or more, the most frequent ones if there are too many to hold.
 
@@ -189,7 +208,7 @@ def signatures(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                         continue
                     seen.add(node)
                     counts.append(packed(at := point(s)))
-                    coarse.append(packed(folded(at)))
+                    coarse.append(packed(coarse_point(at, len(s))))
                     k = len(s) - -(-percent * len(s) // 100) + 1
                     rare = s[~is_usual][:k]
                     rest = s[is_usual][:k - len(rare)]
@@ -271,7 +290,7 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The stored pairs whose points allow them to be alike. ``points`` may hold a node more than once."""
+    """The stored pairs whose points (``node, n, counts``) allow them to be alike. ``points`` may hold a node more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,9 +315,13 @@ def tree_pairs(groups: DataFrame, n: int, percent: int) -> DataFrame:
     def search(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
         node = np.asarray(table["node"])
-        tree = CountTree(np.stack([unpacked(x.as_buffer()) for x in table["coarse"]]), np.asarray(table["n"]), np.asarray(table["root"]))
+        points, sizes = [unpacked(x.as_buffer()) for x in table["coarse"]], np.asarray(table["n"])
+        tree = CountTree(np.stack([folded(p) for p in points]), sizes, np.asarray(table["root"]))
         for x, y in tree.pairs(percent):
-            yield packed_rows(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
+            keep = finer(points, sizes, x, y, percent)
+            x, y = x[keep], y[keep]
+            if len(x):
+                yield packed_rows(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
 
     def packed_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((b, a))
@@ -350,7 +373,10 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     points = signed.where("counts is not null").select("node", "n", "counts")
     shared = materialise(shared_keys(prefix_keys(signed), n), "keys")
     hub_pairs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first_pairs = materialise(bounded(materialise(hub_pairs, "hubs"), points, percent), "pairs")
+    coarse = materialise(signed.where("coarse is not null").select("node", "n", "coarse").dropDuplicates(["node"]), "coarse")
+    # Small points go along with all pairs, large ones with those that are left.
+    near_hubs = materialise(bounded(materialise(hub_pairs, "hubs"), coarse.withColumnRenamed("coarse", "counts"), percent), "near")
+    first_pairs = materialise(bounded(near_hubs, points, percent), "pairs")
     links = _verified(first_pairs, firsts, rows, size, percent)
     roots = materialise(components(links), "roots")
     labelled = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -358,7 +384,6 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     open_keys = labelled.groupBy("key").agg(
         F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"),
     ).where("x <> y").groupBy("c", "s", "x", "y").agg(F.min("key").alias("key")).select("key")
-    coarse = signed.where("coarse is not null").select("node", "n", "coarse").dropDuplicates(["node"])
     groups = labelled.join(open_keys, "key").dropDuplicates(["key", "node"]).join(coarse, "node")
     more_pairs = materialise(bounded(materialise(tree_pairs(groups, n, percent), "trees"), points, percent), "pairs")
     more_links = _verified(more_pairs, firsts, rows, size, percent)

@@ -342,3 +342,22 @@ def test_pipeline(spark, data):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, data)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_small_points_keep_alike_sets():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (5, 60, 900, 1023, 1100, 4000, 40000):
+        base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[: n - n // 10], rng.integers(0, 1 << 62, n // 10).astype(np.uint64)]))]
+        sets.append(np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)))
+    sizes = np.array([len(s) for s in sets])
+    points = [jaccard_join.coarse_point(jaccard_join.point(s), len(s)) for s in sets]
+    x, y = (a.ravel() for a in np.triu_indices(len(sets), 1))
+    keep = jaccard_join.finer(points, sizes, x, y, cells=4096)
+    for a, b, kept in zip(x.tolist(), y.tolist(), keep.tolist()):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert kept or both < jaccard_join.needed(sizes[a], sizes[b])
+        if sizes[a] > 1500 and sizes[b] > 1500 and not both:
+            assert not kept
+    assert jaccard_join.finer([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)).size == 0

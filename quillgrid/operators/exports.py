@@ -43,7 +43,7 @@ def record_maps(value: Column) -> Column:
 
 def rows(df: DataFrame, doc: str, structured: str) -> DataFrame:
     """``doc_id, row, cells``: one row per exported record of each document."""
-    maps = record_maps(jsontext.strict(F.col(structured)))
+    maps = let(jsontext.strict(F.col(structured)), record_maps)
     return unfold(df, [F.col(doc).alias("doc_id")], maps, "row", "cells")
 
 
@@ -145,7 +145,7 @@ def documents_as(df: DataFrame, doc: str, structured: str, kind: str, empty: str
     if kind == "json":
         return df.select(F.col(doc).alias("doc_id"), pretty_json(F.col(structured)).alias("content"))
     cells = df.select(
-        F.col(doc).alias("doc_id"), record_maps(jsontext.strict(F.col(structured))).alias("_cells")
+        F.col(doc).alias("doc_id"), let(jsontext.strict(F.col(structured)), record_maps).alias("_cells")
     ).withColumn("_names", header_array(F.col("_cells")))
     if kind == "markdown":
         text = markdown_text(F.col("_cells"), F.col("_names"))

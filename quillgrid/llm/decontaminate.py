@@ -1,11 +1,14 @@
-"""Benchmark decontamination: rare word n-grams seed candidates, Smith-Waterman alignment decides.
+"""Benchmark decontamination: word pairs seed candidates by exact bounds, Smith-Waterman alignment decides.
 
-Every word n-gram of the test items is a possible seed. One scan finds their places in the corpus; a seed's rarity is the number of documents
-that hold it. An item keeps the rarer half of its n-grams by this count, and every other that no more than ``rare`` documents hold; so no item is
-ever left without seeds, however often it was copied. Where seeds of one item fall close together in a document, the words around
-are aligned locally with the item. The score is the alignment's share of the best possible one.
+An item is found in a document if their best local alignment has at least ``share`` of the best possible score. Of an item with k words such an
+alignment leaves out or replaces u and puts in v with 3u + v <= B = 2k(1 - share). So at least k - 1 - 2B/3 of the item's k - 1 pairs of
+neighbours stand in it with no or one word between, on diagonals (place in the document less place in the item) within B of each other. Items too short for this
+bound are sought by single words, of which at least share * k match.
 
-Items are taken in blocks of a fixed number of n-grams, so what a task holds of the benchmark is bounded whatever its size.
+Rarity changes the work alone: the item's most frequent seeds by a count of documents are not looked for, as many as the bound leaves over, and the others
+must meet what remains of it. Where they do, the words around are aligned locally with the item.
+
+Items are taken in blocks of a fixed number of words, so what a task holds of the benchmark is bounded whatever its size.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from pyspark.sql import functions as F
 from quillgrid.llm import textbytes as T
 from quillgrid.llm.common import hinted, materialise
 
-GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: N-grams of the items that one scan looks for.
-BLOCK_GRAMS = 500_000
+#: Words of the items that one scan looks for.
+BLOCK_WORDS = 500_000
+#: Pairs of a hit and an item that are looked at together, more only within one text.
+MOST_PAIRS = 1_000_000
 
 
 def clean_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,17 +73,31 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best, came, at
 
 
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words, in order."""
+    return T.mix(a * np.uint64(0x2545F4914F6CDD1D) + b)
+
+
 class Items:
-    """A block of test items: their words, and their n-grams in a sorted table."""
+    """A block of test items: their words, and their seeds in a sorted table.
 
-    def __init__(self, ids: list[int], texts: list[str], gram: int):
-        self.ids, self.gram = ids, gram
+    ``need`` is how many of an item's seeds any alignment holds that scores ``share``, and ``spread`` how far apart their diagonals lie at most.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], share: float):
+        self.ids = ids
         buf, off = T.column_bytes(pa.array(texts, pa.string()))
         h, first = clean_words(buf, off)
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+        self.size = k = np.diff(first)
+        self.spread = np.floor(2 * k * (1 - share) + 1e-9).astype(np.int64)
+        pairs = k - 1 - 2 * self.spread // 3
+        single = pairs < 1
+        self.single = bool((single & (k > 0)).any())
+        self.need = np.where(single, np.maximum(1, np.ceil(share * k - 1e-9)), pairs).astype(np.int64)
         grams, owner, place = [], [], []
         for i, w in enumerate(self.words):
-            g = T.gram_hashes(w, min(gram, len(w))) if len(w) else np.zeros(0, np.uint64)
+            g = w if single[i] else pair_hashes(w[:-1], w[1:])
             grams.append(g)
             owner.append(np.full(len(g), i))
             place.append(np.arange(len(g)))
@@ -90,22 +108,24 @@ class Items:
         self.table = np.unique(self.grams)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.table & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.shortest = min([gram, *(len(w) for w in self.words if len(w))])
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, word and n-gram of every place that holds one of the items' n-grams."""
+        """Text, word and place in the table of every seed in the texts, in the order of texts."""
         text, word, found = [], [], []
-        for size in range(self.shortest, self.gram + 1):
-            g = T.gram_hashes(h, size)
+        for apart in range(0 if self.single else 1, 3):
+            g = h if not apart else pair_hashes(h[:-apart], h[apart:])
             near = np.flatnonzero(self.filter[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
             place = np.minimum(np.searchsorted(self.table, g[near]), len(self.table) - 1)
-            near = near[self.table[place] == g[near]] if len(self.table) else near[:0]
+            same = self.table[place] == g[near]
+            near, place = near[same], place[same]
             owner = np.searchsorted(first, near, "right") - 1
-            whole = near + size <= first[owner + 1]
+            whole = near + apart < first[owner + 1]
             text.append(owner[whole])
             word.append(near[whole])
-            found.append(g[near[whole]])
-        return np.concatenate(text), np.concatenate(word), np.concatenate(found)
+            found.append(place[whole])
+        text, word, found = np.concatenate(text), np.concatenate(word), np.concatenate(found)
+        order = np.argsort(text, kind="stable")
+        return text[order], word[order], found[order]
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -124,11 +144,11 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[list[int], list[
         yield ids, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rare: int = 20, share: float = 0.5, block: int = BLOCK_GRAMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, block: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, score, n_matched, first_word, end_word``: for every document and item that align by at least ``share``, the best
     alignment.
 
-    Scores lie between 0 and 1; words are counted among those that hold a letter or digit. Texts that are null or empty match nothing.
+    Scores lie between 0 and 1; ``n_matched`` counts the seeds met around the alignment; words are counted among those that hold a letter or digit. Texts that are null or empty match nothing.
     Of rows with the same id the best alignment is given; a null id is kept as one. No items or no documents: no rows. Other columns are
     ignored.
     """
@@ -137,11 +157,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rare:
     schema = "doc_id long, item_id long, score double, n_matched int, first_word int, end_word int"
     out = None
     for ids, texts in _blocks(benchmark, block):
-        items = Items(ids, texts, gram)
+        items = Items(ids, texts, share)
         if not len(items.table):
             continue
         shared = spark.sparkContext.broadcast(items)
-        seeds = spark.sparkContext.broadcast(_seeds(rows, shared, rare))
+        seeds = spark.sparkContext.broadcast(_seeds(rows, shared))
         found = rows.mapInArrow(_aligner(shared, seeds, share), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -150,15 +170,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rare:
     return best.select("doc_id", "item_id", "b.score", "b.n_matched", (-F.col("b.col3")).alias("first_word"), "b.end_word")
 
 
-def _seeds(rows: DataFrame, shared, rare: int) -> np.ndarray:
-    """For each entry of the items' n-grams, whether it is a seed. The counts collected are bounded by the block."""
+def _seeds(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of the items' seeds whether it is looked for, and for each item how many of these an alignment must meet.
+
+    Of the ``need`` seeds that an alignment holds, at most as many as are dropped can be among the dropped ones. The counts collected are bounded by
+    the block.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         total = np.zeros(len(items.table), np.int64)
         for batch in batches:
             for _, _, buf, off in T.slices(batch.column(0)):
-                text, _, g = items.hits(*clean_words(buf, off))
-                at = np.searchsorted(items.table, g)
+                text, _, at = items.hits(*clean_words(buf, off))
                 both = np.unique(text * len(items.table) + at)
                 total += np.bincount(both % len(items.table), minlength=len(total))
         some = np.flatnonzero(total)
@@ -170,47 +193,42 @@ def _seeds(rows: DataFrame, shared, rare: int) -> np.ndarray:
     if found.num_rows:
         df[np.asarray(found["i"])] = np.asarray(found["n"])
     entry = df[np.searchsorted(items.table, items.grams)]
-    seed = entry <= rare
-    for i in range(len(items.ids)):
-        own = items.owner == i if len(items.ids) < 2 else np.flatnonzero(items.owner == i)
-        if len(entry[own]):
-            seed[own] |= entry[own] <= np.median(entry[own])
-    return seed
+    least = (items.need + 1) // 2
+    order = np.lexsort((items.place, -entry, items.owner))
+    owner = items.owner[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    seed = np.zeros(len(entry), bool)
+    seed[order] = rank >= (items.need - least)[owner]
+    return seed, least
 
 
 def _aligner(shared, seeds, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seed = shared.value, seeds.value
+        items, (seed, least) = shared.value, seeds.value
+        # Entries that are looked for, by place in the table.
+        owner, place = items.owner[seed], items.place[seed]
+        begins = np.searchsorted(items.grams[seed], items.table, "left")
+        counts = np.searchsorted(items.grams[seed], items.table, "right") - begins
         for batch in batches:
             out: list[tuple] = []
             for lo, _, buf, off in T.slices(batch.column(1)):
                 h, first = clean_words(buf, off)
-                text, word, g = items.hits(h, first)
-                begin, end = np.searchsorted(items.grams, g, "left"), np.searchsorted(items.grams, g, "right")
-                n = end - begin
-                entry = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                text, word = np.repeat(text, n), np.repeat(word, n)
-                keep = seed[entry]
-                text, word, entry = text[keep], word[keep], entry[keep]
-                item, start = items.owner[entry], word - items.place[entry]
-                order = np.lexsort((start, item, text))
-                text, word, item, start = text[order], word[order], item[order], start[order]
-                size = np.array([len(w) for w in items.words])[item]
-                # Hits of a document and item whose implied starts lie within half an item of the last belong together.
-                apart = np.ones(len(text), bool)
-                apart[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:] // 2 + 2)
-                heads = np.flatnonzero(apart)
-                tails = np.append(heads[1:], len(text))
-                for a, b in zip(heads, tails):
-                    k = size[a]
-                    if b - a < 2 and k > 2 * items.gram:
-                        continue
-                    x = max(int(first[text[a]]), int(start[a]) - k // 2 - 2)
-                    y = min(int(first[text[a] + 1]), int(start[b - 1]) + k + k // 2 + 2)
-                    score, came, at = align(items.words[item[a]], h[x:y])
-                    if score >= share * MATCH * k:
-                        base = int(first[text[a]])
-                        out.append((batch.column(0)[lo + int(text[a])].as_py(), items.ids[item[a]], score / (MATCH * k), int(b - a), x + came - base, x + at - base))
+                texts, words, at = items.hits(h, first)
+                for p, q in _pieces(texts, counts[at]):
+                    begin, n = begins[at[p:q]], counts[at[p:q]]
+                    entry = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    text, item, start = np.repeat(texts[p:q], n), owner[entry], np.repeat(words[p:q], n) - place[entry]
+                    for a, b in _stretches(text, item, start, least, items.spread):
+                        k, wide = int(items.size[a[1]]), int(items.spread[a[1]])
+                        base, end = int(first[a[0]]), int(first[a[0] + 1])
+                        x, y = max(base, a[2] - wide), min(end, b[0] + wide + k)
+                        w = items.words[a[1]]
+                        # No more words match than the stretch holds of the item.
+                        if np.isin(w, h[x:y]).sum() < share * k:
+                            continue
+                        score, came, to = align(w, h[x:y])
+                        if score >= share * MATCH * k:
+                            out.append((batch.column(0)[lo + a[0]].as_py(), items.ids[a[1]], score / (MATCH * k), b[1], x + came - base, x + to - base))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
@@ -219,6 +237,39 @@ def _aligner(shared, seeds, share: float):
     return run
 
 
+def _pieces(text: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of hits, whole texts each, that stand for about ``MOST_PAIRS`` pairs of a hit and an item."""
+    total = np.cumsum(n)
+    p = 0
+    while p < len(text):
+        q = int(np.searchsorted(total, (total[p - 1] if p else 0) + MOST_PAIRS, "right"))
+        q = max(int(np.searchsorted(text, text[min(q, len(text) - 1)], "left")) if q < len(text) else len(text), int(np.searchsorted(text, text[p], "right")))
+        yield p, q
+        p = q
+
+
+def _stretches(text: np.ndarray, item: np.ndarray, start: np.ndarray, least: np.ndarray, spread: np.ndarray) -> Iterator[tuple[tuple[int, int, int], tuple[int, int]]]:
+    """Where enough seeds of an item meet in a text: (text, item, first diagonal) and (last diagonal, number of seeds)."""
+    order = np.lexsort((start, item, text))
+    text, item, start = text[order], item[order], start[order]
+    i = np.arange(len(text))
+    j = i + least[item] - 1
+    to = np.minimum(j, len(text) - 1)
+    met = (j == to) & (text[to] == text) & (item[to] == item)
+    met &= start[to] - start <= spread[item]
+    edge = np.zeros(len(text) + 1, np.int64)
+    np.add.at(edge, i[met], 1)
+    np.add.at(edge, j[met] + 1, -1)
+    live = np.cumsum(edge[:-1]) > 0
+    text, item, start = text[live], item[live], start[live]
+    apart = np.ones(len(text), bool)
+    apart[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > spread[item[1:]])
+    heads = np.flatnonzero(apart)
+    tails = np.append(heads[1:], len(text))
+    for a, b in zip(heads, tails):
+        yield (int(text[a]), int(item[a]), int(start[a])), (int(start[b - 1]), int(b - a))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
     bad = materialise(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")

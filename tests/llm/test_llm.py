@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, decontaminate, fingerprints, hmm_lm, html_main, jaccard_join, packing, suffix_dedup, token_counts, toxicity
+from quillgrid.llm import bpe, chat, decontaminate, fingerprints, hmm_lm, html_main, jaccard_join, packing, suffix_dedup, textbytes, token_counts, toxicity
 from quillgrid.llm.components import components
 
 SCHEMA = "doc_id long, text string, score string, n_shingles string, bucket string, node string"
@@ -240,6 +241,38 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0 == decontaminate.contaminated(frame, bench.limit(0)).count()
 
 
+def test_decontamination_finds_every_alignment(spark):
+    rng = random.Random(12)
+    common = "of the in a to and is it on by".split()
+
+    def text(n):
+        return [rng.choice(common) if rng.random() < 0.4 else prose(rng, 1) for _ in range(n)]
+
+    def edited(w, places):
+        return [f"new{rng.randrange(9999)}" if i in places else x for i, x in enumerate(w)]
+
+    items = [text(15), text(15), text(12), text(40), text(3), text(5), text(1), text(2), text(4)]
+    docs = [text(60) for _ in range(40)]
+    # Copies in more than 20 documents, of which one or no three words in a row stay.
+    docs += [text(20) + edited(items[0], (3, 7, 11)) + text(20) for _ in range(30)] + [text(20) + edited(items[1], (2, 5, 9, 12)) + text(9) for _ in range(30)]
+    docs += [edited(items[1], (2, 5, 8, 11, 14)), [x for w in items[2] for x in (w, f"put{rng.randrange(99)}")], edited(items[0], (0, 3, 6, 9, 12))]
+    for w in items:
+        for _ in range(25):
+            docs.append(text(5) + [y for x in w for y in rng.choice(([x], [x], [x], [x, "put"], ["new"], []))] + text(5))
+    hashed = [[decontaminate.clean_words(*textbytes.column_bytes(pa.array([" ".join(w)])))[0] for w in x] for x in (items, docs)]
+    want = {}
+    for d, words_d in enumerate(hashed[1]):
+        for i, words_i in enumerate(hashed[0]):
+            score = decontaminate.align(words_i, words_d)[0]
+            if score >= len(words_i):
+                want[d, i] = score / (2 * len(words_i))
+    assert {(d, 0) for d in range(40, 70)} | {(d, 1) for d in range(70, 101)} | {(101, 2), (102, 0)} <= set(want)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got == want
+
+
 def test_alignment():
     a = np.array([1, 2, 3, 4, 5, 6])
     assert decontaminate.align(a, np.array([9, 1, 2, 3, 4, 5, 6, 9])) == (12, 1, 7)

@@ -5,7 +5,8 @@ slot gets the log ratio of its smoothed rate among toxic and clean texts. A logi
 slot times this ratio; its product with the ratio is the slot's weight. Scoring is one pass over the texts.
 
 The classifier is fitted on a bounded sample: at most ``max_rows`` labelled rows of each label (those with the smallest hashes of their
-ids) and at most ``max_bytes`` of any of these texts' features; scoring reads every text whole.
+ids) and at most ``max_chars`` of their texts; scoring reads every text whole. All training rows are counted, and the bias is shifted from the
+sample's share of toxic rows to theirs, so the decision does not hang on how much of either label the sample holds.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import textbytes as T
-from quillgrid.llm.common import held_out
+from quillgrid.llm.common import held_out, materialise
 
 SIZES = (4, 5, 6)
 SLOTS = 1 << 20
@@ -121,23 +122,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_rows: int = 300
     """A model from labelled documents.
 
     ``labels`` has ``doc_id`` and ``toxic``; rows with a null in either are left out, and of several labels of an id the largest
-    counts. ``train_rows`` is a condition on ``doc_id`` that training rows meet. ``max_rows`` bounds the rows of each label, and
-    ``max_chars`` the summed length of the texts of each label; rows are taken in the order of a hash of their id.
+    counts; labels without a document are left out. ``train_rows`` is a condition on ``doc_id`` that training rows meet. ``max_rows`` bounds the rows
+    of each label, and ``max_chars`` the summed length of the texts of each label; rows are taken in the order of a hash of their id, and a text
+    that does not fit is passed over. If none of a label fits, its shortest text is taken.
     """
-    from pyspark.sql import Window
-
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     if train_rows is not None:
         known = known.where(train_rows)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).withColumn("_order", F.xxhash64("doc_id"))
-    picked = None
+    sizes = docs.select("doc_id", F.length("text").alias("_n")).groupBy("doc_id").agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_n"))
+    sized = materialise(known.join(sizes, "doc_id"), "labelled")
+    total = {r["_toxic"]: r["count"] for r in sized.groupBy("_toxic").count().collect()}
+    chosen: list[tuple[int, int]] = []
     for value in (0, 1):
-        one = known.where(F.col("_toxic") == value).orderBy("_order", "doc_id").limit(max_rows)
-        picked = one if picked is None else picked.union(one)
-    sized = picked.join(docs.select("doc_id", F.length("text").alias("_n")).groupBy("doc_id").agg(F.max("_n").alias("_n")), "doc_id")
-    w = Window.partitionBy("_toxic").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = sized.withColumn("_sum", F.sum(F.coalesce("_n", F.lit(0))).over(w)).where(F.col("_sum") <= max_chars)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "_toxic")), "doc_id")
+        one = sized.where(F.col("_toxic") == value)
+        found = one.where(F.col("_n") <= max_chars).orderBy("_order", "doc_id").limit(max_rows).collect()
+        taken = 0
+        for r in found or one.orderBy("_n", "_order", "doc_id").limit(1).collect():
+            if taken == 0 or taken + r["_n"] <= max_chars:
+                taken += r["_n"]
+                chosen.append((r["doc_id"], value))
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, _toxic int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_rows: int = 300
     sample = rows.mapInArrow(slots_of, "doc_id long, toxic int, slots binary").toArrow()
     order = np.argsort(np.asarray(sample["doc_id"]), kind="stable")
     texts = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["slots"]]
-    return train([texts[i] for i in order], np.asarray(sample["toxic"]).astype(float)[order])
+    model = train([texts[i] for i in order], np.asarray(sample["toxic"]).astype(float)[order])
+    n = np.bincount([value for _, value in chosen], minlength=2)
+    if n.all():
+        model.bias += float(np.log(total[1] / total[0]) - np.log(n[1] / n[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

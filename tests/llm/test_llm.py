@@ -223,6 +223,32 @@ def test_toxicity(spark, none):
     assert toxicity.fit(frame, spark.createDataFrame([], "doc_id long, toxic int")).bias < 0
 
 
+def test_toxicity_keeps_the_prior_of_all_rows(spark):
+    frame = spark.createDataFrame([(i, "") for i in range(420)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(420)] + [(1000 + i, 1) for i in range(50)], "doc_id long, toxic int")
+    for most in (20, 100, 3000):
+        assert toxicity.fit(frame, labels, max_rows=most).bias == pytest.approx(math.log(60 / 360))
+
+
+def test_toxicity_passes_over_long_texts(spark):
+    rng = random.Random(10)
+    ids = [r.id for r in spark.range(80).orderBy(F.xxhash64("id")).collect()]
+    toxic = [i for i in ids if i % 2]
+    texts = {i: prose(rng, 10) + (" vilest wretch" if i % 2 else "") for i in ids}
+    texts[toxic[0]] = "long " * 2000
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+
+    def predicted(max_chars):
+        frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+        return {r.doc_id: r.predicted for r in toxicity.score(frame, toxicity.fit(frame, labels, max_chars=max_chars)).collect()}
+
+    got = predicted(9000)
+    assert all(got[i] == i % 2 for i in ids if i != toxic[0])
+    # No text fits: the shortest of each label is learned from, and neither label wins by default.
+    frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert toxicity.fit(frame, labels, max_chars=3).bias == pytest.approx(0)
+
+
 def test_decontamination(spark, none):
     rng = random.Random(4)
     items = [(i, prose(rng, 30)) for i in range(8)] + [(8, None), (9, ""), (10, "same words twice same words twice again and again")]

@@ -6,6 +6,7 @@ fingerprint, and the fingerprint selects a declarative mapping: where the turns
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,10 @@ from quillgrid.functions.core import let
 
 TURNS = "array<struct<role:string,text:string>>"
 END_MARK = "</turn>\n"
+#: Records of more bytes do not become a VARIANT whole: it takes strings of 20,000,000 characters and values of 128 MiB at most.
+LONG_BYTES = 20_000_000
+#: A shape of more bytes that gives no variant is an error, not invalid JSON.
+SHAPE_BYTES = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -90,6 +95,10 @@ def map_turns(record: Column, layout: Layout) -> Column:
     if layout.turns:
         items = F.try_variant_get(record, f"$.{layout.turns}", "array<variant>")
         return F.transform(items, lambda x: _turn(canonical_role(_text(x, layout.role)), _text(x, layout.text)))
+    return _turns_of_fields(lambda field: _text(record, field), layout)
+
+
+def _turns_of_fields(text: Callable[[str], Column], layout: Layout) -> Column:
     turns, last = [], layout.fields[-1][0]
     groups: list[tuple[str, list[str]]] = []
     for field, role in layout.fields:
@@ -98,12 +107,43 @@ def map_turns(record: Column, layout: Layout) -> Column:
         else:
             groups.append((role, [field]))
     for role, fields in groups:
-        parts = F.filter(F.array(*[_text(record, f) for f in fields]), lambda p: p != "")
+        parts = F.filter(F.array(*[text(f) for f in fields]), lambda p: p != "")
         turn = _turn(F.lit(role), F.array_join(parts, "\n\n"))
         turns.append(turn if last in fields or role == "user" else F.when(F.size(parts) > 0, turn))
     return F.array_compact(F.array(*turns))
 
 
+def without_texts(record: Column) -> Column:
+    """A JSON text with its string values emptied: the same shape in few bytes. Names are kept, but for escapes that no layout has."""
+    plain = F.regexp_replace(record, r'\\["\\/bfnrt]', "?")
+    return F.regexp_replace(plain, r'"([^"]*+)"(\s*+:)|"[^"]*+"', '"$1"$2')
+
+
+def parse_record(record: Column) -> Column:
+    """The record as a variant, of a long one the shape alone. Null if it is no JSON; an error if even the shape is too large to tell."""
+    shape = without_texts(record)
+    too_large = F.raise_error(F.lit("chat record too large: its JSON without texts does not fit a VARIANT")).cast("variant")
+    of_long = let(shape, lambda s: F.coalesce(F.try_parse_json(s), F.when(F.octet_length(s) > SHAPE_BYTES, too_large)))
+    return F.when(F.octet_length(record) > LONG_BYTES, of_long).otherwise(F.try_parse_json(record))
+
+
+def map_long_turns(text: Column, layout: Layout) -> Column:
+    """``map_turns`` from the JSON text of a long record, read by a fixed schema."""
+    names = dict.fromkeys([f for f, _ in layout.fields])
+    fields = f"`{layout.turns}` array<struct<`{layout.role}`:string,`{layout.text}`:string>>" if layout.turns else ", ".join(f"`{n}` string" for n in names)
+    options = {"maxStringLen": str(2 ** 31 - 1), "columnNameOfCorruptRecord": "_corrupt"}
+
+    def turns(r: Column) -> Column:
+        if layout.turns:
+            found = F.transform(r[layout.turns], lambda x: _turn(
+                canonical_role(F.coalesce(x[layout.role], F.lit(""))), F.coalesce(x[layout.text], F.lit(""))))
+        else:
+            found = _turns_of_fields(lambda field: F.coalesce(r[field], F.lit("")), layout)
+        return F.when(r["_corrupt"].isNull(), found)
+
+    return let(F.from_json(text, f"{fields}, _corrupt string", options), turns)
+
+
 def canonical_role(role: Column) -> Column:
     """Known other names become the canonical ones; any other role stays as it is."""
     mapped = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
@@ -114,16 +154,18 @@ def with_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS
     """All columns with ``layout`` (null if none fits), ``schema_id`` (the fingerprint) and ``turns``; these names are replaced.
 
     ``record`` is a column of JSON texts. Null or invalid JSON, and layouts nobody registered, give null turns; null fields count as empty.
+    Records of more than ``LONG_BYTES`` are told by their shape and read by the layout's schema, so any length of text is kept.
     """
-    known = [c for c in df.columns if c not in ("layout", "schema_id", "turns", "_record")]
-    parsed = df.select(*[F.col(f"`{c}`") for c in known], F.try_parse_json(F.col(record)).alias("_record"))
+    known = [c for c in df.columns if c not in ("layout", "schema_id", "turns", "_record", "_json")]
+    parsed = df.select(*[F.col(f"`{c}`") for c in known], F.col(record).alias("_json"), parse_record(F.col(record)).alias("_record"))
     tagged = parsed.withColumn("schema_id", fingerprint(schema_shape(F.col("_record"))))
     name = turns = None
     for layout in layouts:
         # The layout's own shape is hashed by the same expression; the optimizer folds it to a number.
         fits = F.col("schema_id") == fingerprint(F.lit(layout.schema))
         name = F.when(fits, F.lit(layout.name)) if name is None else name.when(fits, F.lit(layout.name))
-        value = map_turns(F.col("_record"), layout).cast(TURNS)
+        whole = F.octet_length("_json") > LONG_BYTES
+        value = F.when(whole, map_long_turns(F.col("_json"), layout).cast(TURNS)).otherwise(map_turns(F.col("_record"), layout).cast(TURNS))
         turns = F.when(fits, value) if turns is None else turns.when(fits, value)
     return tagged.select(*[F.col(f"`{c}`") for c in known], name.alias("layout"), "schema_id", turns.alias("turns"))
 

@@ -92,6 +92,35 @@ def test_chat_layouts(spark):
     assert chat.format_chat(df.limit(0), "j").count() == 0
 
 
+def test_chat_long_texts(spark):
+    long = F.repeat(F.lit('a "\\<#:\n{é} '), 2_000_000)
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.when(F.col("id") == 0, F.lit("short")).otherwise(long).alias("text"))
+    done = chat.format_chat(chat.as_records(rows), "record")
+    turns, masked = chat.read_back(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss"))
+    got = done.select("layout", F.size(turns).alias("n"), turns[0]["text"].alias("first"), (turns[1]["text"] == long).alias("same"), (masked == long).alias("mask")).collect()
+    assert [tuple(r) for r in got] == [("messages", 2, "short", True, True)]
+
+
+def test_chat_long_records_as_short_ones(spark, monkeypatch):
+    texts = [
+        '{"messages": [{"role" : "human", "content":"a \\"b\\" \\\\"}, {"content":null,"role":"gpt"}, {"role":"us:er","content":"{\\n: [\\u00e9"}]}',
+        '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"3"}]}', '{"instruction":"a","input":"","output":"o\\\\"}',
+        '{"system":"s","instruction":"a","input":"b","output":"o"}', '{"pr\\u006fmpt":null,"response":"r"}', '{"prompt\\"":"x","response":"r"}',
+        '{"x":"1"}', '{"prompt":"x","response":"r\n"}', '{"prompt":"x", "response"', "bad", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+
+    def found():
+        return sorted(map(str, chat.with_turns(df, "j").select("i", "layout", "schema_id", "turns").collect()))
+
+    want = found()
+    monkeypatch.setattr(chat, "LONG_BYTES", -1)
+    got = [x.replace("layout='prompt_response'", "layout=None") if "i=7" in x else x for x in found()]
+    monkeypatch.undo()
+    assert [x.split("turns=")[1] for x in got] == [x.split("turns=")[1] for x in want]
+    assert [x.split("schema_id=")[0] for x in got] == [x.split("schema_id=")[0] for x in want]
+
+
 def test_html(spark):
     pages = {
         '<nav><ul><li><a href="/x">x</a></li></ul></nav><article><h1>A &amp; B</h1><p>one\n  two<br><p><b>three</article><footer>&copy; z</footer>': "A & B\none two\nthree",

@@ -138,14 +138,14 @@ def _json_fields(rows: Column) -> Column:
     return let(refs, of_refs)
 
 
-def _object_fields(members: Column) -> Column:
-    """Fields of a single object, with its value as a shortened sample."""
+def _object_fields(members: Column, sample_length: int | None = None) -> Column:
+    """Fields of a single object, with its value as a sample; one of more characters than a given length is shortened."""
     def field(name: Column) -> Column:
         def of(v: Column) -> Column:
-            text = F.to_json(v)
-            sample = F.when(
-                F.octet_length(text) > 100, F.concat(F.left(text, F.lit(100)), F.lit("..."))
-            ).otherwise(text)
+            sample = text = F.to_json(v)
+            if sample_length is not None:
+                shown = F.concat(F.left(text, F.lit(sample_length)), F.lit("..."))
+                sample = F.when(F.length(text) > sample_length, shown).otherwise(text)
             return _field(
                 name, jsontext.field_type(v), F.lit(False), F.lit(False), F.lit(0), F.lit(0), F.array(sample)
             )
@@ -155,9 +155,11 @@ def _object_fields(members: Column) -> Column:
     return F.transform(F.array_sort(F.map_keys(members)), field)
 
 
-def with_profile(df: DataFrame, text: str, strict: bool = False) -> DataFrame:
+def with_profile(df: DataFrame, text: str, strict: bool = False, sample_length: int | None = None) -> DataFrame:
     """Adds ``doc_type, row_count, field_count, fields, issues``.
 
+    The samples of a single object are whole unless ``sample_length`` is given.
+
     ``strict`` rejects a delimited text whose lines differ in field count; otherwise such lines are
     repaired where possible, cut or padded to the header, and reported.
     """
@@ -180,7 +182,7 @@ def with_profile(df: DataFrame, text: str, strict: bool = False) -> DataFrame:
     fields = (
         F.when(F.col("_csv_ok"), _csv_fields(F.col("_csv")))
         .when(F.col("_rows_ok"), _json_fields(F.col("_rows")))
-        .when(F.col("_object").isNotNull(), _object_fields(F.col("_object")))
+        .when(F.col("_object").isNotNull(), _object_fields(F.col("_object"), sample_length))
         .otherwise(no_fields)
     )
     with_fields = counted.withColumn("fields", fields)

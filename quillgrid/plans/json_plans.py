@@ -85,6 +85,26 @@ def profile_json(spark, sf):
     )
 
 
+@query(
+    "profile_json_objects",
+    # Members of a nested object are ordered by name, as a variant keeps them.
+    f"""WITH {_TREE},
+ordered AS (SELECT doc_id, parent AS id, '{{' || string_agg(CAST(to_json(key) AS VARCHAR) || ':' || COALESCE(CAST(value AS VARCHAR), 'null'), ',' ORDER BY key) || '}}' AS text
+  FROM nodes WHERE parent_type = 'OBJECT' GROUP BY doc_id, parent)
+SELECT n.doc_id, n.key AS field, CASE n.type WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null'
+    WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'string' WHEN 'ARRAY' THEN 'string' ELSE 'number' END AS type,
+  0 AS empty_count, 0 AS missing_count, COALESCE(o.text, CAST(n.value AS VARCHAR), 'null') AS sample
+FROM nodes n JOIN nodes r ON r.doc_id = n.doc_id AND r.id = n.parent LEFT JOIN ordered o ON o.doc_id = n.doc_id AND o.id = n.id WHERE r.parent IS NULL AND r.type = 'OBJECT'""",
+)
+def profile_json_objects(spark, sf):
+    # The other texts that have fields; profile_json takes those that start as arrays.
+    others = D.order_docs(spark, sf).where(~trim_ws(F.col("structured")).startswith("["))
+    fields = profile_fields(with_profile(others, "structured"), "doc_id")
+    return fields.select(
+        "doc_id", F.col("name").alias("field"), "type", "empty_count", "missing_count", F.col("sample_values")[0].alias("sample"),
+    )
+
+
 @query(
     "quality_completeness",
     f"""WITH {_TREE}, m AS (SELECT doc_id, count(*) AS n, count(CASE WHEN type = 'NULL' OR (type = 'VARCHAR' AND json_extract_string(value, '$') = '') THEN 1 END) AS gone

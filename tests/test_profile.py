@@ -26,6 +26,15 @@ def test_csv_profile(spark):
     assert r["clean"]["suggestions"][0].startswith("Data has 33% missing values")
 
 
+def test_object_samples_are_whole(spark):
+    text = '{"k":["' + "é" * 150 + '"],"s":"t"}'
+    df = spark.createDataFrame([(0, text)], "id int, text string")
+    whole = profile.with_profile(df, "text").first()["fields"]
+    assert [f["sample_values"] for f in whole] == [['["' + "é" * 150 + '"]'], ['"t"']]
+    short = profile.with_profile(df, "text", sample_length=20).first()["fields"]
+    assert [f["sample_values"] for f in short] == [['["' + "é" * 18 + "..."], ['"t"']]
+
+
 def test_json_profile(spark):
     rows = run(
         spark,

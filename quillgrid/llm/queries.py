@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, decontaminate, fingerprints, hmm_lm, html_main, jaccard_join, packing, suffix_dedup, token_counts, toxicity
+from quillgrid.llm import (
+    chat, decontaminate, fingerprints, hmm_lm, html_main, jaccard_join, packed_ids, packing, periodic_runs, prefix_trie, suffix_dedup, token_counts, toxicity)
 from quillgrid.llm.common import held_out, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,68 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
+#: crc32 of a decimal id, bit by bit: a digit is put in, then eight steps (-1) follow.
+_CRC32 = """
+CREATE_CRC AS (
+  SELECT conv_id, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+        lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) AS crc
+  FROM (SELECT DISTINCT conv_id FROM turns))
+"""
+
+# A node's leaves and savings are sums over its members: one for each leaf's smallest member, and each turn at which a member is not the
+# smallest of its node.
+_OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, role, text, row_number() OVER (
+      PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS i
+  FROM (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+{_CRC32.strip().replace("CREATE_CRC", "crcs")},
+convs AS (
+  SELECT c.conv_id, crc % 6 AS h, (SELECT count(*) FROM turns t WHERE t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= crc % 6) AS k FROM crcs c),
+rebuilt AS (
+  SELECT c.conv_id, t.i AS d, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, c.k + t.i - c.h AS d, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+named AS (
+  SELECT conv_id, d, length(text) AS size,
+    list(length(role) || ':' || role || ':' || length(text) || ':' || text) OVER (PARTITION BY conv_id ORDER BY d) AS node
+  FROM rebuilt),
+members AS (
+  SELECT conv_id, 0 AS d, 0 AS size, CAST([] AS VARCHAR[]) AS node FROM convs UNION ALL SELECT conv_id, d, size, node FROM named),
+ends AS (SELECT conv_id, max(d) AS last FROM members GROUP BY conv_id),
+nodes AS (SELECT node, d, min(conv_id) AS least, count(*) AS n, max(size) AS size FROM members GROUP BY node, d),
+kids AS (
+  SELECT p.node, count(*) AS children FROM nodes c JOIN nodes p ON p.d = c.d - 1 AND p.node = c.node[1:len(c.node) - 1] GROUP BY p.node),
+placed AS (
+  SELECT m.conv_id, m.d, m.node, n.least, n.size, e.last,
+    CASE WHEN m.d = e.last AND n.least = m.conv_id AND k.children IS NULL THEN 1 ELSE 0 END AS leaf,
+    CASE WHEN n.least = m.conv_id THEN 0 ELSE n.size END AS saved
+  FROM members m JOIN nodes n ON n.node = m.node AND n.d = m.d JOIN ends e ON e.conv_id = m.conv_id LEFT JOIN kids k ON k.node = m.node),
+summed AS (
+  SELECT *, sum(leaf) OVER w AS leaves_on, sum(saved) OVER w AS saved_on FROM placed
+  WINDOW w AS (PARTITION BY conv_id ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT s.least AS conv_id, s.d AS depth, p.least AS parent_conv_id, count(*) AS n_convs, COALESCE(any_value(k.children), 0) AS n_children,
+  CAST(sum(leaves_on) AS BIGINT) AS n_leaves, CAST(sum(saved_on) AS BIGINT) AS saved_tokens,
+  sha256(COALESCE(string_agg(CAST(s.conv_id AS VARCHAR), ',' ORDER BY s.conv_id) FILTER (WHERE s.d = s.last), '')) AS ends_sha256
+FROM summed s LEFT JOIN kids k ON k.node = s.node LEFT JOIN nodes p ON p.d = s.d - 1 AND p.node = s.node[1:len(s.node) - 1]
+GROUP BY s.node, s.least, s.d, p.least
+"""
+
+
+def op12_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapse(table(spark, sf_dir, "documents"), sample_edit=True)
+
+
 def _prepared(query: Query) -> Query:
     return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
 
@@ -101,8 +164,8 @@ def _prepared(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     return {f.__name__: _prepared(f) for f in (
         op1_fingerprints, op2_chat_format, op3_html_main_text, op4_jaccard_join, op5_best_fit_packing, op6_toxicity, op7_decontaminate,
-        op8_token_counts, op9_suffix_dedup, op10_hmm_lm)}
+        op8_token_counts, op9_suffix_dedup, op10_hmm_lm, op11_prefix_trie, op12_packed_ids, op13_periodic_runs)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_chat_format": _OP2_SQL}
+    return {"op2_chat_format": _OP2_SQL, "op11_prefix_trie": _OP11_SQL}

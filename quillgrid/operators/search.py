@@ -38,17 +38,17 @@ def with_tokens(chunks: DataFrame) -> DataFrame:
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """Chunks and average length per collection; chunks without tokens count."""
     return chunks.groupBy("collection_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl")
+        F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl"), F.sum("dl").cast("bigint").alias("total_dl")
     )
 
 
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """Postings: one row per (chunk, term) with its frequency.
+def term_counts(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Postings: one row per (chunk, term) with its frequency, and further columns to keep.
 
     Counting happens inside the row by sorting a chunk's own tokens, so no shuffle is needed.
     """
-    return unfold(chunks, [*CHUNK_KEY, "dl"], run_counts(F.col("tokens")), "_i", "p").select(
-        *CHUNK_KEY, "dl", F.col("p.value").alias("term"), F.col("p.n").alias("tf")
+    return unfold(chunks, [*CHUNK_KEY, "dl", *keep], run_counts(F.col("tokens")), "_i", "p").select(
+        *CHUNK_KEY, "dl", *keep, F.col("p.value").alias("term"), F.col("p.n").alias("tf")
     )
 
 
@@ -108,7 +108,7 @@ def top_chunks(scored: DataFrame, k: int) -> DataFrame:
 
 
 def bm25(
-    chunks: DataFrame, queries: Iterable[tuple[str, str]], k: int = K.SEARCH_DEPTH,
+    chunks: DataFrame, queries: Iterable[tuple[str, str]], k: int,
     stats: DataFrame | None = None, compat: bool = False,
 ) -> DataFrame:
     """The ``k`` best chunks per (query, collection); ``k <= 0`` keeps all with a positive score.

@@ -11,6 +11,7 @@ from quillgrid.plans.registry import query
 from quillgrid.plans.text_plans import chunks_sql
 from quillgrid.session import materialise, run_dir
 from quillgrid.sources import chunk_index
+from quillgrid.sources.search_store import SearchStore
 
 QUERIES = (("three terms", "the then with"), ("repeats", "there there of"), ("rare", "Entre VERDAD x9"))
 
@@ -37,11 +38,17 @@ def _chunks(spark, sf):
 
 
 CHUNKS = chunks_sql("documents")
-TOKENS = f"""{CHUNKS}, tokened AS (SELECT *, regexp_extract_all(lower(content), '{K.TOKEN}') AS ts FROM chunks),
+
+
+def tokens_sql(docs: str) -> str:
+    return f"""{chunks_sql(docs)}, tokened AS (SELECT *, regexp_extract_all(lower(content), '{K.TOKEN}') AS ts FROM chunks),
 postings AS (SELECT collection_id, doc_id, position, term, count(*) AS tf FROM (SELECT collection_id, doc_id, position, unnest(ts) AS term FROM tokened) GROUP BY ALL),
 corpus AS (SELECT collection_id, count(*) AS n_chunks, avg(len(ts)) AS avg_dl FROM tokened GROUP BY collection_id)"""
 
 
+TOKENS = tokens_sql("documents")
+
+
 @query("bm25_stats", f"WITH {TOKENS} SELECT collection_id, n_chunks, round(avg_dl, 6) AS avg_dl FROM corpus")
 def bm25_stats(spark, sf):
     stats = search.corpus_stats(_chunks(spark, sf))
@@ -61,7 +68,10 @@ def bm25_tf(spark, sf):
 _ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{name}', '{t}', {n})" for name, q in search.query_terms(QUERIES).items() for t, n in q.items()
 ) + ") AS v(query_id, term, qtf))"
-_SCORED = f"""{TOKENS}, {_ASKED}, dfs AS (SELECT collection_id, term, count(*) AS df FROM postings GROUP BY ALL),
+
+
+def scored_sql(docs: str) -> str:
+    return f"""{tokens_sql(docs)}, {_ASKED}, dfs AS (SELECT collection_id, term, count(*) AS df FROM postings GROUP BY ALL),
 scored AS (
   SELECT a.query_id, p.collection_id, p.doc_id, p.position,
     sum(a.qtf * ln((n_chunks - df + 0.5) / (df + 0.5) + 1) * (tf * {K.BM25_K1 + 1}) / (tf + {K.BM25_K1} * (1 - {K.BM25_B} + {K.BM25_B} * len(t.ts) / avg_dl))) AS score
@@ -73,22 +83,25 @@ ranked AS (
   FROM scored s JOIN chunks c ON c.collection_id = s.collection_id AND c.doc_id = s.doc_id AND c.position = s.position WHERE score > 0)"""
 
 
+_SCORED = scored_sql("documents")
+
+
 def _hits(spark, sf):
     return materialise(chunk_index.ranked(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH), "ranked")
 
 
-_TOP = f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
+TOP = f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
 FROM ranked WHERE rank <= {K.SEARCH_DEPTH}"""
 
 
-@query("bm25_topk", _TOP)
+@query("bm25_topk", TOP)
 def bm25_topk(spark, sf):
     """From the stored postings."""
     found = chunk_index.search_index(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH)
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("bm25_scan", _TOP)
+@query("bm25_scan", TOP)
 def bm25_scan(spark, sf):
     """The same ranking from chunks that have no postings."""
     stored = index(spark, sf)
@@ -137,10 +150,30 @@ def chunk_scan(spark, sf):
     return index(spark, sf).collection(spark, "src3").select("doc_id", "position", "content")
 
 
+@query(
+    "bm25_collection",
+    f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
+FROM ranked WHERE rank <= {K.SEARCH_DEPTH} AND collection_id = 'src3'""",
+)
+def bm25_collection(spark, sf):
+    """Search in one collection: only its postings and its directory of chunks are read."""
+    found = chunk_index.search_index(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH, ["src3"])
+    return found.withColumn("score", F.round("score", 6))
+
+
 _CHANGED = "doc_id % 7 = 3"
 _NEW_TEXT = "'Replaced text of document ' || CAST(doc_id AS STRING) || '. ' || lang || ' again.'"
 
 
+def _store(spark, sf) -> SearchStore:
+    """A store of its own over the shared index, whose files stay as they are."""
+    return SearchStore.create(spark, run_dir(spark, "store"), index(spark, sf))
+
+
+def _new_texts(spark, sf):
+    return D.documents(spark, sf).where(_CHANGED).select("doc_id", F.col("source").alias("collection_id"), F.expr(_NEW_TEXT).alias("text"))
+
+
 @query(
     "index_replace",
     f"""WITH {CHUNKS} SELECT collection_id, doc_id, position, content FROM chunks WHERE NOT {_CHANGED}
@@ -148,14 +181,54 @@ UNION ALL SELECT source, doc_id, 0, {_NEW_TEXT} FROM documents WHERE {_CHANGED}"
 )
 def index_replace(spark, sf):
     """Every seventh document changes; all its chunks are replaced."""
-    old = index(spark, sf).chunks(spark)
-    changed = D.documents(spark, sf).where(_CHANGED).select("doc_id", "source", F.expr(_NEW_TEXT).alias("text"))
-    new = search.with_tokens(search.chunk(changed, "doc_id", "source", "text"))
-    return chunk_index.replace_documents(old, new).select("collection_id", "doc_id", "position", "content")
+    return _store(spark, sf).put(_new_texts(spark, sf)).chunks().select("collection_id", "doc_id", "position", "content")
 
 
 @query("clear_collection", f"WITH {CHUNKS} SELECT collection_id, doc_id, position FROM chunks WHERE collection_id <> 'src1'")
 def clear_collection(spark, sf):
-    return chunk_index.remove_collection(index(spark, sf).chunks(spark), "src1").select(
-        "collection_id", "doc_id", "position"
-    )
+    return _store(spark, sf).clear("src1").chunks().select("collection_id", "doc_id", "position")
+
+
+#: The documents after three changes: new texts, emptied and removed documents, and a collection cleared and begun anew.
+_EDITED = f"""SELECT doc_id, source, CASE WHEN {_CHANGED} THEN {_NEW_TEXT} WHEN doc_id % 11 = 5 THEN '' ELSE text END AS text
+FROM documents WHERE source <> 'src1' AND doc_id % 13 <> 6
+UNION ALL SELECT doc_id, source, 'the then of there ' || lang FROM documents WHERE source = 'src1' AND doc_id % 5 = 0"""
+
+
+def _edited_store(spark, sf) -> SearchStore:
+    docs = D.documents(spark, sf).select("doc_id", F.col("source").alias("collection_id"), "lang", "text")
+    store = _store(spark, sf)
+    emptied = docs.where(f"doc_id % 11 = 5 AND NOT ({_CHANGED})").withColumn("text", F.lit(""))
+    store.put(_new_texts(spark, sf).unionByName(emptied.drop("lang")))
+    store.clear("src1")
+    again = docs.where("collection_id = 'src1' AND doc_id % 5 = 0").withColumn("text", F.concat(F.lit("the then of there "), "lang"))
+    store.put(again, removed=docs.where("collection_id <> 'src1' AND doc_id % 13 = 6"))
+    return store
+
+
+@query(
+    "search_after_changes",
+    f"""WITH edited AS ({_EDITED}), {scored_sql("edited")} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
+FROM ranked WHERE rank <= {K.SEARCH_DEPTH}""",
+)
+def search_after_changes(spark, sf):
+    """The ranking of a changed index is that of an index built anew."""
+    found = chunk_index.search_index(spark, _edited_store(spark, sf).snapshot(), QUERIES, K.SEARCH_DEPTH)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "index_members",
+    f"""WITH edited AS ({_EDITED}), {tokens_sql("edited")},
+c AS (SELECT collection_id, doc_id, count(*) AS n_chunks FROM chunks GROUP BY ALL),
+p AS (SELECT collection_id, doc_id, count(*) AS n_postings FROM postings GROUP BY ALL)
+SELECT source AS collection_id, e.doc_id, COALESCE(n_chunks, 0) AS n_chunks, COALESCE(n_postings, 0) AS n_postings
+FROM edited e LEFT JOIN c ON c.collection_id = source AND c.doc_id = e.doc_id LEFT JOIN p ON p.collection_id = source AND p.doc_id = e.doc_id""",
+)
+def index_members(spark, sf):
+    """Memberships, chunks and postings of one version agree, after replacements, a clear and a compaction."""
+    now = _edited_store(spark, sf).compact()
+    key = ["collection_id", "doc_id"]
+    chunks = now.chunks().groupBy(*key).agg(F.count(F.lit(1)).alias("n_chunks"))
+    postings = now.postings().groupBy(*key).agg(F.count(F.lit(1)).alias("n_postings"))
+    return now.members().join(chunks, key, "left").join(postings, key, "left").na.fill(0, ["n_chunks", "n_postings"])

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid import constants as K
 from quillgrid.operators.search import CHUNK_KEY
 from quillgrid.plans import derived as D
+from quillgrid.plans import search_plans
 from quillgrid.plans.registry import query
 from quillgrid.plans.text_plans import chunks_sql
 from quillgrid.session import run_dir
+from quillgrid.sources import chunk_index
 from quillgrid.sources.files import table
+from quillgrid.sources.search_store import SearchStore
 from quillgrid.streaming import ingest, milestones, reindex
 
 
@@ -41,18 +45,34 @@ def stream_ingest(spark, sf):
     )
 
 
+def _changed_store(spark, sf) -> SearchStore:
+    """An index of old texts of the documents after three batches of changes, which bring all to the texts of today."""
+    root = run_dir(spark, "reindex")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    old = docs.withColumn("text", F.expr("CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN '' ELSE 'Old ' || left(text, 40) END"))
+    store = SearchStore.create(spark, f"{root}/store", chunk_index.build_index(old, "doc_id", "source", "text", f"{root}/base"))
+    for n in (1, 2, 3):
+        docs.where(F.col("doc_id") % 4 == n).select(
+            "doc_id", F.col("text").alias("raw_content"), F.lit("").alias("structured_json"), F.lit(f"2024-01-0{n}").cast("timestamp_ntz").alias("changed_at"),
+        ).coalesce(1).write.parquet(f"{root}/changes/n={n}")
+    schema = "doc_id bigint, raw_content string, structured_json string, changed_at timestamp_ntz"
+    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/changes/*")
+    reindex.reindex(changes, store, f"{root}/checkpoint").awaitTermination()
+    return store
+
+
 @query("stream_reindex", f"WITH {chunks_sql('documents')} SELECT collection_id, doc_id, position, content FROM chunks")
 def stream_reindex(spark, sf):
     """Changed documents are chunked again for every collection they belong to."""
-    root = run_dir(spark, "reindex")
-    members = table(spark, sf, "documents").select(F.col("source").alias("collection_id"), "doc_id")
-    changes = _stream(spark, sf, "documents").select(
-        "doc_id", F.col("text").alias("raw_content"), F.lit("").alias("structured_json"),
-        F.lit("2024-01-01").cast("timestamp_ntz").alias("changed_at"),
-    )
-    index = reindex.DeltaIndex(None, f"{root}/deltas")
-    reindex.reindex(changes, index, lambda: members, f"{root}/checkpoint").awaitTermination()
-    return index.read(spark).select(*CHUNK_KEY, "content")
+    return _changed_store(spark, sf).snapshot().chunks().select(*CHUNK_KEY, "content")
+
+
+@query("stream_search", search_plans.TOP)
+def stream_search(spark, sf):
+    """A ranking sees what was indexed again: postings, frequencies and lengths follow each batch."""
+    snapshot = _changed_store(spark, sf).snapshot()
+    found = chunk_index.search_index(spark, snapshot, search_plans.QUERIES, K.SEARCH_DEPTH)
+    return found.withColumn("score", F.round("score", 6))
 
 
 _ACTIONS = {"view": "first_upload", "signup": "structured", "purchase": "schema_master", "click": "queried"}

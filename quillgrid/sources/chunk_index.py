@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid import constants as K
 from quillgrid.functions.core import unfold
 from quillgrid.operators import search
 from quillgrid.session import materialise
@@ -24,6 +24,18 @@ BUCKETS = 64
 CHUNK_COLUMNS = ("collection_id", "doc_id", "position", "content", "tokens", "dl")
 
 
+class Index(Protocol):
+    """What ranking reads of an index."""
+
+    def postings(self, spark: SparkSession) -> DataFrame: ...
+
+    def terms(self, spark: SparkSession) -> DataFrame: ...
+
+    def stats(self, spark: SparkSession) -> DataFrame: ...
+
+    def bucketed_chunks(self, spark: SparkSession) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class ChunkIndex:
     """Paths of one index version. Readers switch versions by path."""
@@ -33,6 +45,10 @@ class ChunkIndex:
     def chunks(self, spark: SparkSession) -> DataFrame:
         return read_chunks(spark, f"{self.path}/chunks")
 
+    def bucketed_chunks(self, spark: SparkSession) -> DataFrame:
+        """Chunks with their ``bucket``, the column by which directories are pruned."""
+        return spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/chunks")
+
     def postings(self, spark: SparkSession) -> DataFrame:
         """``term, collection_id, doc_id, position, tf, dl``, clustered by term."""
         return spark.read.parquet(f"{self.path}/postings")
@@ -42,7 +58,7 @@ class ChunkIndex:
         return spark.read.parquet(f"{self.path}/terms")
 
     def stats(self, spark: SparkSession) -> DataFrame:
-        """``collection_id, n_chunks, avg_dl``."""
+        """``collection_id, n_chunks, avg_dl, total_dl``."""
         return spark.read.parquet(f"{self.path}/stats")
 
     def collection(self, spark: SparkSession, collection_id: str) -> DataFrame:
@@ -81,8 +97,8 @@ def read_chunks(spark: SparkSession, path: str, collection_id: str | None = None
     return stored.select(*CHUNK_COLUMNS)
 
 
-def write_index(chunks: DataFrame, path: str) -> ChunkIndex:
-    """Store chunks and what ranking needs.
+def write_index(chunks: DataFrame, path: str, keys: DataFrame | None = None) -> ChunkIndex:
+    """Store chunks and what ranking needs, and the ``keys`` (``collection_id, doc_id``) of the documents, by default those with chunks.
 
     Postings and terms are range-partitioned by
     term first, so that a query's terms are a few row groups of a few files. The range key goes on
@@ -92,6 +108,8 @@ def write_index(chunks: DataFrame, path: str) -> ChunkIndex:
     index = ChunkIndex(path)
     write_chunks(search.with_tokens(chunks), f"{path}/chunks")
     stored = index.chunks(spark)
+    keys = stored.select("collection_id", "doc_id").distinct() if keys is None else keys
+    keys.select(F.col("collection_id").cast("string"), F.col("doc_id").cast("bigint"), F.lit(True).alias("live")).write.parquet(f"{path}/keys")
     search.corpus_stats(stored).write.parquet(f"{path}/stats")
     by_term = ("term", "collection_id", "doc_id")
     postings = search.term_counts(stored).select(*by_term, "position", "tf", "dl")
@@ -102,22 +120,24 @@ def write_index(chunks: DataFrame, path: str) -> ChunkIndex:
 
 
 def build_index(docs: DataFrame, doc: str, collection: str, text: str, path: str) -> ChunkIndex:
-    return write_index(search.chunk(docs, doc, collection, text), path)
+    keys = docs.select(F.col(collection).alias("collection_id"), F.col(doc).alias("doc_id"))
+    return write_index(search.chunk(docs, doc, collection, text), path, keys)
 
 
 def ranked(
-    spark: SparkSession, index: ChunkIndex, queries: Iterable[tuple[str, str]], k: int = K.SEARCH_DEPTH
+    spark: SparkSession, index: Index, queries: Iterable[tuple[str, str]], k: int, collections: Iterable[str] | None = None
 ) -> DataFrame:
-    """The ``k`` best chunks per (query, collection) from the stored postings, without their text.
+    """The ``k`` best chunks per (query, collection) from the stored postings, without their text; ``k <= 0`` keeps all.
 
-    Only postings of the asked terms are read: the term filter reaches the Parquet scan, where the
-    clustering lets it skip row groups. What is shuffled is one narrow row per matching chunk.
+    Only postings of the asked terms, and of the named ``collections`` if any are, are read: both filters reach the
+    Parquet scan, where the clustering lets them skip row groups. What is shuffled is one narrow row per matching chunk.
     """
     asked = search.query_terms(queries)
     terms = sorted({t for q in asked.values() for t in q})
     if not terms:
         return spark.createDataFrame([], search.RANKED_SCHEMA)
     wanted = F.col("term").isin(terms)
+    among = F.lit(True) if collections is None else F.col("collection_id").isin(sorted(set(collections)))
     # Which queries ask for a term, and how often: a literal as large as the query texts.
     asks = F.create_map(
         *[
@@ -136,8 +156,8 @@ def ranked(
     )
     # One row per asked term and collection, written so that its size decides how it is joined. A
     # term that holds most postings then needs no shuffle of them.
-    known = materialise(index.terms(spark).where(wanted).join(index.stats(spark), "collection_id"), "terms")
-    hits = index.postings(spark).where(wanted).join(known, ["collection_id", "term"])
+    known = materialise(index.terms(spark).where(wanted & among).join(index.stats(spark).where(among), "collection_id"), "terms")
+    hits = index.postings(spark).where(wanted & among).join(known, ["collection_id", "term"])
     gain = F.col("a.qtf") * search.term_gain(
         F.col("tf"), F.col("df"), F.col("dl"), F.col("n_chunks"), F.col("avg_dl")
     )
@@ -154,16 +174,20 @@ def ranked(
 
 
 def search_index(
-    spark: SparkSession, index: ChunkIndex, queries: Iterable[tuple[str, str]], k: int = K.SEARCH_DEPTH
+    spark: SparkSession, index: Index, queries: Iterable[tuple[str, str]], k: int, collections: Iterable[str] | None = None
 ) -> DataFrame:
     """``ranked`` with the text of each chunk.
 
-    The ranking is written first. Its true size is then known to the planner, which broadcasts it
-    to the chunk scan while it is small; the text column is read once and never shuffled.
+    The ranking is written first, each hit with the bucket of its collection. Its true size is then known to the planner,
+    which broadcasts it to the chunk scan while it is small, and takes the buckets for dynamic partition pruning: only
+    directories of collections that are hit are read, and the text column is never shuffled.
     """
-    best = materialise(ranked(spark, index, queries, k), "ranked")
-    texts = index.chunks(spark).select(*search.CHUNK_KEY, "content")
-    return texts.join(best, list(search.CHUNK_KEY)).select(
+    best = materialise(ranked(spark, index, queries, k, collections).withColumn("bucket", bucket_of(F.col("collection_id"))), "ranked")
+    texts = index.bucketed_chunks(spark).select(*search.CHUNK_KEY, "bucket", "content")
+    if collections is not None:
+        texts = texts.where(F.col("collection_id").isin(sorted(set(collections))))
+    # The planner prunes by a join only if the other side is filtered.
+    return texts.join(best.where("rank > 0"), [*search.CHUNK_KEY, "bucket"]).select(
         "query_id", "collection_id", "rank", "doc_id", "position", "score", "content"
     )
 

@@ -1,80 +1,41 @@
-"""Re-indexing changed documents in every collection that holds them.
-
-The index is a base table plus one delta per micro-batch. A batch writes only the chunks of the
-documents it changes, so its cost follows the changes, not the index. Readers overlay the deltas on
-the base; compaction folds them in.
-"""
+"""Re-indexing changed documents in every collection that holds them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillgrid.operators.collections import latest_per
-from quillgrid.operators.search import chunk, with_tokens
-
-from quillgrid.sources.chunk_index import CHUNK_COLUMNS, read_chunks, replace_documents, write_chunks
-
-KEY = ("collection_id", "doc_id")
-DELTA_SCHEMA = (
-    "collection_id string, doc_id bigint, position int, content string, tokens array<string>, dl int, "
-    "batch bigint"
-)
-KEY_SCHEMA = "collection_id string, doc_id bigint, batch bigint"
+from quillgrid.sources.search_store import KEY, SearchStore
 
 
 def latest_text(changes: DataFrame, memberships: DataFrame) -> DataFrame:
     """``collection_id, doc_id, text`` of changed documents, one row per collection holding them.
 
-    Structured text replaces raw text once it exists. Of several changes to a document the last one
-    counts. Memberships hold ``collection_id, doc_id``.
+    Structured text replaces raw text once it exists. Of several changes to a document the last one counts, of those at one time the one
+    with the greatest hash of its text. Only keys, times and hashes are aggregated; texts are joined to what is left. Memberships hold
+    ``collection_id, doc_id``.
     """
-    last = latest_per(changes, "doc_id", ["changed_at"], ["raw_content", "structured_json"])
-    text = F.coalesce(F.nullif("structured_json", F.lit("")), F.col("raw_content"))
-    return last.select("doc_id", text.alias("text")).join(memberships.select(*KEY), "doc_id")
-
-
-@dataclass(frozen=True)
-class DeltaIndex:
-    """A base chunk table and the deltas written over it."""
-
-    base: str | None
-    deltas: str
-
-    def write_batch(self, changes: DataFrame, memberships: DataFrame, batch: int) -> None:
-        """Store one batch under its number; a repeated batch overwrites itself with the same rows."""
-        docs = latest_text(changes, memberships)
-        chunks = with_tokens(chunk(docs, "doc_id", "collection_id", "text"))
-        chunks.write.mode("overwrite").parquet(f"{self.deltas}/chunks/batch={batch}")
-        # A document can lose all its chunks, so what was replaced is stored apart from the chunks.
-        docs.select(*KEY).write.mode("overwrite").parquet(f"{self.deltas}/keys/batch={batch}")
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        """Current chunks. Replaced keys are a narrow table; its size decides how the base is filtered."""
-        keys = spark.read.schema(KEY_SCHEMA).parquet(f"{self.deltas}/keys")
-        latest = keys.groupBy(*KEY).agg(F.max("batch").alias("batch"))
-        stored = spark.read.schema(DELTA_SCHEMA).parquet(f"{self.deltas}/chunks")
-        fresh = stored.join(latest, [*KEY, "batch"]).select(*CHUNK_COLUMNS)
-        if self.base is None:
-            return fresh
-        return replace_documents(read_chunks(spark, self.base), fresh, latest)
-
-    def compact(self, spark: SparkSession, path: str) -> None:
-        """Write base and deltas as a new base table."""
-        write_chunks(self.read(spark), path)
+    text = F.coalesce(F.nullif("structured_json", F.lit("")), F.col("raw_content"), F.lit(""))
+    rows = changes.select("doc_id", text.alias("text"), F.struct("changed_at", F.xxhash64(text).alias("mix")).alias("_at"))
+    last = rows.groupBy("doc_id").agg(F.max("_at").alias("_at"))
+    one = rows.join(last, ["doc_id", "_at"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    return one.join(memberships.select(*KEY).distinct(), "doc_id").select(*KEY, "text")
 
 
 def reindex(
-    changes: DataFrame, index: DeltaIndex, memberships: Callable[[], DataFrame], checkpoint: str
+    changes: DataFrame, store: SearchStore, checkpoint: str, memberships: Callable[[], DataFrame] | None = None
 ) -> StreamingQuery:
-    """Process what has arrived; memberships are read anew for every batch."""
+    """Process what has arrived; each batch becomes one version of the store, and a repeated batch changes nothing.
 
+    Memberships are read anew for every batch: those given, or else the store's own. A change to a document that no collection holds is
+    passed over.
+    """
     def write(batch_df: DataFrame, batch: int) -> None:
-        index.write_batch(batch_df, memberships(), batch)
+        members = memberships() if memberships is not None else store.snapshot().members()
+        store.put(latest_text(batch_df, members), batch=batch)
 
     return (
         changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

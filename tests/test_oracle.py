@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from quillgrid import plans
 
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
+QUERIES, SQLS = plans.queries(), plans.oracles()
 WITHOUT_SQL = {"export_json", "export_schema"}
 
 
@@ -25,6 +26,10 @@ def test_which_queries_have_no_sql():
     assert set(SQLS) <= set(QUERIES)
 
 
+def test_entry_holds_the_queries():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQLS) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "score" in df.columns

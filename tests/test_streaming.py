@@ -3,10 +3,9 @@ import os
 
 
 from quillgrid.operators import collections
-from quillgrid.operators.search import chunk, with_tokens
 from quillgrid.session import run_dir
-from quillgrid.sources import files, sinks
-from quillgrid.sources.chunk_index import write_chunks
+from quillgrid.sources import chunk_index, files, sinks
+from quillgrid.sources.search_store import SearchStore
 from quillgrid.streaming import ingest, milestones, reindex
 from tests import fixtures as fx
 
@@ -40,33 +39,34 @@ def test_upload_limit_cuts_bytes(spark, tmp_path):
     assert got["raw_content"] == "abcd" and got["filename"] == "big.txt"
 
 
-def test_reindex_deltas(spark, tmp_path):
-    members = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], "collection_id string, doc_id bigint")
+def test_reindex(spark, tmp_path):
     schema = "doc_id bigint, raw_content string, structured_json string, changed_at timestamp_ntz"
     src = str(tmp_path / "changes")
     stamp = lambda i: dt.datetime(2024, 1, 1, 0, 0, i)
-    base = str(tmp_path / "base")
-    old = spark.createDataFrame([("a", 2, "old two"), ("c", 9, "kept")], "c string, d bigint, t string")
-    write_chunks(with_tokens(chunk(old, "d", "c", "t")), base)
-    index = reindex.DeltaIndex(base, run_dir(spark, "deltas"))
+    docs = "collection_id string, doc_id bigint, text string"
+    store = SearchStore.create(spark, run_dir(spark, "store"))
+    store.put(spark.createDataFrame([("a", 1, ""), ("b", 1, "old"), ("a", 2, "old two"), ("c", 9, "kept")], docs))
 
-    def send(rows):
+    def send(rows, memberships=None):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        reindex.reindex(stream, index, lambda: members, str(tmp_path / "ck")).awaitTermination()
-        return {(r["collection_id"], r["doc_id"], r["content"]) for r in index.read(spark).collect()}
+        reindex.reindex(stream, store, str(tmp_path / "ck"), memberships).awaitTermination()
+        return {(r["collection_id"], r["doc_id"], r["content"]) for r in store.snapshot().chunks().collect()}
 
-    assert send([(1, "raw one", None, stamp(1)), (2, "raw two", "", stamp(1))]) == {
+    assert send([(1, "raw one", None, stamp(1)), (2, "raw two", "", stamp(1)), (77, "no collection", None, stamp(1))]) == {
         ("a", 1, "raw one"), ("b", 1, "raw one"), ("a", 2, "raw two"), ("c", 9, "kept"),
     }
-    want = {("a", 1, "{new}"), ("b", 1, "{new}"), ("c", 9, "kept")}
     # The second document ends up empty: its chunks go, and nothing takes their place.
+    want = {("a", 1, "{new}"), ("b", 1, "{new}"), ("c", 9, "kept")}
     assert send(
         [(1, "raw one", "{old}", stamp(2)), (1, "raw one", "{new}", stamp(3)), (2, "  ", None, stamp(4))]
     ) == want
-    index.compact(spark, str(tmp_path / "next"))
-    fresh = reindex.DeltaIndex(str(tmp_path / "next"), index.deltas)
-    assert {(r["collection_id"], r["doc_id"], r["content"]) for r in fresh.read(spark).collect()} == want
+    found = chunk_index.ranked(spark, store.snapshot(), [("q", "new raw old two kept")], 5).collect()
+    assert sorted((r["collection_id"], r["doc_id"]) for r in found) == [("a", 1), ("b", 1), ("c", 9)]
+    # Memberships may come from elsewhere.
+    members = spark.createDataFrame([("d", 5)], "collection_id string, doc_id bigint")
+    assert send([(5, "five", None, stamp(6))], lambda: members) == want | {("d", 5, "five")}
+    assert len(store.snapshot().segments) == 4 and store.compact().chunks().count() == 4
 
 
 def test_milestones_agree_with_batch(spark, tmp_path):

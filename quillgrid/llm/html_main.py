@@ -20,10 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_HIDDEN = "script|style|noscript|template|svg|iframe|object|textarea|select|canvas|math"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+#: Elements whose content is no text of the page; the first ones hold no tags, so only their closing tag ends them.
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "iframe", "textarea", "noscript", "template")}
+_HIDDEN = frozenset("svg object select canvas".split())
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+#: Different marks of the containers around a block, outer ones first.
+_MARKS_AROUND = 256
+#: Tags with unpaired quotes that a page may hold before quotes are no longer looked at: each costs a look at the rest of the page.
+_BROKEN_TAGS = 16
 _MARKS = re.compile(r"(?:^|[\s\"'/])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CONTAINERS = frozenset(
@@ -42,13 +47,65 @@ class Block:
     linked: int
 
 
+def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
+    """Texts as ``("", False, text)`` and tags as ``(name, closing, attributes)``, in one pass. What is not a tag is text.
+
+    An attribute's quotes may hold ``>``; a tag whose quotes don't pair ends at its first ``>``. Comments, declarations, and scripts and the
+    like with all they hold are left out; without an end they take the rest of the page.
+    """
+    pos = start = broken = 0
+    n = len(page)
+    while True:
+        at = page.find("<", pos)
+        close = page.find(">", at) if at >= 0 else -1
+        if close < 0 and not (at >= 0 and page.startswith("<!--", at)):
+            break
+        if page.startswith("<!--", at):
+            if at > start:
+                yield "", False, page[start:at]
+            end = page.find("-->", at + 4)
+            pos = start = n if end < 0 else end + 3
+            continue
+        if page[at + 1] in "!?":
+            if at > start:
+                yield "", False, page[start:at]
+            pos = start = close + 1
+            continue
+        name = _NAME.match(page, at + 1)
+        if name is None:
+            pos = at + 1
+            continue
+        if at > start:
+            yield "", False, page[start:at]
+        end = close + 1
+        if broken < _BROKEN_TAGS:
+            whole = _ATTRIBUTES.match(page, name.end())
+            if whole is None:
+                broken += 1
+            else:
+                end = whole.end()
+        kind, closing, attributes = name[2].lower(), bool(name[1]), page[name.end():end - 1]
+        pos = start = end
+        if kind in _RAW and not closing:
+            found = _RAW[kind].search(page, end)
+            pos = start = n if found is None else found.end()
+        else:
+            yield kind, closing, attributes
+    if start < n:
+        yield "", False, page[start:]
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order. Unclosed tags end with their container; what is not a tag is text."""
+    """The leaf blocks of a page in order. Unclosed tags end with their container; what is not a tag is text.
+
+    Hidden elements (drawings, embedded objects, choices) end with their closing tag or their container; a self-closed one is empty.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     around: tuple[str, ...] = ()
     buf: list[str] = []
-    tag, own, linked, in_link, pos = "", (), 0, 0, 0
+    tag, own, linked, in_link = "", (), 0, 0
+    hidden: list[tuple[str, int]] = []
 
     def flush() -> None:
         nonlocal linked
@@ -59,19 +116,22 @@ def blocks(page: str) -> list[Block]:
             buf.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > pos:
-            piece = page[pos:m.start()]
-            buf.append(piece)
-            if in_link:
-                linked += len(piece)
-        pos = m.end()
-        name = m[3] or m[6]
+    for name, closing, rest in tokens(page):
         if not name:
-            continue
-        name = name.lower()
-        closing = m[2] or m[5]
-        if name == "a":
+            if not hidden:
+                buf.append(rest)
+                if in_link:
+                    linked += len(rest)
+        elif name in _HIDDEN:
+            if not closing:
+                if not (name == "svg" and rest.endswith("/")):
+                    hidden.append((name, len(stack)))
+            else:
+                for i in range(len(hidden) - 1, -1, -1):
+                    if hidden[i][0] == name:
+                        del hidden[i:]
+                        break
+        elif name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
             buf.append(" ")
@@ -80,19 +140,21 @@ def blocks(page: str) -> list[Block]:
             tag, own = "", ()
             if not closing:
                 stack.append((name, around))
-                around = around + (name,) + _marks(m[4] or m[7])
+                new = [m for m in dict.fromkeys((name, *_marks(rest))) if m not in around]
+                if new and len(around) < _MARKS_AROUND:
+                    around = around + tuple(new)
                 in_link = 0
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
                         around = stack[i][1]
                         del stack[i:]
+                        while hidden and hidden[-1][1] > i:
+                            hidden.pop()
                         break
         elif name in _LEAVES:
             flush()
-            tag, own = ("", ()) if closing else (name, _marks(m[4] or m[7]))
-    if pos < len(page):
-        buf.append(page[pos:])
+            tag, own = ("", ()) if closing else (name, _marks(rest))
     flush()
     return out
 
@@ -238,7 +300,10 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[list[Block], list[
         return wrap(rng.choice(_FOOTERS), rng.choice((f"&copy; {sentence(1, 3)} &middot; {prose()}", f"<p>&copy; 2020 {sentence(1, 4)}</p>{links()}", links(), f"<p>{prose()}</p>")))
 
     def form() -> str:
-        return f'<form action="/go"><label>{sentence(1, 3)}</label><input name="q"><p>{prose()}</p><button>{sentence(1, 2)}</button></form>'
+        asked = rng.choice((prose, lambda: sentence(1, 3)))()
+        return rng.choice((
+            f'<form action="/go"><label>{sentence(1, 3)}</label><input name="q"><p>{asked}</p><button>{sentence(1, 2)}</button></form>',
+            f"<form><p>{asked}</p></form>", f"<form><div><p>{asked}</p><input></div></form>"))
 
     def main_part() -> str:
         p = rng.random()
@@ -261,11 +326,20 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[list[Block], list[
         parts = [f"<h1>{_MAIN}{sentence(1, 8)}</h1>"] if rng.random() < 0.85 else []
         for _ in range(rng.choice((1, 2, 4, 8))):
             parts.append(main_part())
-            if rng.random() < 0.12:
+            if rng.random() < 0.2:
                 parts.append(rng.choice((lambda: other(_ADVERTS), lambda: other(_SIDES), lambda: other(_NOTICES), form))())
+            if rng.random() < 0.06:
+                parts.append(form())
         if rng.random() < 0.2:
             parts.append(other(_COMMENTS))
-        main = wrap(rng.choice(_MAINS) if rng.random() < 0.6 else "article", "".join(parts))
+        kind = rng.random()
+        if kind < 0.1:  # nothing tells the main part but what is around it
+            main = "".join(parts)
+        elif kind < 0.25:
+            unknown = "".join(rng.choice("bcdfgkmpwxz") for _ in range(4))
+            main = wrap(rng.choice(("div", f'div class="{unknown}"', f'section id="{unknown}"')), "".join(parts))
+        else:
+            main = wrap(rng.choice(_MAINS) if kind < 0.7 else "article", "".join(parts))
         before = [f() for f in (lambda: other(_MENUS), lambda: other(_HEADERS), lambda: other(_ADVERTS), lambda: other(_NOTICES), form, lambda: other(_SIDES)) if rng.random() < 0.5]
         after = [f() for f in (lambda: other(_COMMENTS), lambda: other(_SIDES), form, lambda: other(_ADVERTS), lambda: other(_NOTICES)) if rng.random() < 0.4]
         rng.shuffle(before)

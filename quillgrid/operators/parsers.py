@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import jsontext, normalise
 from quillgrid.functions.core import compact_texts, let, lines_of, run_counts, trim_ws, unfold
+from quillgrid.session import materialise
 
 # Patterns of log lines.
 LOG_HEAD = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)(Z|[+-]\d{2}:?\d{2})?\]?\s+([A-Z]+)\s+(.*)$"
@@ -114,26 +115,22 @@ def log_endpoints(entries: DataFrame, group: str) -> DataFrame:
     )
 
 
-def transitions(entries: DataFrame, group: str, ts: str, state: Column, bucket: str = "hour") -> DataFrame:
-    """Changes of a state over time: ``group, at, state``.
+def transitions(entries: DataFrame, group: str, ts: str, state: Column) -> DataFrame:
+    """Changes of a state over time: ``group, at, state``. Of states at one time the smallest comes first.
 
-    Rows without a state leave before the shuffle. The time bucket is part of the window key, so a
-    group holding very many rows is spread over its buckets; each bucket then starts from the last
-    state before it, which one row per bucket carries over.
+    A segmented scan. Rows with a state are dealt by ranges of (group, time, state) and stored; a range that falls within one group is as
+    good as any other, so a group holding all rows spreads over all tasks. Each range is compared row by row; its last state is carried on
+    to the next range of the group, one row for each.
     """
-    marked = entries.select(
-        F.col(group).alias("group"), F.col(ts).alias("at"), state.alias("state"),
-        F.date_trunc(bucket, F.col(ts)).alias("bucket"),
-    ).where(F.col("state").isNotNull())
-    order = Window.partitionBy("group", "bucket").orderBy("at", "state")
-    inner = marked.withColumn("before", F.lag("state").over(order))
-    closing = marked.groupBy("group", "bucket").agg(
-        F.max_by("state", F.struct("at", "state")).alias("closing")
-    )
-    by_bucket = Window.partitionBy("group").orderBy("bucket")
-    opening = closing.select("group", "bucket", F.lag("closing").over(by_bucket).alias("opening"))
+    rows = entries.select(F.col(group).alias("group"), F.col(ts).alias("at"), state.alias("state")).where(F.col("state").isNotNull())
+    ranges = rows.repartitionByRange("group", "at", "state").withColumn("part", F.spark_partition_id())
+    stored = materialise(ranges, "ranges")
+    order = Window.partitionBy("group", "part").orderBy("at", "state")
+    inner = stored.withColumn("before", F.lag("state").over(order))
+    closing = stored.groupBy("group", "part").agg(F.max_by("state", F.struct("at", "state")).alias("closing"))
+    opening = closing.select("group", "part", F.lag("closing").over(Window.partitionBy("group").orderBy("part")).alias("opening"))
     return (
-        inner.join(opening, ["group", "bucket"])
+        inner.join(opening, ["group", "part"])
         .withColumn("before", F.coalesce("before", "opening"))
         .where(F.col("before").isNull() | (F.col("before") != F.col("state")))
         .select("group", "at", "state")

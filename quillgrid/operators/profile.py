@@ -14,6 +14,7 @@ from quillgrid import constants as K
 from quillgrid.functions import csvtext, jsontext
 from quillgrid.functions.core import compact_texts, let, percent, unfold
 from quillgrid.functions.text import classify_value, collapse_types, currency_cells, doc_type, is_missing
+from quillgrid.operators.quantiles import fences
 
 FIELD = (
     "struct<name:string,type:string,nullable:boolean,`unique`:boolean,empty_count:int,"
@@ -353,152 +354,29 @@ def references(child: DataFrame, child_key: str, parent: DataFrame, parent_key:
 
 
 def outliers(df: DataFrame, key: str, columns: list[str], factor: float = 1.5) -> DataFrame:
-    """Values outside the interquartile fences of each numeric column."""
-    fences = quartile_fences(df, columns, factor)
-    flagged = []
-    for c, (q1, q3, low, high) in fences.items():
-        value = F.col(c).cast("double")
-        flagged.append(
-            F.when(
-                (value < low) | (value > high),
-                F.struct(
-                    F.lit(c).alias("field"), value.alias("value"), F.lit(low).alias("low"),
-                    F.lit(high).alias("high"),
-                ),
-            )
-        )
-    found = F.array_compact(F.array(*flagged))
-    return unfold(df, [F.col(key).alias("row_key")], found, "_i", "o").select("row_key", "o.*")
-
-
-def quartile_fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> dict[str, tuple]:
-    """Exact quartiles and fences of each column: ``{column: (q1, q3, low, high)}``."""
-    found = exact_quantiles(df, columns, (0.25, 0.75))
-    out = {}
-    for c in columns:
-        q1, q3 = found[c]
-        if q1 is not None:
-            spread = (q3 - q1) * factor
-            out[c] = (q1, q3, q1 - spread, q3 + spread)
-    return out
-
-
-def exact_quantiles(
-    df: DataFrame, columns: list[str], ps: tuple[float, ...], bounded: int = 1_000_000
-) -> dict[str, list]:
-    """Exact interpolated quantiles without gathering a column in one task.
-
-    A bounded sketch brackets every wanted position; exact counts check the bracket, and each round
-    shrinks it by orders of magnitude. Only a bracket of at most ``bounded`` values, or one holding
-    a single repeated value, is resolved by an exact aggregate.
+    """``row_key, field, value, low, high``: values outside the interquartile fences of each numeric column."""
+    values = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
+    cells = unfold(df, [F.col(key).alias("row_key")], values, "_i", "c").select("row_key", "c.*")
+    # One row for each named column.
+    bounds = F.broadcast(fences(df, columns, factor).select("field", "low", "high"))
+    return cells.join(bounds, "field").where("value < low OR value > high").select("row_key", "field", "value", "low", "high")
+
+
+def typed_facts(counts: DataFrame) -> DataFrame:
+    """``field, n, low, high, mean, first_day, last_day``: what a field's numbers and dates tell, from value counts.
+
+    Which values are numbers or dates is found by their form, so no column is named; values that are neither, or missing, don't count.
+    Every distinct value is read once, weighted by its count.
     """
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sizes = numbers.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)],
-    ).first()
-    open_ = {}
-    for i, c in enumerate(columns):
-        if sizes[f"n{i}"]:
-            for p in ps:
-                open_[c, p] = (sizes[f"lo{i}"], sizes[f"hi{i}"], 0, sizes[f"n{i}"])
-    wanted = {(c, p): p * (sizes[f"n{i}"] - 1) for i, c in enumerate(columns) for p in ps}
-    found: dict[tuple[str, float], float] = {}
-    while open_:
-        small = {k: b for k, b in open_.items() if b[3] <= bounded or b[0] == b[1]}
-        if small:
-            found.update(_resolve(numbers, small, wanted))
-        open_ = {k: b for k, b in open_.items() if k not in small}
-        if open_:
-            open_ = _narrow(numbers, open_, wanted)
-    return {c: [found.get((c, p)) for p in ps] for c in columns}
-
-
-def _inside(c: str, low: float, high: float) -> Column:
-    return F.when(F.col(c).between(low, high), F.col(c))
-
-
-def _resolve(numbers: DataFrame, brackets: dict, wanted: dict) -> dict:
-    """Exact quantile inside small brackets, as a position relative to the bracket."""
-    parts = []
-    for i, ((c, p), (low, high, below, n)) in enumerate(brackets.items()):
-        share = min(1.0, max(0.0, (wanted[c, p] - below) / (n - 1))) if n > 1 else 0.0
-        if low != high:
-            parts.append(F.percentile(_inside(c, low, high), F.lit(share)).alias(f"q{i}"))
-    row = numbers.agg(*parts).first() if parts else {}
-    return {k: b[0] if b[0] == b[1] else row[f"q{i}"] for i, (k, b) in enumerate(brackets.items())}
-
-
-def _narrow(numbers: DataFrame, brackets: dict, wanted: dict, accuracy: int = 10_000) -> dict:
-    """Shrink every bracket with a sketch, keeping only brackets that exact counts confirm."""
-    slack = 10 / accuracy
-    sketch = []
-    for i, ((c, p), (low, high, below, n)) in enumerate(brackets.items()):
-        share = (wanted[c, p] - below) / max(n - 1, 1)
-        points = F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack)))
-        sketch.append(F.approx_percentile(_inside(c, low, high), points, accuracy).alias(f"s{i}"))
-    ends = numbers.agg(*sketch).first()
-    counts = []
-    for i, (c, _) in enumerate(brackets):
-        low, high = ends[f"s{i}"]
-        counts.append(F.count_if(F.col(c) < low).alias(f"b{i}"))
-        counts.append(F.count_if(F.col(c).between(low, high)).alias(f"n{i}"))
-    row = numbers.agg(*counts).first()
-    out = {}
-    for i, (key, old) in enumerate(brackets.items()):
-        low, high = ends[f"s{i}"]
-        below, n, at = row[f"b{i}"], row[f"n{i}"], wanted[key]
-        if below <= at <= below + n - 1:
-            out[key] = (low, high, below, n) if n < old[3] else _peel(numbers, key[0], old, at)
-        elif at < below:
-            out[key] = (old[0], low, old[2], _count(numbers, key[0], old[0], low))
-        else:
-            out[key] = (high, old[1], _below(numbers, key[0], high), _count(numbers, key[0], high, old[1]))
-    return out
-
-
-def _peel(numbers: DataFrame, c: str, bracket: tuple, at: float) -> tuple:
-    """Shrink a bracket whose end values hold nearly all rows, by taking the ends off."""
-    low, high, below, n = bracket
-    value = F.col(c)
-    row = numbers.agg(
-        F.count_if(value == low).alias("at_low"), F.count_if(value == high).alias("at_high"),
-        F.min(F.when(value > low, value)).alias("next"), F.max(F.when(value < high, value)).alias("prev"),
-    ).first()
-    last_low, first_high = below + row["at_low"] - 1, below + n - row["at_high"]
-    if at <= last_low:
-        return low, low, below, row["at_low"]
-    if at >= first_high:
-        return high, high, first_high, row["at_high"]
-    first_next, last_prev = last_low + 1, first_high - 1
-    if first_next <= at <= last_prev:
-        return row["next"], row["prev"], first_next, last_prev - first_next + 1
-    # Strictly between an end and its neighbour: interpolate, and hand on a single value.
-    left, right = (low, row["next"]) if at < first_next else (row["prev"], high)
-    value_at = left + (right - left) * (at - int(at))
-    return value_at, value_at, int(at), 1
-
-
-def _count(numbers: DataFrame, c: str, low: float, high: float) -> int:
-    return numbers.where(F.col(c).between(low, high)).count()
-
-
-def _below(numbers: DataFrame, c: str, value: float) -> int:
-    return numbers.where(F.col(c) < value).count()
-
-
-def numeric_facts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, minimum, maximum and average of each numeric column, one pass over the table."""
-    measures = [
-        F.struct(
-            F.lit(c).alias("field"), F.count(F.col(c)).alias("n"), F.min(F.col(c).cast("double")).alias("low"),
-            F.max(F.col(c).cast("double")).alias("high"), F.avg(F.col(c).cast("double")).alias("mean"),
-        ).alias(c)
-        for c in columns
-    ]
-    wide = df.agg(*measures)
-    return wide.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("s")).select("s.*")
+    kind = classify_value(F.col("value"))
+    bare = F.regexp_replace(F.regexp_replace("value", r"^[$€£]", ""), ",", "")
+    typed = counts.where(~is_missing(F.col("value"))).select(
+        "field", "n", F.when(kind == "number", bare.try_cast("double")).alias("v"),
+        F.when(kind == "date", F.left("value", F.lit(10)).try_cast("date")).alias("day"))
+    return typed.groupBy("field").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum(F.when(F.col("v").isNotNull(), F.col("n")))).alias("mean"),
+        F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 def top_value(counts: DataFrame) -> DataFrame:

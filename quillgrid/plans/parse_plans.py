@@ -100,7 +100,7 @@ l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, state) AS bef
 SELECT user_id, state, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM l WHERE before IS NULL OR before <> state""",
 )
 def log_transitions(spark, sf):
-    changes = parsers.transitions(table(spark, sf, "events"), "user_id", "ts", F.expr(_STATE), bucket="day")
+    changes = parsers.transitions(table(spark, sf, "events"), "user_id", "ts", F.expr(_STATE))
     return changes.select(
         F.col("group").alias("user_id"), "state", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at")
     )

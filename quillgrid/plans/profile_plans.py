@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgrid import constants as K
 from quillgrid.functions import jsontext
 from quillgrid.functions.core import unfold_present
-from quillgrid.operators import collections, profile
+from quillgrid.operators import collections, discovery, profile
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
 from quillgrid.session import materialise
@@ -152,6 +152,36 @@ def profile_references(spark, sf):
     return out.withColumnRenamed("references", "is_reference")
 
 
+_DISCOVERED = {
+    "region": {"integer": ["r_regionkey"], "text": ["r_name"]},
+    "nation": {"integer": ["n_nationkey", "n_regionkey"], "text": ["n_name"]},
+    "supplier": {"integer": ["s_suppkey", "s_nationkey"], "text": ["s_name"], "number": ["s_acctbal"]},
+    "customer": {"integer": ["c_custkey", "c_nationkey"], "text": ["c_name", "c_mktsegment"], "number": ["c_acctbal"]},
+    "orders": {"integer": ["o_orderkey", "o_custkey"], "text": ["o_orderstatus", "o_orderpriority"], "number": ["o_totalprice"], "time": ["o_orderdate"]},
+}
+
+
+def _every_pair_sql() -> str:
+    """Every ordered pair of columns of one class, by EXCEPT."""
+    columns = [(t, c, k) for t, kinds in _DISCOVERED.items() for k, names in kinds.items() for c in names]
+    return " UNION ALL ".join(
+        f"""SELECT '{ct}' AS child_table, '{cc}' AS child, '{pt}' AS parent_table, '{pc}' AS parent,
+  (SELECT count(DISTINCT {cc}) FROM {ct}) AS child_values, (SELECT count(*) FROM (SELECT {cc} FROM {ct} WHERE {cc} IS NOT NULL EXCEPT SELECT {pc} FROM {pt})) AS orphans,
+  (SELECT count({pc}) = count(DISTINCT {pc}) FROM {pt}) AS parent_unique"""
+        for ct, cc, ck in columns for pt, pc, pk in columns if ck == pk and (ct, cc) != (pt, pc))
+
+
+@query(
+    "reference_discovery",
+    f"WITH pairs AS ({_every_pair_sql()}) SELECT child_table, child, parent_table, parent, child_values, parent_unique FROM pairs WHERE orphans = 0",
+)
+def reference_discovery(spark, sf):
+    """All inclusions among the columns of five tables; those into a unique column are references."""
+    tables = {t: table(spark, sf, t) for t in _DISCOVERED}
+    found = discovery.reference_candidates(tables).where("orphans = 0")
+    return found.select("child_table", "child", "parent_table", "parent", "child_values", "parent_unique")
+
+
 @query(
     "profile_outliers",
     """WITH c AS (SELECT event_id AS row_key, 'value' AS field, value FROM events UNION ALL SELECT event_id, 'user_id', CAST(user_id AS DOUBLE) FROM events),
@@ -177,11 +207,10 @@ SELECT field, type, row_count, top_value, top_count, low, high, round(mean, 4) A
 )
 def summary_facts(spark, sf):
     counts = materialise(_counts(spark, sf), "counts")
-    numbers = profile.numeric_facts(table(spark, sf, "orders"), ["o_orderkey", "o_custkey"])
+    numbers = profile.typed_facts(counts).select("field", "low", "high", F.round("mean", 4).alias("mean"))
     return (
         profile.profile_values(counts).select("field", "type", "row_count")
-        .join(profile.top_value(counts), "field")
-        .join(numbers.select("field", "low", "high", F.round("mean", 4).alias("mean")), "field", "left")
+        .join(profile.top_value(counts), "field").join(numbers, "field", "left")
     )
 
 

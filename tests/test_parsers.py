@@ -81,6 +81,23 @@ def test_transitions_across_buckets(spark):
     assert [r["state"] for r in got] == ["A", "B", "A", "C"]
 
 
+def test_transitions_of_a_group_that_holds_all_rows(spark):
+    """Its ranges are compared apart, and agree with one scan; the stored ranges hold about equal shares."""
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 500 == 0, F.lit("h")).otherwise(F.lit("g")).alias("g"),
+        F.timestamp_seconds(F.col("id") % 3000).alias("ts"),
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), F.pmod(F.xxhash64("id"), F.lit(3)).cast("int") + 1).alias("s"))
+    got = sorted((r["group"], r["at"], r["state"]) for r in parsers.transitions(df, "g", "ts", F.col("s")).collect())
+    want, last = [], {}
+    for r in sorted((r for r in df.collect() if r["s"] is not None), key=lambda r: (r["g"], r["ts"], r["s"])):
+        if last.get(r["g"]) != r["s"]:
+            want.append((r["g"], r["ts"], r["s"]))
+        last[r["g"]] = r["s"]
+    assert got == want
+    plan = parsers.transitions(df, "g", "ts", F.col("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(group" in plan and all("part" in line for line in plan.splitlines() if "Window [lag(state" in line)
+
+
 def test_key_value_blocks(spark):
     got = parsers.kv_blocks(one(spark, fx.TICKETS), "id", "text").orderBy("block").collect()
     assert [b["pairs"].get("Subject") for b in got] == ["Printer on fire", "New chair"]

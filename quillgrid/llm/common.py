@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.session import materialise
 from quillgrid.sources.files import table
 
-__all__ = ["held_out", "hinted", "materialise", "parts_of", "range_bucket", "small_batches", "table"]
+__all__ = ["give_back", "held_out", "hinted", "lean", "materialise", "parts_of", "range_bucket", "small_batches", "table"]
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
@@ -51,3 +55,22 @@ MOST_BROADCAST = 1_000_000
 def hinted(stored: DataFrame) -> DataFrame:
     """A stored table of a few numbers a row, marked for broadcast if it is counted to be small; else the planner decides."""
     return F.broadcast(stored) if stored.count() <= MOST_BROADCAST else stored
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers are used again by later stages, which share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this system's C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of ``mapInArrow`` that gives memory back before and after its task."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import textbytes as T
-from quillgrid.llm.common import hinted, materialise
+from quillgrid.llm.common import hinted, lean, materialise
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of the items that one scan looks for.
@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, bloc
             continue
         shared = spark.sparkContext.broadcast(items)
         seeds = spark.sparkContext.broadcast(_seeds(rows, shared))
-        found = rows.mapInArrow(_aligner(shared, seeds, share), schema)
+        found = rows.mapInArrow(lean(_aligner(shared, seeds, share)), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -189,7 +189,7 @@ def _seeds(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
 
     items = shared.value
     df = np.zeros(len(items.table), np.int64)
-    found = rows.select("text").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("text").mapInArrow(lean(count), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     if found.num_rows:
         df[np.asarray(found["i"])] = np.asarray(found["n"])
     entry = df[np.searchsorted(items.table, items.grams)]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import textbytes as T
-from quillgrid.llm.common import hinted, materialise, parts_of
+from quillgrid.llm.common import hinted, lean, materialise, parts_of
 from quillgrid.llm.components import components
 
 SIZE, PERCENT, GROUPS = 5, 80, 64
@@ -168,7 +168,7 @@ def frequent_grams(docs: DataFrame, size: int) -> np.ndarray:
             weight = np.where(n > 3, n, n * _SAMPLE)
             yield pa.RecordBatch.from_arrays([pa.array(u[picked].view(np.int64)), pa.array(weight[picked])], ["g", "n"])
 
-    found = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     top = found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).select("g").toArrow()
     return np.sort(np.asarray(top["g"].combine_chunks() if top.num_rows else pa.array([], pa.int64())).view(np.uint64))
 
@@ -219,7 +219,7 @@ def signatures(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                  pa.array(coarse, pa.binary()), pa.array(keys, pa.binary())],
                 ["doc_id", "n", "node", "usual", "counts", "coarse", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, usual int, counts binary, coarse binary, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, node long, usual int, counts binary, coarse binary, keys binary")
 
 
 def prefix_keys(signed: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def prefix_keys(signed: DataFrame) -> DataFrame:
                     [pa.array(np.concatenate(parts)), pa.array(np.repeat(node[lo:lo + 2000], size)), pa.array(place < np.repeat(usual[lo:lo + 2000], size))],
                     ["key", "node", "is_usual"])
 
-    return signed.where("keys is not null").select("node", "usual", "keys").mapInArrow(run, "key long, node long, is_usual boolean")
+    return signed.where("keys is not null").select("node", "usual", "keys").mapInArrow(lean(run), "key long, node long, is_usual boolean")
 
 
 def shared_keys(keys: DataFrame, n: int) -> DataFrame:
@@ -266,7 +266,7 @@ def sets_of(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, size: int) ->
                 [batch.column(0).filter(pa.array(own, pa.bool_())), pa.array([s.view(np.int64).tobytes() for s, o in zip(sets, own) if o], pa.binary())],
                 ["node", "grams"])
 
-    return docs.join(hinted(wanted), "doc_id").select("node", "text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    return docs.join(hinted(wanted), "doc_id").select("node", "text").mapInArrow(lean(run), "node long, grams binary").dropDuplicates(["node"])
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -286,7 +286,7 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("_p"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("_q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_p", "_q").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_p", "_q").mapInArrow(lean(run), "a long, b long")
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     # Few points are asked for: the pairs go to them, and not all points to the pairs.
     half = left.join(hinted(pairs), "a")
     other = right.join(hinted(materialise(pairs.select("b").distinct(), "ends")), "b")
-    return half.join(other, "b").select("a", "b", "_m", "_p", "_n", "_q").mapInArrow(run, "a long, b long").distinct()
+    return half.join(other, "b").select("a", "b", "_m", "_p", "_n", "_q").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def tree_pairs(groups: DataFrame, n: int, percent: int) -> DataFrame:
@@ -352,8 +352,8 @@ def tree_pairs(groups: DataFrame, n: int, percent: int) -> DataFrame:
             b = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for g in group for x in g.column(1)]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), group[0].column(0)[0].as_py(), np.int64)), pa.array(b)], ["a", "b"])
 
-    found = groups.select("key", "node", "root", "n", "coarse").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, bs binary")
-    return found.repartition(n, "a").sortWithinPartitions("a").mapInArrow(unpack, "a long, b long")
+    found = groups.select("key", "node", "root", "n", "coarse").repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, bs binary")
+    return found.repartition(n, "a").sortWithinPartitions("a").mapInArrow(lean(unpack), "a long, b long")
 
 
 def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

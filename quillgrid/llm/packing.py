@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import bpe
 from quillgrid.llm import textbytes as T
-from quillgrid.llm.common import materialise, parts_of
+from quillgrid.llm.common import lean, materialise, parts_of
 
 CAPACITY = 2048
 
@@ -193,7 +193,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = bpe.VOCA
                     ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 def assign(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -229,7 +229,7 @@ def assign(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in names)
-    placed = ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(lean(run), f"{schema}, sequence_id long, offset long")
     # Full pieces need no plan: each fills a sequence, numbered below zero by the partition it is read in.
     alone = full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(alone)

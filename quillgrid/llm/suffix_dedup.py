@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import textbytes as T
-from quillgrid.llm.common import materialise, parts_of, range_bucket
+from quillgrid.llm.common import give_back, lean, materialise, parts_of, range_bucket
 
 LENGTH = 50
 TRIGGER = 16
@@ -130,7 +130,7 @@ def trigger_rows(docs: DataFrame, n: int, length: int) -> DataFrame:
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
                 ["kb", "bucket", "keys", "docs", "many"])
 
-    return docs.select("bucket", "doc_id", "text").mapInArrow(run, "kb int, bucket int, keys binary, docs binary, many binary")
+    return docs.select("bucket", "doc_id", "text").mapInArrow(lean(run), "kb int, bucket int, keys binary, docs binary, many binary")
 
 
 def shared_triggers(rows: DataFrame, n: int) -> DataFrame:
@@ -157,7 +157,7 @@ def shared_triggers(rows: DataFrame, n: int) -> DataFrame:
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], ["bucket", "keys"])
 
-    return rows.repartition(n, "kb").mapInArrow(run, "bucket int, keys binary")
+    return rows.repartition(n, "kb").mapInArrow(lean(run), "bucket int, keys binary")
 
 
 def _column(table: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
@@ -168,6 +168,7 @@ def phrase_rows(docs: DataFrame, shared: DataFrame, n: int, length: int) -> Data
     """``pb, bucket, sizes, docs, phrases``: the dictionary's phrases of shared triggers, each once per document bucket."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         rows: list[tuple] = []
         p = Phrases(_column(left, "text", pa.string()), length)
         keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in right["keys"])]))
@@ -253,7 +254,7 @@ def repeated_windows(rows: DataFrame, n: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()), *(pa.array([b"".join(x)], pa.binary()) for x in zip(*parts))], ["bucket", "phrases", "begins", "ends"])
 
-    return rows.repartition(n, "pb").mapInArrow(run, "bucket int, phrases binary, begins binary, ends binary")
+    return rows.repartition(n, "pb").mapInArrow(lean(run), "bucket int, phrases binary, begins binary, ends binary")
 
 
 def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[Phrases, np.ndarray]:
@@ -295,6 +296,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, carry:
     repeats = materialise(repeated_windows(phrase_rows(rows, shared, 2 * n, length), n, length), "repeats")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         p, gone = _removed(left, right, length)
         out = []
         for a, b in zip(p.off[:-1].tolist(), p.off[1:].tolist()):

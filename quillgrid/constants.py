@@ -17,8 +17,8 @@ LOG_LINE = r"^\[?\d{4}[-/]\d{2}[-/]\d{2}[T ]?\d{2}:\d{2}"
 XML_TAG = r"<[a-zA-Z][^>]*>"
 KEY_VALUE_LINE = r"^[A-Za-z][A-Za-z0-9 _-]*:\s+\S"
 MARKDOWN_HEADING = r"^#{1,6}\s+\S"
-LOG_SAMPLE_LINES = 20
-KEY_VALUE_SAMPLE_LINES = 30
+# First lines that decide a type where a window is asked for: for logs and headings, for key-value lines.
+TYPE_WINDOW = (20, 30)
 
 # Value patterns for field types.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -43,8 +43,6 @@ TOKEN = r"[a-z0-9]+"
 CHUNK_BYTES = 500
 BM25_K1 = 1.2
 BM25_B = 0.75
-SEARCH_DEPTH = 10
-HISTORY_WINDOW = 20
 
 # Previews: characters kept and the marker that follows a cut.
 RAW_PREVIEW = 8000
@@ -92,7 +90,6 @@ VIEW_REASONS = {
 }
 
 # Charts.
-BAR_LIMIT = 15
 PIE_SLICES = 8
 AXIS_STEPS = 4
 OTHER_LABEL = "Other"

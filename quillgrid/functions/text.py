@@ -46,21 +46,34 @@ def csv_like(lines: Column) -> Column:
     return F.when(F.size(lines) >= 2, let(counts, judge)).otherwise(False)
 
 
-def _matching(lines: Column, pattern: str) -> Column:
-    return F.size(F.filter(lines, lambda line: trim_ws(line).rlike(pattern)))
+#: White space before a line's first character.
+_INDENT = "[" + K.WHITE_SPACE.replace("\n", "") + "]*+"
 
 
-def doc_type(text: Column) -> Column:
-    """Document type; the first rule that holds decides."""
-    def by_lines(lines: Column) -> Column:
-        top = F.slice(lines, 1, K.LOG_SAMPLE_LINES)
-        return (
-            F.when(csv_like(lines), K.CSV)
-            .when(_matching(top, K.LOG_LINE) > F.floor(F.size(top) / 2), K.LOG)
-            .when(_matching(top, K.MARKDOWN_HEADING) >= 2, K.MARKDOWN)
-            .when(_matching(lines, K.KEY_VALUE_LINE) > F.floor(F.size(lines) / 3), K.KEY_VALUE)
-            .otherwise(K.UNKNOWN)
-        )
+def _matching(text: Column, pattern: str) -> Column:
+    """How many lines, without white space around them, match a pattern that starts with ``^``; one pass over the text."""
+    within = pattern.removeprefix("^").replace(r"\s", r"[^\S\n]")
+    return F.regexp_count(text, F.lit(f"(?dm)^{_INDENT}(?:{within})"))
+
+
+def doc_type(text: Column, window: tuple[int, int] | None = None) -> Column:
+    """Document type; the first rule that holds decides.
+
+    The rules on lines count all lines. A ``window`` makes them count the first lines alone: so many for logs and headings, so many for
+    key-value lines (``constants.TYPE_WINDOW`` is the pair that others use).
+    """
+    def by_lines(t: Column) -> Column:
+        def judge(s: Column) -> Column:
+            lines = lambda x: occurrences(x, "\n") + 1
+            return (
+                F.when(_matching(s["top"], K.LOG_LINE) > F.floor(lines(s["top"]) / 2), K.LOG)
+                .when(_matching(s["top"], K.MARKDOWN_HEADING) >= 2, K.MARKDOWN)
+                .when(_matching(s["head"], K.KEY_VALUE_LINE) > F.floor(lines(s["head"]) / 3), K.KEY_VALUE)
+                .otherwise(K.UNKNOWN)
+            )
+
+        top, head = (t, t) if window is None else (F.substring_index(t, "\n", window[0]), F.substring_index(t, "\n", window[1]))
+        return F.when(csv_like(head_lines(t, 2)), K.CSV).otherwise(let(F.struct(top.alias("top"), head.alias("head")), judge))
 
     def by_text(t: Column) -> Column:
         opening = F.left(t, F.lit(1))
@@ -70,7 +83,7 @@ def doc_type(text: Column) -> Column:
             F.when(t == "", K.UNKNOWN)
             .when(is_json, K.JSON)
             .when(is_xml, K.XML)
-            .otherwise(let(head_lines(t, K.KEY_VALUE_SAMPLE_LINES), by_lines))
+            .otherwise(by_lines(t))
         )
 
     return let(trim_ws(text), by_text)

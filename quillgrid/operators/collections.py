@@ -107,7 +107,7 @@ def latest_per(df: DataFrame, owner: str, order: list[str], columns: list[str])
     return df.groupBy(owner).agg(F.max_by(row, ranked).alias("_row")).select(owner, "_row.*")
 
 
-def recent(df: DataFrame, group: list[str], order: list[str], n: int = K.HISTORY_WINDOW) -> DataFrame:
+def recent(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
     """The last ``n`` rows of each group, numbered oldest first from 1."""
     newest_first = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
     oldest_first = Window.partitionBy(*group).orderBy(*order)

@@ -157,7 +157,7 @@ def with_views(
 # --- chart data -------------------------------------------------------------------------------
 
 
-def bar_data(df: DataFrame, label: Column, value: Column, n: int = K.BAR_LIMIT) -> DataFrame:
+def bar_data(df: DataFrame, label: Column, value: Column, n: int) -> DataFrame:
     """Sum per label, the ``n`` largest; a distributed top-n, not a full sort."""
     return (
         df.groupBy(label.alias("label")).agg(F.sum(value).alias("value"))

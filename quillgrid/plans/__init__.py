@@ -1,6 +1,7 @@
 """Registered queries over the shared tables, each with an SQL statement of the same result."""
 
 from quillgrid.plans import (  # noqa: F401
+    form_plans,
     json_plans,
     parse_plans,
     profile_plans,

@@ -13,6 +13,7 @@ from quillgrid.session import materialise, run_dir
 from quillgrid.sources import chunk_index
 from quillgrid.sources.search_store import SearchStore
 
+DEPTH = 10
 QUERIES = (("three terms", "the then with"), ("repeats", "there there of"), ("rare", "Entre VERDAD x9"))
 
 _INDEXES: dict[tuple[str, str], chunk_index.ChunkIndex] = {}
@@ -87,17 +88,17 @@ _SCORED = scored_sql("documents")
 
 
 def _hits(spark, sf):
-    return materialise(chunk_index.ranked(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH), "ranked")
+    return materialise(chunk_index.ranked(spark, index(spark, sf), QUERIES, DEPTH), "ranked")
 
 
 TOP = f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
-FROM ranked WHERE rank <= {K.SEARCH_DEPTH}"""
+FROM ranked WHERE rank <= {DEPTH}"""
 
 
 @query("bm25_topk", TOP)
 def bm25_topk(spark, sf):
     """From the stored postings."""
-    found = chunk_index.search_index(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH)
+    found = chunk_index.search_index(spark, index(spark, sf), QUERIES, DEPTH)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -105,14 +106,14 @@ def bm25_topk(spark, sf):
 def bm25_scan(spark, sf):
     """The same ranking from chunks that have no postings."""
     stored = index(spark, sf)
-    found = search.bm25(stored.chunks(spark), QUERIES, K.SEARCH_DEPTH, stats=stored.stats(spark))
+    found = search.bm25(stored.chunks(spark), QUERIES, DEPTH, stats=stored.stats(spark))
     return found.withColumn("score", F.round("score", 6))
 
 
 @query(
     "hit_names",
     f"""WITH {_SCORED} SELECT query_id, r.collection_id, rank, CASE WHEN r.doc_id % 5 = 0 THEN 'doc#' || r.doc_id ELSE lang || '-' || r.doc_id || '.txt' END AS doc_name
-FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {K.SEARCH_DEPTH}""",
+FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {DEPTH}""",
 )
 def hit_names(spark, sf):
     return search.with_names(_hits(spark, sf), _names(spark, sf)).select(
@@ -132,7 +133,7 @@ def _names(spark, sf):
     "hit_format",
     f"""WITH {_SCORED} SELECT query_id, r.collection_id, format('--- [{{}}] {{}} (relevance: {{:.2f}}) ---', rank,
   CASE WHEN r.doc_id % 5 = 0 THEN 'doc#' || r.doc_id ELSE lang || '-' || r.doc_id || '.txt' END, round(score, 6)) AS line
-FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {K.SEARCH_DEPTH}""",
+FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {DEPTH}""",
 )
 def hit_format(spark, sf):
     named = search.with_names(_hits(spark, sf), _names(spark, sf))
@@ -153,11 +154,11 @@ def chunk_scan(spark, sf):
 @query(
     "bm25_collection",
     f"""WITH {_SCORED} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
-FROM ranked WHERE rank <= {K.SEARCH_DEPTH} AND collection_id = 'src3'""",
+FROM ranked WHERE rank <= {DEPTH} AND collection_id = 'src3'""",
 )
 def bm25_collection(spark, sf):
     """Search in one collection: only its postings and its directory of chunks are read."""
-    found = chunk_index.search_index(spark, index(spark, sf), QUERIES, K.SEARCH_DEPTH, ["src3"])
+    found = chunk_index.search_index(spark, index(spark, sf), QUERIES, DEPTH, ["src3"])
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -209,11 +210,11 @@ def _edited_store(spark, sf) -> SearchStore:
 @query(
     "search_after_changes",
     f"""WITH edited AS ({_EDITED}), {scored_sql("edited")} SELECT query_id, collection_id, rank, doc_id, position, round(score, 6) AS score, content
-FROM ranked WHERE rank <= {K.SEARCH_DEPTH}""",
+FROM ranked WHERE rank <= {DEPTH}""",
 )
 def search_after_changes(spark, sf):
     """The ranking of a changed index is that of an index built anew."""
-    found = chunk_index.search_index(spark, _edited_store(spark, sf).snapshot(), QUERIES, K.SEARCH_DEPTH)
+    found = chunk_index.search_index(spark, _edited_store(spark, sf).snapshot(), QUERIES, DEPTH)
     return found.withColumn("score", F.round("score", 6))
 
 

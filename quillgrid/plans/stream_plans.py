@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid import constants as K
 from quillgrid.operators.search import CHUNK_KEY
 from quillgrid.plans import derived as D
 from quillgrid.plans import search_plans
@@ -71,7 +70,7 @@ def stream_reindex(spark, sf):
 def stream_search(spark, sf):
     """A ranking sees what was indexed again: postings, frequencies and lengths follow each batch."""
     snapshot = _changed_store(spark, sf).snapshot()
-    found = chunk_index.search_index(spark, snapshot, search_plans.QUERIES, K.SEARCH_DEPTH)
+    found = chunk_index.search_index(spark, snapshot, search_plans.QUERIES, search_plans.DEPTH)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -67,26 +67,34 @@ judged AS (
       ELSE contains(ls[1], chr(9)) END AS is_csv FROM counted)"""
 
 
-def _hits_sql(n: int, pattern: str) -> str:
-    return f"len(list_filter(ls[1:{n}], lambda x: regexp_matches(trim(x, '{WS}'), '{pattern}')))"
+def _hits_sql(lines: str, pattern: str) -> str:
+    return f"len(list_filter({lines}, lambda x: regexp_matches(trim(x, '{WS}'), '{pattern}')))"
 
 
-@query(
-    "detect_type",
-    f"""WITH {MIXED_SQL}, {_COUNTS_SQL}
+def _type_sql(top: str, head: str) -> str:
+    """Types by the rules on lines, which see the given lines."""
+    return f"""WITH {MIXED_SQL}, {_COUNTS_SQL}
 SELECT key, CASE WHEN t = '' THEN 'unknown'
   WHEN t[1] IN ('{{', '[') AND json_valid(t) THEN 'json'
   WHEN starts_with(t, '<?xml') OR (t[1] = '<' AND regexp_matches(t, '{K.XML_TAG}')) THEN 'xml'
   WHEN is_csv THEN 'csv'
-  WHEN {_hits_sql(20, K.LOG_LINE)} > least(20, len(ls)) // 2 THEN 'log'
-  WHEN {_hits_sql(20, K.MARKDOWN_HEADING)} >= 2 THEN 'markdown'
-  WHEN {_hits_sql(30, K.KEY_VALUE_LINE)} > least(30, len(ls)) // 3 THEN 'key_value'
-  ELSE 'unknown' END AS doc_type FROM judged""",
-)
+  WHEN {_hits_sql(top, K.LOG_LINE)} > len({top}) // 2 THEN 'log'
+  WHEN {_hits_sql(top, K.MARKDOWN_HEADING)} >= 2 THEN 'markdown'
+  WHEN {_hits_sql(head, K.KEY_VALUE_LINE)} > len({head}) // 3 THEN 'key_value'
+  ELSE 'unknown' END AS doc_type FROM judged"""
+
+
+@query("detect_type", _type_sql("ls", "ls"))
 def detect_type(spark, sf):
     return mixed_documents(spark, sf).select("key", text.doc_type(F.col("text")).alias("doc_type"))
 
 
+@query("detect_type_window", _type_sql(f"ls[1:{K.TYPE_WINDOW[0]}]", f"ls[1:{K.TYPE_WINDOW[1]}]"))
+def detect_type_window(spark, sf):
+    """Types by the first lines alone, as some users expect them."""
+    return mixed_documents(spark, sf).select("key", text.doc_type(F.col("text"), K.TYPE_WINDOW).alias("doc_type"))
+
+
 @query(
     "csv_like",
     f"WITH {MIXED_SQL}, {_COUNTS_SQL} SELECT key, n1 AS fields_1, n2 AS fields_2, is_csv FROM judged",

@@ -35,6 +35,9 @@ chart_lists AS (SELECT *, CASE WHEN structured = '' THEN '' ELSE {_CHARTS.format
 def _chart_docs(spark, sf):
     return D.order_docs(spark, sf).withColumn("schema_json", F.expr(_SCHEMA))
 
+#: Bars of the chart query.
+BARS = 15
+
 
 @query("chart_types", f"WITH {_CHART_SQL} SELECT doc_id, charts FROM chart_lists")
 def chart_types(spark, sf):
@@ -117,11 +120,11 @@ def view_tabs(spark, sf):
     "chart_bar",
     f"""SELECT '{{"type":"bar","title":"Orders by customer","labels":[' || string_agg('"' || label || '"', ',' ORDER BY value DESC, label) || '],"datasets":[{{"label":"orders","data":['
   || string_agg(CAST(value AS VARCHAR), ',' ORDER BY value DESC, label) || ']}}]}}' AS chart
-FROM (SELECT 'c' || o_custkey AS label, count(*) AS value FROM orders GROUP BY 1 ORDER BY value DESC, label LIMIT {K.BAR_LIMIT})""",
+FROM (SELECT 'c' || o_custkey AS label, count(*) AS value FROM orders GROUP BY 1 ORDER BY value DESC, label LIMIT {BARS})""",
 )
 def chart_bar(spark, sf):
     label = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
-    data = views.bar_data(table(spark, sf, "orders"), label, F.lit(1).cast("bigint"))
+    data = views.bar_data(table(spark, sf, "orders"), label, F.lit(1).cast("bigint"), BARS)
     return views.chart_spec(data, "bar", "Orders by customer", "orders", [F.desc("value"), F.col("label")])
 
 
@@ -132,7 +135,7 @@ def chart_bar(spark, sf):
 FROM (SELECT strftime(o_orderdate, '%Y-%m') AS label, count(*) AS value FROM orders GROUP BY 1)""",
 )
 def chart_line(spark, sf):
-    data = views.line_data(table(spark, sf, "orders"), F.col("o_orderdate"), F.lit(1).cast("bigint"))
+    data = views.line_data(table(spark, sf, "orders"), F.col("o_orderdate"), F.lit(1).cast("bigint"), BARS)
     named = data.select(F.date_format("at", "yyyy-MM").alias("label"), "value")
     return views.chart_spec(named, "line", "Orders by month", "orders", [F.col("label")])
 

@@ -7,46 +7,50 @@ from quillgrid.functions import csvtext, text
 from tests import fixtures as fx
 
 
-def test_doc_type(column):
-    cases = [
-        ("id,team,points\nx1,red,12\nx2,blue,9", "csv"),
-        ('{"team": "red", "points": 12}', "json"),
-        ('[{"p":1},{"p":2}]', "json"),
-        ('{"a":1} trailing', "unknown"),
-        ('{"a":1}}', "unknown"),
-        ('[1],[2]', "unknown"),
-        ("[2031-05-02 07:00:01] INFO a\n[2031-05-02 07:00:02] WARN b\n2031/05/02 07:00 c", "log"),
-        ('<?xml version="1.0"?><shop><cup>1</cup></shop>', "xml"),
-        ("# Plan\n\nwords\n\n### Steps\n\nmore words", "markdown"),
-        ("", "unknown"),
-        ("  \n ", "unknown"),
-        ("X: y", "key_value"),
-        ("a\tb\nc", "csv"),
-        ('"a,b",c\n1,2', "csv"),
-        ('a"b,c\n1,2', "unknown"),
-        ('a,b\n\nc,d', "unknown"),
-        ("a,b\n1,2,3,4", "unknown"),
-        (fx.PEOPLE, "csv"),
-        (fx.LOG, "log"),
-        (fx.TICKETS, "key_value"),
-        (fx.STATEMENT, "unknown"),
-        (fx.XML, "xml"),
-        (fx.NESTED, "json"),
-        (fx.INVOICE, "key_value"),
-    ]
-    got = column(text.doc_type, [c for c, _ in cases])
-    assert list(zip([c for c, _ in cases], got)) == cases
+PLAIN = "nothing to see here"
+
+
+def lines(n, kind, m=0):
+    """``n`` lines of a kind, then ``m`` plain ones."""
+    one = {"stamp": "2031/05/02T07:00 pump {i} on", "heading": "## part {i}", "pair": "Pump {i}:   idle"}[kind]
+    return "\n".join([one.format(i=i) for i in range(n)] + [PLAIN] * m)
+
+
+@pytest.mark.parametrize("body, kind", [
+    # More than half of the lines with stamps, more than a third with pairs, two headings.
+    (lines(5, "stamp", 4), "log"), (lines(5, "stamp", 5), "unknown"), (lines(4, "pair", 8), "unknown"), (lines(5, "pair", 8), "key_value"),
+    (lines(2, "heading", 70), "markdown"), (lines(1, "heading", 3), "unknown"),
+    # Rules in order: stamps before headings before pairs.
+    (lines(3, "stamp") + "\n" + lines(2, "heading"), "log"), (lines(2, "heading") + "\n" + lines(9, "pair"), "markdown"),
+    # All lines count, also far below.
+    (PLAIN + "\n" + (PLAIN + "\n") * 40 + lines(60, "stamp"), "log"), (lines(12, "pair") + ("\n" + PLAIN) * 60, "unknown"),
+    # Lines are trimmed; a pair needs its value on the same line.
+    ("\u3000 " + lines(1, "stamp") + " \r\n\t" + lines(1, "stamp"), "log"), ("Pump:\nPump:\n\nidle", "unknown"), ("Pump:\u00a0idle", "unknown"),
+    # JSON must be whole; markup opens with a tag.
+    (" [ ] ", "json"), ("[0, 1", "unknown"), ("{}{}", "unknown"), ("null", "unknown"), ("<b>bold</b> and more", "xml"), ("< b", "unknown"), ("<?xml", "xml"),
+    # Tabs in the first line only; quotes hold commas and line ends.
+    ("x\ty\nz", "csv"), ("x\ny\tz", "unknown"), ('"p,q",r\n1,2', "csv"), ('p"q,r\n1,2', "unknown"), ("p,q\n1,2,3", "csv"), ("p,q\n1,2,3,4", "unknown"),
+    ("\u2003\n\x85", "unknown"), (fx.STATEMENT, "unknown"), (fx.INVOICE, "key_value"), (fx.TICKETS, "key_value"), (fx.NESTED, "json"), (fx.LOG, "log"), (fx.PEOPLE, "csv"),
+])
+def test_doc_type(column, body, kind):
+    assert column(text.doc_type, [body]) == [kind]
+
+
+def test_doc_type_of_the_first_lines(column):
+    late = PLAIN + ("\n" + PLAIN) * 40 + "\n" + lines(60, "stamp")
+    early = lines(12, "pair") + ("\n" + PLAIN) * 60
+    assert column(lambda c: text.doc_type(c, (20, 30)), [late, early, lines(11, "stamp", 90), lines(10, "stamp", 90)]) == ["unknown", "key_value", "log", "unknown"]
 
 
 def test_classify_value(column):
     cases = {
-        "plain": "string", "17": "number", "2.75": "number", "$64000": "number", "€1,200": "number",
-        "$€5": "number", "£5": "string", "true": "boolean", "FALSE": "boolean", "ann@shop.test": "email",
-        "https://x.io": "url", "2031-05-02": "date", "02/05/2031": "date", "02-May-2031": "date",
-        "March 1, 2022": "date", "inf": "number", "1d": "string", "1e5": "number", "1_000": "string",
-        "NaN": "number", "-": "string", ".": "string", "0x1p4": "number", "1,2": "number",
+        "number": ["0", "-3.", "+.5", "6E-2", "£7".replace("£", "$"), "€1,200,300", "$€5", "+Inf", "infinity", "nan", "0X1.8p-3", "1,,2"],
+        "date": ["2031/05/02 and more", "31-12-2031", "02/05/2031", "09-Feb-1999", "Smarch 40, 2022", "May 7 1990"],
+        "email": ["a.b+c@d-e.co", "x_%@y.zz"], "url": ["http://", "https://h/p?q=1"], "boolean": ["tRuE", "False"],
+        "string": ["", " ", "£5", "1_000", "1d", "0x12", "e5", "--1", "x@y", "a@b.c", "ftp://h", "yes", "1999-1-2", "$"],
     }
-    assert dict(zip(cases, column(text.classify_value, list(cases)))) == cases
+    flat = [(v, kind) for kind, values in cases.items() for v in values]
+    assert list(zip([v for v, _ in flat], column(text.classify_value, [v for v, _ in flat]))) == flat
 
 
 def test_tokenize(column):
@@ -85,15 +89,11 @@ def naive_chunks(t, size):
     return done + [cur.strip()] if cur else done
 
 
-def test_chunks(column):
-    paragraphs = (
-        "The cups are on the top shelf.\n\nThe pots went to the cellar last week.\n\nNothing else moved."
-    )
-    got = column(lambda c: text.chunk_text(c, 50), ["two words", paragraphs, "", "x" * 120])
-    assert got[0] == ["two words"]
-    assert len(got[1]) >= 2
-    assert got[2] == []
-    assert got[3] == ["x" * 120]
+def test_chunk_edges(column):
+    """At the target, one byte over it, and where bytes are not characters."""
+    docs = ["\u00e9" * 25, "\u00e9" * 25 + "!", "a" * 24 + "\n\n" + "b" * 24, "a" * 25 + "\n\n" + "b" * 24, "\n\n".join("cde"), "\u3000\n\n ", "Up. " + "d" * 60 + ". On."]
+    got = column(lambda c: text.chunk_text(c, 50), docs)
+    assert got == [[docs[0]], [docs[1]], [docs[2]], ["a" * 25, "b" * 24], [docs[4]], [], ["Up.", "d" * 60 + ".", "On."]]
 
 
 def test_chunks_match_plain_loop(column):

@@ -30,7 +30,7 @@ def test_views(spark):
 
 def test_chart_data(spark):
     df = spark.createDataFrame([(f"l{i:02d}", float(i)) for i in range(20)], "l string, v double")
-    bar = views.bar_data(df, F.col("l"), F.col("v")).collect()
+    bar = views.bar_data(df, F.col("l"), F.col("v"), 15).collect()
     assert len(bar) == 15 and bar[0]["label"] == "l19"
     pie = {r["label"]: (r["value"], r["percent"]) for r in views.pie_data(df, F.col("l"), F.col("v")).collect()}
     assert len(pie) == 9 and pie["Other"] == (66.0, 34.7)
@@ -61,7 +61,7 @@ def test_insert_upsert_clear(spark):
 def test_recent_and_latest(spark):
     rows = [(c, i, f"m{i}") for c in "xy" for i in range(30)]
     df = spark.createDataFrame(rows, "c string, i int, t string")
-    got = collections.recent(df, ["c"], ["i"]).where("c = 'x'").orderBy("place").collect()
+    got = collections.recent(df, ["c"], ["i"], 20).where("c = 'x'").orderBy("place").collect()
     assert [r["i"] for r in got] == list(range(10, 30)) and got[0]["place"] == 1
     last = collections.latest_per(df, "c", ["i"], ["t"]).collect()
     assert {r["c"]: r["t"] for r in last} == {"x": "m29", "y": "m29"}

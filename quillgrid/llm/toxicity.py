@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import textbytes as T
-from quillgrid.llm.common import held_out, materialise
+from quillgrid.llm.common import give_back, held_out, lean, materialise
 
 SIZES = (4, 5, 6)
 SLOTS = 1 << 20
@@ -73,10 +73,11 @@ class Model:
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, sizes=SIZES, slots: int = SLOTS, min_texts: int = 3,
-          rounds: int = 200, l2: float = 1.0, alpha: float = 1.0, min_ratio: float = 1.0) -> Model:
+          rounds: int = 200, l2: float = 1.0, alpha: float = 1.0, min_ratio: float = 1.0, consume: bool = False) -> Model:
     """Ratios, then logistic regression by accelerated gradient descent, on distinct slots per text.
 
-    Slots in fewer than ``min_texts`` texts, or whose log ratio is nearer to 0 than ``min_ratio``, get no weight.
+    Slots in fewer than ``min_texts`` texts, or whose log ratio is nearer to 0 than ``min_ratio``, get no weight. ``consume`` empties
+    ``texts`` once they are read, which halves the memory of the descent.
     """
     labels = np.asarray(labels, float)
     empty = Model(np.zeros(0, np.int64), np.zeros(0), -4.0, sizes, slots)
@@ -97,9 +98,11 @@ def train(texts: list[np.ndarray], labels: np.ndarray, sizes=SIZES, slots: int =
         return empty
     index = np.full(slots, -1, np.int32)
     index[used] = np.arange(len(used))
-    cols = [index[t] for t in texts]
-    cols = [c[c >= 0] for c in cols]
-    row, col = np.repeat(np.arange(len(texts)), [len(c) for c in cols]), np.concatenate(cols)
+    cols = [c[c >= 0] for c in (index[t] for t in texts)]
+    if consume:
+        texts.clear()
+    row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
+    del cols, index
     r = ratio[used]
     value = r[col]
     step_w = 1.0 / (l2 + 0.25 * float(np.bincount(row, value ** 2, len(labels)).max()) * max(1, len(labels)) ** 0.5)
@@ -151,10 +154,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_rows: int = 300
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "toxic", "slots"])
 
-    sample = rows.mapInArrow(slots_of, "doc_id long, toxic int, slots binary").toArrow()
+    sample = rows.mapInArrow(lean(slots_of), "doc_id long, toxic int, slots binary").toArrow()
     order = np.argsort(np.asarray(sample["doc_id"]), kind="stable")
-    texts = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["slots"]]
-    model = train([texts[i] for i in order], np.asarray(sample["toxic"]).astype(float)[order])
+    slots, toxic = sample["slots"].combine_chunks(), np.asarray(sample["toxic"]).astype(float)[order]
+    del sample
+    texts = [np.frombuffer(slots[int(i)].as_buffer(), np.int32) for i in order]
+    del slots
+    model = train(texts, toxic, consume=True)
+    give_back()
     n = np.bincount([value for _, value in chosen], minlength=2)
     if n.all():
         model.bias += float(np.log(total[1] / total[0]) - np.log(n[1] / n[0]))
@@ -181,7 +188,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(
-        run, f"{schema}, score double, predicted int")
+        lean(run), f"{schema}, score double, predicted int")
 
 
 def is_held_out(doc_id: str = "doc_id"):

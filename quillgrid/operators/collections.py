@@ -162,6 +162,35 @@ def compare_fields(docs: DataFrame, names: str) -> DataFrame:
     )
 
 
+def compare_in_collections(docs: DataFrame, collection: str, names: str) -> DataFrame:
+    """For each collection and field: ``documents, total_documents, shared``. ``total_documents`` counts the collection's documents with fields.
+
+    ``names`` is each document's array of field names. Only counters cross the shuffle, so a collection that holds most documents is a few rows.
+    """
+    own = docs.select(F.col(collection).alias("collection"), F.array_distinct(names).alias("_names")).where(F.size("_names") > 0)
+    totals = own.groupBy("collection").agg(F.count(F.lit(1)).alias("total_documents"))
+    fields = unfold(own, ["collection"], F.col("_names"), "_i", "field").groupBy("collection", "field").agg(F.count(F.lit(1)).alias("documents"))
+    return fields.join(totals, "collection").withColumn("shared", F.col("documents") == F.col("total_documents"))
+
+
+def document_field_totals(docs: DataFrame, doc: str, collection: str, names: str, compared: DataFrame) -> DataFrame:
+    """``doc_id, collection, n_fields, shared_fields, different_fields`` of every document.
+
+    ``compared`` is what ``compare_in_collections`` tells of the same documents. A document without fields shares none.
+    """
+    shared = compared.groupBy("collection").agg(F.count_if("shared").alias("_shared"))
+    n = F.size(F.array_distinct(F.coalesce(names, F.array().cast("array<string>")))).cast("bigint")
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(collection).alias("collection"), n.alias("n_fields"))
+    have = F.when(F.col("n_fields") > 0, F.coalesce("_shared", F.lit(0))).otherwise(0).cast("bigint")
+    return rows.join(shared, "collection", "left").select(
+        "doc_id", "collection", "n_fields", have.alias("shared_fields"), (F.col("n_fields") - have).alias("different_fields"))
+
+
+def in_order(earned: DataFrame) -> DataFrame:
+    """Milestones with their ``place`` in the order a session earned them; of those earned at once the first by name."""
+    return earned.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("earned_at", "milestone")))
+
+
 def field_difference(left: Column, right: Column) -> Column:
     """``struct<only_left, only_right, both>`` of two documents' field names."""
     return F.struct(

@@ -236,6 +236,37 @@ def compare_docs(spark, sf):
     return collections.compare_fields(_json_fields(spark, sf), "ks")
 
 
+_BY_COLLECTION = f"""{D.ORDER_DOCS_SQL}, ks AS (SELECT doc_id, cust % 7 AS collection, json_keys(CAST(structured AS JSON)) AS ks FROM order_docs
+  WHERE structured <> '' AND json_valid(structured) AND json_type(structured) = 'OBJECT' AND doc_id % 10 + cust % 7 <> 9),
+f AS (SELECT collection, unnest(list_distinct(ks)) AS field FROM ks),
+t AS (SELECT collection, count(*) AS total_documents FROM ks WHERE len(ks) > 0 GROUP BY collection),
+c AS (SELECT collection, field, count(*) AS documents, any_value(total_documents) AS total_documents, count(*) = any_value(total_documents) AS shared FROM f JOIN t USING (collection) GROUP BY ALL)"""
+
+
+def _collection_fields(spark, sf):
+    """Documents of seven collections, six of which lack one shape of document each."""
+    keys = F.map_keys(jsontext.as_object(jsontext.strict(F.col("structured"))))
+    docs = D.order_docs(spark, sf).where("doc_id % 10 + cust % 7 <> 9").withColumn("collection", F.col("cust") % 7)
+    return unfold_present(docs, ["doc_id", "collection"], keys, "ks")
+
+
+@query("compare_in_collections", f"WITH {_BY_COLLECTION} SELECT collection, field, documents, total_documents, shared FROM c")
+def compare_in_collections(spark, sf):
+    """Which fields the documents of each collection share."""
+    return collections.compare_in_collections(_collection_fields(spark, sf), "collection", "ks")
+
+
+@query(
+    "document_field_totals",
+    f"""WITH {_BY_COLLECTION}, s AS (SELECT collection, count(*) FILTER (shared) AS n FROM c GROUP BY collection)
+SELECT doc_id, k.collection, CAST(len(ks) AS BIGINT) AS n_fields, CASE WHEN len(ks) > 0 THEN coalesce(n, 0) ELSE 0 END AS shared_fields,
+  CAST(len(ks) - CASE WHEN len(ks) > 0 THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS different_fields FROM ks k LEFT JOIN s ON s.collection = k.collection""",
+)
+def document_field_totals(spark, sf):
+    docs = materialise(_collection_fields(spark, sf), "fields")
+    return collections.document_field_totals(docs, "doc_id", "collection", "ks", collections.compare_in_collections(docs, "collection", "ks"))
+
+
 @query(
     "compare_pairs",
     f"""WITH {_KEYS} SELECT a.doc_id, array_to_string(list_sort(list_filter(a.ks, lambda x: NOT list_contains(b.ks, x))), ',') AS only_left,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid import constants as K
+from quillgrid.operators import collections
 from quillgrid.operators.search import CHUNK_KEY
 from quillgrid.plans import derived as D
 from quillgrid.plans import search_plans
@@ -18,9 +20,8 @@ from quillgrid.streaming import ingest, milestones, reindex
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A shared table as a stream of its files."""
-    files = spark.readStream.schema(table(spark, sf, name).schema)
-    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A shared table as a stream of its files; the table is one file or a folder of files."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
 
 
 @query(
@@ -87,3 +88,24 @@ def stream_milestones(spark, sf):
     events = milestones.milestone_events(_stream(spark, sf, "events"), "user_id", "event_type", "ts", _ACTIONS)
     milestones.run(events, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return milestones.earned(spark, f"{root}/out").withColumn("earned_at", F.col("earned_at").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_milestones_in_order",
+    f"""WITH firsts AS (SELECT user_id AS session, {_KEY} AS milestone, min(ts) AS earned_at FROM events WHERE event_type <> 'error' GROUP BY ALL),
+fifth AS (SELECT user_id AS session, '{K.POWER_USER}' AS milestone, ts AS earned_at FROM (
+  SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE event_type = 'view') WHERE n = {K.POWER_USER_DOCUMENTS}),
+every AS (SELECT * FROM firsts UNION ALL SELECT * FROM fifth)
+SELECT session, milestone, earned_at, row_number() OVER (PARTITION BY session ORDER BY earned_at, milestone) AS place FROM every""",
+)
+def stream_milestones_in_order(spark, sf):
+    """Five batches of events, in no order of time; the milestone of several documents among them."""
+    root = run_dir(spark, "milestones")
+    events = table(spark, sf, "events").select("user_id", "event_type", "ts", F.pmod(F.xxhash64("event_id"), F.lit(5)).alias("part"))
+    for n in range(5):
+        events.where(F.col("part") == n).drop("part").coalesce(1).write.parquet(f"{root}/in/n={n}")
+    stream = spark.readStream.schema("user_id bigint, event_type string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    found = milestones.milestone_events(stream, "user_id", "event_type", "ts", _ACTIONS, power_action="view")
+    milestones.run(found, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    earned = milestones.earned(spark, f"{root}/out").withColumn("earned_at", F.col("earned_at").cast("timestamp_ntz"))
+    return collections.in_order(earned)

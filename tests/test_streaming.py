@@ -116,3 +116,22 @@ def test_milestone_once_over_far_batches(spark, tmp_path):
         milestones.run(milestones.milestone_events(stream, "s", "a", "ts"), out, ck).awaitTermination()
     rows = milestones.earned(spark, out).collect()
     assert [(r.session, r.milestone, str(r.earned_at.date())) for r in rows] == [(1, "first_upload", "2024-01-01")]
+
+
+def test_the_fifth_document_earns_once(spark, tmp_path):
+    """Five uploads over three batches; a late one moves the time to the fifth earliest, a sixth changes nothing."""
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    stamp = lambda i: dt.datetime(2024, 1, 1, 0, i)
+    schema = "s bigint, a string, ts timestamp_ntz"
+    seen, want = [], [None, None, 14, 12, 12]
+    for batch, five in zip(([10, 11], [12, 12], [14, 15], [1], [40]), want):
+        rows = [(1, "upload", stamp(i)) for i in batch] + [(2, "upload", stamp(i)) for i in batch[:1]] + [(1, "other", stamp(0))]
+        seen += [i for i in batch]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        milestones.run(milestones.milestone_events(stream, "s", "a", "ts", power_action="upload"), out, ck).awaitTermination()
+        got = {(r.session, r.milestone): r.earned_at.minute for r in milestones.earned(spark, out).collect()}
+        assert got.get((1, "power_user")) == five == (sorted(seen)[4] if len(seen) >= 5 else None)
+        assert got[1, "first_upload"] == min(seen) and ((2, "power_user") in got) == (batch == [40])
+    batch_form = collections.in_order(milestones.earned(spark, out)).where("session = 1").orderBy("place").collect()
+    assert [(r.place, r.milestone) for r in batch_form] == [(1, "first_upload"), (2, "power_user")]

@@ -86,3 +86,15 @@ def test_digest_and_listing(spark):
     got = {r["doc_id"]: r["block"] for r in collections.digest(df, "id", "n", "raw", "s").collect()}
     assert got[1] == "=== Document #1: a ===\nRaw content:\n" + "r" * 2100 + "\n\n"
     assert got[2] == "=== Document #2: b ===\nStructured data:\n{}\n\n" and got[3] == "=== Document #3: c ===\n"
+
+
+def test_comparison_in_collections(spark):
+    docs = [("a", 1, ["x", "y"]), ("a", 2, ["y", "y", "z"]), ("a", 3, []), ("a", 4, None), ("b", 5, ["x"]), ("b", 6, ["x"]), ("c", 7, [])]
+    df = spark.createDataFrame(docs, "c string, d bigint, names array<string>")
+    compared = collections.compare_in_collections(df, "c", "names")
+    assert sorted((r.collection, r.field, r.documents, r.total_documents, r.shared) for r in compared.collect()) == [
+        ("a", "x", 1, 2, False), ("a", "y", 2, 2, True), ("a", "z", 1, 2, False), ("b", "x", 2, 2, True)]
+    totals = collections.document_field_totals(df, "d", "c", "names", compared)
+    assert sorted((r.doc_id, r.n_fields, r.shared_fields, r.different_fields) for r in totals.collect()) == [
+        (1, 2, 1, 1), (2, 2, 1, 1), (3, 0, 0, 0), (4, 0, 0, 0), (5, 1, 1, 0), (6, 1, 1, 0), (7, 0, 0, 0)]
+    assert collections.compare_in_collections(df.limit(0), "c", "names").count() == 0

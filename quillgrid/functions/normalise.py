@@ -31,7 +31,7 @@ def number(value: Column, symbols: str = CURRENCY_SYMBOLS) -> Column:
 
 
 def number_form(value: Column) -> Column:
-    """Shape of a number text, such as ``$XX,XXX`` or ``text ('eighty thousand')``."""
+    """Shape of a number text, such as ``$XX,XXX`` or ``text ('plenty')``."""
     return let(
         trim_ws(value),
         lambda v: F.when(is_missing(v), F.lit(None).cast("string"))

@@ -265,15 +265,15 @@ def order_reconcile(spark, sf):
 
 # --- normalisation --------------------------------------------------------------------------------
 
-ALIASES = {"NYC": "New York", "SF": "San Francisco"}
+ALIASES = {"LDV": "Lower Dale", "HMW": "Hemswell"}
 _S = "(CAST(floor(abs(c_acctbal)) AS BIGINT) + 1000)"
 _PEOPLE = {
     "name": "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END",
     "age": "CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'NOT_AVAILABLE' ELSE CAST(20 + c_custkey % 40 AS STRING) END",
-    "city": "CASE c_custkey % 4 WHEN 0 THEN 'NYC' WHEN 1 THEN 'SF' WHEN 2 THEN 'Boston' ELSE ' New York ' END",
+    "city": "CASE c_custkey % 4 WHEN 0 THEN 'LDV' WHEN 1 THEN 'HMW' WHEN 2 THEN 'Corby' ELSE ' Lower Dale ' END",
     "salary": f"""CASE c_custkey % 5 WHEN 0 THEN '$' || CAST(CAST(floor({_S} / 1000) AS BIGINT) AS STRING) || ',' || lpad(CAST({_S} % 1000 AS STRING), 3, '0')
-      WHEN 1 THEN CAST({_S} AS STRING) WHEN 2 THEN '$' || CAST({_S} AS STRING) WHEN 3 THEN CAST({_S} AS STRING) || '.00' ELSE 'eighty thousand' END""",
-    "email": "CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'u' || CAST(c_custkey AS STRING) || '@company' ELSE 'u' || CAST(c_custkey AS STRING) || '@company.com' END",
+      WHEN 1 THEN CAST({_S} AS STRING) WHEN 2 THEN '$' || CAST({_S} AS STRING) WHEN 3 THEN CAST({_S} AS STRING) || '.00' ELSE 'a fair sum' END""",
+    "email": "CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'u' || CAST(c_custkey AS STRING) || '@mill' ELSE 'u' || CAST(c_custkey AS STRING) || '@mill.com' END",
 }
 _DAY_FORMS = ("MM/dd/yyyy", "yyyy-MM-dd", "MMMM d yyyy", "dd-MMM-yyyy", "yyyy/MM/dd", "MMM yyyy", "MM-yyyy")
 _TAGS = ("MM/DD/YYYY", "YYYY-MM-DD", "Month D YYYY", "DD-Mon-YYYY", "YYYY/MM/DD", "Mon YYYY")
@@ -292,12 +292,12 @@ def _people(spark, sf):
 
 
 _CLEAN_SQL = f"""SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 7 > 1 THEN 20 + c_custkey % 40 END AS age,
-  ['New York', 'San Francisco', 'Boston', 'New York'][c_custkey % 4 + 1] AS city, CASE WHEN c_custkey % 5 < 4 THEN CAST({_S} AS DOUBLE) END AS salary,
+  ['Lower Dale', 'Hemswell', 'Corby', 'Lower Dale'][c_custkey % 4 + 1] AS city, CASE WHEN c_custkey % 5 < 4 THEN CAST({_S} AS DOUBLE) END AS salary,
   CASE WHEN c_custkey % 8 = 5 THEN strftime(date_trunc('month', {_DAY_SQL}), '%Y-%m-%d') WHEN c_custkey % 8 < 6 THEN strftime({_DAY_SQL}, '%Y-%m-%d') END AS start_date,
-  CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'u' || c_custkey || '@company' ELSE 'u' || c_custkey || '@company.com' END AS email,
+  CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'u' || c_custkey || '@mill' ELSE 'u' || c_custkey || '@mill.com' END AS email,
   array_to_string(list_filter([CASE WHEN c_custkey % 11 = 0 THEN 'missing name' END,
     CASE c_custkey % 7 WHEN 0 THEN 'missing age' WHEN 1 THEN 'age ''NOT_AVAILABLE''' END,
-    CASE WHEN c_custkey % 5 = 4 THEN 'salary ''eighty thousand'' not numeric' END,
+    CASE WHEN c_custkey % 5 = 4 THEN 'salary ''a fair sum'' not numeric' END,
     CASE WHEN c_custkey % 8 = 6 THEN 'date ''' || strftime({_DAY_SQL}, '%m-%Y') || ''' ambiguous' END,
     CASE c_custkey % 6 WHEN 0 THEN 'missing email' WHEN 1 THEN 'incomplete email domain' END], lambda x: x IS NOT NULL), '; ') AS issues
 FROM customer"""
@@ -327,7 +327,7 @@ def normalise_summary(spark, sf):
     "normalise_number",
     f"""SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN CAST({_S} AS DOUBLE) END AS value,
   CASE c_custkey % 5 WHEN 0 THEN '$' || repeat('X', length(CAST({_S} AS VARCHAR)) - 3) || ',XXX' WHEN 1 THEN repeat('X', length(CAST({_S} AS VARCHAR)))
-    WHEN 2 THEN '$' || repeat('X', length(CAST({_S} AS VARCHAR))) WHEN 3 THEN repeat('X', length(CAST({_S} AS VARCHAR))) || '.XX' ELSE 'text (''eighty thousand'')' END AS form FROM customer""",
+    WHEN 2 THEN '$' || repeat('X', length(CAST({_S} AS VARCHAR))) WHEN 3 THEN repeat('X', length(CAST({_S} AS VARCHAR))) || '.XX' ELSE 'text (''a fair sum'')' END AS form FROM customer""",
 )
 def normalise_number(spark, sf):
     return _people(spark, sf).select(
@@ -353,7 +353,7 @@ def normalise_date(spark, sf):
 
 @query(
     "alias_map",
-    "SELECT city, count(*) AS n FROM (SELECT ['New York', 'San Francisco', 'Boston', 'New York'][c_custkey % 4 + 1] AS city FROM customer) GROUP BY city",
+    "SELECT city, count(*) AS n FROM (SELECT ['Lower Dale', 'Hemswell', 'Corby', 'Lower Dale'][c_custkey % 4 + 1] AS city FROM customer) GROUP BY city",
 )
 def alias_map(spark, sf):
     city = normalise.alias(trim_ws(F.col("city")), ALIASES)

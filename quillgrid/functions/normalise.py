@@ -116,7 +116,7 @@ def camel_case(value: Column) -> Column:
     def cased(w: Column, i: Column) -> Column:
         base = F.when(F.upper(w) == w, F.lower(w)).otherwise(w)
         head = F.left(base, F.lit(1))
-        return F.concat(F.when(i == 0, F.lower(head)).otherwise(F.upper(head)), F.substring(base, 2, 1 << 30))
+        return F.concat(F.when(i == 0, F.lower(head)).otherwise(F.upper(head)), F.substring(base, F.lit(2), F.length(base)))
 
     return F.array_join(F.transform(words, cased), "")
 

@@ -223,7 +223,7 @@ def _invoice(text: Column) -> Column:
             lines,
             lambda ls: F.struct(
                 F.get(ls, F.lit(0)).alias("company"),
-                F.array_join(F.slice(plain_lines(ls), 2, 1 << 20), ", ").alias("address"),
+                let(plain_lines(ls), lambda own: F.array_join(F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(0))), ", ")).alias("address"),
                 labelled(ls, "Tax ID:").alias("tax_id"), labelled(ls, "Attn:").alias("attention"),
             ),
         ).alias(name)

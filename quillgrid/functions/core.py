@@ -72,6 +72,36 @@ def run_counts(items: Column) -> Column:
     return let(F.array_sort(items), runs)
 
 
+def running_sums(items: Column) -> Column:
+    """``array<int>``: the sum up to and with each item.
+
+    Appending copies what is there already, so sums are built in blocks of about the root of the size and each block starts from the
+    sum of those before it.
+    """
+    none = F.array().cast("array<int>")
+    start = lambda: F.struct(F.lit(0).alias("now"), none.alias("sums"))
+
+    def add(acc: Column, x: Column) -> Column:
+        now = acc["now"] + x
+        return F.struct(now.alias("now"), F.concat(acc["sums"], F.array(now)).alias("sums"))
+
+    def in_blocks(a: Column, width: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(1), F.size(a), width), lambda i: i <= F.size(a))
+        blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(a, i, width), start(), add))
+
+        def joined(bs: Column) -> Column:
+            before = F.aggregate(F.transform(bs, lambda b: b["now"]), start(), add, lambda acc: acc["sums"])
+            return let(before, lambda t: F.flatten(
+                F.transform(bs, lambda b, j: F.transform(b["sums"], lambda x: x + F.coalesce(F.get(t, j - 1), F.lit(0))))))
+
+        return let(blocks, joined)
+
+    def sums(a: Column) -> Column:
+        return let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda width: in_blocks(a, width))
+
+    return let(items, lambda a: F.when(F.size(a) == 0, none).otherwise(sums(a)))
+
+
 def unfold_present(df: DataFrame, keep: list, value: Column, name: str) -> DataFrame:
     """The kept columns and ``value``, for rows where it is present.
 

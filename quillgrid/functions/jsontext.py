@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgrid.functions.core import let, trim_ws
+from quillgrid.functions.core import let, running_sums, trim_ws
 
 OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
@@ -79,6 +79,41 @@ def record_array(value: Column) -> Column:
     return F.transform(record_items(value), lambda i: F.coalesce(as_object(i), empty))
 
 
+#: Bodies of strings, numbers, and the tokens of compact JSON.
+_STRING = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_TOKEN = rf'"{_STRING}"|\{{\}}|\[\]|[{{}}\[\]:,]|[a-z]+'
+
+
+def pretty(text: Column) -> Column:
+    """The text as JSON with two blanks a level, members by name, numbers as they are written; NULL if it is not valid.
+
+    Numbers would lose their form in a parsed value (``1.50``, ``1e3``), so they go through it as strings: strings get ``~`` in front, numbers
+    become strings with ``~`` at their end, which tells them apart again.
+    """
+    marked = F.regexp_replace(text, rf'"({_STRING})"|({_NUMBER})', '"$2~$1"')
+    compact = F.when(is_valid(text), F.to_json(F.try_parse_json(marked)))
+    tokens = F.regexp_extract_all(compact, F.lit(_TOKEN), F.lit(0))
+    step = lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+
+    def shown(t: Column, depth: Column) -> Column:
+        line = F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+        return (
+            F.when(t.startswith('"~'), F.concat(F.lit('"'), F.substring(t, F.lit(3), F.length(t))))
+            .when(t.startswith('"'), F.substring(t, F.lit(2), F.length(t) - 3))
+            .when(t.isin("{", "[", ","), F.concat(t, line))
+            .when(t.isin("}", "]"), F.concat(line, t))
+            .when(t == ":", F.lit(": "))
+            .otherwise(t)
+        )
+
+    def written(ts: Column) -> Column:
+        depths = running_sums(F.transform(ts, step))
+        return let(depths, lambda ds: F.array_join(F.transform(ts, lambda t, i: shown(t, F.get(ds, i))), ""))
+
+    return let(tokens, lambda ts: F.when(ts.isNotNull(), written(ts)))
+
+
 def skeleton(value: Column) -> Column:
     """Compact JSON with every text replaced by ``S`` and every empty text by ``E``.
 

@@ -1,15 +1,12 @@
 """Structured JSON to tables: records, headers, and file formats."""
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillgrid.functions import jsontext
 from quillgrid.functions.core import let, unfold
 from quillgrid.functions.text import file_stem
+from quillgrid.session import materialise
 
 FORMATS = {"json": ".json", "csv": ".csv", "tsv": ".tsv", "markdown": ".md"}
 _ROWS = "array<map<string,string>>"
@@ -53,17 +50,15 @@ def headers(exported: DataFrame) -> DataFrame:
     return keys.select("header").distinct().orderBy("header")
 
 
-def to_columns(exported: DataFrame, names: list[str] | None = None, max_columns: int = 10_000) -> DataFrame:
+def to_columns(exported: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Records as real columns in sorted order; absent cells are empty.
 
-    Column names must be known on the driver, as in any schema. Without ``names`` they are read
-    with one distinct action; more than ``max_columns`` is an error, not a cut.
+    Column names must be known on the driver, as in any schema. Without ``names`` the records are written once, the names are read from
+    their keys, and the columns are taken from the written records.
     """
     if names is None:
-        found = [r["header"] for r in headers(exported).limit(max_columns + 1).collect()]
-        if len(found) > max_columns:
-            raise ValueError(f"more than {max_columns} distinct columns; name the wanted ones")
-        names = found
+        exported = materialise(exported, "exported")
+        names = [r["header"] for r in headers(exported).collect()]
     cell = lambda n: F.coalesce(F.try_element_at("cells", F.lit(n)), F.lit(""))
     return exported.select("doc_id", "row", *[cell(n).alias(n) for n in sorted(names)])
 
@@ -114,19 +109,8 @@ def header_array(cells: Column) -> Column:
 
 
 def pretty_json(text: Column) -> Column:
-    """Indented JSON; text that is not JSON passes through unchanged.
-
-    Spark writes VARIANT values compactly only, so indenting is the one step done in Python, on
-    Arrow batches. The function is local so that it travels to the executors by value.
-    """
-    def indent(texts: pd.Series) -> pd.Series:
-        def one(t):
-            return None if t is None else json.dumps(json.loads(t), indent=2, sort_keys=True, ensure_ascii=False)
-
-        return texts.map(one)
-
-    indented = F.pandas_udf(indent, T.StringType())(F.to_json(jsontext.strict(text)))
-    return F.coalesce(indented, text)
+    """Indented JSON with members by name; text that is not JSON passes through unchanged."""
+    return F.coalesce(jsontext.pretty(text), text)
 
 
 def export_name(filename: Column, kind: str) -> Column:

@@ -50,9 +50,9 @@ def json_shape(spark, sf):
 
 @query(
     "json_types",
-    f"""WITH {_TREE} SELECT doc_id, key, CASE type WHEN 'OBJECT' THEN 'string' WHEN 'ARRAY' THEN 'string'
-  WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
-FROM nodes WHERE parent_type = 'OBJECT' AND parent = (SELECT 0)""",
+    f"""WITH {_VALID}, members AS (SELECT doc_id, unnest(json_keys(j)) AS key, j FROM valid WHERE json_type(j) = 'OBJECT')
+SELECT doc_id, key, CASE json_type(j, '$."' || key || '"') WHEN 'OBJECT' THEN 'string' WHEN 'ARRAY' THEN 'string'
+  WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM members""",
 )
 def json_types(spark, sf):
     members = unfold(_parsed(spark, sf), ["doc_id"], jsontext.as_object(F.col("v")), "_i", "key", "value")
@@ -225,9 +225,12 @@ def json_depth(spark, sf):
 
 @query(
     "flatten_kv",
-    f"""WITH {_TREE}, roots AS (SELECT doc_id FROM nodes WHERE parent IS NULL AND type = 'OBJECT')
-SELECT doc_id, substr(fullkey, 3) AS field, {_TEXT} AS value FROM nodes JOIN roots USING (doc_id)
-WHERE parent IS NOT NULL AND NOT contains(fullkey, '[') AND type <> 'OBJECT'""",
+    f"""WITH RECURSIVE {_VALID},
+walk AS (SELECT doc_id, '' AS path, j AS v FROM valid WHERE json_type(j) = 'OBJECT'
+  UNION ALL SELECT doc_id, CASE path WHEN '' THEN k ELSE path || '.' || k END, json_extract(v, '$."' || k || '"')
+  FROM (SELECT doc_id, path, v, unnest(json_keys(v)) AS k FROM walk WHERE json_type(v) = 'OBJECT'))
+SELECT doc_id, path AS field, CASE json_type(v) WHEN 'NULL' THEN '' WHEN 'VARCHAR' THEN json_extract_string(v, '$') ELSE CAST(v AS VARCHAR) END AS value
+FROM walk WHERE json_type(v) <> 'OBJECT'""",
 )
 def flatten_kv(spark, sf):
     return parsers.flat_json(D.order_docs(spark, sf), "doc_id", "structured")
@@ -326,12 +329,43 @@ def export_markdown(spark, sf):
     return _exported(spark, sf, "markdown")
 
 
-@query("export_json")
+@query(
+    "export_json",
+    # Each value gives an opening line, containers a closing one as well, in the order of their places; '~' sorts behind all places within.
+    f"""WITH RECURSIVE {_VALID},
+walk AS (SELECT doc_id, 0 AS depth, '' AS place, '' AS label, '' AS tail, j AS v FROM valid
+  UNION ALL SELECT doc_id, depth + 1, place || '/' || lpad(CAST(i AS VARCHAR), 6, '0'),
+    CASE json_type(v) WHEN 'OBJECT' THEN CAST(to_json(ks[i]) AS VARCHAR) || ': ' ELSE '' END, CASE WHEN i < n THEN ',' ELSE '' END,
+    CASE json_type(v) WHEN 'OBJECT' THEN json_extract(v, '$."' || ks[i] || '"') ELSE json_extract(v, '$[' || (i - 1) || ']') END
+  FROM (SELECT *, unnest(range(1, CAST(n AS BIGINT) + 1)) AS i FROM (SELECT *, list_sort(json_keys(v)) AS ks,
+    CASE json_type(v) WHEN 'OBJECT' THEN len(json_keys(v)) WHEN 'ARRAY' THEN json_array_length(v) ELSE 0 END AS n FROM walk))),
+sized AS (SELECT *, repeat('  ', depth) AS pad, CASE json_type(v) WHEN 'OBJECT' THEN '{{}}' WHEN 'ARRAY' THEN '[]' ELSE '' END AS ends,
+  CASE json_type(v) WHEN 'OBJECT' THEN len(json_keys(v)) > 0 WHEN 'ARRAY' THEN json_array_length(v) > 0 ELSE FALSE END AS opens FROM walk),
+lines AS (SELECT doc_id, place, pad || label || CASE WHEN opens THEN ends[1] ELSE CAST(v AS VARCHAR) || tail END AS l FROM sized
+  UNION ALL SELECT doc_id, place || '~', pad || ends[2] || tail FROM sized WHERE opens),
+texts AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY place) AS content FROM lines GROUP BY doc_id)
+SELECT d.doc_id, coalesce(content, structured) AS content FROM order_docs d LEFT JOIN texts USING (doc_id)""",
+)
 def export_json(spark, sf):
     return _exported(spark, sf, "json")
 
 
-@query("export_schema")
+@query(
+    "export_schema",
+    f"""WITH {D.CSV_CELLS_SQL},
+kinds AS (SELECT *, CASE WHEN lower(value) IN {D.MISSING_SQL} THEN NULL ELSE {D.classify_sql('value')} END AS kind FROM csv_cells),
+fields AS (SELECT doc_id, position, name, CASE count(DISTINCT kind) WHEN 0 THEN 'null' WHEN 1 THEN min(kind) ELSE 'mixed' END AS type,
+    count(*) AS n_rows, count(CASE WHEN value = '' THEN 1 END) AS gone, count(DISTINCT value) FILTER (value <> '') AS n_distinct,
+    coalesce((list(value ORDER BY n) FILTER (value <> ''))[1:3], []) AS samples FROM kinds GROUP BY doc_id, position, name),
+issues AS (SELECT doc_id, list(issue ORDER BY o) AS issues FROM (
+  SELECT doc_id, position * 2 AS o, name || ': ' || gone || ' empty values (' || (gone * 100 // n_rows) || '%)' AS issue FROM fields WHERE gone > 0
+  UNION ALL SELECT doc_id, position * 2 + 1, name || ': {K.ISSUE_MIXED}' FROM fields WHERE type = 'mixed') GROUP BY doc_id),
+docs AS (SELECT doc_id, max(n_rows) AS row_count, count(*) AS field_count, list(struct_pack(name := name, type := type, nullable := gone > 0,
+    "unique" := n_distinct = n_rows - gone AND n_distinct > 0, empty_count := gone, missing_count := gone, sample_values := samples) ORDER BY position) AS fields
+  FROM fields GROUP BY doc_id)
+SELECT doc_id, CAST(to_json(struct_pack(doc_type := 'csv', row_count := row_count, field_count := field_count, fields := fields,
+  issues := coalesce(issues, []))) AS VARCHAR) AS schema_json FROM docs LEFT JOIN issues USING (doc_id)""",
+)
 def export_schema(spark, sf):
     docs = with_profile(D.csv_docs(spark, sf), "text")
     return docs.select("doc_id", F.to_json(schema_struct()).alias("schema_json"))

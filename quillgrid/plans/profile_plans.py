@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgrid import constants as K
 from quillgrid.functions import jsontext
 from quillgrid.functions.core import unfold_present
-from quillgrid.operators import collections, discovery, profile
+from quillgrid.operators import collections, discovery, heavy, profile
 from quillgrid.plans import derived as D
 from quillgrid.plans.registry import query
 from quillgrid.session import materialise
@@ -214,6 +214,23 @@ def summary_facts(spark, sf):
     )
 
 
+_TOP_OF = ("l_returnflag", "l_quantity", "l_shipdate", "l_partkey", "l_orderkey")
+
+
+@query(
+    "top_values",
+    "WITH cells AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, CAST(CAST({c} AS {t}) AS VARCHAR) AS value FROM lineitem"
+        for c, t in zip(_TOP_OF, ("VARCHAR", "BIGINT", "DATE", "BIGINT", "BIGINT"))) + """),
+counts AS (SELECT field, value, count(*) AS n FROM cells WHERE value <> '' GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM counts)
+SELECT field, CAST(rank AS INT) AS rank, value, n FROM ranked WHERE rank <= 5""",
+)
+def top_values(spark, sf):
+    """The five most frequent values of columns with few, many and almost unique values."""
+    lines = table(spark, sf, "lineitem").withColumns({"l_quantity": F.col("l_quantity").cast("bigint"), "l_shipdate": F.col("l_shipdate").cast("date")})
+    return heavy.top_values(lines, list(_TOP_OF), 5)
+
+
 # --- comparison across documents -----------------------------------------------------------------
 
 

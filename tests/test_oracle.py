@@ -7,7 +7,7 @@ import compare
 from quillgrid import plans
 
 QUERIES, SQLS = plans.queries(), plans.oracles()
-WITHOUT_SQL = {"export_json", "export_schema"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")

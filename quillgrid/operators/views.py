@@ -214,11 +214,24 @@ def chart_spec(data: DataFrame, kind: str, title: str, series: str, order: list[
 
 
 def axis_label(value: Column) -> Column:
-    """``1.2k`` from a thousand, ``12k`` from ten thousand, whole numbers below."""
+    """``1.2k`` from a thousand, ``12k`` from ten thousand, whole numbers below.
+
+    Rounded as C does: by the exact value of the double, halves to even. ``format_string`` alone rounds the shortest decimal, halves up.
+    """
+    def whole(v: Column) -> Column:
+        return F.format_string("%.0f", F.rint(v))
+
+    def tenths(v: Column) -> Column:
+        # Below 10.0 a double from 1.0 on is a whole number of 2^-52, and ten times that number fits a long.
+        units = (v * F.lit(2.0**52)).cast("bigint") * 10
+        down, rest = F.shiftright(units, 52), units.bitwiseAND(F.lit(2**52 - 1))
+        up = (rest > 2**51) | ((rest == 2**51) & (down % 2 == 1))
+        return let(down + up.cast("bigint"), lambda t: F.format_string("%d.%dk", F.floor(t / 10), t % 10))
+
     return (
-        F.when(value >= 10000, F.format_string("%.0fk", value / 1000))
-        .when(value >= 1000, F.format_string("%.1fk", value / 1000))
-        .otherwise(F.format_string("%.0f", value))
+        F.when(value >= 10000, F.concat(whole(value / 1000), F.lit("k")))
+        .when(value >= 1000, tenths(value / 1000))
+        .otherwise(whole(value))
     )
 
 

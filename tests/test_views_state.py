@@ -48,6 +48,12 @@ def test_axis(column):
     assert [t["value"] for t in got[3]] == [1.0, 0.75, 0.5, 0.25, 0.0]
 
 
+def test_axis_labels_round_the_exact_value_halves_to_even(column):
+    values = [0.5, 1.5, 2.5, 999.5, 1050.0, 1150.0, 1250.0, 1350.0, 1750.0, 9949.999999999998, 9950.0, 9999.999999999998, 10500.0, 11500.0, 12500.0]
+    want = [f"{v / 1000:.0f}k" if v >= 10000 else f"{v / 1000:.1f}k" if v >= 1000 else f"{v:.0f}" for v in values]
+    assert column(views.axis_label, values, "v double") == want
+
+
 def test_insert_upsert_clear(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, t int")
     new = spark.createDataFrame([(2, "x", 3), (3, "z", 5), (3, "y", 4)], "k int, v string, t int")

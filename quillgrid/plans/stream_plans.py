@@ -51,13 +51,14 @@ def _changed_store(spark, sf) -> SearchStore:
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     old = docs.withColumn("text", F.expr("CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN '' ELSE 'Old ' || left(text, 40) END"))
     store = SearchStore.create(spark, f"{root}/store", chunk_index.build_index(old, "doc_id", "source", "text", f"{root}/base"))
+    schema = "doc_id bigint, raw_content string, structured_json string, changed_at timestamp_ntz"
     for n in (1, 2, 3):
+        # What has arrived since the last run is one batch, in as many files as the documents are read by tasks.
         docs.where(F.col("doc_id") % 4 == n).select(
             "doc_id", F.col("text").alias("raw_content"), F.lit("").alias("structured_json"), F.lit(f"2024-01-0{n}").cast("timestamp_ntz").alias("changed_at"),
-        ).coalesce(1).write.parquet(f"{root}/changes/n={n}")
-    schema = "doc_id bigint, raw_content string, structured_json string, changed_at timestamp_ntz"
-    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/changes/*")
-    reindex.reindex(changes, store, f"{root}/checkpoint").awaitTermination()
+        ).write.parquet(f"{root}/changes/n={n}")
+        changes = spark.readStream.schema(schema).parquet(f"{root}/changes/*")
+        reindex.reindex(changes, store, f"{root}/checkpoint").awaitTermination()
     return store
 
 
@@ -103,9 +104,9 @@ def stream_milestones_in_order(spark, sf):
     root = run_dir(spark, "milestones")
     events = table(spark, sf, "events").select("user_id", "event_type", "ts", F.pmod(F.xxhash64("event_id"), F.lit(5)).alias("part"))
     for n in range(5):
-        events.where(F.col("part") == n).drop("part").coalesce(1).write.parquet(f"{root}/in/n={n}")
-    stream = spark.readStream.schema("user_id bigint, event_type string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    found = milestones.milestone_events(stream, "user_id", "event_type", "ts", _ACTIONS, power_action="view")
-    milestones.run(found, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        events.where(F.col("part") == n).drop("part").write.parquet(f"{root}/in/n={n}")
+        stream = spark.readStream.schema("user_id bigint, event_type string, ts timestamp_ntz").parquet(f"{root}/in/*")
+        found = milestones.milestone_events(stream, "user_id", "event_type", "ts", _ACTIONS, power_action="view")
+        milestones.run(found, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     earned = milestones.earned(spark, f"{root}/out").withColumn("earned_at", F.col("earned_at").cast("timestamp_ntz"))
     return collections.in_order(earned)

@@ -135,3 +135,20 @@ def test_the_fifth_document_earns_once(spark, tmp_path):
         assert got[1, "first_upload"] == min(seen) and ((2, "power_user") in got) == (batch == [40])
     batch_form = collections.in_order(milestones.earned(spark, out)).where("session = 1").orderBy("place").collect()
     assert [(r.place, r.milestone) for r in batch_form] == [(1, "first_upload"), (2, "power_user")]
+
+
+def test_batches_of_changes_are_written_by_many_tasks(spark, data, tmp_path):
+    import glob
+
+    from quillgrid.plans import stream_plans
+
+    spark.read.parquet(f"{data}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    bytes_kept = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        store = stream_plans._changed_store(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", bytes_kept)
+    root = store.root.removeprefix("file:").removesuffix("/store")
+    assert [len(glob.glob(f"{root}/changes/n={n}/*.parquet")) for n in (1, 2, 3)] == [3, 3, 3]
+    assert store.snapshot().batch == 2

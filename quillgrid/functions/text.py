@@ -163,6 +163,10 @@ def pack_pieces(pieces: Column, size: int = K.CHUNK_BYTES) -> Column:
         F.array().cast("array<string>").alias("done"), F.lit("").alias("open"),
     )
 
+    def closed(opened: Column) -> Column:
+        # Pieces are trimmed, so a chunk has white space at its ends only after an empty piece, whose separator is a blank.
+        return F.when(opened.endswith(" "), trim_ws(opened)).otherwise(opened)
+
     def step(acc: Column, p: Column) -> Column:
         opened = acc["open"]
         room = F.octet_length(opened) + F.octet_length(p["text"]) + F.octet_length(p["sep"])
@@ -171,7 +175,7 @@ def pack_pieces(pieces: Column, size: int = K.CHUNK_BYTES) -> Column:
             .when(
                 p["force"] | (room > size),
                 F.struct(
-                    F.array_append(acc["done"], trim_ws(opened)).alias("done"),
+                    F.array_append(acc["done"], closed(opened)).alias("done"),
                     p["text"].alias("open"),
                 ),
             )
@@ -185,7 +189,7 @@ def pack_pieces(pieces: Column, size: int = K.CHUNK_BYTES) -> Column:
 
     def finish(acc: Column) -> Column:
         return F.when(acc["open"] == "", acc["done"]).otherwise(
-            F.array_append(acc["done"], trim_ws(acc["open"]))
+            F.array_append(acc["done"], closed(acc["open"]))
         )
 
     return F.aggregate(pieces, state, step, finish)

@@ -13,6 +13,8 @@ from quillgrid.functions.text import chunk_pieces, pack_pieces, tokenize
 from quillgrid.session import materialise
 
 CHUNK_KEY = ("collection_id", "doc_id", "position")
+#: Equal tokens beside each other, in sorted tokens joined by blanks; possessive, so that the matcher stays iterative.
+TOKEN_RUN = r"([^ ]++)(?: \1(?![^ ]))*+"
 RANKED_SCHEMA = (
     "query_id string, collection_id string, rank int, doc_id bigint, position int, score double"
 )
@@ -45,10 +47,14 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 def term_counts(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Postings: one row per (chunk, term) with its frequency, and further columns to keep.
 
-    Counting happens inside the row by sorting a chunk's own tokens, so no shuffle is needed.
+    Counting happens inside the row, so no shuffle is needed: a chunk's sorted tokens are joined by blanks, which no token holds, and cut
+    where the token changes. A run's length gives the frequency. All of it is compiled; functions over array items are not.
     """
-    return unfold(chunks, [*CHUNK_KEY, "dl", *keep], run_counts(F.col("tokens")), "_i", "p").select(
-        *CHUNK_KEY, "dl", *keep, F.col("p.value").alias("term"), F.col("p.n").alias("tf")
+    joined = F.array_join(F.sort_array("tokens"), " ")
+    runs = F.regexp_extract_all(joined, F.lit(TOKEN_RUN), F.lit(0))
+    listed = unfold(chunks, [*CHUNK_KEY, "dl", *keep], runs, "_i", "_run").withColumn("term", F.substring_index("_run", " ", 1))
+    return listed.select(
+        *CHUNK_KEY, "dl", *keep, "term", ((F.length("_run") + 1) / (F.length("term") + 1)).cast("int").alias("tf")
     )
 
 

@@ -143,3 +143,16 @@ def test_index_ranking_matches_scan(spark):
     for r in chunk_index.search_index(spark, index, queries, 4).collect():
         assert texts[r["collection_id"], r["doc_id"], r["position"]] == r["content"]
     assert chunk_index.ranked(spark, index, [("q", " ! ")], 3).count() == 0
+
+
+def test_term_counts_by_runs_of_sorted_tokens(spark):
+    from collections import Counter
+
+    tokens = [["b", "a", "ab", "b", "a1", "a", "b"], [], ["x"] * 100_000 + ["xx"], ["9", "10", "9"]]
+    chunks = spark.createDataFrame(
+        [("c", i, 0, t, len(t)) for i, t in enumerate(tokens)], "collection_id string, doc_id bigint, position int, tokens array<string>, dl int")
+    found = search.term_counts(chunks)
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in found.collect()}
+    assert got == {(i, t): n for i, ts in enumerate(tokens) for t, n in Counter(ts).items()}
+    # Functions over array items are interpreted, which took most of the time of postings.
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -16,20 +16,31 @@ from quillgrid.sources.search_store import SearchStore
 DEPTH = 10
 QUERIES = (("three terms", "the then with"), ("repeats", "there there of"), ("rare", "Entre VERDAD x9"))
 
+_CHUNKS: dict[tuple[str, str], chunk_index.ChunkIndex] = {}
 _INDEXES: dict[tuple[str, str], chunk_index.ChunkIndex] = {}
 
 
-def index(spark, sf) -> chunk_index.ChunkIndex:
-    """The stored chunk index of the documents, written once per application and data set.
+def _sources(spark, sf):
+    return D.documents(spark, sf).select("doc_id", "source", "text")
+
 
-    It lives in the shared folder, so losing an executor loses nothing of it.
+def stored_chunks(spark, sf) -> chunk_index.ChunkIndex:
+    """The chunks of the index, written once per application and data set, for queries that read nothing else of it.
+
+    They live in the shared folder, so losing an executor loses nothing of them.
     """
     key = (spark.sparkContext.applicationId, sf)
+    if key not in _CHUNKS:
+        _CHUNKS[key] = chunk_index.build_chunks(_sources(spark, sf), "doc_id", "source", "text", run_dir(spark, "chunks"))
+    return _CHUNKS[key]
+
+
+def index(spark, sf) -> chunk_index.ChunkIndex:
+    """The stored chunk index of the documents, from the stored chunks, also written once."""
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
-        path = run_dir(spark, "chunks")
-        _INDEXES[key] = chunk_index.build_index(
-            D.documents(spark, sf).select("doc_id", "source", "text"), "doc_id", "source", "text", path
-        )
+        keys = chunk_index.document_keys(_sources(spark, sf), "doc_id", "source")
+        _INDEXES[key] = chunk_index.add_postings(spark, stored_chunks(spark, sf), keys)
     return _INDEXES[key]
 
 
@@ -148,7 +159,7 @@ def hit_format(spark, sf):
     f"WITH {CHUNKS} SELECT doc_id, position, content FROM chunks WHERE collection_id = 'src3'",
 )
 def chunk_scan(spark, sf):
-    return index(spark, sf).collection(spark, "src3").select("doc_id", "position", "content")
+    return stored_chunks(spark, sf).collection(spark, "src3").select("doc_id", "position", "content")
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.core import unfold
 from quillgrid.operators import search
+from quillgrid.operators.search import CHUNK_KEY
 from quillgrid.session import materialise
 
 # Stated, because a collection named like a number would otherwise be read back as one.
@@ -21,7 +22,9 @@ CHUNK_SCHEMA = (
 # Chunks are partitioned by a hash bucket of their collection: the number of directories stays the
 # same however many collections there are.
 BUCKETS = 64
-CHUNK_COLUMNS = ("collection_id", "doc_id", "position", "content", "tokens", "dl")
+# Bytes of a row group of chunks: readers split files between row groups, and a search in one collection skips them.
+ROW_GROUP = 16 * 2**20
+CHUNK_COLUMNS = (*CHUNK_KEY, "content", "tokens", "dl")
 
 
 class Index(Protocol):
@@ -80,13 +83,12 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     """Store chunks with tokens, clustered by collection inside its bucket.
 
     The rebalance hint lets Spark size the output by bytes: small buckets share a task, and a bucket
-    with a collection holding most rows is split over many.
+    with a collection holding most rows is split over many. Only the text is shuffled and sorted; its tokens,
+    which take more room, are taken from it on the way to the file.
     """
-    bucketed = chunks.select(*CHUNK_COLUMNS, bucket_of(F.col("collection_id")).alias("bucket"))
-    (
-        bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection_id", "doc_id", "position")
-        .write.partitionBy("bucket").parquet(path)
-    )
+    bucketed = chunks.select(*CHUNK_KEY, "content", bucket_of(F.col("collection_id")).alias("bucket"))
+    placed = bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", *CHUNK_KEY)
+    search.with_tokens(placed).select(*CHUNK_COLUMNS, "bucket").write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, collection_id: str | None = None) -> DataFrame:
@@ -104,10 +106,13 @@ def write_index(chunks: DataFrame, path: str, keys: DataFrame | None = None) ->
     term first, so that a query's terms are a few row groups of a few files. The range key goes on
     to the document, so a term found in most chunks is spread over many files.
     """
-    spark = chunks.sparkSession
-    index = ChunkIndex(path)
-    write_chunks(search.with_tokens(chunks), f"{path}/chunks")
-    stored = index.chunks(spark)
+    write_chunks(chunks, f"{path}/chunks")
+    return add_postings(chunks.sparkSession, ChunkIndex(path), keys)
+
+
+def add_postings(spark: SparkSession, index: ChunkIndex, keys: DataFrame | None = None) -> ChunkIndex:
+    """What ranking needs, from the chunks stored under the index's path; before this, only its chunks can be read."""
+    path, stored = index.path, index.chunks(spark)
     keys = stored.select("collection_id", "doc_id").distinct() if keys is None else keys
     keys.select(F.col("collection_id").cast("string"), F.col("doc_id").cast("bigint"), F.lit(True).alias("live")).write.parquet(f"{path}/keys")
     search.corpus_stats(stored).write.parquet(f"{path}/stats")
@@ -119,9 +124,18 @@ def write_index(chunks: DataFrame, path: str, keys: DataFrame | None = None) ->
     return index
 
 
+def document_keys(docs: DataFrame, doc: str, collection: str) -> DataFrame:
+    return docs.select(F.col(collection).alias("collection_id"), F.col(doc).alias("doc_id"))
+
+
 def build_index(docs: DataFrame, doc: str, collection: str, text: str, path: str) -> ChunkIndex:
-    keys = docs.select(F.col(collection).alias("collection_id"), F.col(doc).alias("doc_id"))
-    return write_index(search.chunk(docs, doc, collection, text), path, keys)
+    return write_index(search.chunk(docs, doc, collection, text), path, document_keys(docs, doc, collection))
+
+
+def build_chunks(docs: DataFrame, doc: str, collection: str, text: str, path: str) -> ChunkIndex:
+    """The chunks of an index alone; ``add_postings`` with the same documents' keys makes it whole."""
+    write_chunks(search.chunk(docs, doc, collection, text), f"{path}/chunks")
+    return ChunkIndex(path)
 
 
 def ranked(

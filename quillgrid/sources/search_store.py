@@ -166,7 +166,7 @@ class SearchStore:
             keys = keys.unionByName(removed.select(F.col("collection_id").cast("string"), F.col("doc_id").cast("bigint"), F.lit(False).alias("live")))
         keys.groupBy(*KEY).agg(F.max("live").alias("live")).write.parquet(f"{path}/keys")
         touched = spark.read.schema(_SCHEMAS["keys"]).parquet(f"{path}/keys")
-        write_chunks(search.with_tokens(search.chunk(stored, "doc_id", "collection_id", "text")), f"{path}/chunks")
+        write_chunks(search.chunk(stored, "doc_id", "collection_id", "text"), f"{path}/chunks")
         fresh = spark.read.schema(_SCHEMAS["chunks"]).parquet(f"{path}/chunks").select(*CHUNK_COLUMNS)
         old = _of_keys(now.bucketed_chunks(), touched)
         signed = fresh.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))

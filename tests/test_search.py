@@ -156,3 +156,29 @@ def test_term_counts_by_runs_of_sorted_tokens(spark):
     assert got == {(i, t): n for i, ts in enumerate(tokens) for t, n in Counter(ts).items()}
     # Functions over array items are interpreted, which took most of the time of postings.
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scanning_chunks_writes_no_postings(spark, data, tmp_path):
+    import os
+    import shutil
+
+    from quillgrid import plans
+    from quillgrid.plans import search_plans
+
+    shutil.copy(f"{data}/documents.parquet", tmp_path)
+    assert plans.queries()["chunk_scan"](spark, str(tmp_path)).count() > 0
+    key = (spark.sparkContext.applicationId, str(tmp_path))
+    assert key not in search_plans._INDEXES
+    stored = search_plans.stored_chunks(spark, str(tmp_path)).path.removeprefix("file:")
+    assert sorted(os.listdir(stored)) == ["chunks"]
+    assert search_plans.index(spark, str(tmp_path)).path.removeprefix("file:") == stored
+    assert sorted(os.listdir(stored)) == ["chunks", "keys", "postings", "stats", "terms"]
+
+
+def test_chunks_are_shuffled_without_their_tokens(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda self, *a, **k: written.append(self._df))
+    docs = spark.createDataFrame([("c", 1, 0, "A b")], "collection_id string, doc_id bigint, position int, content string")
+    chunk_index.write_chunks(search.with_tokens(docs), "unused")
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan[: plan.index("RebalancePartitions")] and "regexp_extract_all" not in plan[plan.index("RebalancePartitions"):]

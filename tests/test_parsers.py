@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -173,3 +174,21 @@ def test_log_stamps_and_levels(spark):
     assert levels == {"INFO": 2, "DEBUG": 1, "FATAL": 1}
     ends = {r["path"]: (r["requests"], r["failed"]) for r in parsers.log_endpoints(parsed, "doc_id").collect()}
     assert ends == {"/a": (2, 1), "/b": (1, 1)}
+
+
+def test_addresses_in_long_runs_take_linear_time(spark):
+    import random
+    import time
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("aB1._%-@@. ,;é") for _ in range(60)) for _ in range(3000)] + ["a@b.com_x@c.org", "x@y.co@z.de", "a@b.c@d.ee", "q" * 300_000]
+    pattern = parsers.ENTITY_PATTERNS["email"]
+    from collections import Counter
+
+    # The long run has no address, so that only Python's matcher is spared it.
+    want = {(i, v): n for i, t in enumerate(texts[:-1]) for v, n in Counter(re.findall(pattern, t)).items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    start = time.time()
+    got = {(r["doc_id"], r["value"]): r["n"] for r in parsers.entities(df, "doc_id", "text", {"email": pattern}).collect()}
+    assert got == want and len(want) > 20
+    assert time.time() - start < 20

@@ -11,13 +11,26 @@ OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
 
 
+#: Written behind a text to see where the parser stopped. Letters alone, so a text that holds neither it nor ``\\u`` cannot give it.
+_END = "quillgridEnd"
+
+
 def strict(text: Column) -> Column:
     """The parsed value, or NULL if the text is not exactly one JSON value.
 
-    The parser ignores what follows the first value, so the text has to parse inside brackets as
-    the only element and inside braces as the only member.
+    The parser ignores what follows the first value, so the text is parsed as the first of two elements, whose second is a mark. Only a text
+    that could write the mark itself has to parse twice: inside brackets as the only element and inside braces as the only member.
     """
-    def parse(t: Column) -> Column:
+    def marked(t: Column) -> Column:
+        pair = F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{_END}"]')))
+        return let(
+            pair,
+            lambda p: F.when(
+                F.try_variant_get(p, "$[1]", "string") == _END, F.try_variant_get(p, "$[0]", "variant")
+            ),
+        )
+
+    def twice(t: Column) -> Column:
         element = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
         member = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
         both = F.struct(
@@ -27,6 +40,11 @@ def strict(text: Column) -> Column:
             both, lambda s: F.when((F.size(s["items"]) == 1) & s["alone"], F.get(s["items"], F.lit(0)))
         )
 
+    def parse(t: Column) -> Column:
+        # A failed parse costs more than a good one; a text cut short mostly shows by its last character.
+        ends = F.substring(t, -1, 1).rlike(r'[}\]"0-9el]')
+        return F.when(ends, F.when(F.contains(t, F.lit(_END)) | F.contains(t, F.lit("\\u")), twice(t)).otherwise(marked(t)))
+
     return let(trim_ws(text), parse)
 
 
@@ -43,6 +61,11 @@ def as_array(value: Column) -> Column:
     return F.try_variant_get(value, "$", ARRAY)
 
 
+def is_object(value: Column) -> Column:
+    """Whether a value is an object, without taking its members out."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
+
+
 def kind(value: Column) -> Column:
     """object, array, string, boolean, null or number."""
     def name(schema: Column) -> Column:
@@ -68,7 +91,7 @@ def record_items(value: Column) -> Column:
     return let(
         as_array(value),
         lambda items: F.when(
-            F.forall(items, lambda i: as_object(i).isNotNull() | F.is_variant_null(i)), items
+            F.forall(items, lambda i: is_object(i) | F.is_variant_null(i)), items
         ),
     )
 
@@ -150,31 +173,46 @@ def leaf_text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+#: Levels of objects opened one by one before the depth of the whole value is taken.
+_OPENED = 2
+
+
 def flatten(value: Column) -> Column:
     """``array<struct<path, val>>``: dotted paths of an object's leaves; arrays stay whole."""
-    def expand(entry: Column) -> Column:
-        def children(members: Column) -> Column:
-            return F.transform(
-                F.map_entries(members),
-                lambda m: F.struct(
-                    F.when(entry["path"] == "", m["key"])
-                    .otherwise(F.concat_ws(".", entry["path"], m["key"]))
-                    .alias("path"),
-                    m["value"].alias("val"),
-                ),
-            )
+    def children(path: Column, members: Column) -> Column:
+        return F.transform(
+            F.map_entries(members),
+            lambda m: F.struct(
+                F.when(path == "", m["key"]).otherwise(F.concat_ws(".", path, m["key"])).alias("path"),
+                m["value"].alias("val"),
+            ),
+        )
 
+    def expand(entry: Column) -> Column:
         return let(
             as_object(entry["val"]),
-            lambda members: F.when(members.isNull(), F.array(entry)).otherwise(children(members)),
+            lambda members: F.when(members.isNull(), F.array(entry)).otherwise(children(entry["path"], members)),
         )
 
-    start = F.array(F.struct(F.lit("").alias("path"), value.alias("val")))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), object_nesting(value))),
-        start,
-        lambda acc, _: F.flatten(F.transform(acc, expand)),
-    )
+    def expanded(leaves: Column) -> Column:
+        return F.flatten(F.transform(leaves, expand))
+
+    def opened(leaves: Column, levels: int) -> Column:
+        # The depth costs a walk over the whole text, which most values do not need.
+        some = F.exists(leaves, lambda leaf: is_object(leaf["val"]))
+        if levels:
+            deeper = let(expanded(leaves), lambda more: opened(more, levels - 1))
+        else:
+            steps = F.sequence(F.lit(1), F.greatest(F.lit(1), object_nesting(value)))
+            deeper = F.aggregate(steps, leaves, lambda acc, _: expanded(acc))
+        return F.when(some, deeper).otherwise(leaves)
+
+    def of_members(members: Column) -> Column:
+        leaves = F.transform(F.map_entries(members), lambda m: F.struct(m["key"].alias("path"), m["value"].alias("val")))
+        whole = F.array(F.struct(F.lit("").alias("path"), value.alias("val")))
+        return let(F.when(members.isNull(), whole).otherwise(leaves), lambda top: opened(top, _OPENED - 1))
+
+    return let(as_object(value), of_members)
 
 
 def flat_map(value: Column) -> Column:
@@ -182,12 +220,16 @@ def flat_map(value: Column) -> Column:
 
     A value that is no object gives no entries.
     """
-    entries = F.map_from_entries(
-        F.transform(flatten(value), lambda leaf: F.struct(leaf["path"], leaf_text(leaf["val"])))
-    )
-    return F.when(as_object(value).isNotNull(), entries).otherwise(
-        F.create_map().cast("map<string,string>")
-    )
+    def of_members(members: Column) -> Column:
+        nested = F.exists(F.map_values(members), is_object)
+        entries = F.transform(flatten(value), lambda leaf: F.struct(leaf["path"], leaf_text(leaf["val"])))
+        return (
+            F.when(members.isNull(), F.create_map().cast("map<string,string>"))
+            .when(nested, F.map_from_entries(entries))
+            .otherwise(F.transform_values(members, lambda _, v: leaf_text(v)))
+        )
+
+    return let(as_object(value), of_members)
 
 
 def largest_array(value: Column) -> Column:
@@ -196,7 +238,7 @@ def largest_array(value: Column) -> Column:
     Items that are not objects are skipped. Of equally large arrays the smallest path wins.
     """
     def candidate(leaf: Column) -> Column:
-        objects = F.filter(as_array(leaf["val"]), lambda i: as_object(i).isNotNull())
+        objects = F.filter(as_array(leaf["val"]), is_object)
         return let(
             objects,
             lambda r: F.struct(F.size(r).alias("n"), leaf["path"].alias("path"), r.alias("items")),

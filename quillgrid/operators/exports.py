@@ -22,7 +22,7 @@ def record_maps(value: Column) -> Column:
         return F.transform(items, jsontext.flat_map)
 
     def key_values(obj: Column) -> Column:
-        entries = F.array_sort(F.map_entries(jsontext.flat_map(obj)))
+        entries = F.sort_array(F.map_entries(jsontext.flat_map(obj)))
         return F.transform(
             entries, lambda e: F.create_map(F.lit("field"), e["key"], F.lit("value"), e["value"])
         )
@@ -33,7 +33,7 @@ def record_maps(value: Column) -> Column:
     return let(
         jsontext.record_items(value),
         lambda items: F.when(F.size(items) > 0, flat(items))
-        .when(jsontext.as_object(value).isNotNull(), let(jsontext.largest_array(value), of_object))
+        .when(jsontext.is_object(value), let(jsontext.largest_array(value), of_object))
         .otherwise(F.array().cast(_ROWS)),
     )
 
@@ -105,7 +105,7 @@ def markdown_text(cells: Column, names: Column) -> Column:
 
 def header_array(cells: Column) -> Column:
     """Sorted distinct keys of one document's record maps."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(cells, F.map_keys))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(cells, F.map_keys))))
 
 
 def pretty_json(text: Column) -> Column:

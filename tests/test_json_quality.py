@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -199,3 +200,35 @@ def test_null_structured_text_is_pending(spark):
     df = spark.createDataFrame([("a b", None), (None, '{"a": 1}')], "raw string, s string")
     got = [r.quality for r in with_quality(df, "raw", "s").collect()]
     assert (got[0].score, got[0].status) == (0, "pending") and got[1].status == "scored"
+
+
+def test_flat_objects_are_not_walked_for_their_depth(spark):
+    # Taking the depth writes the value out as text and goes over it several times; objects without objects inside do not need it.
+    text = F.concat(F.lit('{"a":1,"b":"'), F.repeat(F.lit(r"{word} \"said\" "), 5000), F.lit('","c":null}'))
+    docs = spark.range(0, 400, 1, 4).select(jsontext.strict(text).alias("v"))
+    assert docs.limit(1).select(F.map_keys(jsontext.flat_map(F.col("v"))).alias("k")).first()["k"] == ["a", "b", "c"]
+
+    def seconds(value):
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            docs.select(F.length(value)).write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    plain = seconds(jsontext.as_object(F.col("v"))["b"].cast("string"))
+    assert seconds(jsontext.flat_map(F.col("v"))["b"]) < 2.5 * plain
+
+
+def test_texts_that_could_write_the_end_mark_are_judged_alike(column):
+    cases = {
+        '"quillgridEnd"': True, '[1,"quillgridEnd"]': True, '1,"quillgridEnd"],[2': False, r'1,"quillgridEnd"],[2': False,
+        '1],[2': False, '1},{"v":2': False, "1,2": False, "1 2": False, r'"é"': True, r'{"a":"\\u"}': True, "1,": False, "": False,
+    }
+    assert column(lambda c: jsontext.strict(c).isNotNull(), list(cases)) == list(cases.values())
+
+
+def test_levels_beyond_those_opened_at_once(column):
+    docs = ['{"a":{"b":{"c":{"d":{"e":1}},"x":{}},"":2},"l":[{"y":{}}]}', '{"a":{"b":{}}}', '{"":{"":{"":{"k":1}}}}', "{}", "[1]", '{"a":[]}']
+    want = [{"a.b.c.d.e": "1", "a.": "2", "l": '[{"y":{}}]'}, {}, {"k": "1"}, {}, {}, {"a": "[]"}]
+    assert column(on_json(jsontext.flat_map), docs) == want

@@ -31,7 +31,7 @@ def lines_of(text: Column) -> Column:
 
 def head_lines(text: Column, n: int) -> Column:
     """The first ``n`` lines without splitting the rest of the text."""
-    return F.slice(F.split(text, "\n", n + 1), 1, n)
+    return F.split(F.substring_index(text, "\n", n), "\n", -1)
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -15,11 +15,12 @@ ARRAY = "array<variant>"
 _END = "quillgridEnd"
 
 
-def strict(text: Column) -> Column:
+def strict(text: Column, trimmed: bool = False) -> Column:
     """The parsed value, or NULL if the text is not exactly one JSON value.
 
     The parser ignores what follows the first value, so the text is parsed as the first of two elements, whose second is a mark. Only a text
     that could write the mark itself has to parse twice: inside brackets as the only element and inside braces as the only member.
+    ``trimmed`` says that the text has no white space around it and is a bound value.
     """
     def marked(t: Column) -> Column:
         pair = F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{_END}"]')))
@@ -41,16 +42,18 @@ def strict(text: Column) -> Column:
         )
 
     def parse(t: Column) -> Column:
-        # A failed parse costs more than a good one; a text cut short mostly shows by its last character.
-        ends = F.substring(t, -1, 1).rlike(r'[}\]"0-9el]')
-        return F.when(ends, F.when(F.contains(t, F.lit(_END)) | F.contains(t, F.lit("\\u")), twice(t)).otherwise(marked(t)))
+        # A failed parse costs more than a good one, so a text that cannot be a value by its first and last character is not parsed.
+        within = lambda first, last: t.startswith(first) & t.endswith(last)
+        closed = within("{", "}") | within("[", "]") | within('"', '"') | t.rlike("^(?:true|false|null|-?[0-9][-+.0-9eE]*+)$")
+        risky = F.contains(t, F.lit(_END)) | F.contains(t, F.lit("\\u"))
+        return F.when(closed, F.when(risky, twice(t)).otherwise(marked(t)))
 
-    return let(trim_ws(text), parse)
+    return parse(text) if trimmed else let(trim_ws(text), parse)
 
 
-def is_valid(text: Column) -> Column:
+def is_valid(text: Column, trimmed: bool = False) -> Column:
     """Strict validity of the whole text."""
-    return strict(text).isNotNull()
+    return strict(text, trimmed).isNotNull()
 
 
 def as_object(value: Column) -> Column:

@@ -96,13 +96,25 @@ class Known:
         self.ids = np.concatenate([self.ids, ids])
 
 
-#: Pieces kept by a process (some 100 MB).
-MOST_KNOWN = 2_000_000
+#: Pieces kept by a process (some 50 MB).
+MOST_KNOWN = 1_000_000
 #: Slices that share a sweep over the known pieces.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _known: dict[str, Known] = {}
 
 
+def piece_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece, a part of the bytes at a time: hashing holds some forty times what it works on."""
+    out = np.zeros(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + T.SLICE_BYTES, "right")))
+        a, b = start[lo], end[hi - 1]
+        out[lo:hi] = T.span_hashes(T.prefix_hashes(T.BYTE_VALUES[buf[a:b]]), start[lo:hi] - a, end[lo:hi] - a)
+        lo = hi
+    return out
+
+
 def encode(buf: np.ndarray, off: np.ndarray, vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in turn, and where each text's ids begin (one more at the end)."""
     known = _known.get(vocabulary)
@@ -110,7 +122,7 @@ def encode(buf: np.ndarray, off: np.ndarray, vocabulary: str = VOCABULARY) -> tu
         known = _known[vocabulary] = Known()
     start = piece_starts(buf, off)
     end = np.append(start[1:], len(buf)) if len(start) else start
-    key = T.span_hashes(T.prefix_hashes(T.BYTE_VALUES[buf]), start, end)
+    key = piece_hashes(buf, start, end)
     u, at, back = np.unique(key, return_index=True, return_inverse=True)
     raw = buf.tobytes()
     place = np.searchsorted(known.keys, u)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -449,3 +450,22 @@ def test_small_points_keep_alike_sets():
         if sizes[a] > 1500 and sizes[b] > 1500 and not both:
             assert not kept
     assert jaccard_join.finer([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)).size == 0
+
+
+def test_encoding_holds_little():
+    rng = random.Random(12)
+    some = [prose(rng, 1) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(some, k=1500)) for _ in range(500)] + [" ".join(rng.choices(some, k=500_000))]
+    column, got = pa.array(texts), []
+    tracemalloc.start()
+    try:
+        for _, _, buf, off in textbytes.slices(column, bpe.SLICE_BYTES):
+            ids, first = bpe.encode(buf, off)
+            got += [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(first[:-1], first[1:])]
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(got) == len(texts)
+    for i in (0, 1, 250, 499, 500):
+        assert got[i] == zlib.crc32(bpe.encode_whole(texts[i]).tobytes())
+    assert peak < 110e6

@@ -277,7 +277,7 @@ def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[Phrases, np.
         where = np.repeat(p.first, n)
         np.add.at(change, where + begin[run], 1)
         np.add.at(change, where + end[run] + length, -1)
-    return p, np.cumsum(change[:-1], dtype=np.int32) > 0
+    return p, np.cumsum(change, dtype=np.int32, out=change)[:-1] > 0
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,8 @@ slot times this ratio; its product with the ratio is the slot's weight. Scoring
 
 The classifier is fitted on a bounded sample: at most ``max_rows`` labelled rows of each label (those with the smallest hashes of their
 ids) and at most ``max_chars`` of their texts; scoring reads every text whole. All training rows are counted, and the bias is shifted from the
-sample's share of toxic rows to theirs, so the decision does not hang on how much of either label the sample holds.
+sample's share of toxic rows to theirs, so the decision does not hang on how much of either label the sample holds. Slots are counted by tasks; the
+driver, which descends, gets the slots that a ratio is given to and the texts' share of these alone.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from quillgrid.llm.common import give_back, held_out, lean, materialise
 
 SIZES = (4, 5, 6)
 SLOTS = 1 << 20
+#: Tasks that share the bounded sample; each counts up to all slots.
+SAMPLE_PARTS = 8
 
 
 def text_slots(buf: np.ndarray, off: np.ndarray, sizes=SIZES, slots: int = SLOTS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -72,39 +75,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, sizes=SIZES, slots: int = SLOTS, min_texts: int = 3,
-          rounds: int = 200, l2: float = 1.0, alpha: float = 1.0, min_ratio: float = 1.0, consume: bool = False) -> Model:
-    """Ratios, then logistic regression by accelerated gradient descent, on distinct slots per text.
+def ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, min_texts: int = 3, alpha: float = 1.0, min_ratio: float = 1.0) -> np.ndarray:
+    """Log ratio of the smoothed rates of slots that stand in so many toxic and clean texts; 0 for those in fewer than ``min_texts`` texts and
+    those whose ratio is nearer to 0 than ``min_ratio``."""
+    ratio = np.log((toxic + alpha) / (n_toxic + 2 * alpha)) - np.log((clean + alpha) / (n_clean + 2 * alpha))
+    ratio[(toxic + clean < min_texts) | (np.abs(ratio) < min_ratio)] = 0
+    return ratio
 
-    Slots in fewer than ``min_texts`` texts, or whose log ratio is nearer to 0 than ``min_ratio``, get no weight. ``consume`` empties
-    ``texts`` once they are read, which halves the memory of the descent.
-    """
+
+def train(texts: list[np.ndarray], labels: np.ndarray, used: np.ndarray, ratio: np.ndarray, sizes=SIZES, slots: int = SLOTS,
+          rounds: int = 200, l2: float = 1.0) -> Model:
+    """Logistic regression by accelerated gradient descent. ``used`` are the slots that have a ratio (sorted), a text is its distinct ones by their number there."""
     labels = np.asarray(labels, float)
     empty = Model(np.zeros(0, np.int64), np.zeros(0), -4.0, sizes, slots)
     if not len(labels) or labels.min() == labels.max():
         empty.bias = -4.0 if not len(labels) or labels.max() == 0 else 4.0
         return empty
-    # Text by text, so that nothing as long as all texts is made.
-    p, q = np.zeros(slots), np.zeros(slots)
-    for t, y in zip(texts, labels):
-        p[t] += y
-        q[t] += 1 - y
-    ratio = np.log((p + alpha) / (labels.sum() + 2 * alpha)) - np.log((q + alpha) / ((1 - labels).sum() + 2 * alpha))
-    ratio[(p + q < min_texts) | (np.abs(ratio) < min_ratio)] = 0
-    used = np.flatnonzero(ratio)
     prior = float(np.log(labels.mean() / (1 - labels.mean())))
     if not len(used):
         empty.bias = prior
         return empty
-    index = np.full(slots, -1, np.int32)
-    index[used] = np.arange(len(used))
-    cols = [c[c >= 0] for c in (index[t] for t in texts)]
-    if consume:
-        texts.clear()
-    row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
-    del cols, index
-    r = ratio[used]
-    value = r[col]
+    row, col = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in texts]), np.concatenate(texts)
+    value = ratio[col]
     step_w = 1.0 / (l2 + 0.25 * float(np.bincount(row, value ** 2, len(labels)).max()) * max(1, len(labels)) ** 0.5)
     w = w_old = np.zeros(len(used))
     b = b_old = prior
@@ -116,7 +108,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, sizes=SIZES, slots: int =
         w_old, b_old = w, b
         w = y - step_w * (np.bincount(col, error[row] * value, len(used)) + l2 * y)
         b = c - min(1.0, 4 / len(labels)) * error.sum() / 2
-    weight = w * r
+    weight = w * ratio
     strong = np.abs(weight) > 1e-4
     return Model(used[strong], weight[strong].astype(np.float32), float(b), sizes, slots)
 
@@ -146,21 +138,49 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_rows: int = 300
                 taken += r["_n"]
                 chosen.append((r["doc_id"], value))
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, _toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = materialise(rows.repartition(SAMPLE_PARTS), "sample")
+    held = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
+    n_toxic, n_clean = held.get(1, 0), held.get(0, 0)
 
-    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts_with = np.zeros((2, SLOTS), np.int32)
         for batch in batches:
-            out = [d.astype(np.int32).tobytes() for _, _, buf, off in T.slices(batch.column(1)) for d in distinct_slots(buf, off)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "toxic", "slots"])
-
-    sample = rows.mapInArrow(lean(slots_of), "doc_id long, toxic int, slots binary").toArrow()
-    order = np.argsort(np.asarray(sample["doc_id"]), kind="stable")
-    slots, toxic = sample["slots"].combine_chunks(), np.asarray(sample["toxic"]).astype(float)[order]
-    del sample
-    texts = [np.frombuffer(slots[int(i)].as_buffer(), np.int32) for i in order]
-    del slots
-    model = train(texts, toxic, consume=True)
+            label = iter(batch.column(1).to_pylist())
+            for _, _, buf, off in T.slices(batch.column(0)):
+                for d in distinct_slots(buf, off):
+                    texts_with[next(label), d] += 1
+        seen = np.flatnonzero(texts_with.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(texts_with[v, seen]) for v in (1, 0))], ["slot", "toxic", "clean"])
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ratio = ratios(np.asarray(batch.column(1)), np.asarray(batch.column(2)), n_toxic, n_clean)
+            keep = np.flatnonzero(ratio)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[keep]), pa.array(ratio[keep])], ["slot", "ratio"])
+
+    def used_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = np.full(SLOTS, -1, np.int32)
+        index[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            numbers = (index[d] for _, _, buf, off in T.slices(batch.column(0)) for d in distinct_slots(buf, off))
+            out = pa.array([c[c >= 0].tobytes() for c in numbers], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], out], ["doc_id", "toxic", "used"])
+
+    used, ratio, texts, toxic = np.zeros(0, np.int32), np.zeros(0), [], np.repeat([0.0, 1.0], [n_clean, n_toxic])
+    if n_toxic and n_clean:
+        # Most n-grams get no weight. They are counted where the texts are, and only the others are gathered.
+        counts = rows.select("text", "_toxic").mapInArrow(lean(counted), "slot int, toxic int, clean int")
+        sums = counts.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        found = sums.mapInArrow(lean(rated), "slot int, ratio double").toArrow()
+        order = np.argsort(np.asarray(found["slot"]))
+        used, ratio = np.asarray(found["slot"])[order], np.asarray(found["ratio"])[order]
+        shared = docs.sparkSession.sparkContext.broadcast(used)
+        sample = rows.select("text", "doc_id", "_toxic").mapInArrow(lean(used_of), "doc_id long, toxic int, used binary").toArrow()
+        order = np.argsort(np.asarray(sample["doc_id"]), kind="stable")
+        toxic, numbers = np.asarray(sample["toxic"]).astype(float)[order], sample["used"].combine_chunks()
+        texts = [np.frombuffer(numbers[int(i)].as_buffer(), np.int32) for i in order]
+    model = train(texts, toxic, used, ratio)
     give_back()
     n = np.bincount([value for _, value in chosen], minlength=2)
     if n.all():

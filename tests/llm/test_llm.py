@@ -279,6 +279,33 @@ def test_toxicity_passes_over_long_texts(spark):
     assert toxicity.fit(frame, labels, max_chars=3).bias == pytest.approx(0)
 
 
+def test_toxicity_gathers_only_the_slots_that_count(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [prose(rng, 300) + (" vilest wretch" if i % 5 == 0 else "") for i in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    gathered, plain = [], type(frame).toArrow
+
+    def to_arrow(self):
+        gathered.append((out := plain(self)).nbytes)
+        return out
+
+    monkeypatch.setattr(type(frame), "toArrow", to_arrow)
+    model = toxicity.fit(frame, labels)
+    sets = [s for t in texts for s in toxicity.distinct_slots(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))]
+    counts = np.zeros((2, toxicity.SLOTS))
+    for i, s in enumerate(sets):
+        counts[int(i % 5 == 0), s] += 1
+    # Whole sets were gathered before, some 12 bytes for each character of the sample.
+    assert sum(gathered) < sum(map(len, texts)) < sum(s.nbytes for s in sets)
+    ratio = toxicity.ratios(counts[1], counts[0], 40, 160)
+    used = np.flatnonzero(ratio)
+    numbers = [np.searchsorted(used, s[ratio[s] != 0]) for s in sets]
+    want = toxicity.train(numbers, np.arange(200) % 5 == 0, used, ratio[used])
+    assert len(want.slots) and model.slots.tolist() == want.slots.tolist()
+    assert model.weights == pytest.approx(want.weights) and model.bias == pytest.approx(want.bias)
+
+
 def test_decontamination(spark, none):
     rng = random.Random(4)
     items = [(i, prose(rng, 30)) for i in range(8)] + [(8, None), (9, ""), (10, "same words twice same words twice again and again")]

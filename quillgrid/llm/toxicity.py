@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillgrid.llm import textbytes as T
@@ -113,6 +113,18 @@ def train(texts: list[np.ndarray], labels: np.ndarray, used: np.ndarray, ratio:
     return Model(used[strong], weight[strong].astype(np.float32), float(b), sizes, slots)
 
 
+def first_rows(rows: DataFrame, n: int, most: int) -> list[Row]:
+    """The first ``most`` of about ``n`` rows in the order of ``_order``, a 64-bit hash, and ``doc_id``.
+
+    Every task sends its own first rows, so only hashes that twice as many rows are expected under are sorted; if that is too few rows, all are.
+    """
+    if 2 * most < n:
+        found = rows.where(F.col("_order") < -(1 << 63) + (2 * most << 64) // n).orderBy("_order", "doc_id").limit(most).collect()
+        if len(found) == most:
+            return found
+    return rows.orderBy("_order", "doc_id").limit(most).collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_rows: int = 3000, max_chars: int = 6_000_000) -> Model:
     """A model from labelled documents.
 
@@ -131,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_rows: int = 300
     chosen: list[tuple[int, int]] = []
     for value in (0, 1):
         one = sized.where(F.col("_toxic") == value)
-        found = one.where(F.col("_n") <= max_chars).orderBy("_order", "doc_id").limit(max_rows).collect()
+        found = first_rows(one.where(F.col("_n") <= max_chars), total.get(value, 0), max_rows)
         taken = 0
         for r in found or one.orderBy("_n", "_order", "doc_id").limit(1).collect():
             if taken == 0 or taken + r["_n"] <= max_chars:

@@ -306,6 +306,27 @@ def test_toxicity_gathers_only_the_slots_that_count(spark, monkeypatch):
     assert model.weights == pytest.approx(want.weights) and model.bias == pytest.approx(want.bias)
 
 
+def test_toxicity_sends_few_rows_to_choose_a_sample(spark, monkeypatch):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("_order")).repartition(3).cache()
+    want = [r.doc_id for r in rows.orderBy("_order", "doc_id").collect()]
+    sorted_rows, plain = [], type(rows).orderBy
+
+    def order_by(self, *columns):
+        sorted_rows.append(self.count())
+        return plain(self, *columns)
+
+    monkeypatch.setattr(type(rows), "orderBy", order_by)
+    # The last number is far from the count: too few rows lie under the bound, and all are taken.
+    for n, most in ((4000, 100), (4000, 1999), (4000, 4000), (4000, 9000), (0, 5), (10 ** 7, 300)):
+        assert [r.doc_id for r in toxicity.first_rows(rows, n, most)] == want[:most]
+    assert sorted_rows[0] < 300 and sorted_rows[-1] == 4000
+    sorted_rows.clear()
+    frame = rows.select("doc_id", F.lit("some words").alias("text"))
+    toxicity.fit(frame, rows.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), max_rows=50)
+    assert sorted_rows and max(sorted_rows) < 200
+    rows.unpersist()
+
+
 def test_decontamination(spark, none):
     rng = random.Random(4)
     items = [(i, prose(rng, 30)) for i in range(8)] + [(8, None), (9, ""), (10, "same words twice same words twice again and again")]
